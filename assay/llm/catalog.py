@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import near_dup, quality_rules
+import public_tokenizers
+
+from assay.llm import near_dup, pieces, quality_rules
 from assay.llm.common import table
 
 
@@ -18,8 +20,12 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op3_near_dup": op3_near_dup}
+    return {"op1_quality_rules": op1_quality_rules, "op3_near_dup": op3_near_dup, "op6_pieces": op6_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

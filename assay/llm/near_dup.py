@@ -25,32 +25,117 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import components, words_of, written
+from assay.llm.common import components, written
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K = 64
 #: Estimates below this never belong to a pair of 0.85 (over five standard deviations at k = 64).
 LEAST_ESTIMATE = 0.60
 
 
+class _Hashes(dict):
+    """64-bit hash of a word, remembered; forgets all when it holds ``most`` words."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser that spreads all bits of 64-bit words."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _runs(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` consecutive values; a shorter sequence is one run."""
+    if not len(h):
+        return h
+    width = min(width, len(h))
+    n, x = len(h) - width + 1, np.full(len(h) - width + 1, width, np.uint64)
+    for j in range(width):
+        x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
+    return x
+
+
+def shingle_set(text: bytes | None, width: int = 3) -> np.ndarray:
+    """Sorted distinct signed hashes of the word shingles of a UTF-8 text."""
+    words = (text or b"").lower().split()  # on bytes both touch ASCII only
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.unique(_runs(h, width).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(a) for a in arrays], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+
+
+def _over_texts(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:
+    """``make(sets) -> columns`` over batches of shingle sets, beside doc_id."""
+
+    def run(batches, make=make):
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(1).cast(pa.binary()).to_pylist()
+                cols = {"doc_id": batch.column(0), **make(texts)}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, {schema}")
+
+
 def with_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, shingles): sorted distinct 64-bit hashes of the word shingles of each text."""
-    words = docs.select(F.col(id_col).alias("doc_id"), words_of(F.translate(F.col(text_col), UPPER, LOWER)).alias("words"))
-    n = F.size("words")
-    runs = F.transform(
-        F.slice("words", 1, F.greatest(n - (width - 1), F.lit(0))),
-        lambda w, i: F.xxhash64(w, *[F.get("words", i + j) for j in range(1, width)]),
-    )
-    whole = F.when(n > 0, F.array(F.xxhash64("words"))).otherwise(F.array().cast("array<bigint>"))
-    return words.select("doc_id", F.sort_array(F.array_distinct(F.when(n >= width, runs).otherwise(whole))).alias("shingles"))
+    return _over_texts(docs, id_col, text_col, lambda texts: {"shingles": _lists([shingle_set(t, width) for t in texts])}, "shingles array<long>")
+
+
+def with_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, k: int = K) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2, sketch): set size, two hashes of the set, its ``k`` smallest values."""
+
+    def make(texts):
+        sets = [shingle_set(t, width) for t in texts]
+        raw = [s.tobytes() for s in sets]
+        return {
+            "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+            "s1": pa.array(np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)),
+            "s2": pa.array(np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)),
+            "sketch": _lists([s[:k] for s in sets]),
+        }
+
+    return _over_texts(docs, id_col, text_col, make, "n_shingles long, s1 long, s2 long, sketch array<long>")
+
+
+def list_keys(sketches: DataFrame) -> DataFrame:
+    """(rep, key) for each run of consecutive values of the sketches (rep, n_shingles, sketch)."""
 
+    def run(batches):
+        for batch in batches:
+            reps, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out_reps, out_keys = [], []
+            for rep, n, x in zip(reps, sizes, batch.column(2)):
+                h = np.asarray(x.values).view(np.uint64)
+                for r, wanted in ((3, 6 <= n < 32), (4, n >= 28)):
+                    if wanted:
+                        out_keys.append(np.unique(_runs(h, r).view(np.int64)))
+                        out_reps.append(np.full(len(out_keys[-1]), rep))
+            if out_keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_reps)), pa.array(np.concatenate(out_keys))], ["rep", "key"])
 
-def _run_keys(sketch: Column, r: int) -> Column:
-    """Hashes of the runs of ``r`` consecutive values of a sketch."""
-    return F.transform(F.slice(sketch, 1, F.greatest(F.size(sketch) - (r - 1), F.lit(0))), lambda v, i: F.xxhash64(F.lit(r), v, *[F.get(sketch, i + j) for j in range(1, r)]))
+    return sketches.select("rep", "n_shingles", "sketch").where("n_shingles >= 6").mapInArrow(run, "rep long, key long")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
@@ -82,22 +167,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if percent < 85:
         raise ValueError("the run lengths hold for similarities of 0.85 and more")
-    every = with_sets(docs, id_col, text_col, width)
-    every = every.select(
-        "doc_id", F.size("shingles").cast("long").alias("n_shingles"),
-        F.xxhash64("shingles").alias("s1"), F.xxhash64(F.lit(1), "shingles").alias("s2"), F.slice("shingles", 1, k).alias("sketch"),
-    )
-    every = written(every, "sketches")
+    every = written(with_sketches(docs, id_col, text_col, width, k), "sketches")
     filled = every.where("n_shingles > 0")
-    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"), F.any_value("sketch").alias("sketch"))
+    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
     classes = written(classes.where("rep is not null"), "classes")
-    sketches = classes.select("rep", "n_shingles", "sketch")
+    sketches = every.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    sketches = written(sketches, "class-sketches")
 
-    keys = F.concat(
-        F.when(F.col("n_shingles") < 32, _run_keys(F.col("sketch"), 3)).otherwise(F.array().cast("array<bigint>")),
-        F.when(F.col("n_shingles") >= 28, _run_keys(F.col("sketch"), 4)).otherwise(F.array().cast("array<bigint>")),
-    )
-    lists = sketches.where("n_shingles >= 6").select("rep", F.explode(keys).alias("key"))
+    lists = written(list_keys(sketches), "keys")
     # one of four orders picks a list's leader, so that a group meets a few leaders and not one for each list
     order = F.xxhash64(F.pmod("key", F.lit(4)), F.col("rep"))
     leaders = lists.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("leader"))).alias("m"), F.count("*").alias("n"))
