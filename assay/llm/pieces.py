@@ -211,17 +211,21 @@ def codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
-def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, begins, ends (byte spans of the pieces in the original text), decoded."""
+def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """doc_id, ids, begins, ends (byte spans of the pieces in the original text) and, if wanted, the decoded text."""
 
     def run(batches):
         c = codec(model_file)
         for batch in batches:
-            found = c.encode_batch([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
-            decoded = pa.array([c.decode(x[0]).decode() for x in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists([x[k] for x in found]) for k in range(3)), decoded], ["doc_id", "ids", "begins", "ends", "decoded"])
-
-    return _columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
+            for at in range(0, batch.num_rows, 500):
+                found = c.encode_batch([t or b"" for t in batch.column(1)[at : at + 500].cast(pa.binary()).to_pylist()])
+                cols = [batch.column(0)[at : at + 500], *(_lists([x[k] for x in found]) for k in range(3))]
+                if decode:
+                    cols.append(pa.array([c.decode(x[0]).decode() for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "begins", "ends", "decoded"][: len(cols)])
+
+    schema = "doc_id long, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decode
+    return _columns(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def encoding_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
