@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import decontaminate, license_scan, lm_score, near_dup, pieces, quality_model, quality_rules, token_store, toxicity, unit_dedup
+from assay.llm import decontaminate, license_scan, lm_score, near_dup, pieces, quality_model, quality_rules, sql, token_store, toxicity, unit_dedup
 from assay.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,4 +64,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators are beyond SQL: a trained model, a tokenizer, an alignment or a compressor decides; tests compare them with brute force."""
+    return {"op1_quality_rules": sql.OP1, "op3_near_dup": sql.OP3}
