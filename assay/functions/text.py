@@ -11,7 +11,7 @@ TOKEN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 
 def lines(text: Column) -> Column:
     """Lines of a text, without the empty one after a final line break."""
-    parts = F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")
+    parts = F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

@@ -167,7 +167,7 @@ def weighted_score() -> Column:
     """Weighted mean of the defined parts; NULL if none is.  Not rounded."""
     value = {
         "target_accuracy": F.col("target_accuracy"), "false_reassurance_rate": 1 - F.col("false_reassurance_rate"), "canonical_accuracy": F.col("canonical_accuracy"),
-        "calibration_error": 1 - F.col("calibration_error"), "susceptibility": 1 - F.greatest(F.lit(0.0), F.col("susceptibility")),
+        "calibration_error": 1 - F.col("calibration_error"), "susceptibility": F.when(F.col("susceptibility").isNotNull(), 1 - F.greatest(F.lit(0.0), F.col("susceptibility"))),
     }
     total = sum((F.coalesce(value[k] * w, F.lit(0.0)) for k, w in WEIGHTS), F.lit(0.0))
     weight = sum((F.when(value[k].isNotNull(), w).otherwise(0.0) for k, w in WEIGHTS), F.lit(0.0))
