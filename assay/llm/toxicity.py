@@ -33,7 +33,9 @@ from assay.llm.linear import DIM, Ordinal, fit, labelled_sample
 
 MAX_ROWS = 20_000
 #: Terms of the lexicon at most; documents and share of toxic documents that a term needs.
-TERMS, LEAST_DOCS, LEAST_SHARE = 400, 5, 0.6
+TERMS, LEAST_DOCS, LEAST_SHARE = 400, 5, 0.7
+#: Correlation within a class from which voters count as repeating each other.
+REPEATS = 0.5
 STARTS = (3, 4, 5, 6, 7)
 #: Different words with the same beginning that make terms of their own.
 TIERS = (2, 4)
@@ -130,8 +132,8 @@ class LabelModel:
             rate = [(q @ votes + 0.5 * base) / (q.sum() + base) for q, base in ((1 - p, 4.0), (p, 2.0))]
             self.rates = np.clip(np.array(rate), 1e-4, 1 - 1e-4)
             self.correlations = self._within(votes, p)
-            # a voter that others repeat has the weight of its group, shared
-            self.share = 1 / np.maximum(np.clip(self.correlations, 0, 1).sum(1), 1)
+            # a voter that others repeat (strongly correlated within a class) has the weight of its group, shared
+            self.share = 1 / np.maximum(np.where(self.correlations >= REPEATS, self.correlations, 0).sum(1), 1)
             new = self.posterior(votes)
             if np.abs(new - p).max() < 1e-4:
                 break
@@ -188,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     spark = docs.sparkSession
     soft = spark.createDataFrame([(r["doc_id"], float(p)) for r, p in zip(got, posterior)], "doc_id long, posterior double").dropDuplicates(["doc_id"])
     taught = written(sample.join(F.broadcast(soft), "doc_id").repartition(8, "doc_id"), "toxic-taught")
-    linear = fit(taught, 2, lambda row: (1 - row["posterior"], row["posterior"]), features)
+    linear = fit(taught, 2, lambda row: (1 - row["posterior"], row["posterior"]), features, l1=4.0)
     model = spark.sparkContext.broadcast(Model(linear, 1.0, 0.0))
 
     def margins(batches):
