@@ -56,6 +56,14 @@ def words_of(text: Column) -> Column:
     return blank_words(spaced(F.coalesce(text, F.lit(""))))
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """``df``, the result of a shuffle of about so many rows, in no more tasks than they need.
+
+    Small steps of a loop then do not pay for hundreds of empty tasks; large ones keep all partitions of the shuffle.
+    """
+    return df.coalesce(max(2, -(-rows // per_task)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,17 +82,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if mark[0] == 0:
             break
+        size = 2 * mark[0]
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = sized(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), size)
+        large = sized(both.join(low, "a"), size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = written(sized(large.distinct(), size), "cc")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = sized(down.groupBy("a").agg(F.min("b").alias("m")), size)
         small = (
-            down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            sized(down.join(least, "a"), size).select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(least.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct()
         )
-        now = written(small, "cc")
+        now = written(sized(small, size), "cc")
         before, mark = mark, _mark(now)
         if mark == before:
             break

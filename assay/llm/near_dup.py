@@ -12,12 +12,13 @@
    similarity of a pair is estimated from the bottom-k of the union of both
    sketches; pairs far below the threshold (over 5 standard deviations) go, the rest
    is confirmed on full sets.
-4. Confirmed links give components.  Lists that still hold several components are
-   compared across these components, so links that no leader saw are found too.
+4. Confirmed links give components.  Where lists still hold several components, so that
+   links no leader saw may be missing, the smaller components are queries against all
+   documents they share lists with: blocks of full sets are intersected as matrices, and only
+   links become rows.
 
-Work on a list is linear in its length except for members that differ from
-their leaders and all others; those are compared across components, as rows of a
-distributed join.
+Work on lists is linear in their length; only documents that are linked with none of their
+leaders are compared with all others of their lists, in blocks that Spark spreads over tasks.
 Defined results: null texts and texts without words have an empty set and are linked
 with nothing; null ids are never links; repeated rows of one id agree; extra
 columns are ignored.
@@ -26,12 +27,13 @@ columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import components, written
+from assay.llm.common import components, sized, written
 
 K = 64
 #: Estimates below this never belong to a pair of 0.85 (over five standard deviations at k = 64).
@@ -138,11 +140,20 @@ def list_keys(sketches: DataFrame) -> DataFrame:
     return sketches.select("rep", "n_shingles", "sketch").where("n_shingles >= 6").mapInArrow(run, "rep long, key long")
 
 
-def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
+def _linked(pairs: DataFrame, sketches: DataFrame, k: int, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
+    """The links among candidate pairs (x, y): estimated on sketches, then confirmed on full sets."""
+    n = pairs.count()
+    if not n:
+        return pairs
+    likely = written(sized(_estimated(pairs, sketches, k, n), n, 5_000), "likely")
+    return written(_confirmed(likely, docs, id_col, text_col, percent, width), "links")
+
+
+def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, n: int) -> DataFrame:
     """Pairs (x, y) whose similarity, estimated on the k smallest values of the union of both sketches, may reach the threshold."""
     sx = sketches.select(F.col("rep").alias("x"), F.col("sketch").alias("kx"), F.col("n_shingles").alias("nx"))
     sy = sketches.select(F.col("rep").alias("y"), F.col("sketch").alias("ky"), F.col("n_shingles").alias("ny"))
-    both = pairs.join(sx, "x").join(sy, "y").where((100 * F.col("nx") >= 85 * F.col("ny")) & (100 * F.col("ny") >= 85 * F.col("nx")))
+    both = sized(pairs.join(sx, "x"), n, 5_000).join(sy, "y").where((100 * F.col("nx") >= 85 * F.col("ny")) & (100 * F.col("ny") >= 85 * F.col("nx")))
     both = both.select("x", "y", "kx", "ky", F.slice(F.sort_array(F.array_union("kx", "ky")), 1, k).alias("low"))
     hits = F.size(F.array_intersect(F.array_intersect("low", "kx"), "ky"))
     return both.where(hits >= LEAST_ESTIMATE * F.size("low")).select("x", "y")
@@ -150,16 +161,79 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
     """The pairs (x, y) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct()
+    n = pairs.count()
+    if not n:
+        return pairs
+    ids = sized(pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct(), 2 * n)
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(with_sets(wanted, width=width), "sets")
-    out = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x")
-    out = out.join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy")), "y")
+    sets = written(with_sets(sized(wanted, 2 * n, 1_000), width=width), "sets")
+    out = sized(pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x"), n, 2_000)
+    out = sized(out.join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy")), "y"), n, 2_000)
     same = F.size(F.array_intersect("sx", "sy"))
     out = out.select("x", "y", same.alias("i"), (F.size("sx") + F.size("sy") - same).alias("u"))
     return out.where(100 * F.col("i") >= percent * F.col("u")).select("x", "y")
 
 
+#: Documents on each side of one block of comparisons, and shingles multiplied at once.
+BLOCK, COLUMNS = 512, 4096
+
+
+def _between_components(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
+    """Links (x, y) between different components of ``open_`` (rep, leader, c).
+
+    Documents joined by lists are a family.  All but its largest component are compared
+    with the whole family, on full sets, in blocks of :data:`BLOCK` by :data:`BLOCK` documents; only links become rows.
+    """
+    if not open_.take(1):
+        return open_.select(F.col("rep").alias("x"), F.col("leader").alias("y"))
+    n = open_.count()
+    family = components(open_.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("component", "f")
+    family = written(sized(open_.select("rep", "c").distinct().join(family, "rep"), n), "families")
+    parts = family.groupBy("f", "c").agg(F.count("*").alias("size"))
+    totals = parts.groupBy("f").agg(F.max(F.struct("size", "c")).alias("m"), F.sum("size").alias("members")).select("f", F.col("m.c").alias("largest"), F.col("m.size").alias("most"), "members")
+    totals = totals.where("most < members").select(
+        "f", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("chunks"),
+    )
+    rows = written(sized(family.join(totals, "f"), n), "families")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(rows.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = with_sets(sized(texts, n, 1_000), width=width).withColumnRenamed("doc_id", "rep")
+    rows = written(sized(rows.join(sets, "rep"), n, 2_000), "family-sets")
+    hashed = F.xxhash64("rep")
+    asking = rows.where("c <> largest").select("f", F.pmod(hashed, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "c", "shingles")
+    asked = rows.select("f", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(hashed, "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "rep", "c", "shingles")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return linked_between(pdf, percent)
+
+    return asking.unionByName(asked).groupBy("f", "chunk", "block").applyInPandas(compare, "x long, y long")
+
+
+def linked_between(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the rows that ask and the others, of different components, by exact Jaccard similarity."""
+    a, b = pdf[pdf.asks], pdf[~pdf.asks]
+    flat = [np.asarray(s) for s in (*a.shingles, *b.shingles)]
+    sizes = np.array([len(s) for s in flat])
+    _, column, counts = np.unique(np.concatenate(flat), return_inverse=True, return_counts=True)
+    # a shingle of one document adds nothing to an intersection
+    shared = np.cumsum(counts > 1) - 1
+    row = np.repeat(np.arange(len(flat)), sizes)
+    keep = counts[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        cells = np.zeros((len(flat), COLUMNS), np.float32)
+        cells[row[lo:hi], column[lo:hi] - first] = 1
+        both += cells[: len(a)] @ cells[len(a) :].T
+    union = sizes[: len(a), None] + sizes[None, len(a) :] - both
+    ok = (100 * both >= percent * union) & (a.c.to_numpy()[:, None] != b.c.to_numpy()[None, :])
+    i, j = np.nonzero(ok)
+    x, y = a.rep.to_numpy()[i], b.rep.to_numpy()[j]
+    return pd.DataFrame({"x": np.maximum(x, y), "y": np.minimum(x, y)})
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3, k: int = K) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, n_same (rows with the same set).
 
@@ -170,32 +244,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = written(with_sketches(docs, id_col, text_col, width, k), "sketches")
     filled = every.where("n_shingles > 0")
     classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
-    classes = written(classes.where("rep is not null"), "classes")
+    n = every.count()
+    classes = written(sized(classes.where("rep is not null"), n, 10_000), "classes")
     sketches = every.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    sketches = written(sketches, "class-sketches")
+    sketches = written(sized(sketches, n, 5_000), "class-sketches")
 
     lists = written(list_keys(sketches), "keys")
     # one of four orders picks a list's leader, so that a group meets a few leaders and not one for each list
     order = F.xxhash64(F.pmod("key", F.lit(4)), F.col("rep"))
     leaders = lists.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("leader"))).alias("m"), F.count("*").alias("n"))
     leaders = leaders.where("n > 1").select("key", F.col("m.leader").alias("leader"))
-    members = written(lists.join(leaders, "key"), "lists")
+    members = written(sized(lists.join(leaders, "key"), lists.count(), 100_000), "lists")
+    m = members.count()
     pairs = members.where("rep <> leader").select(F.greatest("rep", "leader").alias("x"), F.least("rep", "leader").alias("y")).distinct()
-    first = written(_confirmed(written(_estimated(pairs, sketches, k), "pairs"), docs, id_col, text_col, percent, width), "links")
+    pairs = written(sized(pairs, m), "pairs")
+    first = _linked(pairs, sketches, k, docs, id_col, text_col, percent, width)
     comps = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    # members of a list that are in different components by now, and were not compared through a leader
+    # lists that hold several components by now: their members form families, compared in blocks on full sets
     label = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("c"))
-    label = written(label, "labels")
+    label = written(sized(label, m), "labels")
     split = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-    open_ = label.join(split, "key", "left_semi")
-    a = open_.select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), "leader")
-    b = open_.select("key", F.col("rep").alias("y"), F.col("c").alias("cy"))
-    rest = a.join(b, "key").where("x > y and cx <> cy and x <> leader and y <> leader").select("x", "y").distinct()
-    rest = written(_estimated(rest, sketches, k), "pairs")
-    more = _confirmed(rest, docs, id_col, text_col, percent, width)
-    links = written(first.union(more), "links")
-    comps = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    open_ = written(sized(label.join(split, "key", "left_semi").select("rep", "leader", "c").distinct(), m), "open")
+    more = written(_between_components(open_, docs, id_col, text_col, percent, width), "links")
+    if more.take(1):
+        edges = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comps = components(edges.union(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     named = classes.select("s1", "s2", "n_shingles", "rep", "n_same").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"), "n_same")
