@@ -10,7 +10,7 @@ import corpus_pipeline as p
 @pytest.fixture(scope="module")
 def sf(spark, make, prose, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("sf"))
-    passage, item = prose(60, 70), prose(61, 40)
+    passage, item = prose(60, 70).rsplit(" ", 1)[0], prose(61, 40)  # without its last sentence of one word, which is no unit
     rows = [(k, prose(k, 100)) for k in range(20)]
     rows += [(20, rows[3][1]), (21, "too short"), (22, prose(70, 60) + "\n" + passage), (23, prose(71, 60) + "\n" + passage), (24, prose(72, 60) + " " + item + " " + prose(73, 60)), (25, None), (26, "a b c " * 40)]
     make(rows).write.parquet(f"{root}/documents.parquet")
