@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -34,12 +35,14 @@ from assay.llm.common import shared_dir
 
 SHARD_TOKENS = 1 << 19
 MAGIC = b"RPG1"
+#: Byte-level tokenizers write a byte as the letter of its number, and bytes without a visible letter as letters from 256 on.
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordEncoder:
     """ids of texts by a tokenizers file whose normaliser and pre-tokeniser work within words."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,18 +53,19 @@ class WordEncoder:
         #: lower case in between, white space dropped, byte-level letters: ASCII words may go to the BPE model as they are
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.most, self.seen = most, {}
+        self.pieces = [np.array(i, self.kind).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self.marks = {b"": b""} | {m: b"".join(map(self.pieces.__getitem__, self.tokenizer.encode(m.decode(), add_special_tokens=False).ids)) for m in (b",", b".")}
+        # words met lately, and those met before them: together at most about `most`, and frequent words are never forgotten
+        self.most, self.seen, self.before = most, {}, {}
 
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), 64):
             low = [t.lower() for t in texts[at : at + 64]]
             some = [None if not self.by_word or any(s in t for s in self.special) else t.split() for t in low]
-            new = set().union(*(w for w in some if w)).difference(self.seen)
-            if len(self.seen) + len(new) > self.most:
-                self.seen.clear()
-                new = set().union(*(w for w in some if w))
-            self._learn(new)
+            if len(self.seen) > self.most // 2:
+                self.seen, self.before = {}, self.seen
+            self._learn(set().union(*(w for w in some if w)).difference(self.seen))
             for text, words in zip(texts[at : at + 64], some):
                 if words is None:
                     out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind))
@@ -70,27 +74,39 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[bytes]) -> None:
-        seen, rest, tails = self.seen, [], []
+        """Remember the ids of new words.  Latin words, with a comma or stop behind them or not, go to the BPE model as they are: a
+        mark after a letter is always a token of its own.  All others are encoded by the library as texts."""
+        seen, pieces, tokenize, marks = self.seen, self.pieces, self.model.tokenize, self.marks
+        before = self.before
+        new = []
         for w in words:
-            if w.isalpha():
-                seen[w] = self._bytes(self.model.tokenize(w.decode()))
-            elif w[-1:] in (b",", b".") and w[-2:-1].isalpha():
-                tails.append(w)  # a mark after a letter is always a word of its own
+            if w in before:
+                seen[w] = before[w]
             else:
-                rest.append(w)
-        stems = {w[:-1] for w in tails}.difference(seen)
-        rest += [w for w in {*stems, *(w[-1:] for w in tails)}.difference(seen) if not w.isalpha()]
-        for w in stems:
-            if w.isalpha():
-                seen[w] = self._bytes(self.model.tokenize(w.decode()))
-        rest = list(dict.fromkeys(rest))
+                new.append(w)
+        plain = [w for w in new if w.isalpha()]
+        for w, tokens in zip(plain, map(tokenize, b" ".join(plain).decode().split(" "))):
+            seen[w] = b"".join([pieces[t.id] for t in tokens])
+        rest = []
+        for w in new:
+            if w in seen:
+                continue
+            mark = w[-1:] if w[-1:] in marks else b""
+            stem = w[:-1] if mark else w
+            ids = seen.get(stem)
+            if ids is None:
+                if stem.isalpha():
+                    text = stem.decode()
+                else:
+                    text = stem.decode()
+                    if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
+                        rest.append(w)
+                        continue
+                    text = unicodedata.normalize("NFC", text).lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = seen[stem] = b"".join([pieces[t.id] for t in tokenize(text)])
+            seen[w] = ids + marks[mark]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            seen[w] = np.array(e.ids, self.kind).tobytes()
-        for w in tails:
-            seen[w] = seen[w[:-1]] + seen[w[-1:]]
-
-    def _bytes(self, tokens) -> bytes:
-        return np.array([t.id for t in tokens], self.kind).tobytes()
+            seen[w] = b"".join(map(pieces.__getitem__, e.ids))
 
 
 @functools.lru_cache(2)
@@ -109,8 +125,9 @@ def grammar(ids: np.ndarray, first: int, limit: int = 1 << 16, least: int = 16)
     need = max(least, len(seq) // 256)
     while len(seq) > 1 and first + len(rules) < limit:
         pairs = seq[:-1] << np.uint32(16) | seq[1:]
-        slot = (pairs * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        at = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= need)[slot])
+        # counts in a table that stays in the processor's cache leave few pairs to count exactly
+        slot = ((pairs * np.uint32(0x9E3779B1)) >> np.uint32(15)).astype(np.intp)
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << 17) >= need)[slot])
         codes, counts = np.unique(pairs[at], return_counts=True)
         codes, counts = codes[counts >= need], counts[counts >= need]
         role, chosen = {}, []
