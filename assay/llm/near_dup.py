@@ -249,13 +249,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = every.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     sketches = written(sized(sketches, n, 5_000), "class-sketches")
 
-    lists = written(list_keys(sketches), "keys")
+    # most keys belong to one document; they go before anything else is attached to a row
+    lists = list_keys(sketches)
+    several = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = written(sized(lists.join(several, "key", "left_semi"), k * n, 100_000), "lists")
+    m = members.count()
     # one of four orders picks a list's leader, so that a group meets a few leaders and not one for each list
     order = F.xxhash64(F.pmod("key", F.lit(4)), F.col("rep"))
-    leaders = lists.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("leader"))).alias("m"), F.count("*").alias("n"))
-    leaders = leaders.where("n > 1").select("key", F.col("m.leader").alias("leader"))
-    members = written(sized(lists.join(leaders, "key"), lists.count(), 100_000), "lists")
-    m = members.count()
+    leaders = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("leader"))).alias("m")).select("key", F.col("m.leader").alias("leader"))
+    members = written(sized(members.join(sized(leaders, m), "key"), m), "lists")
     pairs = members.where("rep <> leader").select(F.greatest("rep", "leader").alias("x"), F.least("rep", "leader").alias("y")).distinct()
     pairs = written(sized(pairs, m), "pairs")
     first = _linked(pairs, sketches, k, docs, id_col, text_col, percent, width)
