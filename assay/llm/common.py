@@ -51,11 +51,6 @@ def blank_words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words of ``text``; null and blank texts give an empty array."""
-    return blank_words(spaced(F.coalesce(text, F.lit(""))))
-
-
 def sized(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
     """``df``, the result of a shuffle of about so many rows, in no more tasks than they need.
 
