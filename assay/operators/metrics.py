@@ -140,23 +140,52 @@ def per_class_accuracy(records: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return out.withColumn("accuracy", ratio("correct", "total"))
 
 
-def metric_bundle(records: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """All headline metrics in one row per group, with the auxiliary weighted score over those that are defined."""
-    keys = list(by)
-    canonical = records.where("case_kind = 'canonical'")
-    out = decision_accuracy(records, by).select(*by, "total_cases", "correct_cases", "decision_accuracy")
-    parts = [
-        false_reassurance(records, by).select(*by, "false_reassurance_rate"),
-        over_rejection(records, by).select(*by, "over_rejection_rate"),
-        changing_target_accuracy(records, by).select(*by, "target_accuracy"),
-        preserving_drift(records, by).select(*by, "drift"),
-        presentation_susceptibility(records, by).select(*by, "susceptibility"),
-        calibration_error(records, by).select(*by, "calibration_error"),
-        decision_accuracy(canonical.where(scored()), by).select(*by, F.col("decision_accuracy").alias("canonical_accuracy")),
+def _tallies(bins: int = 10) -> list[Column]:
+    """All counts that unpaired metrics need, for one aggregate."""
+    e, d = F.col("expected_decision"), F.col("decision")
+    canonical = F.col("case_kind") == "canonical"
+    out = [
+        n(scored()).alias("total_cases"), n(is_correct()).alias("correct_cases"), n(~scored()).alias("unscored_cases"),
+        n(scored() & (e != ACCEPT)).alias("f_due"), n(scored() & (e != ACCEPT) & (d == ACCEPT)).alias("reassured"),
+        n(e == ACCEPT).alias("o_due"), n((e == ACCEPT) & (d == REJECT)).alias("rejected"),
+        n(is_changing()).alias("t_due"), n(is_changing() & is_correct()).alias("matched"),
+        n(canonical & scored()).alias("c_due"), n(canonical & is_correct()).alias("c_hit"),
     ]
-    for part in parts:
-        out = out.join(part, keys, "left")
-    return out.withColumn("robustness_score", weighted_score())
+    thousandths = F.round(F.col("confidence") * 1000).cast("long")
+    for k in range(bins):
+        here = scored() & in_range() & (confidence_bin(bins) == k)
+        out += [n(here).alias(f"n_{k}"), F.sum(F.when(here, thousandths)).alias(f"s_{k}"), n(here & is_correct()).alias(f"k_{k}")]
+    return out
+
+
+def _rates(bins: int = 10) -> dict[str, Column]:
+    """Metrics from :func:`_tallies`; the calibration error adds the bins in order."""
+    gaps = [F.coalesce(F.col(f"n_{k}") * F.abs(ratio(f"s_{k}", f"n_{k}") / 1000 - ratio(f"k_{k}", f"n_{k}")), F.lit(0.0)) for k in range(bins)]
+    weighted, seen = F.lit(0.0), F.lit(0)
+    for k, gap in enumerate(gaps):
+        weighted, seen = weighted + gap, seen + F.col(f"n_{k}")
+    return {
+        "decision_accuracy": F.coalesce(ratio("correct_cases", "total_cases"), F.lit(0.0)), "false_reassurance_rate": ratio("reassured", "f_due"), "over_rejection_rate": ratio("rejected", "o_due"),
+        "target_accuracy": ratio("matched", "t_due"), "canonical_accuracy": ratio("c_hit", "c_due"), "calibration_error": weighted / F.nullif(seen.cast("double"), F.lit(0.0)),
+    }
+
+
+def metric_bundle(records: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """All headline metrics in one row per group, with the auxiliary weighted score over those that are defined.
+
+    One join with the parents and one aggregate serve all of them.
+    """
+    rows = with_parents(records, records)
+    paired = F.col("p_id").isNotNull()
+    kept = is_preserving() & paired
+    shown = is_presentation() & paired & ~F.col("parent_expected").eqNullSafe(ACCEPT)
+    out = rows.groupBy(*by).agg(
+        *_tallies(), n(kept).alias("d_pairs"), n(kept & (F.col("decision") != F.col("parent_decision"))).alias("d_moved"),
+        n(shown).alias("s_pairs"), (n(shown & (F.col("decision") == ACCEPT)) - n(shown & (F.col("parent_decision") == ACCEPT))).alias("s_change"),
+    )
+    out = out.withColumns(_rates() | {"drift": ratio("d_moved", "d_pairs"), "susceptibility": ratio("s_change", "s_pairs")})
+    names = ("decision_accuracy", "false_reassurance_rate", "over_rejection_rate", "target_accuracy", "drift", "susceptibility", "calibration_error", "canonical_accuracy")
+    return out.select(*by, "total_cases", "correct_cases", *names).withColumn("robustness_score", weighted_score())
 
 
 #: Weights of the auxiliary score.
@@ -191,10 +220,9 @@ def metric_coverage(records: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def by_operator(records: DataFrame) -> DataFrame:
     """Accuracy metrics per operator.  Parents carry no operator, so paired metrics do not exist in such a subset."""
-    keys = ["evaluator_name", "operator"]
-    rows = records.where("operator is not null")
-    out = decision_accuracy(rows, keys).join(false_reassurance(rows, keys).drop("eligible"), keys).join(changing_target_accuracy(rows, keys).drop("eligible"), keys)
-    return out.join(calibration_error(rows, keys).select(*keys, "calibration_error"), keys)
+    out = records.where("operator is not null").groupBy("evaluator_name", "operator").agg(*_tallies()).withColumns(_rates())
+    names = ("total_cases", "correct_cases", "unscored_cases", "decision_accuracy", "reassured", "false_reassurance_rate", "matched", "target_accuracy", "calibration_error")
+    return out.select("evaluator_name", "operator", *names)
 
 
 def by_class(records: DataFrame) -> DataFrame:
