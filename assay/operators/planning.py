@@ -11,7 +11,7 @@ from assay.operators.integrity import require_none
 
 def with_policy(fixtures: DataFrame, policies: DataFrame) -> DataFrame:
     """``policy`` of every fixture (fixture_id, pair_id, report_class): that of its pair, else of its class; others are an error."""
-    keys = F.broadcast(policies.select("policy"))
+    keys = policies.select("policy")
     out = fixtures.join(keys.withColumnRenamed("policy", "pair_policy"), F.col("pair_id") == F.col("pair_policy"), "left")
     out = out.join(keys.withColumnRenamed("policy", "class_policy"), F.col("report_class") == F.col("class_policy"), "left")
     out = out.withColumn("policy", F.coalesce("pair_policy", "class_policy")).drop("pair_policy", "class_policy")
@@ -25,7 +25,7 @@ def rotation(fixtures: DataFrame, policies: DataFrame) -> DataFrame:
     fixtures: fixture_id, short_name, policy; policies (a few rows): policy, variants, operators.
     """
     order = F.row_number().over(Window.partitionBy("policy").orderBy("fixture_id")) - 1
-    rows = fixtures.withColumn("ordinal", order).join(F.broadcast(policies), "policy").where("variants > 0")
+    rows = fixtures.withColumn("ordinal", order).join(policies, "policy").where("variants > 0")
     rows = rows.withColumn("variant", F.explode(F.sequence(F.lit(0), F.col("variants") - 1)))
     operator = F.element_at("operators", (F.pmod(F.col("ordinal") + F.col("variant"), F.size("operators")) + 1).cast("int"))
     rows = rows.withColumn("operator", operator).drop("operators", "variants", "ordinal")
@@ -41,7 +41,7 @@ def with_seeds(plan: DataFrame, base_seed: int) -> DataFrame:
 
 
 def estimated_cases(fixtures: DataFrame, policies: DataFrame) -> DataFrame:
-    return fixtures.groupBy("policy").agg(F.count("*").alias("fixtures")).join(F.broadcast(policies), "policy").select("policy", "fixtures", (F.col("fixtures") * F.col("variants")).alias("cases"))
+    return fixtures.groupBy("policy").agg(F.count("*").alias("fixtures")).join(policies, "policy").select("policy", "fixtures", (F.col("fixtures") * F.col("variants")).alias("cases"))
 
 
 def materialization_status(applied: DataFrame) -> DataFrame:
