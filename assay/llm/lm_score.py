@@ -1,10 +1,11 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
-Both models are interpolated bigram models over one vocabulary: the ``words`` most
-frequent words of the whole corpus (lower case), anything else being one unknown
-word.  The background model counts all documents, the target model those marked as
-target; both smooth alike.  Bigrams are counted in ``2**bits`` hashed cells, so a model is two
-arrays of fixed size however large the corpus, and they are broadcast to score.
+Both models are interpolated bigram models over one vocabulary: every word of the
+corpus (lower case).  The background model counts all documents, the target model those
+marked as target; both smooth alike.  Words and (previous, word) pairs are counted exactly,
+as 64-bit hashes, in grouped Spark tables that grow with the corpus.  Documents are
+scored by joining their pairs with the table of pairs.  The few words and pairs that
+are frequent enough to crowd a task are looked up in a broadcast instead, with the same values.
 
 score = target cross-entropy less background cross-entropy, in nats per token; lower is
 closer to the target.
@@ -20,9 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, BITS = (1 << 16) - 2, 21
+from assay.llm.common import written
+
 #: Pseudo-counts by which a bigram leans on its unigram.
 LEAN = 50.0
+#: Words and pairs that make up at least one in so many tokens are broadcast, so they are no more than that many.
+HOT = 100_000
+#: Ids besides the words' hashes, which are not negative.
+START, UNKNOWN = -1, -2
 
 
 class _Ids(dict):
@@ -70,106 +76,146 @@ def _counted(words: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["word", "n"])
 
 
-def vocabulary(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the ``words`` most frequent words: at most half a megabyte."""
+def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of the ``words`` most frequent words."""
     top = word_counts(docs).orderBy(F.col("n").desc(), "word").limit(words).select("word").toPandas()
     return np.sort(top["word"].to_numpy(np.int64))
 
 
-def tokens(text: bytes | None, known: np.ndarray) -> np.ndarray:
-    """Word numbers of a text: 1 .. len(known), and 0 for an unknown word."""
+def tokens(text: bytes | None, known: np.ndarray | None = None) -> np.ndarray:
+    """Word hashes of a text; with ``known``, UNKNOWN for any other word."""
     h = word_hashes(text)
-    if not len(known):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, at + 1, 0)
+    return h if known is None else np.where(np.isin(h, known), h, UNKNOWN)
+
 
+def pair_keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(previous words, 64-bit keys of the pairs) of a text, the start sign before its first word."""
+    before = np.concatenate([[START], ids[:-1]]).astype(np.int64)
+    x = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ x >> np.uint64(32)) + ids.astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return before, (x ^ x >> np.uint64(32)).view(np.int64)
 
-def cells(ids: np.ndarray, start: int, bits: int) -> np.ndarray:
-    """Cells of the bigrams of a text, the first with the start sign ``start`` before it."""
-    pairs = np.concatenate([[start], ids[:-1]]).astype(np.uint64) << np.uint64(20) | ids.astype(np.uint64)
-    pairs = (pairs ^ pairs >> np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15)
-    return (pairs >> np.uint64(64 - bits)).astype(np.int64)
 
+def pair_counts(docs: DataFrame, target_ids: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """(pair, prev, word, n, n_target) over all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
-def ngram_counts(docs: DataFrame, known: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unigram counts, counts as history, bigram cell counts) over all texts of ``docs``, arrays of fixed size."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(known)
-    size = len(known) + 2  # unknown word, words, start sign
+    def counted(held):
+        word, before, pair, of_target = (np.concatenate(c) for c in zip(*held))
+        found, first, back = np.unique(pair, return_index=True, return_inverse=True)
+        n = np.bincount(back, minlength=len(found)), np.bincount(back[of_target], minlength=len(found))
+        for k in range(0, len(found), 200_000):
+            part = slice(k, k + 200_000)
+            cols = found[part], before[first][part], word[first][part], n[0][part].astype(np.int64), n[1][part].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pair", "prev", "word", "n", "n_target"])
 
     def run(batches):
         known = shared.value
-        total = np.zeros(2 * size + (1 << bits), np.int64)
+        held, size = [], 0
         for batch in batches:
-            held = [np.empty(0, np.int64)]
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
+            for text, target in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 ids = tokens(text, known)
                 if len(ids):
-                    held += [ids, size + np.concatenate([[size - 1], ids[:-1]]), 2 * size + cells(ids, size - 1, bits)]
-                if len(held) > 600:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held = [np.empty(0, np.int64)]
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 200_000].astype(np.int32)), pa.array(total[at[k : k + 200_000]])], ["at", "n"])
-
-    def packed(batches):
-        for batch in batches:
-            if batch.num_rows:
-                cols = (batch.column(0).to_numpy().astype("<i4").tobytes(), batch.column(1).to_numpy().astype("<i8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in cols], ["at", "n"])
+                    held.append((ids, *pair_keys(ids), np.full(len(ids), bool(target))))
+                    size += len(ids)
+                if size > 2_000_000:
+                    yield from counted(held)
+                    held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    marks = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
+    rows = docs.select("doc_id", "text").join(marks, "doc_id", "left").select("text", "target")
+    found = rows.mapInArrow(run, "pair long, prev long, word long, n long, n_target long")
+    return found.groupBy("pair").agg(F.min("prev").alias("prev"), F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
 
-    # at most one number for each cell reaches the driver, as bytes and not as rows
-    summed = _texts(docs).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).select("at", "n").mapInArrow(packed, "at binary, n binary")
-    total = np.zeros(2 * size + (1 << bits))
-    for row in summed.collect():
-        total[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["n"], "<i8")
-    return total[:size], total[size : 2 * size], total[2 * size :]
+def word_table(pairs: DataFrame) -> DataFrame:
+    """(word, n, n_target: counts as word; h, h_target: counts as previous word), from :func:`pair_counts`."""
+    none = F.lit(0).cast("long")
+    rows = pairs.select("word", "n", "n_target", none.alias("h"), none.alias("h_target")).union(pairs.select("prev", none, none, "n", "n_target"))
+    return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_target", "h", "h_target")))
 
 
-class Bigrams:
-    """log p(word | previous word), from counts."""
+def _looked_up(pairs: DataFrame, words: DataFrame, hot: F.Column, key: str, values: list[str]) -> DataFrame:
+    """``pairs`` with ``values`` of their ``key``; frequent words come from a broadcast, so no task gets all rows of one."""
+    words = words.select(F.col("word").alias(key), *values, hot.alias("hot"))
+    near = pairs.join(F.broadcast(words.where("hot").drop("hot")), key, "left")
+    far = near.where(F.col(values[0]).isNull()).drop(*values).join(words.where("not hot").drop("hot"), key)
+    return near.where(F.col(values[0]).isNotNull()).unionByName(far)
 
-    def __init__(self, unigrams: np.ndarray, histories: np.ndarray, pairs: np.ndarray):
-        p = (unigrams + 1) / (unigrams.sum() + len(unigrams))
-        self.base = (LEAN * p).astype(np.float32)
-        self.histories = (histories + LEAN).astype(np.float32)
-        self.pairs = pairs.astype(np.float32)
 
-    def log_p(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        before = np.concatenate([[len(self.base) - 1], ids[:-1]])
-        # cells are shared by several bigrams: a cell never counts more than its history
-        seen = np.minimum(self.pairs[at], self.histories[before] - LEAN)
-        return np.log((seen + self.base[ids]) / self.histories[before])
+def pair_model(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """((pair, n, target, background: log p(word | previous word)) for all pairs, number of tokens)."""
+    words = written(word_table(pairs), "words")
+    n, n_target, size = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_target")), F.count(F.when((F.col("n") > 0) & (F.col("word") != UNKNOWN), 1))).first()
+    size += 2  # unknown word, start sign
+    words = words.withColumnsRenamed({"n": "w", "n_target": "w_target"})
+    hot = F.greatest("w", "h") * HOT >= n
+    rows = _looked_up(_looked_up(pairs, words, hot, "word", ["w", "w_target"]), words, hot, "prev", ["h", "h_target"])
 
+    def log_p(seen: str, word: str, before: str, total: int):
+        return F.log((F.col(seen) + LEAN * (F.col(word) + 1) / F.lit(float(total + size))) / (F.col(before) + LEAN)).cast("float")
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    return rows.select("pair", "n", log_p("n_target", "w_target", "h_target", n_target).alias("target"), log_p("n", "w", "h", n).alias("background")), n
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, target_ce, background_ce, score.
 
-    ``target_ids`` (doc_id) marks the target documents.
+    ``target_ids`` (doc_id) marks the target documents.  ``words`` asks for a model of that many words only,
+    with one unknown word for the others; by default all words count.
     """
-    known = vocabulary(docs, words)
-    background = Bigrams(*ngram_counts(docs, known, bits))
-    chosen = docs.select("doc_id", "text").join(target_ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    target = Bigrams(*ngram_counts(chosen, known, bits))
-    models = docs.sparkSession.sparkContext.broadcast((known, target, background))
+    known = None if words is None else vocabulary(docs, words)
+    model, total = pair_model(written(pair_counts(docs, target_ids, known), "pairs"))
+    model = written(model, "model")
+    hot = F.col("n") * HOT >= total
+    top = model.where(hot).select("pair", "target", "background").toPandas().sort_values("pair")
+    frequent = docs.sparkSession.sparkContext.broadcast((known, *(top[c].to_numpy() for c in ("pair", "target", "background"))))
 
     def run(batches):
-        known, target, background = models.value
+        known, pairs, target, background = frequent.value
         for batch in batches:
-            n, scores = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            out = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                row = np.int64(xxhash.xxh3_64_intdigest(text or b"", (doc or 0) % (1 << 64) ^ (doc is None)) - (1 << 63))
                 ids = tokens(text, known)
-                n.append(len(ids))
-                if len(ids):
-                    at = cells(ids, len(known) + 1, bits)
-                    scores.append((-float(target.log_p(ids, at).mean()), -float(background.log_p(ids, at).mean())))
-                else:
-                    scores.append((0.0, 0.0))
-            t, b = (np.array([s[k] for s in scores], np.float64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b)], ["doc_id", "n_tokens", "target_ce", "background_ce", "score"])
+                found, n = np.unique(pair_keys(ids)[1], return_counts=True) if len(ids) else (np.empty(0, np.int64), np.empty(0, np.int64))
+                at = np.minimum(np.searchsorted(pairs, found), max(len(pairs) - 1, 0))
+                near = pairs[at] == found if len(pairs) else np.zeros(len(found), bool)
+                sums = (float((x[at[near]].astype(np.float64) * n[near]).sum()) for x in (target, background))
+                out.append((np.full((~near).sum() + 1, row), np.append(found[~near], row), np.append(n[~near], 0), doc, len(ids), *sums))
+                if len(found) > 100_000 or len(out) >= 500:
+                    yield _rows(out)
+                    out = []
+            if out:
+                yield _rows(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_ce double, background_ce double, score double")
+    rows = rows.mapInArrow(run, "row long, pair long, k int, doc_id long, n_tokens long, t double, b double, copies int")
+    rare = model.where(~hot).select("pair", "target", "background")
+    joined = rows.join(rare, "pair", "left")
+    # copies of a row have one key; they share its sums
+    sums = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n"),
+        *((F.sum(F.coalesce(x, F.lit(0.0)) + F.col("k") * F.coalesce(m, F.lit(0.0)))).alias(m) for x, m in (("t", "target"), ("b", "background"))),
+    )
+    mean = [F.when(F.col("n") > 0, -F.col(m) / F.col("n")).otherwise(0.0).alias(f"{m}_ce") for m in ("target", "background")]
+    each = sums.select("doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), *mean, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return each.select("doc_id", "n_tokens", "target_ce", "background_ce", (F.col("target_ce") - F.col("background_ce")).alias("score"))
+
+
+def _rows(texts: list[tuple]) -> pa.RecordBatch:
+    """A row for each pair to look up, and as the last of each text one with its id, tokens and the sums of its frequent pairs."""
+    rows, pairs, n = (np.concatenate(c) for c in list(zip(*texts))[:3])
+    last = np.cumsum([len(x[0]) for x in texts]) - 1
+    empty = np.ones(len(rows), bool)
+    empty[last] = False
+    cols = [pa.array(rows), pa.array(pairs), pa.array(n.astype(np.int32))]
+    for k, kind in ((3, object), (4, np.int64), (5, np.float64), (6, np.float64)):
+        col = np.full(len(rows), None, object) if kind is object else np.zeros(len(rows), kind)
+        col[last] = [x[k] for x in texts]
+        cols.append(pa.array(col, pa.int64()) if kind is object else pa.array(col, mask=empty))
+    cols.append(pa.array((~empty).astype(np.int32), mask=empty))
+    return pa.RecordBatch.from_arrays(cols, ["row", "pair", "k", "doc_id", "n_tokens", "t", "b", "copies"])

@@ -1,6 +1,8 @@
 """Toxicity, ordinal quality, LM scores, license scan: held-out accuracy and defined results."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,6 +103,30 @@ def test_lm_scores_equal_brute_force(spark, make, prose):
     assert lm_score.cross_entropy_difference(docs, target.limit(0)).count() == len(rows)
 
 
+def test_lm_scores_use_every_word_and_pair(spark, make):
+    """More words and pairs than any fixed vocabulary or table of cells; all are counted exactly."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randrange(90_000)}" for _ in range(4000))) for k in range(40)] + [(50, "w1 w2 w3"), (50, "w1 w2 w3")]
+    target = set(range(0, 40, 4))
+    got = lm_score.cross_entropy_difference(make(rows), spark.createDataFrame([(k,) for k in target], "doc_id long")).collect()
+    uni, his, pair = ([Counter(), Counter()] for _ in range(3))
+    for k, text in rows:
+        t = text.split()
+        for m in (0, 1) if k in target else (0,):
+            uni[m].update(t), his[m].update(["", *t[:-1]]), pair[m].update(zip(["", *t], t))
+    size, totals = len(uni[0]) + 2, [u.total() for u in uni]
+    assert size > 70_000
+
+    def ce(m, t):
+        return -sum(math.log((pair[m][a, b] + lm_score.LEAN * (uni[m][b] + 1) / (totals[m] + size)) / (his[m][a] + lm_score.LEAN)) for a, b in zip(["", *t], t)) / len(t)
+
+    assert len(got) == len(rows) and [r["n_tokens"] for r in got if r["doc_id"] == 50] == [3, 3]
+    texts = dict(rows)
+    for r in got:
+        t = texts[r["doc_id"]].split()
+        assert abs(r["target_ce"] - ce(1, t)) < 1e-5 and abs(r["background_ce"] - ce(0, t)) < 1e-5
+
+
 def test_licenses(spark, edges, make, prose):
     name = "Licensed under the Apache License, Version 2.0."
     rows = [(1, prose(1, 50) + "\n" + name), (2, "Licensed under CC BY-NC 4.0."), (3, "released under the mit license"), (4, prose(2, 50)), (5, "A driving licence is needed to drive the large yellow car along this road today."), (6, None), (7, name + "\n" + name)]
