@@ -170,10 +170,12 @@ def _search(index):
             for which, at, block in blocks(texts, found.longest):
                 starts = np.array(at)
                 for item, begin, end, edits in found.spans(block):
-                    k = int(np.searchsorted(starts, begin, "right")) - 1
+                    # an alignment may begin in the gap before its document and end in the gap behind it
+                    k = int(np.searchsorted(starts, end - 1, "right")) - 1
                     doc, base = which[k]
-                    begin, end = begin - at[k] + base, end - at[k] + base
-                    if begin < len(texts[doc]):
+                    # what begins before a later part of a text is found whole in the part before
+                    if begin >= at[k] or not base:
+                        begin, end = max(begin - at[k], 0) + base, end - at[k] + base
                         out.append((ids[doc], found.ids[item], _chars(texts[doc], begin), _chars(texts[doc], min(end, len(texts[doc]))), edits))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "item_id", "begin", "end", "edits"])

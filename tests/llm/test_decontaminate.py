@@ -74,3 +74,19 @@ def test_edges(spark, edges):
     got = d.contaminated_spans(edges.withColumnsRenamed({"lang": "item_id", "source": "begin"}), bench).collect()
     assert {r["doc_id"] for r in got} == {8}
     assert d.contaminated_spans(edges, bench.limit(0)).count() == 0 and d.contaminated_spans(edges.limit(0), bench).count() == 0
+
+
+def test_truncated_items_at_the_ends_of_documents(spark, make, prose):
+    """Found in every document, wherever it lies in its block."""
+    item = prose(5, 40)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    most, texts = int(d.Index([(7, item)]).edits[0]), [prose(80, 20)]
+    for cut in (1, 2, 3, most, most + 1):
+        texts += [item[cut:] + " " + prose(81 + cut, 30), prose(82 + cut, 30) + " " + item[:-cut], item[cut:], item[:-cut]]
+    folded = d.folded(item.encode()).tolist()
+    want = {k for k, t in enumerate(texts) if semi_global(folded, d.folded(t.encode()).tolist()) <= most}
+    assert len(want) == 16
+    for order in (list(range(len(texts))), list(range(len(texts)))[::-1]):
+        rows = d.contaminated_spans(make([(k, texts[k]) for k in order]).coalesce(1), bench).collect()
+        assert {r["doc_id"] for r in rows} == want and len(rows) == len(want)
+        assert all(0 <= r["begin"] < r["end"] <= len(texts[r["doc_id"]]) and r["end"] - r["begin"] >= len(item) - 2 * most for r in rows)
