@@ -3,7 +3,8 @@
 ``text_counts`` computes per-document counts inside the row (no shuffle).
 and the hashes of its normalised lines.  ``frequent_lines`` counts in how many distinct
 documents of a host each line occurs; ``removed_words`` tells how many words a document
-loses when the lines above the limit are removed.  ``quality_rules`` joins them.
+loses when the lines above the limit are removed.  ``quality_rules`` joins them;
+``cleaned_texts`` removes the lines.
 
 Defined results: a null text counts as empty; null hosts form one host; a null
 ``doc_id`` is kept as a row of its own; repeated rows give repeated results;
@@ -97,14 +98,33 @@ def frequent_lines(counts: DataFrame, host_share: float = HOST_SHARE, min_docs:
     return counted.join(hosts, "host").where(F.col("n_docs") > limit).select("host", "line", "n_docs", limit.alias("doc_limit"))
 
 
-def removed_words(counts: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(doc_id, host, content, removed_words, removed_lines) of the documents that hold lines of ``frequent``."""
+def _frequent_rows(counts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(doc_id, host, content, pos, line, n_words) of the documents' lines that are in ``frequent``."""
     rows = counts.select("doc_id", "host", "content", F.posexplode("lines").alias("pos", "x"))
     rows = rows.select("doc_id", "host", "content", "pos", F.col("x.line").alias("line"), F.col("x.n_words").alias("n_words"))
-    hit = rows.join(frequent.select("host", "line"), ["host", "line"], "left_semi").dropDuplicates(["doc_id", "host", "content", "pos"])
+    return rows.join(frequent.select("host", "line"), ["host", "line"], "left_semi").dropDuplicates(["doc_id", "host", "content", "pos"])
+
+
+def removed_words(counts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(doc_id, host, content, removed_words, removed_lines) of the documents that hold lines of ``frequent``."""
+    hit = _frequent_rows(counts, frequent)
     return hit.groupBy("doc_id", "host", "content").agg(F.sum("n_words").cast("long").alias("removed_words"), F.count("*").alias("removed_lines"))
 
 
+def cleaned_texts(docs: DataFrame, counts: DataFrame, frequent: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``docs`` without the lines of ``frequent`` in their texts, and ``removed``, the numbers of these lines from 0
+    (all lines count, null if none is removed).  A line goes with one line break; ``counts`` may come from more documents."""
+    gone = _frequent_rows(counts, frequent).groupBy("doc_id", "host", "content").agg(F.collect_set("line").alias("__lines"))
+    gone = gone.withColumnsRenamed({"doc_id": "__id", "host": "__host", "content": "__content"})
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__content")) & (host == F.col("__host")), "left")
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("text"), i.alias("at"), F.xxhash64(F.lower(F.trim(spaced(x)))).alias("line")))
+    left = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("__lines", x.line)), lambda x: x.text), "\n")
+    removed = F.transform(F.filter(lines, lambda x: F.array_contains("__lines", x.line)), lambda x: x["at"])
+    return out.select(*(F.when(F.col("__lines").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else c for c in docs.columns), F.when(F.col("__lines").isNotNull(), removed).alias("removed"))
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_words: int = 50, max_repeat_percent: int = 50,
@@ -113,7 +133,12 @@ def quality_rules(
     """One row per input row: the counts of :func:`text_counts`, ``base_failed``,
     ``removed_words``, ``removed_lines``, ``depleted`` and ``kept``."""
     counts = written(text_counts(docs, id_col, text_col, host_col), "counts")
-    gone = removed_words(counts, frequent_lines(counts, host_share, min_docs))
+    return judged(counts, frequent_lines(counts, host_share, min_docs), min_words, max_repeat_percent, keep_percent)
+
+
+def judged(counts: DataFrame, frequent: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+    """The rows of :func:`quality_rules`, from :func:`text_counts` and :func:`frequent_lines`."""
+    gone = removed_words(counts, frequent)
     gone = gone.withColumnsRenamed({"doc_id": "g_id", "host": "g_host", "content": "g_content"})
     same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("content") == F.col("g_content")) & (F.col("host") == F.col("g_host"))
     out = counts.join(gone, same, "left")

@@ -1,6 +1,6 @@
 """A training-corpus pipeline: five stages, each over all that its predecessor kept.
 
-Stages 1 and 2 drop documents, stages 3 and 4 cut spans out of texts (and bring
+Stages 1 and 2 drop documents, stages 1, 3 and 4 cut lines or spans out of texts (and bring
 ``n_chars`` up to date), stage 5 encodes.
 """
 
@@ -20,12 +20,18 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    out = unit_dedup.without_spans(docs, spans)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return _counted(unit_dedup.without_spans(docs, spans))
+
+
+def _counted(out: DataFrame) -> DataFrame:
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality_rules.quality_rules(docs).where("not kept"))
+    counts = written(quality_rules.text_counts(docs), "counts")
+    frequent = written(quality_rules.frequent_lines(counts), "frequent")
+    kept = _without(docs, quality_rules.judged(counts, frequent).where("not kept"))
+    return _counted(quality_rules.cleaned_texts(kept, counts, frequent).drop("removed"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline as p
+from assay.llm import quality_rules
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +45,18 @@ def test_empty_table(spark, sf):
     docs = spark.read.parquet(f"{root}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, docs, root).count() == 0
+
+
+def test_quality_stage_cuts_frequent_lines(spark, make, prose):
+    """A line above its host's limit leaves the documents that stay; other lines and hosts keep it."""
+    line = "Subscribe to our  letter today"
+    rows = [(k, f"{prose(k, 60)}\n {line.upper()}\t\n\n{prose(k + 500, 20)}\n{line}", "a") for k in range(30)] + [(90, f"{line}\n{prose(90, 60)}", "b"), (91, prose(91, 60), "a")]
+    got = {r["doc_id"]: r for r in p.quality(spark, make(rows), "").collect()}
+    want = {k: t if k >= 90 else f"{prose(k, 60)}\n\n{prose(k + 500, 20)}" for k, t, _ in rows}
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert all(r["n_chars"] == len(want[k]) for k, r in got.items())
+    docs = make(rows)
+    counts = quality_rules.text_counts(docs)
+    cut = {r["doc_id"]: r for r in quality_rules.cleaned_texts(docs, counts, quality_rules.frequent_lines(counts)).collect()}
+    lines = dict((k, t.split("\n")) for k, t, _ in rows)
+    assert all(r["removed"] == ([i for i, x in enumerate(lines[k]) if "letter" in x.lower()] if k < 90 else None) for k, r in cut.items())
