@@ -7,7 +7,8 @@
    sets with Jaccard similarity of at least 0.85 differ in at most 15 % of their
    union, so (pigeonhole) full sets always share a run of 3 (of 4 from 28 shingles
    on); for sketches of 64 values the chance that a linked pair shares no run
-   of 4 is below 1e-7.
+   of 4 is below 1e-7.  For thresholds down to 0.80 the same holds of runs of 2 (4 to 6
+   shingles) and 3 (from 6 on), see :func:`run_lengths`.
 3. In each list every member is paired with one leader (not all pairs).  The
    similarity of a pair is estimated from the bottom-k of the union of both
    sketches; pairs far below the threshold (over 5 standard deviations) go, the rest
@@ -36,8 +37,21 @@ from pyspark.sql import functions as F
 from assay.llm.common import components, sized, written
 
 K = 64
-#: Estimates below this never belong to a pair of 0.85 (over five standard deviations at k = 64).
-LEAST_ESTIMATE = 0.60
+#: How far the estimate of a pair may lie below the threshold (five standard deviations at k = 64).
+SLACK = 0.25
+
+
+def run_lengths(percent: int) -> list[tuple[int, int, float]]:
+    """(length of a run, least set size, set size to stop before) of the lists for a threshold.
+
+    A union of u has d = floor(u * (100 - percent) / 100) values at most that are not common, which leave a run of
+    r if u - d > (r - 1) * (d + 1).  At 80 % this holds of r = 3 from u = 6 on and of r = 2 for u = 5; smaller sets are
+    equal or not linked.  A set of 5 meets sets of up to 6.  Of 64 values in a row, each common with chance
+    0.8, none three together: below 1e-7.
+    """
+    if percent < 80:
+        raise ValueError("the run lengths hold for similarities of 0.80 and more")
+    return [(3, 6, 32), (4, 28, float("inf"))] if percent >= 85 else [(2, 4, 7), (3, 6, float("inf"))]
 
 
 class _Hashes(dict):
@@ -121,8 +135,9 @@ def with_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _over_texts(docs, id_col, text_col, make, "n_shingles long, s1 long, s2 long, sketch array<long>")
 
 
-def list_keys(sketches: DataFrame) -> DataFrame:
+def list_keys(sketches: DataFrame, percent: int = 85) -> DataFrame:
     """(rep, key) for each run of consecutive values of the sketches (rep, n_shingles, sketch)."""
+    runs = run_lengths(percent)
 
     def run(batches):
         for batch in batches:
@@ -130,14 +145,14 @@ def list_keys(sketches: DataFrame) -> DataFrame:
             out_reps, out_keys = [], []
             for rep, n, x in zip(reps, sizes, batch.column(2)):
                 h = np.asarray(x.values).view(np.uint64)
-                for r, wanted in ((3, 6 <= n < 32), (4, n >= 28)):
-                    if wanted:
+                for r, least, stop in runs:
+                    if least <= n < stop:
                         out_keys.append(np.unique(_runs(h, r).view(np.int64)))
                         out_reps.append(np.full(len(out_keys[-1]), rep))
             if out_keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_reps)), pa.array(np.concatenate(out_keys))], ["rep", "key"])
 
-    return sketches.select("rep", "n_shingles", "sketch").where("n_shingles >= 6").mapInArrow(run, "rep long, key long")
+    return sketches.select("rep", "n_shingles", "sketch").where(F.col("n_shingles") >= runs[0][1]).mapInArrow(run, "rep long, key long")
 
 
 def _linked(pairs: DataFrame, sketches: DataFrame, k: int, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
@@ -145,18 +160,18 @@ def _linked(pairs: DataFrame, sketches: DataFrame, k: int, docs: DataFrame, id_c
     n = pairs.count()
     if not n:
         return pairs
-    likely = written(sized(_estimated(pairs, sketches, k, n), n, 5_000), "likely")
+    likely = written(sized(_estimated(pairs, sketches, k, n, percent), n, 5_000), "likely")
     return written(_confirmed(likely, docs, id_col, text_col, percent, width), "links")
 
 
-def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, n: int) -> DataFrame:
+def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, n: int, percent: int = 85) -> DataFrame:
     """Pairs (x, y) whose similarity, estimated on the k smallest values of the union of both sketches, may reach the threshold."""
     sx = sketches.select(F.col("rep").alias("x"), F.col("sketch").alias("kx"), F.col("n_shingles").alias("nx"))
     sy = sketches.select(F.col("rep").alias("y"), F.col("sketch").alias("ky"), F.col("n_shingles").alias("ny"))
-    both = sized(pairs.join(sx, "x"), n, 5_000).join(sy, "y").where((100 * F.col("nx") >= 85 * F.col("ny")) & (100 * F.col("ny") >= 85 * F.col("nx")))
+    both = sized(pairs.join(sx, "x"), n, 5_000).join(sy, "y").where((100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")))
     both = both.select("x", "y", "kx", "ky", F.slice(F.sort_array(F.array_union("kx", "ky")), 1, k).alias("low"))
     hits = F.size(F.array_intersect(F.array_intersect("low", "kx"), "ky"))
-    return both.where(hits >= LEAST_ESTIMATE * F.size("low")).select("x", "y")
+    return both.where(hits >= (percent / 100 - SLACK) * F.size("low")).select("x", "y")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
@@ -237,10 +252,8 @@ def linked_between(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3, k: int = K) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, n_same (rows with the same set).
 
-    ``percent`` is the least Jaccard similarity of a link, in percent (85 or more).
+    ``percent`` is the least Jaccard similarity of a link, in percent (80 or more).
     """
-    if percent < 85:
-        raise ValueError("the run lengths hold for similarities of 0.85 and more")
     every = written(with_sketches(docs, id_col, text_col, width, k), "sketches")
     filled = every.where("n_shingles > 0")
     classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
@@ -250,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = written(sized(sketches, n, 5_000), "class-sketches")
 
     # most keys belong to one document; they go before anything else is attached to a row
-    lists = list_keys(sketches)
+    lists = list_keys(sketches, percent)
     several = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = written(sized(lists.join(several, "key", "left_semi"), k * n, 100_000), "lists")
     m = members.count()

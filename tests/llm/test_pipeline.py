@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline as p
-from assay.llm import quality_rules
+from assay.llm import near_dup, quality_rules
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,27 @@ def test_quality_stage_cuts_frequent_lines(spark, make, prose):
     cut = {r["doc_id"]: r for r in quality_rules.cleaned_texts(docs, counts, quality_rules.frequent_lines(counts)).collect()}
     lines = dict((k, t.split("\n")) for k, t, _ in rows)
     assert all(r["removed"] == ([i for i, x in enumerate(lines[k]) if "letter" in x.lower()] if k < 90 else None) for k, r in cut.items())
+
+
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, make, prose):
+    """Texts with a block appended fall from 0.82 on; scattered edits that only three-word shingles forgive do not count."""
+    rows, want = [], set()
+    for k in range(40):
+        text = prose(k, 10 if k % 4 == 0 else 40 + 15 * (k % 8)).split()
+        more = prose(700 + k, 200).split()
+        grown = text + more[: max(1, len(text) * (16 + k % 14) // 100)]
+        edited = [w if i % 45 != 20 else "changed" for i, w in enumerate(text)]
+        rows += [(3 * k, " ".join(text)), (3 * k + 1, " ".join(grown)), (3 * k + 2, " ".join(edited) + " " + " ".join(more[-(len(text) // 9) :]))]
+    sets = {k: set(near_dup.shingle_set(t.encode(), 5).tolist()) for k, t in rows}
+    leader = {k: k for k in sets}
+    between = 0
+    for x in sorted(sets):
+        for y in sorted(sets):
+            share = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+            if x < y and share >= 0.8:
+                between += share < 0.85
+                low, high = sorted((leader[x], leader[y]))
+                leader = {k: low if v == high else v for k, v in leader.items()}
+    want = {k for k, v in leader.items() if k == v}
+    assert between > 10 and len(want) < 110
+    assert {r["doc_id"] for r in p.near_duplicates(spark, make(rows), "").collect()} == want
