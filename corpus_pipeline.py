@@ -1,7 +1,7 @@
 """A training-corpus pipeline: five stages, each over all that its predecessor kept.
 
 Stages 1 and 2 drop documents, stages 1, 3 and 4 cut lines or spans out of texts (and bring
-``n_chars`` up to date), stage 5 encodes.
+``n_chars`` up to date), stage 5 encodes and decodes.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pieces.encode_documents(docs, PIECE_MODEL, decode=False)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends")
+    out = pieces.encode_documents(docs, PIECE_MODEL)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends", "decoded")
 
 
 STAGES = [

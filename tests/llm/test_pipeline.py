@@ -84,3 +84,10 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, make, pros
     want = {k for k, v in leader.items() if k == v}
     assert between > 10 and len(want) < 110
     assert {r["doc_id"] for r in p.near_duplicates(spark, make(rows), "").collect()} == want
+
+
+def test_encoding_stage_decodes(spark, make, prose):
+    texts = {1: prose(1, 40), 2: "", 3: "é  漢 \U0001f600"}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["decoded"] for r in p.encoding(spark, make(list(texts.items())), "").collect()}
+    assert got == {k: library.decode(library.encode(t)) for k, t in texts.items()}
