@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -35,7 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` whose last reader has been written itself."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spaced(text: Column, keep: str = "") -> Column:
@@ -70,11 +82,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     star around the smallest node of each component, writing every round to
     the shared folder.  Returns ``(node, component)`` for nodes with an edge.
     Each step is a grouped minimum (combined on the map side) and an equi-join,
-    so a hub never gathers its neighbours in one task.
+    so a hub never gathers its neighbours in one task.  Raises if ``rounds`` do not do (each halves
+    long paths; 60 are enough for any graph that fits a cluster).
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
     mark = _mark(now)
-    for _ in range(rounds):
+    for _ in range(rounds if mark[0] else 1):
         if mark[0] == 0:
             break
         size = 2 * mark[0]
@@ -89,10 +102,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .union(least.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct()
         )
-        now = written(sized(small, size), "cc")
-        before, mark = mark, _mark(now)
+        before, was, now = mark, now, written(sized(small, size), "cc")
+        mark = _mark(now)
+        spent(was, large)
         if mark == before:
             break
+    else:
+        raise RuntimeError(f"components are not stable after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

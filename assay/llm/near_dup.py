@@ -1,28 +1,30 @@
 """Near-duplicate classes from bottom-k sketches of one hash function.
 
-1. Every document becomes its set of three-word shingles, as 64-bit hashes; a
-   sketch keeps the ``k`` smallest.  Documents with equal sets form one class
-   represented by its smallest ``doc_id``; only representatives go on.
+1. Every document becomes its set of word shingles, as 64-bit hashes; a sketch keeps
+   the ``k`` smallest.  Documents with equal sets form one class; only classes go on.
 2. Inverted lists: the key of a list is a run of consecutive retained values.  Two
    sets with Jaccard similarity of at least 0.85 differ in at most 15 % of their
    union, so (pigeonhole) full sets always share a run of 3 (of 4 from 28 shingles
    on); for sketches of 64 values the chance that a linked pair shares no run
    of 4 is below 1e-7.  For thresholds down to 0.80 the same holds of runs of 2 (4 to 6
    shingles) and 3 (from 6 on), see :func:`run_lengths`.
-3. In each list every member is paired with one leader (not all pairs).  The
+3. One aggregate per list counts its members and picks a leader; lists of several
+   classes are joined with it, and each member is paired with the leader (not all pairs).  The
    similarity of a pair is estimated from the bottom-k of the union of both
-   sketches; pairs far below the threshold (over 5 standard deviations) go, the rest
-   is confirmed on full sets.
-4. Confirmed links give components.  Where lists still hold several components, so that
-   links no leader saw may be missing, the smaller components are queries against all
-   documents they share lists with: blocks of full sets are intersected as matrices, and only
-   links become rows.
-
-Work on lists is linear in their length; only documents that are linked with none of their
-leaders are compared with all others of their lists, in blocks that Spark spreads over tasks.
+   sketches; pairs far below the threshold (over 5 standard deviations) go.  The others are
+   verified on full sets, streamed past the set of their leader.
+4. Confirmed links give components.  Lists that then still hold several components may
+   hide links that no leader saw.  Their members are compared on full sets in blocks that Spark
+   spreads over tasks, either list by list or by groups of overlapping lists, whichever takes
+   fewer comparisons; only sets whose sizes allow a link meet, and only links between components become rows.
+
+Texts are not shuffled but for those of candidates; the ids of candidates are broadcast up to
+:data:`FEW` and joined by a shuffle beyond.  Tables that no later step reads are deleted.
+
 Defined results: null texts and texts without words have an empty set and are linked
-with nothing; null ids are never links; repeated rows of one id agree; extra
-columns are ignored.
+with nothing; null ids are never links (a row with a null id belongs to the class of its copies that have
+ids); repeated rows agree; rows that share an id but not a text are documents of their own; an empty table gives
+an empty result; texts of any length count whole; ties in sizes and hashes change nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import components, sized, written
+from assay.llm.common import components, sized, spent, written
 
 K = 64
+#: Ids that are broadcast at most (8 bytes each) to pick candidates out of all rows.
+FEW = 4_000_000
+#: Members that meet their leader in one stretch of rows.
+STRETCH = 256
 #: How far the estimate of a pair may lie below the threshold (five standard deviations at k = 64).
 SLACK = 0.25
 
@@ -114,9 +120,20 @@ def _over_texts(docs: DataFrame, id_col: str, text_col: str, make, schema: str)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, {schema}")
 
 
-def with_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, shingles): sorted distinct 64-bit hashes of the word shingles of each text."""
-    return _over_texts(docs, id_col, text_col, lambda texts: {"shingles": _lists([shingle_set(t, width) for t in texts])}, "shingles array<long>")
+def _name(shingles: np.ndarray) -> int:
+    """The first of the two hashes of a set."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def named_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(cid, shingles): the full sets of ``texts`` (cid, s1, text), once for each class."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(cid, s) for cid, s1, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()) if _name(s := shingle_set(t, width)) == s1]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), _lists([s for _, s in found])], ["cid", "shingles"])
+
+    return texts.mapInArrow(run, "cid long, shingles array<long>").dropDuplicates(["cid"])
 
 
 def with_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, k: int = K) -> DataFrame:
@@ -127,7 +144,7 @@ def with_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raw = [s.tobytes() for s in sets]
         return {
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-            "s1": pa.array(np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)),
+            "s1": pa.array([_name(s) for s in sets], pa.int64()),
             "s2": pa.array(np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)),
             "sketch": _lists([s[:k] for s in sets]),
         }
@@ -136,91 +153,135 @@ def with_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def list_keys(sketches: DataFrame, percent: int = 85) -> DataFrame:
-    """(rep, key) for each run of consecutive values of the sketches (rep, n_shingles, sketch)."""
+    """(key, cid) for each run of consecutive values of the sketches (cid, n_shingles, sketch)."""
     runs = run_lengths(percent)
 
     def run(batches):
         for batch in batches:
-            reps, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out_reps, out_keys = [], []
-            for rep, n, x in zip(reps, sizes, batch.column(2)):
+            cids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out_cids, out_keys = [], []
+            for cid, n, x in zip(cids, sizes, batch.column(2)):
                 h = np.asarray(x.values).view(np.uint64)
                 for r, least, stop in runs:
                     if least <= n < stop:
                         out_keys.append(np.unique(_runs(h, r).view(np.int64)))
-                        out_reps.append(np.full(len(out_keys[-1]), rep))
+                        out_cids.append(np.full(len(out_keys[-1]), cid))
             if out_keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_reps)), pa.array(np.concatenate(out_keys))], ["rep", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys)), pa.array(np.concatenate(out_cids))], ["key", "cid"])
 
-    return sketches.select("rep", "n_shingles", "sketch").where(F.col("n_shingles") >= runs[0][1]).mapInArrow(run, "rep long, key long")
+    return sketches.select("cid", "n_shingles", "sketch").where(F.col("n_shingles") >= runs[0][1]).mapInArrow(run, "key long, cid long")
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, k: int, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """The links among candidate pairs (x, y): estimated on sketches, then confirmed on full sets."""
-    n = pairs.count()
-    if not n:
-        return pairs
-    likely = written(sized(_estimated(pairs, sketches, k, n, percent), n, 5_000), "likely")
-    return written(_confirmed(likely, docs, id_col, text_col, percent, width), "links")
+def led_lists(lists: DataFrame) -> DataFrame:
+    """(key, cid, leader) of the lists (key, cid) with several members.
 
+    One of four orders of the classes picks the leader, so that a group meets a few leaders and not one for each list.
+    """
+    mask = F.xxhash64(F.col("key").bitwiseAND(F.lit(3)))
+    heads = lists.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("cid").bitwiseXOR(mask)).alias("m")).where("n > 1")
+    return lists.join(heads.select("key", F.col("m").bitwiseXOR(mask).alias("leader")), "key")
 
-def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, n: int, percent: int = 85) -> DataFrame:
-    """Pairs (x, y) whose similarity, estimated on the k smallest values of the union of both sketches, may reach the threshold."""
-    sx = sketches.select(F.col("rep").alias("x"), F.col("sketch").alias("kx"), F.col("n_shingles").alias("nx"))
-    sy = sketches.select(F.col("rep").alias("y"), F.col("sketch").alias("ky"), F.col("n_shingles").alias("ny"))
+
+def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among ``ids`` (one column, written): a broadcast of up to :data:`FEW` ids, else a shuffle."""
+    wanted = ids.toDF(column).distinct()
+    return df.join(F.broadcast(wanted) if ids.count() <= FEW else wanted, column, "left_semi")
+
+
+def estimated(pairs: DataFrame, sketches: DataFrame, k: int, n: int, percent: int = 85) -> DataFrame:
+    """Those of the ``n`` pairs (x, y) whose similarity, estimated on the k smallest values of the union of both sketches, may reach the threshold."""
+    sx = sketches.select(F.col("cid").alias("x"), F.col("sketch").alias("kx"), F.col("n_shingles").alias("nx"))
+    sy = sketches.select(F.col("cid").alias("y"), F.col("sketch").alias("ky"), F.col("n_shingles").alias("ny"))
     both = sized(pairs.join(sx, "x"), n, 5_000).join(sy, "y").where((100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")))
     both = both.select("x", "y", "kx", "ky", F.slice(F.sort_array(F.array_union("kx", "ky")), 1, k).alias("low"))
     hits = F.size(F.array_intersect(F.array_intersect("low", "kx"), "ky"))
-    return both.where(hits >= (percent / 100 - SLACK) * F.size("low")).select("x", "y")
+    return sized(both.where(hits >= (percent / 100 - SLACK) * F.size("low")).select("x", "y"), n, 5_000)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """The pairs (x, y) whose full sets reach the threshold."""
-    n = pairs.count()
-    if not n:
-        return pairs
-    ids = sized(pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct(), 2 * n)
-    wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(with_sets(sized(wanted, 2 * n, 1_000), width=width), "sets")
-    out = sized(pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x"), n, 2_000)
-    out = sized(out.join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy")), "y"), n, 2_000)
-    same = F.size(F.array_intersect("sx", "sy"))
-    out = out.select("x", "y", same.alias("i"), (F.size("sx") + F.size("sy") - same).alias("u"))
-    return out.where(100 * F.col("i") >= percent * F.col("u")).select("x", "y")
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (x, y) whose full sets reach the threshold; ``texts`` (cid, s1, text) has those of both sides.
 
+    The rows of a leader y and of a stretch of its members follow each other, the leader first, so a task
+    holds one set at a time.
+    """
+    stretches = pairs.groupBy("y").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("stretches"))
+    members = pairs.join(stretches, "y").select(F.col("x").alias("cid"), F.col("y").alias("leader"), F.pmod(F.xxhash64("x"), "stretches").cast("int").alias("stretch"), F.lit(1).alias("role"))
+    leaders = stretches.select(F.col("y").alias("cid"), F.col("y").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("stretches") - 1)).alias("stretch"), F.lit(0).alias("role"))
+    rows = members.union(leaders).join(texts, "cid")
+    rows = rows.repartition("leader", "stretch").sortWithinPartitions("leader", "stretch", "role").select("leader", "role", "cid", "s1", "text")
 
-#: Documents on each side of one block of comparisons, and shingles multiplied at once.
+    def run(batches):
+        head, own = None, None
+        for batch in batches:
+            found = []
+            for leader, role, cid, s1, text in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4).cast(pa.binary()).to_pylist()):
+                s = shingle_set(text, width)
+                if _name(s) != s1:  # another text under the same id
+                    continue
+                if role == 0:
+                    head, own = leader, s
+                elif head == leader:
+                    same = len(np.intersect1d(own, s, assume_unique=True))
+                    if 100 * same >= percent * (len(own) + len(s) - same):
+                        found.append((cid, leader))
+            x, y = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+    return rows.mapInArrow(run, "x long, y long")
+
+
+#: Classes on each side of one block of comparisons, and shingles multiplied at once.
 BLOCK, COLUMNS = 512, 4096
 
 
-def _between_components(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """Links (x, y) between different components of ``open_`` (rep, leader, c).
+def _groups(open_: DataFrame) -> DataFrame:
+    """(g, cid, c, n_shingles): classes to compare with each other, from the open lists (key, cid, leader, c, n_shingles).
 
-    Documents joined by lists are a family.  All but its largest component are compared
-    with the whole family, on full sets, in blocks of :data:`BLOCK` by :data:`BLOCK` documents; only links become rows.
+    A group is all lists that are connected by members (similar sets share many lists); where these are more than a
+    block of classes and going list by list takes fewer comparisons, a group is a list.
     """
-    if not open_.take(1):
-        return open_.select(F.col("rep").alias("x"), F.col("leader").alias("y"))
     n = open_.count()
-    family = components(open_.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("component", "f")
-    family = written(sized(open_.select("rep", "c").distinct().join(family, "rep"), n), "families")
-    parts = family.groupBy("f", "c").agg(F.count("*").alias("size"))
-    totals = parts.groupBy("f").agg(F.max(F.struct("size", "c")).alias("m"), F.sum("size").alias("members")).select("f", F.col("m.c").alias("largest"), F.col("m.size").alias("most"), "members")
-    totals = totals.where("most < members").select(
-        "f", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("chunks"),
-    )
-    rows = written(sized(family.join(totals, "f"), n), "families")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(rows.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = with_sets(sized(texts, n, 1_000), width=width).withColumnRenamed("doc_id", "rep")
-    rows = written(sized(rows.join(sets, "rep"), n, 2_000), "family-sets")
-    hashed = F.xxhash64("rep")
-    asking = rows.where("c <> largest").select("f", F.pmod(hashed, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "c", "shingles")
-    asked = rows.select("f", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(hashed, "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "rep", "c", "shingles")
+    family = components(open_.select(F.col("cid").alias("a"), F.col("leader").alias("b"))).withColumnsRenamed({"node": "cid", "component": "f"})
+    rows = written(sized(open_.drop("leader").join(family, "cid"), n), "families")
+    square = lambda by: rows.groupBy("f", by).agg(F.count("*").alias("n"))
+    # a group costs as much as some ten thousand comparisons by itself
+    by_list = square("key").groupBy("f").agg(F.sum(F.pow(F.col("n") + 100.0, F.lit(2.0))).alias("lists"))
+    by_family = square("cid").groupBy("f").agg((F.count("*").cast("double") * F.count("*")).alias("whole"))
+    plan = by_list.join(by_family, "f").select("f", ((F.col("whole") > BLOCK * BLOCK) & (F.col("lists") < F.col("whole"))).alias("by_list"))
+    out = rows.join(plan, "f").select(F.when(F.col("by_list"), F.col("key")).otherwise(F.col("f")).alias("g"), "by_list", "cid", "c", "n_shingles").distinct()
+    out = written(sized(out, n), "groups")
+    spent(rows)
+    return out
+
+
+def between_components(open_: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (x, y) between different components of the open lists (key, cid, leader, c, n_shingles).
+
+    All classes of a group but those of its largest component ask all others of a size that allows a link, in blocks of
+    :data:`BLOCK` by :data:`BLOCK` full sets.  Sizes are dealt into classes of which only neighbours can be linked.
+    """
+    groups = _groups(open_)
+    parts = groups.groupBy("g", "by_list", "c").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("g", "by_list").agg(F.max_by("c", F.struct("size", "c")).alias("largest"))
+    band = F.floor(F.log("n_shingles") / float(np.log(100 / percent))).cast("int")
+    rows = groups.join(largest, ["g", "by_list"]).select("g", "by_list", "cid", "c", band.alias("band"), (F.col("c") != F.col("largest")).alias("open"))
+    asked = rows.select("g", "by_list", "cid", "c", "open", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("cell"), "band")
+    asked = written(asked, "asked")
+    asks = F.col("open") & (F.col("cell") == F.col("band"))
+    cells = asked.groupBy("g", "by_list", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(asks) / BLOCK).cast("int").alias("chunks"))
+    placed, hashed = asked.join(cells.where("chunks > 0"), ["g", "by_list", "cell"]), F.xxhash64("cid")
+    cell = ["g", "by_list", "cell"]
+    asking = placed.where(asks).select(*cell, F.pmod(hashed, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "cid", "c")
+    other = placed.select(*cell, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(hashed, "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "cid", "c")
+    sets = written(named_sets(texts, width), "sets")
+    both = asking.unionByName(other).join(sets, "cid")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return linked_between(pdf, percent)
 
-    return asking.unionByName(asked).groupBy("f", "chunk", "block").applyInPandas(compare, "x long, y long")
+    links = written(both.groupBy(*cell, "chunk", "block").applyInPandas(compare, "x long, y long"), "links")
+    spent(groups, asked, sets)
+    return links
 
 
 def linked_between(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -245,8 +306,9 @@ def linked_between(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     union = sizes[: len(a), None] + sizes[None, len(a) :] - both
     ok = (100 * both >= percent * union) & (a.c.to_numpy()[:, None] != b.c.to_numpy()[None, :])
     i, j = np.nonzero(ok)
-    x, y = a.rep.to_numpy()[i], b.rep.to_numpy()[j]
-    return pd.DataFrame({"x": np.maximum(x, y), "y": np.minimum(x, y)})
+    # one link of a class with each component that it meets is enough
+    out = pd.DataFrame({"x": a.cid.to_numpy()[i], "y": b.cid.to_numpy()[j], "c": b.c.to_numpy()[j]})
+    return out.drop_duplicates(["x", "c"])[["x", "y"]]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3, k: int = K) -> DataFrame:
@@ -255,39 +317,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``percent`` is the least Jaccard similarity of a link, in percent (80 or more).
     """
     every = written(with_sketches(docs, id_col, text_col, width, k), "sketches")
-    filled = every.where("n_shingles > 0")
-    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
     n = every.count()
-    classes = written(sized(classes.where("rep is not null"), n, 10_000), "classes")
-    sketches = every.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    classes = every.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
+    # numbers of classes hold once they are written
+    classes = written(sized(classes, n, 10_000).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    named = classes.where("rep is not null").select("cid", F.col("rep").alias("doc_id"), "s1", "s2")
+    sketches = every.join(named, ["doc_id", "s1", "s2"]).select("cid", "n_shingles", "sketch").dropDuplicates(["cid"])
     sketches = written(sized(sketches, n, 5_000), "class-sketches")
-
-    # most keys belong to one document; they go before anything else is attached to a row
-    lists = list_keys(sketches, percent)
-    several = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = written(sized(lists.join(several, "key", "left_semi"), k * n, 100_000), "lists")
+    members = written(sized(led_lists(list_keys(sketches, percent)), k * n, 100_000), "lists")
     m = members.count()
-    # one of four orders picks a list's leader, so that a group meets a few leaders and not one for each list
-    order = F.xxhash64(F.pmod("key", F.lit(4)), F.col("rep"))
-    leaders = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("leader"))).alias("m")).select("key", F.col("m.leader").alias("leader"))
-    members = written(sized(members.join(sized(leaders, m), "key"), m), "lists")
-    pairs = members.where("rep <> leader").select(F.greatest("rep", "leader").alias("x"), F.least("rep", "leader").alias("y")).distinct()
-    pairs = written(sized(pairs, m), "pairs")
-    first = _linked(pairs, sketches, k, docs, id_col, text_col, percent, width)
-    comps = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    # lists that hold several components by now: their members form families, compared in blocks on full sets
-    label = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("c"))
+    ids = written(sized(members.select("cid").distinct(), m), "ids")
+    few = written(_only(sketches, "cid", ids), "few-sketches")
+    spent(sketches)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def texts(cids: DataFrame) -> DataFrame:
+        """(cid, s1, text) of classes; a text under the id of a class but of another set has another s1."""
+        own = written(_only(named, "cid", cids).select("doc_id", "cid", "s1"), "named")
+        own_ids = written(own.select("doc_id").distinct(), "ids")
+        return _only(rows, "doc_id", own_ids).join(own, "doc_id").select("cid", "s1", "text")
+
+    pairs = written(sized(members.where("cid <> leader").select(F.col("cid").alias("x"), F.col("leader").alias("y")).distinct(), m), "pairs")
+    likely = written(estimated(pairs, few, k, pairs.count(), percent), "likely")
+    sides = written(likely.select("x").union(likely.select("y")).distinct(), "ids")
+    links = written(confirmed(likely, texts(sides), percent, width), "links")
+    edges = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    comps = components(edges)
+
+    # lists that hold several components by now
+    label = members.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "leader", F.coalesce("component", "cid").alias("c"))
     label = written(sized(label, m), "labels")
     split = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-    open_ = written(sized(label.join(split, "key", "left_semi").select("rep", "leader", "c").distinct(), m), "open")
-    more = written(_between_components(open_, docs, id_col, text_col, percent, width), "links")
-    if more.take(1):
-        edges = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comps = components(edges.union(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-
-    named = classes.select("s1", "s2", "n_shingles", "rep", "n_same").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"), "n_same")
-    out = every.select("doc_id", "n_shingles", "s1", "s2").join(named.withColumnsRenamed({"s1": "t1", "s2": "t2"}), (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") == F.col("n")), "left")
-    component = F.coalesce("component", "doc_id")
+    open_ = label.join(split, "key", "left_semi").join(few.select("cid", "n_shingles"), "cid")
+    open_ = written(sized(open_, m), "open")
+    spent(members, ids, few, pairs, likely, sides, label)
+    if open_.take(1):
+        cids = written(sized(open_.select("cid").distinct(), m), "ids")
+        more = between_components(open_, texts(cids), percent, width)
+        if more.take(1):
+            stars = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comps = components(stars.union(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    spent(open_)
+
+    # a component is named by the smallest id of its classes
+    named = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
+    named = named.join(smallest, "component").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n_shingles").alias("n"), "smallest", "n_same")
+    out = every.select("doc_id", "n_shingles", "s1", "s2").join(named, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") == F.col("n")), "left")
+    component = F.coalesce("smallest", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_same", F.lit(1)).cast("long").alias("n_same"))

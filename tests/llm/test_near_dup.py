@@ -58,3 +58,22 @@ def test_edges(spark, edges):
     assert by[1]["n_shingles"] == 0 and by[1]["component_id"] == 1 and by[8]["n_shingles"] == 1
     assert sum(r["doc_id"] == 7 and r["kept"] for r in out) == 2
     assert near_dup.near_duplicates(edges.limit(0)).count() == 0
+
+
+def test_links_that_no_leader_sees(spark, make, prose, monkeypatch):
+    """Families of texts around one centre, most of them under the threshold with each other, in small blocks and list by list."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rows = []
+    for family in range(3):
+        centre = prose(900 + family, 160)
+        rows += [(1000 * family + k, edited(centre, 31 * family + k, 2 + k % 3)) for k in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(make(rows)).collect()}
+    assert got == {i: component for i, (_, component) in brute_force(rows).items()}
+    assert 20 < len(set(got.values())) < 180
+
+
+def test_rows_that_share_an_id_keep_their_own_texts(spark, make, prose):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(7, a), (7, b), (9, edited(b, 3, 1)), (None, a), (3, edited(a, 4, 1))]
+    got = near_dup.near_duplicates(make(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["n_same"]) for r in got) == [(0, 3, 2), (3, 3, 1), (7, 3, 2), (7, 7, 1), (9, 7, 1)]
