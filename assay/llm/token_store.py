@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,59 +55,69 @@ class WordEncoder:
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.pieces = [np.array(i, self.kind).tobytes() for i in range(self.tokenizer.get_vocab_size())]
-        self.marks = {b"": b""} | {m: b"".join(map(self.pieces.__getitem__, self.tokenizer.encode(m.decode(), add_special_tokens=False).ids)) for m in (b",", b".")}
+        self.marks = {m: b"".join(map(self.pieces.__getitem__, self.tokenizer.encode(m, add_special_tokens=False).ids)) for m in ",."}
         # words met lately, and those met before them: together at most about `most`, and frequent words are never forgotten
-        self.most, self.seen, self.before = most, {}, {}
+        self.most, self.seen, self.before = most, {"": b""}, {}
 
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for at in range(0, len(texts), 64):
-            low = [t.lower() for t in texts[at : at + 64]]
-            some = [None if not self.by_word or any(s in t for s in self.special) else t.split() for t in low]
-            if len(self.seen) > self.most // 2:
-                self.seen, self.before = {}, self.seen
-            self._learn(set().union(*(w for w in some if w)).difference(self.seen))
-            for text, words in zip(texts[at : at + 64], some):
-                if words is None:
-                    out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind))
-                else:
-                    out.append(np.frombuffer(b"".join(map(self.seen.__getitem__, words)), self.kind))
-        return out
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Remember the ids of new words.  Latin words, with a comma or stop behind them or not, go to the BPE model as they are: a
+        """ids of each text, in stretches of some megabytes."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > 4 << 20:
+                out += self._stretch(held)
+                held, size = [], 0
+        return out + self._stretch(held)
+
+    def _stretch(self, texts: list[bytes]) -> list[np.ndarray]:
+        low = [t.lower() for t in texts]
+        whole = [not self.by_word or any(s in t for s in self.special) for t in low]
+        words = pc.ascii_split_whitespace(pa.array([b"" if w else t for w, t in zip(whole, low)], pa.binary()).cast(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        if len(self.seen) > self.most // 2:
+            self.seen, self.before = {"": b""}, self.seen
+        found = self._known(coded.dictionary.to_pylist())
+        # ids of the different words one after the other, and from there those of all words
+        flat = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [
+            np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind) if w else ids[bounds[k] : bounds[k + 1]]
+            for k, (w, text) in enumerate(zip(whole, texts))
+        ]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """ids of words.  Words of Latin letters, with a comma or stop behind them or not, go to the BPE model as they are: a
         mark after a letter is always a token of its own.  All others are encoded by the library as texts."""
-        seen, pieces, tokenize, marks = self.seen, self.pieces, self.model.tokenize, self.marks
-        before = self.before
-        new = []
-        for w in words:
-            if w in before:
-                seen[w] = before[w]
-            else:
-                new.append(w)
-        plain = [w for w in new if w.isalpha()]
-        for w, tokens in zip(plain, map(tokenize, b" ".join(plain).decode().split(" "))):
-            seen[w] = b"".join([pieces[t.id] for t in tokens])
+        seen, pieces, tokenize = self.seen, self.pieces, self.model.tokenize
         rest = []
-        for w in new:
+        for w in words:
             if w in seen:
                 continue
-            mark = w[-1:] if w[-1:] in marks else b""
-            stem = w[:-1] if mark else w
-            ids = seen.get(stem)
+            ids = self.before.get(w)
             if ids is None:
-                if stem.isalpha():
-                    text = stem.decode()
-                else:
-                    text = stem.decode()
-                    if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
-                        rest.append(w)
-                        continue
-                    text = unicodedata.normalize("NFC", text).lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = seen[stem] = b"".join([pieces[t.id] for t in tokenize(text)])
-            seen[w] = ids + marks[mark]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+                stem, mark = (w[:-1], self.marks[w[-1]]) if w[-1] in ",." else (w, b"")
+                if not stem.isalpha() or max(stem) >= "\u0250" or "\u0130" in stem:
+                    rest.append(w)
+                    continue
+                ids = (mark and seen.get(stem)) or b"".join([pieces[t.id] for t in tokenize(_letters(stem))])
+                ids += mark
+            seen[w] = ids
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             seen[w] = b"".join(map(pieces.__getitem__, e.ids))
+        return [seen[w] for w in words]
+
+
+def _letters(word: str) -> str:
+    """A word of letters as the BPE model gets it: normalised, lower case, a letter for each byte."""
+    if word.isascii():
+        return word
+    return unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
 @functools.lru_cache(2)
@@ -114,74 +125,102 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def grammar(ids: np.ndarray, first: int, limit: int = 1 << 16, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, sequence): Re-Pair on ``ids``; nonterminals are numbered from ``first`` on, below ``limit`` (at most 2**16).
+def grammar(ids: np.ndarray, first: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, sequence): Re-Pair on ``ids``; nonterminals are numbered from ``first`` on.
 
-    Each round replaces at once the most frequent pairs that cannot overlap: no
-    symbol is the left part of one and the right part of another.
-    The count that a pair needs halves from round to round, down to ``least``.
+    A round replaces the pairs that occur ``need`` times and more, where they meet the more frequent one first; ``need``
+    halves from round to round, and at ``least`` rounds go on until no pair occurs so often.
     """
-    seq, rules = ids.astype(np.uint32), []
+    seq, rules, made = ids.astype(np.uint64), [], 0
     need = max(least, len(seq) // 256)
-    while len(seq) > 1 and first + len(rules) < limit:
-        pairs = seq[:-1] << np.uint32(16) | seq[1:]
-        # counts in a table that stays in the processor's cache leave few pairs to count exactly
-        slot = ((pairs * np.uint32(0x9E3779B1)) >> np.uint32(15)).astype(np.intp)
-        at = np.flatnonzero((np.bincount(slot, minlength=1 << 17) >= need)[slot])
-        codes, counts = np.unique(pairs[at], return_counts=True)
-        codes, counts = codes[counts >= need], counts[counts >= need]
-        role, chosen = {}, []
-        for code in codes[np.argsort(-counts, kind="stable")].tolist():
-            a, b = code >> 16, code & 0xFFFF
-            if first + len(rules) + len(chosen) >= limit:
-                break
-            if a == b:
-                if a not in role:
-                    role[a] = "both"
-                    chosen.append(code)
-            elif role.get(a, "left") == "left" and role.get(b, "right") == "right":
-                role[a], role[b] = "left", "right"
-                chosen.append(code)
-        if chosen:
-            order = np.array(sorted(chosen), np.uint32)
-            where = np.minimum(np.searchsorted(order, pairs[at]), len(order) - 1)
-            hit = order[where] == pairs[at]
-            at, where = at[hit], where[hit]
-            # only a symbol paired with itself can overlap: take every second place of such a run
-            begins = np.flatnonzero(np.diff(at, prepend=-9) != 1)
-            even = (at - at[np.repeat(begins, np.diff(np.append(begins, len(at))))]) % 2 == 0
-            at, where = at[even], where[even]
-            seq[at] = first + len(rules) + where
-            keep = np.ones(len(seq), bool)
-            keep[at + 1] = False
-            seq = seq[keep]
-            rules += order.tolist()
-        if need == least and not chosen:
+    while len(seq) > 1:
+        pairs = seq[:-1] << np.uint64(32) | seq[1:]
+        at, code, counts = _frequent(pairs, need)
+        chosen = np.empty(0, np.uint64)
+        if len(at):
+            keep = _best_of_neighbours(at, code, counts, pairs[at])
+            at, code = at[keep], code[keep]
+            # a rule must still pay where its places were not taken by others
+            left = np.bincount(code, minlength=len(counts))
+            ok = left >= max(2, min(need, least))
+            at, code = at[ok[code]], (np.cumsum(ok) - 1)[code[ok[code]]]
+            if len(at):
+                chosen = np.empty(int(ok.sum()), np.uint64)
+                chosen[code] = pairs[at]
+                seq[at] = (first + made + code).astype(np.uint64)
+                gone = np.ones(len(seq), bool)
+                gone[at + 1] = False
+                seq = seq[gone]
+                rules.append(chosen)
+                made += len(chosen)
+        if need == least and not len(chosen):
             break
         need = max(least, need // 2)
-    rules = np.array(rules, np.uint32)
-    return np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], 1), seq
+    flat = np.concatenate([np.empty(0, np.uint64), *rules])
+    return np.stack([flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), seq.astype(np.uint32)
+
+
+def _frequent(pairs: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of the pair at each, counts by number) of the pairs that occur ``need`` times or more."""
+    # counts of hashes in a table leave few pairs to count exactly
+    bits = 17 if need >= 16 else 20
+    slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= need)[slot])
+    codes, back, counts = np.unique(pairs[at], return_inverse=True, return_counts=True)
+    ok = counts >= need
+    return at[ok[back]], (np.cumsum(ok) - 1)[back[ok[back]]], counts[ok]
+
+
+def _best_of_neighbours(at: np.ndarray, code: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which places to replace: never two that overlap; of overlapping ones the more frequent, of equals by a hash of the
+    pair (so copies of a passage are cut alike), and of a run of one pair every second."""
+    tie = (pairs * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
+    rank = counts[code].astype(np.int64) << 32 | tie.astype(np.int64)
+    close = np.diff(at) == 1
+    same = close & (code[1:] == code[:-1])
+    begins = np.flatnonzero(np.concatenate([[True], ~same]))
+    even = (np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) % 2 == 0
+    ok = even.copy()
+    lower = close & ~same
+    ok[1:] &= ~(lower & (rank[:-1] >= rank[1:]))
+    ok[:-1] &= ~(lower & (rank[1:] > rank[:-1]))
+    return ok
+
+
+def packed(values: np.ndarray, width: int) -> bytes:
+    """``values`` in ``width`` bits each, one after the other, the lowest bit first."""
+    parts = []
+    for k in range(0, len(values), 1 << 16):
+        bits = np.unpackbits(values[k : k + (1 << 16)].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+        parts.append(np.packbits(bits, bitorder="little").tobytes())
+    return b"".join(parts)
+
+
+def unpacked(blob: bytes, at: int, n: int, width: int) -> np.ndarray:
+    """The ``n`` values of ``width`` bits that begin at byte ``at``."""
+    where = np.arange(n, dtype=np.int64) * width
+    raw = np.frombuffer(blob, np.uint8, -(-n * width // 8), at)
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1))[where >> 3].copy().view("<u8").reshape(-1)
+    return (words >> (where & 7).astype(np.uint64) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], first: int) -> bytes:
-    """A shard: header, document ids and sizes, rules, expansion lengths and the sequence, each section zlib-free and little-endian.
+    """A shard: header, document ids and sizes, rules, expansion lengths and the sequence, little-endian.
 
-    Header: magic, documents, rules, sequence length, first nonterminal, bytes of an id (2 or 4).
+    Header: magic, documents, rules, sequence length, first nonterminal, bits of a symbol, bits of a length.  Symbols of rules
+    and sequence take as many bits as the largest one needs.
     """
-    flat = np.concatenate(ids)
-    narrow = first < 1 << 16
-    if narrow:
-        rules, seq = grammar(flat, first)
-    else:  # pairs of such ids do not fit the counting; they are stored plainly
-        rules, seq = np.empty((0, 2), np.uint32), flat
-    kind = "<u2" if narrow else "<u4"
+    rules, seq = grammar(np.concatenate(ids), first)
+    width = max(int(first + len(rules) - 1).bit_length(), 1)
     lengths = np.ones(first + len(rules), np.int64)
     for k, (a, b) in enumerate(rules.tolist()):
         lengths[first + k] = lengths[a] + lengths[b]
+    long = int(lengths.max()).bit_length()
     return b"".join([
-        struct.pack("<4s5I", MAGIC, len(doc_ids), len(rules), len(seq), first, np.dtype(kind).itemsize),
+        struct.pack("<4s4I2B", MAGIC, len(doc_ids), len(rules), len(seq), first, width, long),
         np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-        np.array([len(x) for x in ids], "<u4").tobytes(), rules.astype(kind).tobytes(), lengths[first:].astype("<u4").tobytes(), seq.astype(kind).tobytes(),
+        np.array([len(x) for x in ids], "<u4").tobytes(), packed(rules.reshape(-1), width), packed(lengths[first:], long), packed(seq, width),
     ])
 
 
@@ -189,23 +228,20 @@ class Shard:
     """Random access to a packed shard."""
 
     def __init__(self, blob: bytes):
-        magic, n_docs, n_rules, n_seq, self.first, width = struct.unpack_from("<4s5I", blob)
+        magic, n_docs, n_rules, n_seq, self.first, width, long = struct.unpack_from("<4s4I2B", blob)
         if magic != MAGIC:
             raise ValueError("not a shard")
-        at, kind = 24, "<u2" if width == 2 else "<u4"
-
-        def take(dtype, n):
-            nonlocal at
-            x = np.frombuffer(blob, dtype, n, at)
-            at += x.nbytes
-            return x
-
-        missing = take(np.uint8, n_docs)
-        self.doc_ids = [None if m else d for m, d in zip(missing.tolist(), take("<i8", n_docs).tolist())]
-        self.sizes = take("<u4", n_docs).astype(np.int64)
-        self.rules = take(kind, 2 * n_rules).reshape(-1, 2).astype(np.uint32)
-        self.lengths = np.concatenate([np.ones(self.first, np.int64), take("<u4", n_rules).astype(np.int64)])
-        self.seq = take(kind, n_seq).astype(np.uint32)
+        at = struct.calcsize("<4s4I2B")
+        missing = np.frombuffer(blob, np.uint8, n_docs, at)
+        doc_ids = np.frombuffer(blob, "<i8", n_docs, at + n_docs)
+        self.doc_ids = [None if m else d for m, d in zip(missing.tolist(), doc_ids.tolist())]
+        self.sizes = np.frombuffer(blob, "<u4", n_docs, at + 9 * n_docs).astype(np.int64)
+        at += 13 * n_docs
+        self.rules = unpacked(blob, at, 2 * n_rules, width).reshape(-1, 2)
+        at += -(-2 * n_rules * width // 8)
+        self.lengths = np.concatenate([np.ones(self.first, np.int64), unpacked(blob, at, n_rules, long).astype(np.int64)])
+        at += -(-n_rules * long // 8)
+        self.seq = unpacked(blob, at, n_seq, width)
         self.ends = np.cumsum(self.lengths[self.seq])
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -247,9 +283,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for at in range(0, len(names), 256):
-                texts = batch.column(1)[at : at + 256].cast(pa.binary()).to_pylist()
-                for doc_id, found in zip(names[at : at + 256], coder.encode_batch([t or b"" for t in texts])):
+            for at in range(0, len(names), 1000):
+                texts = batch.column(1)[at : at + 1000].cast(pa.binary()).to_pylist()
+                for doc_id, found in zip(names[at : at + 1000], coder.encode_batch([t or b"" for t in texts])):
                     doc_ids.append(doc_id)
                     ids.append(np.append(found, np.array([end_id], found.dtype)))
                     size += len(ids[-1])
@@ -260,7 +296,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
             yield closed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows.mapInArrow(run, "part int, shard int, start_in_part long, n_tokens long, blob binary").write.parquet(path)
 
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -58,3 +59,35 @@ def test_edges(spark, edges):
     assert len(out) == 9 and sum(r["n_tokens"] for r in out) == max(r["start"] + r["n_tokens"] for r in out)
     assert min(out, key=lambda r: r["start"])["doc_id"] is None
     assert ts.stored_digests(edges.limit(0), FILE).count() == 0
+
+
+def test_ids_do_not_depend_on_what_was_met_before(library):
+    """Words of marks, digits and letters, with a comma or stop behind them, within and across batches."""
+    rng = random.Random(5)
+    parts = ["a", "é", "the", "-", "'", ")", '"', "...", "%", "*", "c++", "1", "ﬁ", "漢", "’s", "'s", "ß", "İ", "\x01", " ", "́", ",", "."]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) + rng.choice(["", ",", ".", ",.", ".,"]) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    coder = ts.WordEncoder(FILE, most=3000)
+    for k in range(0, len(texts), 500):
+        for text, ids in zip(texts[k : k + 500], coder.encode_batch([t.encode() for t in texts[k : k + 500]])):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_grammar_leaves_no_pair_twice():
+    rng = np.random.default_rng(2)
+    for ids in (rng.zipf(1.3, 30_000) % 70_000, rng.integers(0, 4, 5_000), np.repeat([7], 5_001), np.tile([1, 2, 3, 4, 5], 900)):
+        first = int(ids.max()) + 1
+        rules, seq = ts.grammar(ids.astype("<u4"), first)
+        pairs, counts = np.unique(seq[:-1].astype(np.int64) << 32 | seq[1:], return_counts=True)
+        assert all(a == b for a, b in zip((pairs[counts > 1] >> 32).tolist(), (pairs[counts > 1] & 0xFFFFFFFF).tolist()))  # overlaps only
+        shard = ts.Shard(ts.pack([1], [ids.astype("<u4")], first))
+        assert (shard.ids() == ids).all() and (shard.ids(17, 95) == ids[17:95]).all()
+        assert len(ts.pack([1], [ids.astype("<u4")], first)) < 4 * len(ids)
+
+
+def test_packed_values_round_trip():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 70_000):
+        for width in (1, 9, 17, 25, 32):
+            values = rng.integers(0, 1 << width, n, dtype=np.uint64).astype(np.uint32)
+            assert (ts.unpacked(b"ab" + ts.packed(values, width), 2, n, width) == values).all()
