@@ -247,10 +247,12 @@ def _groups(open_: DataFrame) -> DataFrame:
     # a group costs as much as some ten thousand comparisons by itself
     by_list = square("key").groupBy("f").agg(F.sum(F.pow(F.col("n") + 100.0, F.lit(2.0))).alias("lists"))
     by_family = square("cid").groupBy("f").agg((F.count("*").cast("double") * F.count("*")).alias("whole"))
-    plan = by_list.join(by_family, "f").select("f", ((F.col("whole") > BLOCK * BLOCK) & (F.col("lists") < F.col("whole"))).alias("by_list"))
-    out = rows.join(plan, "f").select(F.when(F.col("by_list"), F.col("key")).otherwise(F.col("f")).alias("g"), "by_list", "cid", "c", "n_shingles").distinct()
+    apart = by_list.join(by_family, "f").where((F.col("whole") > BLOCK * BLOCK) & (F.col("lists") < F.col("whole")))
+    apart = written(apart.select("f", F.lit(True).alias("by_list")), "apart")
+    marked = rows.join(F.broadcast(apart) if apart.count() <= FEW else apart, "f", "left").withColumn("by_list", F.coalesce("by_list", F.lit(False)))
+    out = marked.select(F.when(F.col("by_list"), F.col("key")).otherwise(F.col("f")).alias("g"), "by_list", "cid", "c", "n_shingles").distinct()
     out = written(sized(out, n), "groups")
-    spent(rows)
+    spent(rows, apart)
     return out
 
 

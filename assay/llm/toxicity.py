@@ -1,45 +1,48 @@
 """Toxicity by weak supervision.
 
 1. Voters: words and word beginnings that labelled training documents suggest (a
-   lexicon), and patterns (several terms, a dense text of terms, shouting, address in
-   the second person).  Each votes or abstains on a document.
+   lexicon), patterns of these terms (several terms, a dense text of terms), and patterns that owe
+   nothing to the labels (shouting, address in the second person, calls, masked words).  Each votes or
+   abstains on a document.
 2. A generative label model sees only the votes: expectation maximisation estimates
-   how often each voter fires in toxic and other documents, and the correlations that
-   voters have within a class; voters that repeat each other share their weight.
+   how often each voter fires in toxic and other documents, and in each class the correlations of the voters;
+   voters that repeat each other share their weight.
 3. A linear classifier on hashed words is trained on the model's posterior labels.
 4. Its margin is calibrated on the training labels.
 
 Training uses at most ``max_rows`` labelled rows, never those held out (crc32 of the
 doc_id as text, modulo 4, is 2); inputs of a score are texts alone.
 Defined results: null and empty texts get the score of a text without evidence; rows
-with null labels train nothing; repeated rows repeat; without any labels all scores are 0.
+with null labels or ids train nothing; an id with several labels is toxic if one says so; repeated rows repeat, and
+repeated training rows count each time; equal texts get equal scores; very long texts count whole; an empty table gives an
+empty result; without any labels all scores are 0; extra columns are ignored; results do not depend on the layout of the input.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm.common import written
-from assay.llm.linear import DIM, Ordinal, fit, labelled_sample
+from assay.llm.hashed_text import STARTS, TIERS, Features, stretches
+from assay.llm.hashed_text import TRIM as _TRIM
+from assay.llm.linear import Ordinal, fit, in_order, labelled_sample
 
 MAX_ROWS = 20_000
 #: Terms of the lexicon at most; documents and share of toxic documents that a term needs.
 TERMS, LEAST_DOCS, LEAST_SHARE = 400, 5, 0.7
-#: Correlation within a class from which voters count as repeating each other.
+#: Correlation within a class below which voters count as independent.
 REPEATS = 0.5
-STARTS = (3, 4, 5, 6, 7)
-#: Different words with the same beginning that make terms of their own.
-TIERS = (2, 4)
-_TRIM = " \t\n.,;:!?\"'()[]{}|*#%$&<>-_…«»“”„"
+#: Voters behind those of the lexicon.
+PATTERNS = 8
+_CALLS, _MASKED = re.compile(r"[!?]{2,}|!"), re.compile(r"[^\W\d_][*#@$%]{2,}|[^\W\d_][*#@$%]+[^\W\d_]")
 _SECOND = re.compile(r"\b(you|your|du|dein|tu|vous|ton|usted|eres)\b", re.I)
 
 
@@ -64,34 +67,26 @@ def document_terms(text: str) -> set[str]:
     return {*counts, *(f"{t}{k}" for t, n in counts.items() if n > 1 for k in TIERS if n >= k)}
 
 
-@functools.lru_cache(200_000)
-def _buckets(word: str) -> tuple[int, ...]:
-    return tuple(xxhash.xxh3_64_intdigest(t) % DIM for t in terms_of(word))
-
-
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms of a text, as in :func:`document_terms`; each counts once."""
-    at = np.fromiter((b for word in words_of(text) for b in _buckets(word)), np.int64)
-    at, counts = np.unique(at, return_counts=True)
-    at = np.concatenate([at, *((at[counts >= k] * 31 + 7919 * k) % DIM for k in TIERS)])
-    return at, np.ones(len(at))
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed terms of each text, as in :func:`document_terms`; each counts once."""
+    return [(at, np.ones(len(at))) for part in stretches(texts) for at in Features(part).rows()]
 
 
 def lexicon(sample: DataFrame) -> list[str]:
-    """Terms that are frequent in toxic documents of ``sample`` (text, toxic) and rare in others, the strongest first."""
+    """Terms that are frequent in toxic documents of ``sample`` (text, label) and rare in others, the strongest first."""
 
     def count(batches):
         toxic, other = Counter(), Counter()
         for batch in batches:
             for row in batch.to_pylist():
-                (toxic if row["toxic"] else other).update(document_terms(row["text"] or ""))
+                (toxic if row["label"] else other).update(document_terms(row["text"] or ""))
                 if len(toxic) + len(other) > 300_000:
                     yield _term_rows(toxic, other)
                     toxic, other = Counter(), Counter()
         if toxic or other:
             yield _term_rows(toxic, other)
 
-    counted = sample.select("text", "toxic").mapInArrow(count, "term string, toxic long, other long")
+    counted = sample.select("text", "label").mapInArrow(count, "term string, toxic long, other long")
     counted = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     share = F.col("toxic") / (F.col("toxic") + F.col("other") + 1)
     best = counted.where((F.col("toxic") >= LEAST_DOCS) & (share >= LEAST_SHARE) & (F.length("term") <= 100))
@@ -112,12 +107,9 @@ def votes(text: str, terms: list[str]) -> np.ndarray:
     tokens = text.split()
     words = [t for t in terms if "~" not in t]
     hits = sum(fired)
-    patterns = [
-        hits >= 2, hits >= 4, any(t in found for t in words) and len(tokens) < 200,
-        hits * 100 >= max(len(tokens), 1), bool(_SECOND.search(text)) and hits > 0,
-        sum(t.isupper() for t in tokens) * 2 > len(tokens),
-    ]
-    return np.array(fired + patterns, np.float64)
+    patterns = [hits >= 2, hits >= 4, any(t in found for t in words) and len(tokens) < 200, hits * 100 >= max(len(tokens), 1)]
+    free = [bool(_SECOND.search(text)), sum(t.isupper() for t in tokens) * 2 > len(tokens), len(_CALLS.findall(text)) > 1, bool(_MASKED.search(text))]
+    return np.array(fired + patterns + free, np.float64)
 
 
 class LabelModel:
@@ -131,17 +123,21 @@ class LabelModel:
         for _ in range(steps):
             rate = [(q @ votes + 0.5 * base) / (q.sum() + base) for q, base in ((1 - p, 4.0), (p, 2.0))]
             self.rates = np.clip(np.array(rate), 1e-4, 1 - 1e-4)
-            self.correlations = self._within(votes, p)
-            # a voter that others repeat (strongly correlated within a class) has the weight of its group, shared
-            self.share = 1 / np.maximum(np.where(self.correlations >= REPEATS, self.correlations, 0).sum(1), 1)
+            self.by_class = np.stack([self._within(votes, 1 - p, self.rates[0]), self._within(votes, p, self.rates[1])])
+            self.correlations = np.average(self.by_class, axis=0, weights=[(1 - p).sum(), p.sum()])
+            # a voter that others repeat within a class has the weight of its group, shared; weak correlations are noise
+            alike = np.clip((self.by_class - REPEATS / 2) / (REPEATS / 2), 0, 1) * np.maximum(self.by_class, 0)
+            self.share = (1 / np.maximum(alike.sum(2), 1)).mean(0)
             new = self.posterior(votes)
             if np.abs(new - p).max() < 1e-4:
                 break
             p = new
 
-    def _within(self, votes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        left = votes - (p[:, None] * self.rates[1] + (1 - p)[:, None] * self.rates[0])
-        cov = left.T @ left / len(votes)
+    @staticmethod
+    def _within(votes: np.ndarray, p: np.ndarray, rates: np.ndarray) -> np.ndarray:
+        """Correlations of the voters in a class, of which documents are members with probabilities ``p``."""
+        left = votes - rates
+        cov = (left * p[:, None]).T @ left / max(p.sum(), 1)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         return cov / sd[:, None] / sd[None, :]
 
@@ -162,44 +158,49 @@ class Model:
     def __init__(self, linear: Ordinal, slope: float, shift: float):
         self.weights, self.cut, self.slope, self.shift = linear.weights, float(linear.cuts[0]), slope, shift
 
-    def margin(self, text: str) -> float:
-        return float(self.weights[features(text)[0]].sum()) - self.cut
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(Features(part).sums(self.weights) for part in stretches(texts))]) - self.cut
 
-    def scores(self, texts: list[str]) -> list[float]:
-        return [1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.margin(t) + self.shift)))) for t in texts]
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """Fits on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), of which at most ``max_rows`` rows are used."""
-    known = labels.select("doc_id", "toxic").where("toxic is not null").where(~held_out(F.col("doc_id")))
-    sample = labelled_sample(docs, known, max_rows, "toxic-sample")
-    size, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    known = labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    sample = labelled_sample(docs, known, F.max(F.col("toxic").cast("int")), max_rows, "toxic-sample")
+    size, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not size:
         return None
     terms = lexicon(sample)
 
-    def vote(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([np.packbits(votes(r["text"] or "", terms).astype(np.uint8)).tobytes() for r in rows], pa.binary())], ["doc_id", "votes"])
+    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = in_order(pdf)
+        return pd.DataFrame({"part": pdf["part"], "place": range(len(pdf)), "votes": [np.packbits(votes(t, terms).astype(np.uint8)).tobytes() for t in pdf["text"]]})
 
-    # bounded: max_rows rows of some tens of bytes
-    got = sample.select("doc_id", "text").mapInArrow(vote, "doc_id long, votes binary").collect()
-    matrix = np.array([np.unpackbits(np.frombuffer(r["votes"], np.uint8))[: len(terms) + 6] for r in got], np.float32)
+    # bounded: max_rows rows of some tens of bytes, in the order of the parts
+    got = sorted(sample.groupBy("part").applyInPandas(vote, "part int, place int, votes binary").collect(), key=lambda r: (r["part"], r["place"]))
+    matrix = np.array([np.unpackbits(np.frombuffer(r["votes"], np.uint8))[: len(terms) + PATTERNS] for r in got], np.float32)
     posterior = LabelModel(matrix, positive / size).posterior(matrix)
     spark = docs.sparkSession
-    soft = spark.createDataFrame([(r["doc_id"], float(p)) for r, p in zip(got, posterior)], "doc_id long, posterior double").dropDuplicates(["doc_id"])
-    taught = written(sample.join(F.broadcast(soft), "doc_id").repartition(8, "doc_id"), "toxic-taught")
-    linear = fit(taught, 2, lambda row: (1 - row["posterior"], row["posterior"]), features, l1=4.0)
+    # the same rows in the same order meet their posterior by their place
+    soft = {part: [float(p) for r, p in zip(got, posterior) if r["part"] == part] for part in {r["part"] for r in got}}
+    taught = spark.sparkContext.broadcast(soft)
+
+    def teach(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = in_order(pdf)
+        return pdf.assign(gold=pdf["label"].astype("int64"), label=taught.value[int(pdf["part"].iloc[0])])
+
+    taught_rows = written(sample.groupBy("part").applyInPandas(teach, "doc_id long, text string, label double, part int, gold long"), "toxic-taught")
+    linear = fit(taught_rows.drop("gold"), 2, lambda p: np.stack([1 - p, p], 1), features, l1=4.0)
     model = spark.sparkContext.broadcast(Model(linear, 1.0, 0.0))
 
-    def margins(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([model.value.margin(r["text"] or "") for r in rows], pa.float64()), pa.array([int(r["toxic"]) for r in rows], pa.int64())], ["margin", "toxic"])
+    def margins(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = in_order(pdf)
+        return pd.DataFrame({"part": pdf["part"], "place": range(len(pdf)), "margin": model.value.margins(pdf["text"].tolist()), "gold": pdf["gold"]})
 
-    pairs = taught.select("text", "toxic").mapInArrow(margins, "margin double, toxic long").collect()
-    slope, shift = calibrated(np.array([r["margin"] for r in pairs]), np.array([r["toxic"] for r in pairs], float))
+    pairs = sorted(taught_rows.groupBy("part").applyInPandas(margins, "part int, place int, margin double, gold long").collect(), key=lambda r: (r["part"], r["place"]))
+    slope, shift = calibrated(np.array([r["margin"] for r in pairs]), np.array([r["gold"] for r in pairs], float))
     return Model(linear, slope, shift)
 
 
@@ -207,7 +208,6 @@ def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve from margins to labels (Newton steps, ridge on the slope)."""
     scale = max(float(np.abs(margin).max()), 1e-6)
     x = np.stack([margin / scale, np.ones(len(margin))], 1)
-    target = (y * y.sum() + 1) / (y.sum() + 2) if y.sum() else y * 0 + 1 / (len(y) + 2)
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     b = np.array([1.0, 0.0])
     for _ in range(50):
@@ -228,8 +228,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            scores = model.value.scores(texts) if model.value else [0.0] * len(texts)
+            texts = batch.column(1).to_pylist()
+            scores = model.value.scores(texts) if model.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     out = rows.mapInArrow(run, "doc_id long, score double")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assay.llm import license_scan, linear, lm_score, quality_model, toxicity
+from assay.llm import hashed_text, license_scan, linear, lm_score, quality_model, toxicity
 
 BAD = ["idiot", "moron", "scumbag", "trashy"]
 
@@ -42,6 +42,47 @@ def test_toxicity_on_held_out_rows(spark, labelled, edges):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_models_do_not_depend_on_the_layout(spark, labelled):
+    """The same rows in other partitions and another order, and clashing labels of one id, give the same scores to the last bit."""
+    docs, labels = labelled
+    again = docs.orderBy(F.xxhash64("doc_id")).repartition(5), labels.union(labels.where("doc_id < 30").withColumn("toxic", F.lit(1))).repartition(3)
+    first = docs.coalesce(1), labels.union(labels.where("doc_id < 30").withColumn("toxic", F.lit(1))).coalesce(1)
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.toxicity(*x).collect()} for x in (first, again))
+    assert a == b
+    a, b = ({r["doc_id"]: r["expected_grade"] for r in quality_model.graded(d, quality_model.ratings(n)).collect()} for d, n in (first, again))
+    assert a == b
+
+
+def test_features_of_a_batch_are_those_of_each_text(prose):
+    texts = [prose(k, 30 + k) for k in range(20)] + ["", " ", "één ÉÉN één!", "*** ???", "a " * 500, "x" * 10_000]
+    f = hashed_text.Features(texts)
+    for text, at in zip(texts, f.rows()):
+        one = hashed_text.Features([text]).rows()[0]
+        assert sorted(at) == sorted(one)
+        terms = toxicity.document_terms(text)
+        assert abs(len(at) - len(terms - {""})) <= 0.02 * len(terms) + 8  # beginnings are of bytes here, of letters there
+    rows = quality_model.features(texts)
+    weights = np.random.default_rng(1).normal(size=hashed_text.DIM)
+    assert np.allclose(quality_model._Counted(texts).margins(weights), [weights[at] @ x for at, x in rows])
+
+
+def test_cumulative_link_slopes_are_those_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        cuts, margin, target = np.sort(rng.normal(size=3)) + [0, 0.1, 0.2], rng.normal(), rng.dirichlet(np.ones(4))
+
+        def loss(m, c):
+            s = np.concatenate([[1], 1 / (1 + np.exp(-(m - c))), [0]])
+            return -(target * np.log(s[:-1] - s[1:])).sum()
+
+        by_margin, by_cut = linear.Ordinal(4, cuts=cuts).slopes(margin, target)
+        e = 1e-6
+        assert abs(by_margin - (loss(margin + e, cuts) - loss(margin - e, cuts)) / (2 * e)) < 1e-5
+        for j in range(3):
+            d = np.eye(3)[j] * e
+            assert abs(by_cut[j] - (loss(margin, cuts + d) - loss(margin, cuts - d)) / (2 * e)) < 1e-5
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
