@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import unicodedata
 import uuid
@@ -30,14 +31,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from assay.llm.common import shared_dir
 
 SHARD_TOKENS = 1 << 19
 MAGIC = b"RPG1"
-#: Byte-level tokenizers write a byte as the letter of its number, and bytes without a visible letter as letters from 256 on.
-_BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Byte-level tokenizers write a byte as the letter of its number, and bytes without a visible letter as letters from 256 on (no word has a blank).
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
+_ODD_BYTES = re.compile("[\x7f-\xa0\xad]")
 
 
 class WordEncoder:
@@ -54,10 +56,22 @@ class WordEncoder:
         #: lower case in between, white space dropped, byte-level letters: ASCII words may go to the BPE model as they are
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.pieces = [np.array(i, self.kind).tobytes() for i in range(self.tokenizer.get_vocab_size())]
-        self.marks = {m: b"".join(map(self.pieces.__getitem__, self.tokenizer.encode(m, add_special_tokens=False).ids)) for m in ",."}
-        # words met lately, and those met before them: together at most about `most`, and frequent words are never forgotten
-        self.most, self.seen, self.before = most, {"": b""}, {}
+        #: the BPE model alone, for words of letters with blanks between them; the last token of a word is one of `last`
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.by_word = self.by_word and bool(suffix)
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ",."} if self.by_word else {}
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word is known but the empty one.  Word number k has ``size[k]`` ids from ``begin[k]`` on in ``flat``."""
+        self.seen = {"": 0}
+        self.flat, self.begin, self.size = np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """ids of each text, in stretches of some megabytes."""
@@ -65,7 +79,7 @@ class WordEncoder:
         for text in texts:
             held.append(text)
             size += len(text)
-            if size > 4 << 20:
+            if size > 8 << 20:
                 out += self._stretch(held)
                 held, size = [], 0
         return out + self._stretch(held)
@@ -75,49 +89,60 @@ class WordEncoder:
         whole = [not self.by_word or any(s in t for s in self.special) for t in low]
         words = pc.ascii_split_whitespace(pa.array([b"" if w else t for w, t in zip(whole, low)], pa.binary()).cast(pa.string()))
         coded = words.flatten().dictionary_encode()
-        if len(self.seen) > self.most // 2:
-            self.seen, self.before = {"": b""}, self.seen
-        found = self._known(coded.dictionary.to_pylist())
-        # ids of the different words one after the other, and from there those of all words
-        flat = np.frombuffer(b"".join(found), self.kind)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        at = coded.indices.to_numpy()
-        n = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1])]
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        n = self.size[number]
+        ends = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=ends[1:])
+        ids = self.flat[np.repeat(self.begin[number] - ends[:-1], n) + np.arange(ends[-1])]
         bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
         return [
             np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind) if w else ids[bounds[k] : bounds[k + 1]]
             for k, (w, text) in enumerate(zip(whole, texts))
         ]
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        """ids of words.  Words of Latin letters, with a comma or stop behind them or not, go to the BPE model as they are: a
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of words.  New words of Latin letters, with a comma or stop behind them or not, go to the BPE model as they are: a
         mark after a letter is always a token of its own.  All others are encoded by the library as texts."""
-        seen, pieces, tokenize = self.seen, self.pieces, self.model.tokenize
-        rest = []
-        for w in words:
-            if w in seen:
-                continue
-            ids = self.before.get(w)
-            if ids is None:
-                stem, mark = (w[:-1], self.marks[w[-1]]) if w[-1] in ",." else (w, b"")
-                if not stem.isalpha() or max(stem) >= "\u0250" or "\u0130" in stem:
-                    rest.append(w)
-                    continue
-                ids = (mark and seen.get(stem)) or b"".join([pieces[t.id] for t in tokenize(_letters(stem))])
-                ids += mark
-            seen[w] = ids
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            seen[w] = b"".join(map(pieces.__getitem__, e.ids))
-        return [seen[w] for w in words]
-
-
-def _letters(word: str) -> str:
-    """A word of letters as the BPE model gets it: normalised, lower case, a letter for each byte."""
-    if word.isascii():
-        return word
-    return unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+        if len(self.seen) > self.most:
+            self._forget()
+        new = pa.array([w for w in words if w not in self.seen], pa.string())
+        marked = pc.match_substring_regex(new, "[,.]$")
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(new, 0, -1), new)
+        plain = pc.and_(pc.utf8_is_alpha(stems), pc.match_substring_regex(stems, "^[A-Za-z\u00aa-\u012f\u0131-\u024f]+$"))
+        own = stems.filter(plain).dictionary_encode()
+        names, rest = new.filter(plain).to_pylist(), new.filter(pc.invert(plain)).to_pylist()
+        flat, size = self._coded(own.dictionary)
+        # the ids of a word are those of its stem and then its mark
+        stem = own.indices.to_numpy()
+        mark = np.array([self.marks.get(w[-1], -1) for w in names], np.int64)
+        n = size[stem] + (mark >= 0)
+        ends = np.cumsum(n)
+        ids = flat[np.minimum(np.repeat((np.cumsum(size) - size)[stem] - ends + n, n) + np.arange(n.sum()), max(len(flat) - 1, 0))] if len(flat) else flat
+        ids[ends[mark >= 0] - 1] = mark[mark >= 0]
+        other, sizes = self._encoded(rest)
+        n = np.concatenate([n, sizes])
+        self.seen.update(zip(names + rest, range(len(self.begin), len(self.begin) + len(new))))
+        self.begin, self.size = np.concatenate([self.begin, np.cumsum(n) - n + len(self.flat)]), np.concatenate([self.size, n])
+        self.flat = np.concatenate([self.flat, ids, other])
+        return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+
+    def _coded(self, stems: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words of Latin letters."""
+        if not len(stems):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        text = " ".join(stems.to_pylist())
+        if not text.isascii():  # normalised, lower case, a letter for each byte
+            text = unicodedata.normalize("NFC", text).lower().encode().decode("latin-1")
+            text = _ODD_BYTES.sub(lambda m: chr(_BYTE_LETTERS[ord(m.group())]), text)
+        parts = self.letters.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(parts[0].ids, self.kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(stems) else self._encoded(stems.to_pylist())
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words, from the library."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], self.kind), np.array([len(ids) for ids in found], np.int64)
 
 
 @functools.lru_cache(2)
@@ -129,46 +154,58 @@ def grammar(ids: np.ndarray, first: int, least: int = 2) -> tuple[np.ndarray, np
     """(rules, sequence): Re-Pair on ``ids``; nonterminals are numbered from ``first`` on.
 
     A round replaces the pairs that occur ``need`` times and more, where they meet the more frequent one first; ``need``
-    halves from round to round, and at ``least`` rounds go on until no pair occurs so often.
+    falls by half or more from round to round, and at ``least`` rounds go on until no pair occurs so often.  There a
+    place that had a rarer pair is not looked at again before a neighbour changes.
     """
     seq, rules, made = ids.astype(np.uint64), [], 0
-    need = max(least, len(seq) // 256)
+    steps = [n for n in (2048, 512, 128, 48, 16, 6) if least < n < len(seq) // 16]
+    open_ = None
     while len(seq) > 1:
-        pairs = seq[:-1] << np.uint64(32) | seq[1:]
-        at, code, counts = _frequent(pairs, need)
-        chosen = np.empty(0, np.uint64)
+        need = steps.pop(0) if steps else least
+        at, pairs, code, counts = _frequent(seq, np.flatnonzero(open_[:-1]) if open_ is not None else np.arange(len(seq) - 1), need)
+        if not steps and need == least:
+            open_ = np.zeros(len(seq), bool)
+            open_[at] = True
         if len(at):
-            keep = _best_of_neighbours(at, code, counts, pairs[at])
-            at, code = at[keep], code[keep]
+            keep = _best_of_neighbours(at, code, counts, pairs)
+            at, pairs, code = at[keep], pairs[keep], code[keep]
             # a rule must still pay where its places were not taken by others
-            left = np.bincount(code, minlength=len(counts))
-            ok = left >= max(2, min(need, least))
-            at, code = at[ok[code]], (np.cumsum(ok) - 1)[code[ok[code]]]
-            if len(at):
-                chosen = np.empty(int(ok.sum()), np.uint64)
-                chosen[code] = pairs[at]
-                seq[at] = (first + made + code).astype(np.uint64)
-                gone = np.ones(len(seq), bool)
-                gone[at + 1] = False
-                seq = seq[gone]
-                rules.append(chosen)
-                made += len(chosen)
-        if need == least and not len(chosen):
+            ok = np.bincount(code, minlength=len(counts)) >= max(2, least)
+            keep = ok[code]
+            at, pairs, code = at[keep], pairs[keep], (np.cumsum(ok) - 1)[code[keep]]
+        if len(at):
+            chosen = np.empty(int(ok.sum()), np.uint64)
+            chosen[code] = pairs
+            seq[at] = (first + made + code).astype(np.uint64)
+            stay = np.ones(len(seq), bool)
+            stay[at + 1] = False
+            seq = seq[stay]
+            if open_ is not None:
+                open_[at] = True
+                open_[np.maximum(at - 1, 0)] = True
+                # a symbol before may have been joined with the one before it
+                open_[np.maximum(at - 2, 0)] |= ~stay[np.maximum(at - 1, 0)]
+                open_ = open_[stay]
+            rules.append(chosen)
+            made += len(chosen)
+        elif need == least:
             break
-        need = max(least, need // 2)
     flat = np.concatenate([np.empty(0, np.uint64), *rules])
     return np.stack([flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), seq.astype(np.uint32)
 
 
-def _frequent(pairs: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, number of the pair at each, counts by number) of the pairs that occur ``need`` times or more."""
+def _frequent(seq: np.ndarray, where: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, pairs there, their numbers, counts by number) of the pairs that occur ``need`` times or more at the places ``where``."""
+    pairs = seq[where] << np.uint64(32) | seq[where + 1]
     # counts of hashes in a table leave few pairs to count exactly
-    bits = 17 if need >= 16 else 20
+    bits = 17 if need >= 16 else max(8, min(19, (2 * len(where)).bit_length()))
     slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= need)[slot])
-    codes, back, counts = np.unique(pairs[at], return_inverse=True, return_counts=True)
+    keep = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= need)[slot])
+    where, pairs = where[keep], pairs[keep]
+    _, back, counts = np.unique(pairs, return_inverse=True, return_counts=True)
     ok = counts >= need
-    return at[ok[back]], (np.cumsum(ok) - 1)[back[ok[back]]], counts[ok]
+    keep = ok[back]
+    return where[keep], pairs[keep], (np.cumsum(ok) - 1)[back[keep]], counts[ok]
 
 
 def _best_of_neighbours(at: np.ndarray, code: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -213,9 +250,10 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], first: int) -> bytes:
     """
     rules, seq = grammar(np.concatenate(ids), first)
     width = max(int(first + len(rules) - 1).bit_length(), 1)
-    lengths = np.ones(first + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[first + k] = lengths[a] + lengths[b]
+    known = [1] * first
+    for a, b in rules.tolist():
+        known.append(known[a] + known[b])
+    lengths = np.array(known, np.int64)
     long = int(lengths.max()).bit_length()
     return b"".join([
         struct.pack("<4s4I2B", MAGIC, len(doc_ids), len(rules), len(seq), first, width, long),
@@ -249,9 +287,21 @@ class Shard:
         stop = int(self.sizes.sum()) if stop is None else stop
         if start >= stop:
             return np.empty(0, np.uint32)
+        if stop - start == self.sizes.sum():
+            return self._all()
         i, j = np.searchsorted(self.ends, [start, stop - 1], "right")
-        seq = self.seq[i : j + 1]
+        seq = self._expanded(self.seq[i : j + 1])
         skip = start - int(self.ends[i] - self.lengths[self.seq[i]])
+        return seq[skip : skip + stop - start]
+
+    def _all(self) -> np.ndarray:
+        """All ids: every rule is expanded once, the sequence picks from these."""
+        table = np.concatenate([np.arange(self.first, dtype=np.uint32), self._expanded(np.arange(self.first, self.first + len(self.rules), dtype=np.uint32))])
+        begins, n = np.cumsum(self.lengths) - self.lengths, self.lengths[self.seq]
+        return table[np.repeat(begins[self.seq] - (self.ends - n), n) + np.arange(self.ends[-1])]
+
+    def _expanded(self, seq: np.ndarray) -> np.ndarray:
+        """The ids of a sequence of symbols, level by level."""
         while len(seq) and (big := seq >= self.first).any():
             n = np.where(big, 2, 1)
             out = np.repeat(seq, n)
@@ -259,7 +309,7 @@ class Shard:
             pair = self.rules[seq[big] - self.first]
             out[at], out[at + 1] = pair[:, 0], pair[:, 1]
             seq = out
-        return seq[skip : skip + stop - start]
+        return seq
 
     def documents(self):
         """(doc_id, ids) in order."""
@@ -283,9 +333,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for at in range(0, len(names), 1000):
-                texts = batch.column(1)[at : at + 1000].cast(pa.binary()).to_pylist()
-                for doc_id, found in zip(names[at : at + 1000], coder.encode_batch([t or b"" for t in texts])):
+            for at in range(0, len(names), 2000):
+                texts = batch.column(1)[at : at + 2000].cast(pa.binary()).to_pylist()
+                for doc_id, found in zip(names[at : at + 2000], coder.encode_batch([t or b"" for t in texts])):
                     doc_ids.append(doc_id)
                     ids.append(np.append(found, np.array([end_id], found.dtype)))
                     size += len(ids[-1])
