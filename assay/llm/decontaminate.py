@@ -9,13 +9,17 @@ alignment inside it, which gives the span and its edits.
 
 The index of q-grams of a bounded part of the benchmark is broadcast; a larger
 benchmark is read in several parts, each compared with all documents.
-Defined results: null texts and items match nothing; items shorter than q bytes carry
-no evidence and match nothing; repeated rows count once; spans count code points of the
-original text; extra columns are ignored.
+Items too short for a gram are searched as they are: whole (no edits are allowed at that length) and as words of their own.
+A row is known by its id and the hash of its text (``content``), so rows that share an id, or have none, keep their own spans.
+Defined results: null and blank texts and items match nothing; repeated rows and items count once; of overlapping occurrences of an
+item the one with the fewest edits stays, of equal ones the first; spans count code points of the
+original text; very long texts count whole; an empty table or benchmark gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +57,12 @@ class Index:
     """q-grams of benchmark items, sorted by hash, with the items and offsets where they stand."""
 
     def __init__(self, items: list[tuple[int, str]], edit_share: float = EDIT_SHARE):
-        kept = [(i, folded(t.encode())) for i, t in items if t is not None and i is not None and len(t.encode()) >= Q]
+        every = [(i, folded(t.strip().encode())) for i, t in items if t is not None and i is not None and t.strip()]
+        kept = [(i, t) for i, t in every if len(t) >= Q]
+        #: items without a gram: one expression finds them as whole words
+        short = sorted({t.tobytes() for _, t in every if len(t) < Q}, key=lambda t: (-len(t), t))
+        self.short_ids = {t: sorted(i for i, u in every if u.tobytes() == t) for t in short}
+        self.short = [re.compile(rb"(?<![0-9A-Za-z_\x80-\xff])" + re.escape(t) + rb"(?![0-9A-Za-z_\x80-\xff])") for t in short]
         self.ids = [i for i, _ in kept]
         self.texts = [t for _, t in kept]
         sizes = np.array([len(t) for t in self.texts], np.int64)
@@ -94,7 +103,7 @@ class Index:
         return [(int(i), int(b * (self.edits[i] + 1) - shift)) for i, b in zip(item[good], band[good])]
 
     def spans(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, begin, end, edits) of the verified occurrences in a folded text; the best of those that overlap."""
+        """(item id, begin, end, edits) of the verified occurrences in a folded text; the best of those that overlap."""
         best: dict[int, list[tuple[int, int, int]]] = {}
         for item, low in self.candidates(text):
             e = int(self.edits[item])
@@ -103,11 +112,15 @@ class Index:
                 best.setdefault(item, []).append(found)
         out = []
         for item, spans in best.items():
-            last = -1
-            for edits, begin, end in sorted(spans, key=lambda s: (s[1], s[0])):
-                if begin >= last:
-                    out.append((item, begin, end, edits))
-                    last = end
+            taken: list[tuple[int, int]] = []
+            for edits, begin, end in sorted(spans):
+                if all(end <= b or begin >= e for b, e in taken):
+                    out.append((self.ids[item], begin, end, edits))
+                    taken.append((begin, end))
+        raw = text.tobytes() if self.short else b""
+        for pattern in self.short:
+            for m in pattern.finditer(raw):
+                out += [(i, m.start(), m.end(), 0) for i in self.short_ids[m.group()]]
         return out
 
 
@@ -143,15 +156,15 @@ def contaminated_spans(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", edit_share: float = EDIT_SHARE, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """A row for each occurrence of a benchmark item: doc_id, item_id, begin, end, edits."""
+    """A row for each occurrence of a benchmark item: doc_id, content, item_id, begin, end, edits."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     parts = -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // part_bytes) or 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
     found = []
     for k in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], edit_share))
-        one = rows.mapInArrow(_search(index), "doc_id long, item_id long, begin int, end int, edits int")
+        one = rows.mapInArrow(_search(index), "doc_id long, content long, item_id long, begin int, end int, edits int")
         found.append(one if parts == 1 else written(one, "leaks"))
     out = found[0]
     for more in found[1:]:
@@ -160,13 +173,13 @@ def contaminated_spans(
 
 
 def _search(index):
-    """Batches of (doc_id, text) to batches of occurrences."""
+    """Batches of (doc_id, content, text) to batches of occurrences."""
 
     def run(batches):
         found = index.value
         for batch in batches:
             out = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            rows, texts = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).cast(pa.binary()).to_pylist()
             for which, at, block in blocks(texts, found.longest):
                 starts = np.array(at)
                 for item, begin, end, edits in found.spans(block):
@@ -176,9 +189,9 @@ def _search(index):
                     # what begins before a later part of a text is found whole in the part before
                     if begin >= at[k] or not base:
                         begin, end = max(begin - at[k], 0) + base, end - at[k] + base
-                        out.append((ids[doc], found.ids[item], _chars(texts[doc], begin), _chars(texts[doc], min(end, len(texts[doc]))), edits))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "item_id", "begin", "end", "edits"])
+                        out.append((*rows[doc], item, _chars(texts[doc], begin), _chars(texts[doc], min(end, len(texts[doc]))), edits))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["doc_id", "content", "item_id", "begin", "end", "edits"])
 
     return run
 

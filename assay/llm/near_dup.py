@@ -108,16 +108,16 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _over_texts(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:
-    """``make(sets) -> columns`` over batches of shingle sets, beside doc_id."""
+    """``make(texts) -> columns`` over batches of texts, beside doc_id and the hash of the text."""
 
     def run(batches, make=make):
         for batch in batches:
             if batch.num_rows:
-                texts = batch.column(1).cast(pa.binary()).to_pylist()
-                cols = {"doc_id": batch.column(0), **make(texts)}
+                texts = batch.column(2).cast(pa.binary()).to_pylist()
+                cols = {"doc_id": batch.column(0), "content": batch.column(1), **make(texts)}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, {schema}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, content long, {schema}")
 
 
 def _name(shingles: np.ndarray) -> int:
@@ -137,7 +137,7 @@ def named_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def with_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, sketch): set size, two hashes of the set, its ``k`` smallest values."""
+    """(doc_id, content, n_shingles, s1, s2, sketch): hash of the text, set size, two hashes of the set, its ``k`` smallest values."""
 
     def make(texts):
         sets = [shingle_set(t, width) for t in texts]
@@ -314,7 +314,7 @@ def linked_between(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 3, k: int = K) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, n_same (rows with the same set).
+    """One row per input row: doc_id, n_shingles, component_id, kept, n_same (rows with the same set), content (xxhash64 of the text).
 
     ``percent`` is the least Jaccard similarity of a link, in percent (80 or more).
     """
@@ -366,6 +366,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
     named = named.join(smallest, "component").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n_shingles").alias("n"), "smallest", "n_same")
-    out = every.select("doc_id", "n_shingles", "s1", "s2").join(named, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") == F.col("n")), "left")
+    out = every.select("doc_id", "content", "n_shingles", "s1", "s2").join(named, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") == F.col("n")), "left")
     component = F.coalesce("smallest", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_same", F.lit(1)).cast("long").alias("n_same"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_same", F.lit(1)).cast("long").alias("n_same"), "content")

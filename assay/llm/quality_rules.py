@@ -1,6 +1,6 @@
 """Quality rules with cross-document line frequency, on DataFrame functions only.
 
-``text_counts`` computes per-document counts inside the row (no shuffle).
+``text_counts`` computes per-document counts inside the row (no shuffle)
 and the hashes of its normalised lines.  ``frequent_lines`` counts in how many distinct
 documents of a host each line occurs; ``removed_words`` tells how many words a document
 loses when the lines above the limit are removed.  ``quality_rules`` joins them;
@@ -10,7 +10,7 @@ Defined results: a null text counts as empty; null hosts form one host; a null
 ``doc_id`` is kept as a row of its own; repeated rows give repeated results;
 exact copies of a text count as one document of their host, so that a copied
 clean document does not turn into boilerplate (removing copies is another
-operator's task); an empty table gives an empty result; extra columns of the
+operator's task); texts of any length count whole; ties at a limit keep the line; an empty table gives an empty result; extra columns of the
 input are ignored.
 """
 
@@ -133,11 +133,11 @@ def quality_rules(
     """One row per input row: the counts of :func:`text_counts`, ``base_failed``,
     ``removed_words``, ``removed_lines``, ``depleted`` and ``kept``."""
     counts = written(text_counts(docs, id_col, text_col, host_col), "counts")
-    return judged(counts, frequent_lines(counts, host_share, min_docs), min_words, max_repeat_percent, keep_percent)
+    return judged(counts, frequent_lines(counts, host_share, min_docs), min_words, max_repeat_percent, keep_percent).drop("host", "content")
 
 
 def judged(counts: DataFrame, frequent: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, keep_percent: int = KEEP_PERCENT) -> DataFrame:
-    """The rows of :func:`quality_rules`, from :func:`text_counts` and :func:`frequent_lines`."""
+    """The rows of :func:`quality_rules`, with host and content (hash of the text), from :func:`text_counts` and :func:`frequent_lines`."""
     gone = removed_words(counts, frequent)
     gone = gone.withColumnsRenamed({"doc_id": "g_id", "host": "g_host", "content": "g_content"})
     same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("content") == F.col("g_content")) & (F.col("host") == F.col("g_host"))
@@ -148,5 +148,5 @@ def judged(counts: DataFrame, frequent: DataFrame, min_words: int = 50, max_repe
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
-        lost.alias("removed_words"), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"), depleted.alias("depleted"),
+        lost.alias("removed_words"), F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"), depleted.alias("depleted"), "host", "content",
     )

@@ -33,3 +33,14 @@ comp AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept, coalesce(n_same, 1) AS n_same
 FROM s LEFT JOIN class ON s.sh = class.sh AND s.nw > 0 LEFT JOIN comp USING (rep)
 """
+
+OP7 = r"""
+WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])([ \t]+)', '\1' || chr(1) || '\2' || chr(1), 'g'), '(\n+)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+u AS (SELECT doc_id, i, parts[i] AS unit, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0) AS "begin" FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1, 2)) AS i FROM p)),
+n AS (SELECT doc_id, i, "begin", "begin" + length(unit) AS "end", list_filter(regexp_split_to_array(lower(unit), '\s+'), lambda x: x <> '') AS words FROM u),
+k AS (SELECT doc_id, "begin", "end", len(words) AS n_words, array_to_string(words, ' ') AS normal, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM n WHERE len(words) >= 3),
+f AS (SELECT *, min({'doc': doc_id, 'pos': pos}) OVER (PARTITION BY normal) AS first FROM k),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f WHERE (doc_id, pos) <> (first.doc, first.pos))
+SELECT doc_id, CAST(min("begin") AS INTEGER) AS "begin", CAST(max("end") AS INTEGER) AS "end", count(*) AS n_units, CAST(sum(n_words) AS BIGINT) AS n_words, arg_min(first.doc, pos) AS first_doc_id
+FROM r GROUP BY doc_id, run HAVING sum(n_words) >= 20
+"""

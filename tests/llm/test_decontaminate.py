@@ -57,7 +57,7 @@ def test_spans_and_blocks(spark, make, prose, monkeypatch):
     many = spark.createDataFrame([(k, prose(k, 30)) for k in range(5)], "item_id long, text string")
     docs = make([(k, prose(50, 20) + " " + prose(k, 30) + prose(51, 500)) for k in range(5)])
     whole = sorted(map(tuple, d.contaminated_spans(docs, many).collect()))
-    assert [x[:2] for x in whole] == [(k, k) for k in range(5)]
+    assert [(x[0], x[2]) for x in whole] == [(k, k) for k in range(5)]
     assert sorted(map(tuple, d.contaminated_spans(docs, many, part_bytes=200).collect())) == whole
     monkeypatch.setattr(d, "BLOCK_BYTES", 300)
     index, texts = d.Index([(k, prose(k, 30)) for k in range(5)]), [(prose(50, 20) + " " + prose(k, 30) + prose(51, 500)).encode() for k in range(5)]
@@ -90,3 +90,14 @@ def test_truncated_items_at_the_ends_of_documents(spark, make, prose):
         rows = d.contaminated_spans(make([(k, texts[k]) for k in order]).coalesce(1), bench).collect()
         assert {r["doc_id"] for r in rows} == want and len(rows) == len(want)
         assert all(0 <= r["begin"] < r["end"] <= len(texts[r["doc_id"]]) and r["end"] - r["begin"] >= len(item) - 2 * most for r in rows)
+
+
+def test_short_items_and_best_spans(spark, make):
+    """Items without a gram are found as whole words, and of overlapping occurrences the one with the fewest edits counts."""
+    item = "the quick brown fox jumps over the lazy dog near the river bank today"
+    near = item.replace("quick", "quack")
+    docs = make([(1, "Forty  Two is it"), (2, "forty two is it"), (3, "xforty two, forty two."), (4, near[:40] + " " + item + " end"), (5, None)])
+    bench = spark.createDataFrame([(1, " Forty two "), (2, item), (3, ""), (4, None), (5, "is")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["begin"], r["end"], r["edits"]) for r in d.contaminated_spans(docs, bench).collect())
+    assert got == [(1, 5, 11, 13, 0), (2, 1, 0, 9, 0), (2, 5, 10, 12, 0), (3, 1, 12, 21, 0), (4, 2, 41, 41 + len(item), 0)]
+    assert d.contaminated_spans(docs, bench.limit(0)).count() == 0 and d.contaminated_spans(docs.limit(0), bench).count() == 0

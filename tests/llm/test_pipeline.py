@@ -3,6 +3,7 @@
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from assay.llm import near_dup, quality_rules
@@ -91,3 +92,23 @@ def test_encoding_stage_decodes(spark, make, prose):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = {r["doc_id"]: r["decoded"] for r in p.encoding(spark, make(list(texts.items())), "").collect()}
     assert got == {k: library.decode(library.encode(t)) for k, t in texts.items()}
+
+
+def test_rows_that_share_an_id_or_have_none(spark, make, prose, tmp_path):
+    """Each is judged, deduplicated and cut by its own text, and extra columns stay."""
+    passage, item = prose(60, 70).rsplit(" ", 1)[0], prose(61, 40)
+    good = [prose(200 + k, 90) for k in range(8)]
+    rows = [
+        (None, "short"), (None, good[0]), (None, good[1] + "\n" + passage), (7, good[2] + "\n" + passage), (7, good[3] + " " + item + " " + good[4]), (7, "too short"),
+        (9, good[5]), (11, good[5]), (12, good[6]), (12, good[6]), (None, None),
+    ]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make(rows).withColumns({"content": F.lit("c"), "begin": F.lit(1), "kept": F.lit(False)})
+    for _, stage in p.STAGES[:-1]:
+        columns, docs = docs.columns, stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect())
+    want = [(0, good[0]), (0, good[1] + "\n" + passage), (7, good[2] + "\n"), (7, good[3] + "  " + good[4]), (9, good[5]), (12, good[6]), (12, good[6])]
+    assert got == sorted(want)
+    assert {r["content"] for r in docs.collect()} == {"c"}
+    assert len(p.encoding(spark, docs, str(tmp_path)).collect()) == len(want)
