@@ -2,6 +2,11 @@
 
 Stages 1 and 2 drop documents, stages 1, 3 and 4 cut lines or spans out of texts (and bring
 ``n_chars`` up to date), stage 5 encodes and decodes.
+
+A row is known by its id and the hash of its text, so rows that share an id, or have none, are judged and cut on their own.
+Defined results: null and blank texts fail the quality rules; repeated rows (same id and text) are one document and stay or go
+together; ties between equal documents go to the smallest id; texts of any length count whole; an empty table gives an empty
+result; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -14,9 +19,15 @@ from assay.llm.catalog import PIECE_MODEL
 from assay.llm.common import table, written
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``rejected``."""
-    return docs.join(rejected.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, rejected: DataFrame, **more: str) -> DataFrame:
+    """``docs`` less the rows in ``rejected`` (doc_id, content, and columns of ``more``: name in ``rejected`` to an expression over ``docs``)."""
+    key = {"doc_id": "doc_id", "content": "xxhash64(text)", **more}
+    gone = rejected.select(*(F.col(c).alias(f"__{c}") for c in key)).distinct()
+    same = None
+    for c, own in key.items():
+        one = F.expr(own).eqNullSafe(F.col(f"__{c}"))
+        same = one if same is None else same & one
+    return docs.join(gone, same, "left_anti")
 
 
 def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -30,7 +41,8 @@ def _counted(out: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     counts = written(quality_rules.text_counts(docs), "counts")
     frequent = written(quality_rules.frequent_lines(counts), "frequent")
-    kept = _without(docs, quality_rules.judged(counts, frequent).where("not kept"))
+    rejected = quality_rules.judged(counts, frequent).where("not kept")
+    kept = _without(docs, rejected, content="xxhash64(coalesce(text, ''))", host="coalesce(cast(source as string), '')")
     return _counted(quality_rules.cleaned_texts(kept, counts, frequent).drop("removed"))
 
 
