@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -175,6 +176,34 @@ def test_licenses(spark, edges, make, prose):
     found = {(r["doc_id"], r["license"], len(r["differences"])) for r in blocks}
     assert found == {(1, "Apache-2.0", 0), (2, "CC-BY-NC-4.0", 0), (3, "MIT", 0), (7, "Apache-2.0", 0)}
     assert all(rows[r["doc_id"] - 1][1][r["begin"] : r["end"]].lower().startswith(("licensed", "released")) for r in blocks)
-    assert {r["doc_id"]: r["n_blocks"] for r in license_scan.licensed_documents(make(rows)).collect()} == {1: 1, 2: 1, 3: 1, 7: 2}
+    assert {r["doc_id"]: r["n_blocks"] for r in license_scan.licensed_documents(make(rows)).collect()} == {1: 1, 2: 1, 3: 1, 7: 1}
+    twice = license_scan.licensed_documents(make([(None, name), (None, "Licensed under CC BY 4.0."), (5, name), (5, "no mark")])).collect()
+    assert sorted((r["doc_id"] or 0, r["license"]) for r in twice) == [(0, "Apache-2.0"), (0, "CC-BY-4.0"), (5, "Apache-2.0")]
     assert license_scan.license_blocks(edges.withColumnRenamed("lang", "license")).count() == 0
     assert license_scan.licensed_documents(edges.limit(0)).count() == 0
+
+
+def test_every_template_is_found_as_itself(spark, make):
+    """On one line, wrapped, in a quiet text, and behind other words; templates are a parameter."""
+    t = license_scan.TEMPLATES
+    names = sorted(t)
+    rows = [(10 * k + j, x) for k, n in enumerate(names) for j, x in enumerate((t[n], "Some words.\n\n" + "\n".join(textwrap.wrap(t[n], 70)) + "\n\nand more", t[n].upper()))]
+    got = {r["doc_id"]: r["license"] for r in license_scan.licensed_documents(make(rows)).collect()}
+    assert got == {i: names[i // 10] for i, _ in rows}
+    own = {"Own": "You may share this text with friends of the garden."}
+    assert [r["license"] for r in license_scan.license_blocks(make([(1, "You may share this text, licensed, with friends of the garden.")]), templates=own).collect()] == ["Own"]
+
+
+def test_wordings_that_decide_between_licenses():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    want = {
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"], "licensed under the GNU Lesser General Public License, version 2.1": ["LGPL-2.1"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"], "Licensed under CC BY 3.0.": ["CC-BY-3.0"], "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+        "Licensed under CC BY-SA 2.0": [], "Licensed under the Apache License, Version 1.1.": [], "not released under the MIT License": [], "A driving licence is needed for this yellow car.": [],
+        "One two three four five six seven eight nine ten eleven twelve. Released under the MIT License. Thirteen fourteen fifteen sixteen": ["MIT"],
+        "This project is Licensed under the Apache License, Version 2.0 and you may use it freely": ["Apache-2.0"], "Copyright (c) 2019 Jane Doe. All rights reserved.": ["All-rights-reserved"],
+        "Licensed under CC BY 4.0. Released under the MIT License.": ["CC-BY-4.0", "MIT"],
+    }
+    assert {x: [b[2] for b in license_scan.blocks_of(x, scanner)] for x in want} == want
+    same = license_scan.Scanner({"b": "free to use by all people", "a": "free to use by all people"})
+    assert license_scan.blocks_of("free to use by all people, no warranty", same)[0][2] == "a"
