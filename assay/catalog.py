@@ -84,7 +84,7 @@ def presentation_susceptibility(spark, sf_dir):
 
 
 BINS = f"""SELECT evaluator_name, CAST(least(tenths, 9) AS INTEGER) AS bin, count(*) AS n, {n('ok')} AS correct,
-CAST(sum(tenths * 100) AS DOUBLE) / count(*) / 1000 AS mean_confidence, {ratio(n('ok'), 'count(*)')} AS accuracy FROM rec WHERE {SCORED} GROUP BY ALL"""
+CAST(sum(tenths) AS DOUBLE) / 10 / count(*) AS mean_confidence, {ratio(n('ok'), 'count(*)')} AS accuracy FROM rec WHERE {SCORED} GROUP BY ALL"""
 
 
 @query(REC + BINS)
@@ -101,7 +101,7 @@ def calibration_error(spark, sf_dir):
     return metrics.calibration_error(b.records(spark, sf_dir))
 
 
-@query(REC + " UNION ALL ".join(f"""SELECT evaluator_name, '{d}' AS dimension, count(*) AS n, CAST(sum(abs(a{k} - e{k})) * 100000 AS DOUBLE) / count(*) / 1000000 AS mae FROM rec WHERE {SCORED} GROUP BY evaluator_name""" for k, d in enumerate(metrics.DIMENSIONS)))
+@query(REC + " UNION ALL ".join(f"""SELECT evaluator_name, '{d}' AS dimension, count(*) AS n, CAST(sum(abs(a{k} - e{k})) AS DOUBLE) / 10 / count(*) AS mae FROM rec WHERE {SCORED} GROUP BY evaluator_name""" for k, d in enumerate(metrics.DIMENSIONS)))
 def dimension_mae(spark, sf_dir):
     return metrics.dimension_mae(b.records(spark, sf_dir))
 
@@ -216,11 +216,11 @@ def authored_pair_violations(spark, sf_dir):
     return audits.authored_pair_violations(b.records(spark, sf_dir), b.pair_roles(spark, sf_dir)).select("evaluator_name", "pair_id", "members")
 
 
-@query(REC + f""", p AS (SELECT d AS decision, r.* EXCLUDE (decision) FROM rec r CROSS JOIN (VALUES ('accept'), ('reject'), ('needs_manual_review')) AS v(d) WHERE evaluator_name = 'alpha' AND {SCORED})
+@query(REC + f""", p AS (SELECT d AS decision, r.* EXCLUDE (decision) FROM rec r CROSS JOIN (VALUES ('accept'), ('reject'), ('needs_manual_review')) AS v(d) WHERE {SCORED})
 SELECT 'always-' || decision AS policy, count(*) AS total, {n('decision = expected_decision')} AS correct, {n('changing')} AS changing, {n('changing AND decision = expected_decision')} AS changing_correct,
 {ratio(n('decision = expected_decision'), 'count(*)')} AS agreement, {ratio(n('changing AND decision = expected_decision'), n('changing'))} AS target_accuracy FROM p GROUP BY decision""")
 def constant_policy_controls(spark, sf_dir):
-    return audits.constant_policies(b.records(spark, sf_dir).where("evaluator_name = 'alpha'"))
+    return audits.constant_policies(b.records(spark, sf_dir))
 
 
 @query(REC + f"""SELECT coalesce(operator, 'canonical') AS operator, {ratio(n("ok AND evaluator_name = 'alpha'"), n("evaluator_name = 'alpha'"))} AS accuracy_alpha,
@@ -242,9 +242,8 @@ def cluster_tallies(spark, sf_dir):
 
 @query(None)
 def cluster_bootstrap(spark, sf_dir):
-    """Clusters here are orders' customers' segments of a hundred, so that they are few."""
-    rows = b.records(spark, sf_dir).withColumn("parent_id", F.concat(F.lit("g"), F.pmod(F.xxhash64(F.coalesce("parent_id", "case_id")), F.lit(50)))).withColumn("case_kind", F.lit("mutated"))
-    return resample.cluster_bootstrap(rows, resamples=200)
+    """All clusters of the records, 2,000 resamples."""
+    return resample.cluster_bootstrap(b.records(spark, sf_dir))
 
 
 @query(None)
@@ -280,12 +279,12 @@ def record_violations(spark, sf_dir):
 
 # repeats and outcomes
 
-@query(OUT + f""", c AS (SELECT condition, case_id, count(DISTINCT repeat_index) AS seen, count(DISTINCT decision) AS decisions, max(units) - min(units) AS spread FROM out WHERE repeat_index < 3 GROUP BY ALL)
+@query(OUT + f""", c AS (SELECT condition, case_id, count(DISTINCT repeat_index) AS seen, count(DISTINCT decision) AS decisions, max(units) - min(units) AS spread FROM out GROUP BY ALL)
 SELECT condition, count(*) AS cases_compared, {n('seen >= 3 AND decisions = 1')} AS unanimous, {n('seen >= 3 AND decisions > 1')} AS flipped, {n('seen < 3')} AS incomplete,
 {ratio(n('seen >= 3 AND decisions = 1'), 'count(*)')} AS unanimity_rate, {ratio(n('seen >= 3 AND decisions = 1'), n('seen >= 3'))} AS complete_rate,
 coalesce(CAST(sum(spread) FILTER (seen >= 3) * 100 AS DOUBLE) / nullif(CAST({n('seen >= 3')} AS DOUBLE), 0) / 1000000, 0) AS mean_spread FROM c GROUP BY condition""")
 def repeat_stability(spark, sf_dir):
-    rows = b.outcomes(spark, sf_dir).where("repeat_index < 3").withColumn("confidence", F.col("units") / F.lit(10000.0))
+    rows = b.outcomes(spark, sf_dir).withColumn("confidence", F.col("units") / F.lit(10000.0))
     return repeats.repeat_stability(rows, 3, ("condition",))
 
 
@@ -377,9 +376,9 @@ def opaque_handle(spark, sf_dir):
     return b.read(spark, sf_dir, "orders").select("o_orderkey", hashing.opaque_handle(F.concat(F.lit("o"), "o_orderkey")).alias("handle"))
 
 
-@query("""SELECT item_id, CAST((row_number() OVER (ORDER BY sha256('b' || item_id)) - 1) // 3 AS INTEGER) AS batch FROM benchmark""")
+@query("""SELECT doc_id, (row_number() OVER (ORDER BY sha256('b' || doc_id)) - 1) // 50 AS batch FROM documents""")
 def hash_batches(spark, sf_dir):
-    return planning.hash_batches(b.read(spark, sf_dir, "benchmark").select("item_id"), F.concat(F.lit("b"), "item_id"), 3)
+    return planning.hash_batches(b.read(spark, sf_dir, "documents").select("doc_id"), F.concat(F.lit("b"), "doc_id"), 50)
 
 
 @query(r"""SELECT page_id, host, host = 'localhost' OR regexp_matches(host, '\.(localhost|local)$') OR regexp_matches(host, '(^|\.)example\.(com|org|net|edu)$') AS reserved
@@ -389,9 +388,13 @@ def reserved_hosts(spark, sf_dir):
     return p.withColumn("reserved", safety.is_reserved_name(F.col("host")))
 
 
-@query(r"""SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, 'CVE-\d{4}-\d{4,}'), lambda x: substr(x, 5, 4) <> '2099'))) = [] AS clean FROM documents""")
+@query(r"""SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(t, '(?i)CVE-\d{4}-\d{4,}'), lambda x: substr(x, 5, 4) <> '2099'))) AS ids FROM (
+SELECT doc_id, coalesce(text, '') || ' see Cve-' || CAST(2000 + doc_id % 100 AS VARCHAR) || '-' || CAST(10000 + doc_id AS VARCHAR) || ' and CVE-2099-1234, cve-2021-44' || (doc_id % 90 + 10) AS t FROM documents)""")
 def real_year_cves(spark, sf_dir):
-    return b.read(spark, sf_dir, "documents").select("doc_id", (F.size(safety.real_year_cves(F.col("text"))) == 0).alias("clean"))
+    """Texts of documents with references behind them."""
+    year, number = (2000 + F.col("doc_id") % 100).cast("string"), (10000 + F.col("doc_id")).cast("string")
+    told = F.concat(F.coalesce("text", F.lit("")), F.lit(" see Cve-"), year, F.lit("-"), number, F.lit(" and CVE-2099-1234, cve-2021-44"), (F.col("doc_id") % 90 + 10).cast("string"))
+    return b.read(spark, sf_dir, "documents").select("doc_id", safety.real_year_cves(told).alias("ids"))
 
 
 TOK = r"""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*') AS t FROM documents)

@@ -39,6 +39,6 @@ def is_reserved_host(host: Column) -> Column:
 
 
 def real_year_cves(text: Column) -> Column:
-    """Sorted distinct CVE ids whose year is not the placeholder 2099."""
-    found = F.regexp_extract_all(text, F.lit(r"(CVE-\d{4}-\d{4,})"))
+    """Sorted distinct CVE ids, in any case, whose year is not the placeholder 2099."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)(CVE-\d{4}-\d{4,})"))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.substring(x, 5, 4) != "2099")))

@@ -96,6 +96,11 @@ def in_range() -> Column:
     return c.isNotNull() & ~F.isnan(c) & c.between(0.0, 1.0)
 
 
+def exact(value: Column) -> Column:
+    """A double as the decimal that it is written as, so that sums do not depend on the order of rows."""
+    return value.cast("decimal(28,18)")
+
+
 def confidence_bin(bins: int = 10) -> Column:
     """Equal bins with edges b / bins; the last one is closed."""
     c = F.col("confidence")
@@ -106,11 +111,11 @@ def confidence_bin(bins: int = 10) -> Column:
 
 
 def calibration_bins(records: DataFrame, by: Sequence[str] = BY, bins: int = 10) -> DataFrame:
-    """Per bin: rows, mean confidence, accuracy.  Confidences are summed as thousandths, exactly, if they have three decimals at most."""
+    """Per bin: rows, mean confidence, accuracy.  Confidences are summed exactly, as decimals."""
     rows = records.where(scored() & in_range()).withColumn("bin", confidence_bin(bins))
-    total = F.sum(F.round(F.col("confidence") * 1000).cast("long"))
+    total = F.sum(exact(F.col("confidence"))).cast("double")
     out = rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), total.alias("t"), n(is_correct()).alias("correct"))
-    return out.select(*by, "bin", "n", "correct", (ratio("t", "n") / 1000).alias("mean_confidence"), ratio("correct", "n").alias("accuracy"))
+    return out.select(*by, "bin", "n", "correct", ratio("t", "n").alias("mean_confidence"), ratio("correct", "n").alias("accuracy"))
 
 
 def calibration_error(records: DataFrame, by: Sequence[str] = BY, bins: int = 10) -> DataFrame:
@@ -123,12 +128,12 @@ def calibration_error(records: DataFrame, by: Sequence[str] = BY, bins: int = 10
 
 
 def dimension_mae(records: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Mean absolute error of every dimension that has an expectation; values count as millionths."""
+    """Mean absolute error of every dimension that has an expectation; errors are summed exactly, as decimals."""
     rows = records.where(scored()).select(*by, F.explode(F.array(*map(F.lit, DIMENSIONS))).alias("dimension"), "dimensions", "expected_dimensions")
-    gap = F.abs(F.col("dimensions")[F.col("dimension")] - F.col("expected_dimensions")[F.col("dimension")])
+    gap = F.abs(exact(F.col("dimensions")[F.col("dimension")]) - exact(F.col("expected_dimensions")[F.col("dimension")]))
     out = rows.select(*by, "dimension", gap.alias("gap")).where("gap is not null")
-    out = out.groupBy(*by, "dimension").agg(F.count("*").alias("n"), F.sum(F.round(F.col("gap") * 1_000_000).cast("long")).alias("micros"))
-    return out.select(*by, "dimension", "n", (ratio("micros", "n") / 1_000_000).alias("mae"))
+    out = out.groupBy(*by, "dimension").agg(F.count("*").alias("n"), F.sum("gap").cast("double").alias("total"))
+    return out.select(*by, "dimension", "n", ratio("total", "n").alias("mae"))
 
 
 def per_class_accuracy(records: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -151,16 +156,16 @@ def _tallies(bins: int = 10) -> list[Column]:
         n(is_changing()).alias("t_due"), n(is_changing() & is_correct()).alias("matched"),
         n(canonical & scored()).alias("c_due"), n(canonical & is_correct()).alias("c_hit"),
     ]
-    thousandths = F.round(F.col("confidence") * 1000).cast("long")
+    confidence = exact(F.col("confidence"))
     for k in range(bins):
         here = scored() & in_range() & (confidence_bin(bins) == k)
-        out += [n(here).alias(f"n_{k}"), F.sum(F.when(here, thousandths)).alias(f"s_{k}"), n(here & is_correct()).alias(f"k_{k}")]
+        out += [n(here).alias(f"n_{k}"), F.sum(F.when(here, confidence)).cast("double").alias(f"s_{k}"), n(here & is_correct()).alias(f"k_{k}")]
     return out
 
 
 def _rates(bins: int = 10) -> dict[str, Column]:
     """Metrics from :func:`_tallies`; the calibration error adds the bins in order."""
-    gaps = [F.coalesce(F.col(f"n_{k}") * F.abs(ratio(f"s_{k}", f"n_{k}") / 1000 - ratio(f"k_{k}", f"n_{k}")), F.lit(0.0)) for k in range(bins)]
+    gaps = [F.coalesce(F.col(f"n_{k}") * F.abs(ratio(f"s_{k}", f"n_{k}") - ratio(f"k_{k}", f"n_{k}")), F.lit(0.0)) for k in range(bins)]
     weighted, seen = F.lit(0.0), F.lit(0)
     for k, gap in enumerate(gaps):
         weighted, seen = weighted + gap, seen + F.col(f"n_{k}")

@@ -58,18 +58,50 @@ def ledger_tallies(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def numbered(rows: DataFrame, key: Column, parts: int = 256) -> DataFrame:
+    """``rows`` with ``place``, their number from 0 on in the order of the SHA-256 of ``key``: numbers within ranges of hashes, and how many rows
+    the ranges before hold (a row for each range)."""
+    rows = rows.withColumn("_hash", F.sha2(key, 256)).withColumn("_range", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int") % 65536 * parts / 65536)
+    rows = rows.withColumn("_range", F.col("_range").cast("int"))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_hash")) - 1
+    return rows.withColumn("_within", within).join(before, "_range").withColumn("place", F.col("_before") + F.col("_within")).drop("_hash", "_range", "_within", "_before")
+
+
 def hash_batches(rows: DataFrame, key: Column, size: int) -> DataFrame:
-    """Rows in hash order, cut into batches of ``size``; a global order, so for selections of moderate size."""
-    at = F.row_number().over(Window.orderBy(F.sha2(key, 256))) - 1
-    return rows.withColumn("batch", F.floor(at / size).cast("int"))
+    """Rows in hash order, cut into batches of ``size``."""
+    return numbered(rows, key).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
+
+
+def eligibility(specs: DataFrame) -> DataFrame:
+    """What each operator of ``specs`` (operator, category, degrading, presentation) can be measured by."""
+    note = (
+        F.when(F.col("presentation"), "accepting broken content more often counts; equal decisions say nothing about quality")
+        .when(F.col("degrading"), "equal decisions are misses").otherwise("equal decisions are stability only")
+    )
+    return specs.select("operator", "category", "degrading", "presentation", F.col("degrading").alias("detection_eligible"), F.col("presentation").alias("susceptibility_eligible"), note.alias("invariance"))
+
+
+def plan_counts(plan: DataFrame) -> DataFrame:
+    """Cases per policy of a :func:`rotation`."""
+    return plan.groupBy("policy").agg(F.count("*").alias("cases"), F.countDistinct("fixture_id").alias("fixtures"))
+
+
+def case_slice(cases: DataFrame, offset: int, most: int) -> DataFrame:
+    """Cases offset .. offset + most - 1 by case_id; an offset beyond the last case is an error."""
+    rows = cases.select("case_id").distinct()
+    if offset < 0 or most < 1 or offset >= rows.count():
+        raise ValueError("the slice is outside the cases")
+    return cases.join(rows.orderBy("case_id").offset(offset).limit(most), "case_id", "left_semi")
 
 
 def dimension_deltas(base: Column, deltas: dict[str, float]) -> Column:
-    """Dimension map with deltas added (0.5 where the base lacks one), within [0, 1]."""
+    """Dimension map with deltas added (0.5 where the base lacks one), rounded to thousandths, within [0, 1]."""
     names = sorted(deltas)
     changed = F.map_from_arrays(
         F.array(*map(F.lit, names)),
-        F.array(*(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at(base, F.lit(d)), F.lit(0.5)) + deltas[d])) for d in names)),
+        F.array(*(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(F.coalesce(F.try_element_at(base, F.lit(d)), F.lit(0.5)) + deltas[d], 3))) for d in names)),
     ) if names else F.create_map().cast("map<string,double>")
     kept = F.map_filter(base, lambda k, v: ~k.isin(*names)) if names else base
     return F.map_concat(kept, changed) if names else base

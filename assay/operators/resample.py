@@ -1,8 +1,10 @@
 """Bootstrap intervals.
 
-Draws come from CPython's generator on the driver, as results must repeat for a seed;
-they become a small table of multiplicities that is joined with tallies per cluster, so
-records are read once however many resamples there are.
+The bootstrap of clusters makes its draws in tasks: a cluster takes part in a resample a binomial number of times,
+and the clusters of a block share a fixed number of draws that was split over the blocks, so every resample has exactly as many
+draws as there are clusters and no list of draws passes through the driver.  Draws are seeded by (seed, block), and blocks are
+runs of the clusters in hash order, so results repeat for a seed and do not depend on the layout of the input.
+:func:`draws` gives the draws of CPython's generator, for comparison on small inputs.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.schema import is_correct
@@ -43,38 +47,87 @@ def draws(spark, clusters: int, resamples: int, seed: int) -> DataFrame:
     return spark.createDataFrame(rows, "resample int, ordinal int, times int")
 
 
-def cluster_bootstrap(records: DataFrame, resamples: int = 2000, ci: float = 0.95, seed: int = 0, pair_ids: DataFrame | None = None, max_clusters: int = 5_000) -> DataFrame:
-    """(name, lo, hi, mean, observed): accuracy of every evaluator, and the difference of the first two by name on the same draws.
+#: Clusters whose draws are made together.
+BLOCK = 2_000
 
-    The draws are made on the driver, so the number of clusters is bounded by
-    ``max_clusters``; the row bootstrap takes any size.
-    """
-    low, high = percentile_indices(resamples, ci)
-    spark = records.sparkSession
-    tallies = cluster_tallies(records, pair_ids)
-    order = tallies.groupBy("cluster").agg(F.min("first_row").alias("first_row"))
-    n = order.count()
+
+def _sums(tallies: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(evaluator_name, resample, correct, cases) over resamples of the clusters of ``tallies``."""
+    per_cluster = tallies.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("evaluator_name", "correct", "cases"))).alias("t"))
+    n = per_cluster.count()
     if not n:
         raise ValueError("no clusters to draw from")
-    if n > max_clusters:
-        raise ValueError(f"{n} clusters are more than max_clusters = {max_clusters}")
-    order = order.withColumn("ordinal", F.row_number().over(Window.orderBy("first_row", "cluster")) - 1)
-    drawn = draws(spark, n, resamples, seed).join(F.broadcast(order.select("cluster", "ordinal")), "ordinal").join(tallies, "cluster")
-    acc = drawn.groupBy("evaluator_name", "resample").agg((F.sum(F.col("times") * F.col("correct")) / F.sum(F.col("times") * F.col("cases"))).alias("value"))
+    blocks = -(-n // BLOCK)
+    placed = per_cluster.withColumn("block", F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int"))
+    sizes = {r["block"]: r["count"] for r in placed.groupBy("block").count().collect()}  # a number for each block
+    order = sorted(sizes)
+    # of each resample, how many draws fall into each block
+    shares = np.random.default_rng([seed, n]).multinomial(n, np.array([sizes[k] for k in order], float) / n, resamples)
+    split = tallies.sparkSession.sparkContext.broadcast({k: shares[:, j].astype(np.int32) for j, k in enumerate(order)})
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        pdf = pdf.sort_values("cluster")
+        names = sorted({x["evaluator_name"] for t in pdf["t"] for x in t})
+        values = np.zeros((len(pdf), 2 * len(names)))
+        for i, t in enumerate(pdf["t"]):
+            for x in t:
+                j = 2 * names.index(x["evaluator_name"])
+                values[i, j : j + 2] += x["correct"], x["cases"]
+        rng, out = np.random.default_rng([seed, 1, block]), np.empty((resamples, values.shape[1]))
+        for r, m in enumerate(split.value[block]):
+            out[r] = np.bincount(rng.integers(0, len(pdf), m), minlength=len(pdf)) @ values
+        parts = [pd.DataFrame({"evaluator_name": name, "resample": np.arange(resamples), "correct": out[:, 2 * j], "cases": out[:, 2 * j + 1]}) for j, name in enumerate(names)]
+        return pd.concat(parts).astype({"correct": "int64", "cases": "int64"})
+
+    made = placed.groupBy("block").applyInPandas(draw, "evaluator_name string, resample int, correct long, cases long")
+    return made.groupBy("evaluator_name", "resample").agg(F.sum("correct").alias("correct"), F.sum("cases").alias("cases"))
+
+
+def cluster_bootstrap(records: DataFrame, resamples: int = 2000, ci: float = 0.95, seed: int = 0, pair_ids: DataFrame | None = None) -> DataFrame:
+    """(name, lo, hi, mean, observed): accuracy of every evaluator, and the difference of the first two by name on the same draws."""
+    low, high = percentile_indices(resamples, ci)
+    tallies = cluster_tallies(records, pair_ids)
+    acc = _sums(tallies, resamples, seed).select("evaluator_name", "resample", (F.col("correct") / F.nullif("cases", F.lit(0))).alias("value"))
+    # one row for each evaluator and resample, however many records there are
     names = sorted(r[0] for r in tallies.select("evaluator_name").distinct().collect())
     observed = tallies.groupBy("evaluator_name").agg((F.sum("correct") / F.sum("cases")).alias("observed"))
-    out = acc.select(F.col("evaluator_name").alias("name"), "value")
+    out = acc.select(F.col("evaluator_name").alias("name"), "resample", "value")
     seen = observed.select(F.col("evaluator_name").alias("name"), "observed")
     if len(names) > 1:
         a, b = names[:2]
-        both = acc.where(F.col("evaluator_name").isin(a, b)).groupBy("resample").agg(
-            F.coalesce(F.max(F.when(F.col("evaluator_name") == b, F.col("value"))), F.lit(0.0)).alias("vb"), F.coalesce(F.max(F.when(F.col("evaluator_name") == a, F.col("value"))), F.lit(0.0)).alias("va"),
-        )
-        out = out.unionByName(both.select(F.lit(f"{b} minus {a}").alias("name"), (F.col("vb") - F.col("va")).alias("value")))
-        seen = seen.unionByName(observed.agg((F.max(F.when(F.col("evaluator_name") == b, F.col("observed"))) - F.max(F.when(F.col("evaluator_name") == a, F.col("observed")))).alias("observed")).select(F.lit(f"{b} minus {a}").alias("name"), "observed"))
-    ranked = out.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1)
-    ends = ranked.groupBy("name").agg(F.max(F.when(F.col("at") == low, F.col("value"))).alias("lo"), F.max(F.when(F.col("at") == high, F.col("value"))).alias("hi"), F.avg("value").alias("mean"))
-    return ends.join(seen, "name")
+
+        def side(rows: DataFrame, name: str, value: str):
+            return F.coalesce(F.max(F.when(F.col("evaluator_name") == name, F.col(value))), F.lit(0.0))
+
+        gap = F.lit(f"{b} minus {a}").alias("name")
+        out = out.unionByName(acc.groupBy("resample").agg((side(acc, b, "value") - side(acc, a, "value")).alias("value")).select(gap, "resample", "value"))
+        seen = seen.unionByName(observed.agg((side(observed, b, "observed") - side(observed, a, "observed")).alias("observed")).select(gap, "observed"))
+    ranked = out.groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    mean = F.aggregate("v", F.lit(0.0), lambda x, y: x + y) / F.size("v")
+    return ranked.select("name", F.get("v", F.lit(low)).alias("lo"), F.get("v", F.lit(high)).alias("hi"), mean.alias("mean")).join(seen, "name")
+
+
+def flip_interval(flips: DataFrame, resamples: int = 2000, ci: float = 0.95, seed: int = 0) -> DataFrame:
+    """(lo, hi) of the share of flips in ``flips`` (group, flip: 0 or 1), groups drawn whole; no values below two groups.
+
+    The ends of this interval stand at int(tail * (resamples - 1)).
+    """
+    tallies = flips.groupBy("group").agg(F.sum("flip").cast("long").alias("correct"), F.count("*").alias("cases"))
+    groups = tallies.count()
+    if groups < 2:
+        return flips.sparkSession.createDataFrame([(None, None)], "lo double, hi double")
+    sums = _sums(tallies.select(F.lit("flips").alias("evaluator_name"), F.col("group").alias("cluster"), "correct", "cases"), resamples, seed)
+    ordered = sums.agg(F.sort_array(F.collect_list(F.col("correct") / F.col("cases"))).alias("v"))
+    tail = (1 - ci) / 2
+    return ordered.select(F.get("v", F.lit(int(tail * (resamples - 1)))).alias("lo"), F.get("v", F.lit(int((1 - tail) * (resamples - 1)))).alias("hi"))
+
+
+def pair_merge(records: DataFrame, pair_ids: DataFrame) -> DataFrame:
+    """(pair_merge, mapped): ``applied`` if any report belongs to a pair, else ``skipped``."""
+    base = records.select(F.coalesce("parent_id", "case_id").alias("case_id")).distinct()
+    mapped = base.join(pair_ids.select("case_id").distinct(), "case_id", "left_semi").agg(F.count("*").alias("mapped"))
+    return mapped.select(F.when(F.col("mapped") > 0, "applied").otherwise("skipped").alias("pair_merge"), "mapped")
 
 
 def row_bootstrap(records: DataFrame, resamples: int = 2000, ci: float = 0.95, seed: int = 0) -> DataFrame:
@@ -86,8 +139,6 @@ def row_bootstrap(records: DataFrame, resamples: int = 2000, ci: float = 0.95, s
     counts = records.where("expected_decision is not null").groupBy("evaluator_name").agg(F.count("*").alias("n"), F.count_if(is_correct()).alias("correct")).collect()
     rows = []
     for r in sorted(counts):
-        import numpy as np
-
         values = np.sort(np.random.default_rng(seed).binomial(r["n"], r["correct"] / r["n"], resamples)) / r["n"]
         rows.append((r["evaluator_name"], float(values[low]), r["correct"] / r["n"], float(values[high])))
     return records.sparkSession.createDataFrame(rows, "evaluator_name string, lo double, point double, hi double")

@@ -2,7 +2,8 @@
 
 orders are canonical reports, line items their mutated children, by two evaluators
 ``alpha`` and ``beta``; events are outcomes of repeated runs.  Line items are made
-unique by (order, line) with the least value of every column.
+unique by (order, line) with the least value of every column.  All rows of the tables take part; so that there are
+orphans and odd pairs, some rows name a parent or pair that does not exist.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).alias("level"),
         F.when(F.col("o_orderstatus") == "F", "valid").when(F.col("o_orderstatus") == "O", "invalid").otherwise("review").alias("report_class"),
     )
-    parents = orders.where("o_orderkey % 10 <> 0").select(
+    parents = orders.select(
         F.concat(F.lit("o"), "o_orderkey").alias("case_id"), F.lit("canonical").alias("case_kind"), F.lit(None).cast("string").alias("parent_id"),
         F.lit(None).cast("string").alias("operator"), "report_class", class_default("report_class").alias("target"), F.col("o_orderkey").alias("key"),
         _dims("o_custkey").alias("expected_dimensions"), _dims("o_orderkey").alias("dimensions"), "level", "o_custkey",
@@ -61,7 +62,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.withColumn("operator", operator)
     children = items.select(
         F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber").alias("case_id"), F.lit("mutated").alias("case_kind"),
-        F.concat(F.lit("o"), "l_orderkey").alias("parent_id"), "operator", "report_class", target.alias("target"), F.col("l_orderkey").alias("key"),
+        F.concat(F.when(F.col("l_orderkey") % 10 == 0, "x").otherwise("o"), "l_orderkey").alias("parent_id"), "operator", "report_class", target.alias("target"), F.col("l_orderkey").alias("key"),
         _dims("l_partkey").alias("expected_dimensions"), _dims("3 * l_suppkey").alias("dimensions"), "l_returnflag", "l_linestatus", "l_discount", "l_tax",
     )
     children = _both(
@@ -75,10 +76,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders 2k and 2k + 1 as an authored pair; every ninth pair lacks its second member."""
+    """Orders 2k and 2k + 1 as an authored pair; the second member of every ninth pair names another one."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 2).cast("long").alias("pair"))
-    o = o.where("not (o_orderkey % 2 = 1 and pair % 9 = 0)")
-    return o.select(F.concat(F.lit("o"), "o_orderkey").alias("case_id"), F.concat(F.lit("p"), "pair").alias("pair_id"), F.when(F.col("o_orderkey") % 2 == 0, "plain").otherwise("polished").alias("pair_role"))
+    other = (F.col("o_orderkey") % 2 == 1) & (F.col("pair") % 9 == 0)
+    return o.select(F.concat(F.lit("o"), "o_orderkey").alias("case_id"), F.concat(F.when(other, "q").otherwise("p"), "pair").alias("pair_id"), F.when(F.col("o_orderkey") % 2 == 0, "plain").otherwise("polished").alias("pair_role"))
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +98,8 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of an order as votes of three models on a pair."""
-    rows = read(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.min("l_partkey").alias("p"))
+    """Line items of an order as votes of three models on a pair: a model's vote is the least over its lines."""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", ((F.col("l_linenumber") - 1) % 3 + 1).alias("l_linenumber")).agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.min("l_partkey").alias("p"))
     answer = F.when(F.col("f") == "A", "yes").when(F.col("f") == "N", "no").otherwise("uncertain")
     return rows.select(
         F.concat(F.lit("o"), "l_orderkey").alias("pair_id"), F.concat(F.lit("m"), "l_linenumber").alias("model"), answer.alias("quality_changed"),

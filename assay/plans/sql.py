@@ -28,9 +28,9 @@ plain AS (
          {_DEFAULT.format(c='report_class')} AS target, o_orderkey AS k, {_dims('e', 'o_custkey')}, {_dims('a', 'o_orderkey')},
          CASE WHEN lvl IN ('1', '2') THEN 'accept' WHEN lvl = '3' THEN 'needs_manual_review' ELSE 'reject' END AS d1, CAST(o_custkey % 11 AS INTEGER) AS c1,
          CASE o_custkey % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'needs_manual_review' END AS d2, CAST(o_orderkey % 11 AS INTEGER) AS c2
-  FROM ord WHERE o_orderkey % 10 <> 0
+  FROM ord
   UNION ALL
-  SELECT 'l' || l_orderkey || '-' || l_linenumber, 'mutated', 'o' || l_orderkey, op, report_class,
+  SELECT 'l' || l_orderkey || '-' || l_linenumber, 'mutated', CASE WHEN l_orderkey % 10 = 0 THEN 'x' ELSE 'o' END || l_orderkey, op, report_class,
          CASE WHEN op = 'impossible_precondition' THEN 'reject'
               WHEN report_class = 'valid' AND op IN ('remove_reproduction_step', 'scope_expansion') THEN 'needs_manual_review'
               ELSE {_DEFAULT.format(c='report_class')} END,
@@ -54,8 +54,8 @@ kin AS (
 
 PAIRS = REC + """,
 role AS (
-  SELECT 'o' || o_orderkey AS case_id, 'p' || (o_orderkey // 2) AS pair_id, CASE WHEN o_orderkey % 2 = 0 THEN 'plain' ELSE 'polished' END AS pair_role
-  FROM orders WHERE NOT (o_orderkey % 2 = 1 AND (o_orderkey // 2) % 9 = 0)),
+  SELECT 'o' || o_orderkey AS case_id, CASE WHEN o_orderkey % 2 = 1 AND (o_orderkey // 2) % 9 = 0 THEN 'q' ELSE 'p' END || (o_orderkey // 2) AS pair_id, CASE WHEN o_orderkey % 2 = 0 THEN 'plain' ELSE 'polished' END AS pair_role
+  FROM orders),
 duo AS (
   SELECT evaluator_name, pair_id, count(*) AS members,
          max(CASE WHEN pair_role = 'plain' THEN decision END) AS a, max(CASE WHEN pair_role = 'polished' THEN decision END) AS b,
@@ -77,7 +77,7 @@ out AS (
 
 VOTES = """
 WITH vote AS (
-  SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f, min(l_partkey) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+  SELECT l_orderkey, (l_linenumber - 1) % 3 + 1 AS model, min(l_returnflag) AS f, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
 tally AS (
   SELECT 'o' || l_orderkey AS pair_id, count(*) AS voted,
          count(*) FILTER (f = 'A') AS qy, count(*) FILTER (f = 'N') AS qn, count(*) FILTER (p % 3 = 0) AS ay, count(*) FILTER (p % 3 = 1) AS an
