@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import hashing, safety, text
 from assay.operators import audits, integrity, metrics, planning, repeats, resample
 from assay.plans import bindings as b
 from assay.plans.sql import OUT, PAIRS, REC, VOTES, n, ratio
+from assay.registry import query
 
 
 FLAGSHIP = "decision_accuracy"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
 
 
 SCORED = "expected_decision IS NOT NULL"

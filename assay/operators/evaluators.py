@@ -165,6 +165,20 @@ def _clamped(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+FINDINGS = "array<struct<code:string,severity:string,evidence:string>>"
+#: Characters of evidence that a finding keeps.
+EVIDENCE = 80
+
+
+def first_hit(patterns: tuple[str, ...]) -> Column:
+    """What the first of the patterns that occurs in the report matches, else NULL."""
+    return F.coalesce(*(F.nullif(F.regexp_extract("raw_text", f"(?iu)({p})", 1), F.lit("")) for p in patterns))
+
+
+def _finding(when: Column, code: str, severity: str, evidence: Column | None = None) -> Column:
+    return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.lit("") if evidence is None else F.substring(evidence, 1, EVIDENCE)).alias("evidence")))
+
+
 @dataclass(frozen=True)
 class Evaluator:
     """A named evaluator: expressions over the columns of a structured report, in steps that may use each other's columns."""
@@ -173,14 +187,16 @@ class Evaluator:
     steps: tuple[Callable[[], dict[str, Column]], ...]
     result: Callable[[], Column]
     needs_labels: bool = False
+    found: Callable[[], Column] | None = None
 
-    def apply(self, reports: DataFrame) -> DataFrame:
-        """(report_id, evaluator_name, decision, confidence, dimensions); labels are dropped first unless needed."""
+    def apply(self, reports: DataFrame, findings: bool = False) -> DataFrame:
+        """(report_id, evaluator_name, decision, confidence, dimensions and, if wanted, findings); labels are dropped first unless needed."""
         labels = [c for c in reports.columns if c.startswith("expected_") or c in ("report_class", "correct")]
         rows = reports if self.needs_labels else reports.drop(*labels)
         for step in self.steps:
             rows = rows.withColumns(step())
-        return rows.select("report_id", F.lit(self.name).alias("evaluator_name"), self.result().alias("r")).select("report_id", "evaluator_name", "r.*")
+        listed = [(self.found() if self.found else F.array().cast(FINDINGS)).alias("findings")] if findings else []
+        return rows.select("report_id", F.lit(self.name).alias("evaluator_name"), self.result().alias("r"), *listed).select("report_id", "evaluator_name", "r.*", *(["findings"] if findings else []))
 
 
 def _rules_signals() -> dict[str, Column]:
@@ -224,6 +240,23 @@ def _rules_result() -> Column:
     return _result(decision, confidence, dims)
 
 
+def _rules_findings() -> Column:
+    """Findings in the order of the checks; of most kinds the first hit only, of fabrications each pattern's."""
+    c = F.col
+    noise = F.regexp_extract("raw_text", r"(?imu)^#{1,3}\s+(additional context|background information)\s*$", 1)
+    made = [_finding(~present(k), f"MISSING_SECTION_{k.upper()}", "medium") for k in SECTION_PATTERNS]
+    made += [_finding(c("has_steps") & (c("steps") == 0), "EMPTY_REPRO_STEPS", "high"), _finding(c("has_steps") & c("steps").between(1, 2), "THIN_REPRO_STEPS", "medium")]
+    made += [_finding(c("raw_text").rlike(f"(?iu){p}"), "FABRICATED_IDENTIFIER_CLAIM", "high", first_hit((p,))) for p in FABRICATION]
+    made += [
+        _finding(c("sco") > 0, "SCOPE_EXPANSION_CLAIM", "medium", first_hit(SCOPE_EXPANSION)), _finding(c("inf") > 0, "IMPACT_INFLATION_LANGUAGE", "medium", first_hit(INFLATION)),
+        _finding(c("denied"), "NO_SECURITY_BOUNDARY_STATED", "high", first_hit(NO_BOUNDARY)), _finding(c("denied_if"), "CONDITIONAL_BOUNDARY_STATEMENT", "medium", first_hit(NO_BOUNDARY)),
+        _finding(c("con") > 0, "CLAIM_EVIDENCE_CONFLICT", "critical", first_hit(CONTRADICTION)), _finding(~c("has_versions"), "MISSING_AFFECTED_VERSIONS", "low"),
+        _finding(c("att") > 0, "ATTRIBUTION_CLAIM_UNVERIFIED", "medium", first_hit(ATTRIBUTION)), _finding(c("refs"), "UNVERIFIED_REFERENCE_BLOCK", "low"),
+        _finding(c("noise") > 0, "TANGENTIAL_CONTENT_SECTION", "info", noise), _finding(c("unc") > 0, "SELF_DECLARED_UNCERTAINTY", "medium", first_hit(UNCERTAINTY)),
+    ]
+    return F.array_compact(F.array(*made)).cast(FINDINGS)
+
+
 def _graph_nodes() -> dict[str, Column]:
     def claims(t):
         return t.rlike(f"(?iu){SEVERITY_WORDS}") | t.rlike(f"(?iu){CONSEQUENCE_WORDS}")
@@ -265,9 +298,7 @@ def _graph_result() -> Column:
 #: Distinct tokens that a section needs for full marks.
 TOKEN_TARGETS = {"summary": 6, "affected_component": 1, "affected_versions": 1, "preconditions": 6, "reproduction_steps": 6, "observed_result": 6, "expected_security_boundary": 6}
 # Words without content.
-STOP_WORDS = (
-    "a an and are as at be been being but by for from had has have he her his i in is it its of on or our she that the their them there these they this to was we were will with you your"
-).split()
+STOP_WORDS = "a an and are as at be been being but by for from had has have he her his i in is it its of on or our she that the their them there these they this to was we were will with you your".split()
 
 
 def content_tokens(text: Column) -> Column:
@@ -319,7 +350,7 @@ def _oracle_result() -> Column:
     )
 
 
-RULES = Evaluator("rules-baseline", (_rules_signals, _rules_dimensions), _rules_result)
+RULES = Evaluator("rules-baseline", (_rules_signals, _rules_dimensions), _rules_result, found=_rules_findings)
 GRAPH = Evaluator("evidence-graph-baseline", (_graph_nodes, _graph_edges), _graph_result)
 TEXT_QUALITY = Evaluator("text-quality-baseline", (_quality_texts, _quality_counts), _quality_result)
 ORACLE = Evaluator("oracle", (), _oracle_result, needs_labels=True)
