@@ -1,43 +1,55 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
-Both models are interpolated bigram models over one vocabulary: every word of the
-corpus (lower case).  The background model counts all documents, the target model those
-marked as target; both smooth alike.  Words and (previous, word) pairs are counted exactly,
-as 64-bit hashes, in grouped Spark tables that grow with the corpus.  Documents are
-scored by joining their pairs with the table of pairs.  The few words and pairs that
-are frequent enough to crowd a task are looked up in a broadcast instead, with the same values.
-
-score = target cross-entropy less background cross-entropy, in nats per token; lower is
-closer to the target.
-Defined results: texts without words score 0 with n_tokens 0; null texts count as empty;
-repeated rows count each time; without target documents the target model is uniform.
+Two bigram models are matched: one vocabulary (every word of the corpus, in lower case), one smoothing, exact counts.  The target model
+counts the documents marked as target, the background model all others; a document is scored by counts without its own, so neither model
+has seen it, but a copy of it elsewhere counts.  p(word | previous) = (c(previous, word) + LEAN / V) / (c(previous) + LEAN),
+with V the size of the vocabulary, estimated from the smallest hashes.
+
+1. Words and pairs that may make up one in HOT tokens are found from what is frequent in any stretch of texts; they are counted
+   exactly and broadcast (at most 2 * HOT of each), so no bucket of hashes gets all occurrences of one.
+2. Every document's other pairs and previous words go, as 64-bit hashes with their number in the document, to the bucket of the hash; a
+   stretch of documents sends one packed block to each bucket.  A bucket adds up exact counts of its hashes, and
+   answers each stretch with sums per document.  Counts grow with the corpus and are never cut off.
+3. The answers of a stretch meet its list of documents, and give the scores.
+
+score = target cross-entropy less background cross-entropy, in nats per token; lower is closer to the target.
+Defined results: texts without words, and null texts, score 0 with n_tokens 0; null ids are scored and belong to the background; rows that
+share an id are documents of their own, all target if the id is; repeated rows count each time, as copies of each other; texts of any length count whole (a very long
+one is a stretch of its own); ties have no influence; an empty table gives an empty result; without target documents the target model is
+uniform; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import written
+from assay.llm.common import spent, written
 
-#: Pseudo-counts by which a bigram leans on its unigram.
+#: Pseudo-counts of a history, spread over the vocabulary.
 LEAN = 50.0
-#: Words and pairs that make up at least one in so many tokens are broadcast, so they are no more than that many.
+#: What makes up one in so many tokens is broadcast.
 HOT = 100_000
-#: Ids besides the words' hashes, which are not negative.
-START, UNKNOWN = -1, -2
+#: Tokens of a stretch, entries of a bucket, hashes kept to estimate the vocabulary, target ids that are broadcast.
+STRETCH, BUCKET, SMALLEST, FEW = 1_000_000, 1_000_000, 4_096, 4_000_000
+#: The word before a text.
+START = 1 << 62
 
 
 class _Ids(dict):
-    """Word to its hash, remembered up to ``most`` words."""
+    """Word to its hash, remembered up to 400,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
@@ -46,176 +58,249 @@ _hashed = _Ids()
 
 def word_hashes(text: bytes | None) -> np.ndarray:
     words = (text or b"").lower().split()
-    return np.fromiter(map(_hashed.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(_hashed.__getitem__, words), np.uint64, len(words))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+class Stretch:
+    """Tokens of some documents: ``doc`` (number in the stretch) of each, and the hashes of the word, of the pair (even) and of the previous word (odd)."""
 
-def _texts(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select("text", *more)
+    def __init__(self, texts: list[bytes | None]):
+        words = [word_hashes(t) for t in texts]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.doc = np.repeat(np.arange(len(words)), self.sizes)
+        self.word = np.concatenate([np.empty(0, np.uint64), *words])
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+        before[first] = START
+        self.before = _mixed(before + np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+        self.pair = _mixed(_mixed(before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + self.word) & ~np.uint64(1)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word: 63-bit hash, n) over all texts."""
+def _stretches(batches, columns: list[int]):
+    """Lists of rows of some tokens; texts are the first of the columns."""
+    held, size = [], 0
+    for batch in batches:
+        cols = [batch.column(0).cast(pa.binary()).to_pylist(), *(batch.column(k).to_pylist() for k in columns[1:])]
+        for row in zip(*cols):
+            held.append(row)
+            size += len(row[0] or b"") // 5
+            if size >= STRETCH:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _frequent(rows: DataFrame) -> DataFrame:
+    """(kind, key, n): 0 and 1 for previous words and pairs that are frequent in a stretch, 2 for its smallest word hashes, 3 for its tokens."""
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                held.append(word_hashes(text))
-                size += len(held[-1])
-                if size > 2_000_000:
-                    yield _counted(np.concatenate(held))
-                    held, size = [], 0
-        if size:
-            yield _counted(np.concatenate(held))
+        for held in _stretches(batches, [0]):
+            s = Stretch([r[0] for r in held])
+            least = max(2, len(s.word) // (2 * HOT))
+            out = [(np.full(1, 3), np.zeros(1, np.uint64), np.full(1, len(s.word)))]
+            for kind, keys in ((0, s.before), (1, s.pair)):
+                found, n = np.unique(keys, return_counts=True)
+                ok = n >= least
+                out.append((np.full(ok.sum(), kind), found[ok], n[ok]))
+            low = np.unique(_mixed(s.word))[:SMALLEST]
+            out.append((np.full(len(low), 2), low, np.ones(len(low), np.int64)))
+            kind, key, n = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+
+    return rows.select("text").mapInArrow(run, "kind int, key long, n long")
+
+
+def vocabulary_size(smallest: np.ndarray) -> float:
+    """Distinct words from the smallest distinct hashes: exact below :data:`SMALLEST`."""
+    low = np.sort(smallest)[:SMALLEST]
+    return float(len(low)) if len(low) < SMALLEST else (SMALLEST - 1) / (float(low[-1]) / 2.0**64)
+
+
+def _hot_counts(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact counts of ``keys`` in (background, target) documents."""
+    shared = rows.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches):
+        known = shared.value
+        total = np.zeros((2, len(known)), np.int64)
+        for held in _stretches(batches, [0, 1]):
+            s = Stretch([r[0] for r in held])
+            target = np.array([r[1] for r in held], bool)[s.doc]
+            for found in (s.before, s.pair):
+                at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
+                ok = known[at] == found if len(known) else np.zeros(len(found), bool)
+                for t in (0, 1):
+                    total[t] += np.bincount(at[ok & (target == t)], minlength=len(known))
+        some = np.flatnonzero(total.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], ["k", "b", "t"])
 
-    return _texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # at most 4 * HOT rows, added up before they reach the driver
+    out = np.zeros((2, len(keys)), np.int64)
+    for r in rows.select("text", "target").mapInArrow(run, "k long, b long, t long").groupBy("k").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toLocalIterator():
+        out[:, r["k"]] = r["b"], r["t"]
+    return out[0], out[1]
 
 
-def _counted(words: np.ndarray) -> pa.RecordBatch:
-    found, n = np.unique(words, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["word", "n"])
+_ZIP = zstandard.ZstdCompressor(level=1)
 
 
-def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of the ``words`` most frequent words."""
-    top = word_counts(docs).orderBy(F.col("n").desc(), "word").limit(words).select("word").toPandas()
-    return np.sort(top["word"].to_numpy(np.int64))
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length as bytes: of sorted or small numbers the high bytes take next to nothing."""
+    return _ZIP.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns))
 
 
-def tokens(text: bytes | None, known: np.ndarray | None = None) -> np.ndarray:
-    """Word hashes of a text; with ``known``, UNKNOWN for any other word."""
-    h = word_hashes(text)
-    return h if known is None else np.where(np.isin(h, known), h, UNKNOWN)
+def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for kind, width in zip(kinds, widths):
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).reshape(-1))
+        at += n * width
+    return out
 
 
-def pair_keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(previous words, 64-bit keys of the pairs) of a text, the start sign before its first word."""
-    before = np.concatenate([[START], ids[:-1]]).astype(np.int64)
-    x = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = ((x ^ x >> np.uint64(32)) + ids.astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-    return before, (x ^ x >> np.uint64(32)).view(np.int64)
+class Gains:
+    """What the counts of a pair or previous word add to log p over a pair that was never seen."""
 
+    def __init__(self, size: float):
+        self.unit = LEAN / max(size, 1.0)
 
-def pair_counts(docs: DataFrame, target_ids: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """(pair, prev, word, n, n_target) over all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    def of(self, count: np.ndarray, is_history: np.ndarray) -> np.ndarray:
+        return np.where(is_history, -np.log1p(count / LEAN), np.log1p(count / self.unit))
 
-    def counted(held):
-        word, before, pair, of_target = (np.concatenate(c) for c in zip(*held))
-        found, first, back = np.unique(pair, return_index=True, return_inverse=True)
-        n = np.bincount(back, minlength=len(found)), np.bincount(back[of_target], minlength=len(found))
-        for k in range(0, len(found), 200_000):
-            part = slice(k, k + 200_000)
-            cols = found[part], before[first][part], word[first][part], n[0][part].astype(np.int64), n[1][part].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pair", "prev", "word", "n", "n_target"])
+
+def _asked(rows: DataFrame, bits: int, hot: tuple, gains: Gains) -> DataFrame:
+    """(bucket, stretch, blob): blocks of (hash, number of the document and whether it is target, times in it) for the buckets, and with a bucket below 0
+    the list of a stretch's documents: id, tokens and the sums of what is hot."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        known = shared.value
-        held, size = [], 0
-        for batch in batches:
-            for text, target in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                ids = tokens(text, known)
-                if len(ids):
-                    held.append((ids, *pair_keys(ids), np.full(len(ids), bool(target))))
-                    size += len(ids)
-                if size > 2_000_000:
-                    yield from counted(held)
-                    held, size = [], 0
-        if held:
-            yield from counted(held)
-
-    marks = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id", "left").select("text", "target")
-    found = rows.mapInArrow(run, "pair long, prev long, word long, n long, n_target long")
-    return found.groupBy("pair").agg(F.min("prev").alias("prev"), F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def word_table(pairs: DataFrame) -> DataFrame:
-    """(word, n, n_target: counts as word; h, h_target: counts as previous word), from :func:`pair_counts`."""
-    none = F.lit(0).cast("long")
-    rows = pairs.select("word", "n", "n_target", none.alias("h"), none.alias("h_target")).union(pairs.select("prev", none, none, "n", "n_target"))
-    return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "n_target", "h", "h_target")))
-
-
-def _looked_up(pairs: DataFrame, words: DataFrame, hot: F.Column, key: str, values: list[str]) -> DataFrame:
-    """``pairs`` with ``values`` of their ``key``; frequent words come from a broadcast, so no task gets all rows of one."""
-    words = words.select(F.col("word").alias(key), *values, hot.alias("hot"))
-    near = pairs.join(F.broadcast(words.where("hot").drop("hot")), key, "left")
-    far = near.where(F.col(values[0]).isNull()).drop(*values).join(words.where("not hot").drop("hot"), key)
-    return near.where(F.col(values[0]).isNotNull()).unionByName(far)
-
-
-def pair_model(pairs: DataFrame) -> tuple[DataFrame, int]:
-    """((pair, n, target, background: log p(word | previous word)) for all pairs, number of tokens)."""
-    words = written(word_table(pairs), "words")
-    n, n_target, size = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_target")), F.count(F.when((F.col("n") > 0) & (F.col("word") != UNKNOWN), 1))).first()
-    size += 2  # unknown word, start sign
-    words = words.withColumnsRenamed({"n": "w", "n_target": "w_target"})
-    hot = F.greatest("w", "h") * HOT >= n
-    rows = _looked_up(_looked_up(pairs, words, hot, "word", ["w", "w_target"]), words, hot, "prev", ["h", "h_target"])
-
-    def log_p(seen: str, word: str, before: str, total: int):
-        return F.log((F.col(seen) + LEAN * (F.col(word) + 1) / F.lit(float(total + size))) / (F.col(before) + LEAN)).cast("float")
-
-    return rows.select("pair", "n", log_p("n_target", "w_target", "h_target", n_target).alias("target"), log_p("n", "w", "h", n).alias("background")), n
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, target_ce, background_ce, score.
+        known, background, target = shared.value
+        part = TaskContext.get().partitionId()
+        for number, held in enumerate(_stretches(batches, [0, 1, 2])):
+            s, name = Stretch([r[0] for r in held]), part << 32 | number
+            of_target = np.array([r[1] for r in held], bool)
+            keys, doc = np.concatenate([s.before, s.pair]), np.concatenate([s.doc, s.doc])
+            order = np.lexsort((doc, keys))
+            keys, doc = keys[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])) if len(keys) else np.empty(0, np.int64)
+            times = np.diff(np.append(new, len(keys)))
+            keys, doc = keys[new], doc[new]
+            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            is_hot = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+            own, history = times[is_hot], (keys[is_hot] & np.uint64(1)).astype(bool)
+            mine = of_target[doc[is_hot]]
+            sums = [
+                np.bincount(doc[is_hot], own * gains.of(count[at[is_hot]] - own * (mine == t), history), len(held)) for t, count in ((1, target), (0, background))
+            ]
+            keys, doc, times = keys[~is_hot], doc[~is_hot], times[~is_hot]
+            info = _packed(np.array([r[2] or 0 for r in held], np.int64), np.array([r[2] is None for r in held], np.uint8), s.sizes, *sums)
+            ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1, 1 << bits).astype(np.uint64)) if bits else []
+            cuts = [0, *ends, len(keys)]
+            some = [b for b in range(len(cuts) - 1) if cuts[b + 1] > cuts[b]]
+            blocks = [_packed(keys[a:z], (doc[a:z] << 1 | of_target[doc[a:z]]).astype(np.uint32), times[a:z].astype(np.uint32)) for a, z in ((cuts[b], cuts[b + 1]) for b in some)]
+            # documents go to as many places as there are buckets, too
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - name % (1 << bits), *some], pa.int64()), pa.array([name] * (len(some) + 1), pa.int64()), pa.array([info, *blocks], pa.binary())], ["bucket", "stretch", "blob"])
+
+    return rows.select("text", "target", "doc_id").mapInArrow(run, "bucket long, stretch long, blob binary")
+
+
+def _answered(asked: DataFrame, gains: Gains) -> DataFrame:
+    """(stretch, kind, blob): lists of documents (kind 0) as they came, and the answers of the buckets (kind 1): document, gains under target and background."""
+
+    def answers(blocks):
+        parts = [_unpacked(b, "<u8", "<u4", "<u4") for _, b in blocks]
+        which = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        keys, doc, times = (np.concatenate(c) for c in zip(*parts))
+        _, at = np.unique(keys, return_inverse=True)
+        of_target, history = (doc & 1).astype(bool), (keys & np.uint64(1)).astype(bool)
+        sums = []
+        for t in (True, False):
+            mine = np.where(of_target == t, times, 0)
+            count = np.bincount(at, mine)[at] - mine
+            sums.append(np.where(count > 0, times * gains.of(count, history), 0.0))
+        some = (sums[0] != 0) | (sums[1] != 0)
+        place = which[some] << 32 | (doc[some] >> np.uint32(1)).astype(np.int64)
+        found, back = np.unique(place, return_inverse=True)
+        added = [np.bincount(back, x[some], len(found)).astype(np.float32) for x in sums]
+        cuts = np.searchsorted(found >> 32, np.arange(len(blocks) + 1))
+        for k, (name, _) in enumerate(blocks):
+            a, z = cuts[k], cuts[k + 1]
+            if z > a:
+                yield name, 1, _packed((found[a:z] & 0xFFFFFFFF).astype(np.uint32), added[0][a:z], added[1][a:z])
 
-    ``target_ids`` (doc_id) marks the target documents.  ``words`` asks for a model of that many words only,
-    with one unknown word for the others; by default all words count.
-    """
-    known = None if words is None else vocabulary(docs, words)
-    model, total = pair_model(written(pair_counts(docs, target_ids, known), "pairs"))
-    model = written(model, "model")
-    hot = F.col("n") * HOT >= total
-    top = model.where(hot).select("pair", "target", "background").toPandas().sort_values("pair")
-    frequent = docs.sparkSession.sparkContext.broadcast((known, *(top[c].to_numpy() for c in ("pair", "target", "background"))))
+    def run(batches):
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in range(3)))
+
+        for bucket, group in itertools.groupby(rows(), key=lambda r: r[0]):
+            found = [(name, 0, blob) for _, name, blob in group] if bucket < 0 else list(answers([(name, blob) for _, name, blob in group]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.binary()))], ["stretch", "kind", "blob"])
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket", "stretch").mapInArrow(run, "stretch long, kind int, blob binary")
+
+
+def _scored(answered: DataFrame, gains: Gains) -> DataFrame:
+    unseen = float(np.log(gains.unit / LEAN))
 
     def run(batches):
-        known, pairs, target, background = frequent.value
+        held = None
+
+        def finished():
+            ids, missing, n, target, background = held
+            ce = [np.where(n > 0, -(s / np.maximum(n, 1) + unseen), 0.0) for s in (target, background)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64(), mask=missing.astype(bool)), pa.array(n), pa.array(ce[0]), pa.array(ce[1]), pa.array(ce[0] - ce[1])], ["doc_id", "n_tokens", "target_ce", "background_ce", "score"]
+            )
+
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                row = np.int64(xxhash.xxh3_64_intdigest(text or b"", (doc or 0) % (1 << 64) ^ (doc is None)) - (1 << 63))
-                ids = tokens(text, known)
-                found, n = np.unique(pair_keys(ids)[1], return_counts=True) if len(ids) else (np.empty(0, np.int64), np.empty(0, np.int64))
-                at = np.minimum(np.searchsorted(pairs, found), max(len(pairs) - 1, 0))
-                near = pairs[at] == found if len(pairs) else np.zeros(len(found), bool)
-                sums = (float((x[at[near]].astype(np.float64) * n[near]).sum()) for x in (target, background))
-                out.append((np.full((~near).sum() + 1, row), np.append(found[~near], row), np.append(n[~near], 0), doc, len(ids), *sums))
-                if len(found) > 100_000 or len(out) >= 500:
-                    yield _rows(out)
-                    out = []
-            if out:
-                yield _rows(out)
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind == 0:
+                    if held is not None:
+                        yield finished()
+                    held = _unpacked(blob, "<i8", "<u1", "<i8", "<f8", "<f8")
+                else:
+                    doc, target, background = _unpacked(blob, "<u4", "<f4", "<f4")
+                    held[3][doc] += target
+                    held[4][doc] += background
+        if held is not None:
+            yield finished()
+
+    # a stretch's list comes before its answers, and these in an order that does not change
+    rows = answered.repartition("stretch").sortWithinPartitions("stretch", "kind", F.xxhash64("blob"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_ce double, background_ce double, score double")
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, target_ce, background_ce, score.
 
+    ``target_ids`` (doc_id) marks the target documents.
+    """
+    marks = written(target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "targets")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.mapInArrow(run, "row long, pair long, k int, doc_id long, n_tokens long, t double, b double, copies int")
-    rare = model.where(~hot).select("pair", "target", "background")
-    joined = rows.join(rare, "pair", "left")
-    # copies of a row have one key; they share its sums
-    sums = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n"),
-        *((F.sum(F.coalesce(x, F.lit(0.0)) + F.col("k") * F.coalesce(m, F.lit(0.0)))).alias(m) for x, m in (("t", "target"), ("b", "background"))),
-    )
-    mean = [F.when(F.col("n") > 0, -F.col(m) / F.col("n")).otherwise(0.0).alias(f"{m}_ce") for m in ("target", "background")]
-    each = sums.select("doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), *mean, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return each.select("doc_id", "n_tokens", "target_ce", "background_ce", (F.col("target_ce") - F.col("background_ce")).alias("score"))
-
-
-def _rows(texts: list[tuple]) -> pa.RecordBatch:
-    """A row for each pair to look up, and as the last of each text one with its id, tokens and the sums of its frequent pairs."""
-    rows, pairs, n = (np.concatenate(c) for c in list(zip(*texts))[:3])
-    last = np.cumsum([len(x[0]) for x in texts]) - 1
-    empty = np.ones(len(rows), bool)
-    empty[last] = False
-    cols = [pa.array(rows), pa.array(pairs), pa.array(n.astype(np.int32))]
-    for k, kind in ((3, object), (4, np.int64), (5, np.float64), (6, np.float64)):
-        col = np.full(len(rows), None, object) if kind is object else np.zeros(len(rows), kind)
-        col[last] = [x[k] for x in texts]
-        cols.append(pa.array(col, pa.int64()) if kind is object else pa.array(col, mask=empty))
-    cols.append(pa.array((~empty).astype(np.int32), mask=empty))
-    return pa.RecordBatch.from_arrays(cols, ["row", "pair", "k", "doc_id", "n_tokens", "t", "b", "copies"])
+    if marks.count() <= FEW:
+        rows = rows.join(F.broadcast(marks), "doc_id", "left")
+    else:  # a shuffle deals rows out in any order; a stretch must be the same again if a task is repeated
+        rows = rows.join(marks, "doc_id", "left").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    rows = rows.withColumn("target", F.coalesce("target", F.lit(False)))
+
+    frequent = written(_frequent(rows), "frequent")
+    total = frequent.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    low = frequent.where("kind = 2").select("key").distinct().orderBy(F.shiftrightunsigned("key", 1), "key").limit(2 * SMALLEST).toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+    # their occurrences add up to the tokens at most, so there are no more than 2 * HOT of a kind
+    often = frequent.where("kind < 2").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * (2 * HOT) >= total).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+    spent(frequent)
+    keys, gains = np.sort(often), Gains(vocabulary_size(low))
+    hot = (keys, *_hot_counts(rows, keys))
+    bits = max(0, int(np.ceil(np.log2(max(1.2 * total / BUCKET, 1)))))
+    return _scored(_answered(_asked(rows, bits, hot, gains), gains), gains)
