@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words of letters and digits, joined by apostrophes or hyphens.
 TOKEN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
@@ -15,8 +17,20 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"))
+@F.pandas_udf(StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC").str.casefold()
+
+
+def folded(text: Column) -> Column:
+    """Compatibility-normalised and case-folded text; what is ASCII stays in the JVM, where lower case is the same."""
+    wide = F.coalesce(text.rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return F.when(wide, _folded(F.when(wide, text))).otherwise(F.lower(text))
+
+
+def tokens(text: Column, fold: bool = False) -> Column:
+    """Words in lower case, or (``fold``) of the :func:`folded` text."""
+    return F.regexp_extract_all(folded(text) if fold else F.lower(text), F.lit(f"({TOKEN})"))
 
 
 def duplicate_lines(text: Column, least_words: int) -> list[Column]:

@@ -302,7 +302,7 @@ STOP_WORDS = "a an and are as at be been being but by for from had has have he h
 
 
 def content_tokens(text: Column) -> Column:
-    """Tokens without stop words, list numbers and fence lines; lower case instead of full case folding."""
+    """Tokens of a folded text without stop words, list numbers and fence lines."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*(?:`{3,}|~{3,}).*$", ""), r"(?m)^ {0,3}\d+[.)][ \t]+", "")
     return F.filter(T.tokens(bare), lambda t: ~t.isin(*STOP_WORDS))
 
@@ -326,7 +326,7 @@ def _bodies(key: str) -> Column:
 
 
 def _quality_texts() -> dict[str, Column]:
-    return {f"b_{k}": _bodies(k) for k in TOKEN_TARGETS}
+    return {f"b_{k}": T.folded(_bodies(k)) for k in TOKEN_TARGETS}
 
 
 def _quality_counts() -> dict[str, Column]:
@@ -373,5 +373,5 @@ def run(cases: DataFrame, evaluators: list[Evaluator]) -> DataFrame:
 
 def cosine_of_sections(reports: DataFrame, left: str = "summary", right: str = "observed_result") -> DataFrame:
     """(report_id, cosine) of the content tokens of two sections of structured reports."""
-    sides = reports.select("report_id", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), content_tokens(_bodies(s)).alias("t")) for k, s in enumerate((left, right))))).alias("x"))
+    sides = reports.select("report_id", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), content_tokens(T.folded(_bodies(s))).alias("t")) for k, s in enumerate((left, right))))).alias("x"))
     return T.cosine(sides.select("report_id", "x.side", F.explode("x.t").alias("token")), "report_id")

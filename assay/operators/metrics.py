@@ -64,7 +64,7 @@ def with_parents(children: DataFrame, records: DataFrame) -> DataFrame:
     """
     parents = records.where("case_kind = 'canonical'").select(
         F.col("case_id").alias("p_id"), F.col("evaluator_name").alias("p_evaluator"), F.col("repeat_index").alias("p_repeat"),
-        F.col("decision").alias("parent_decision"), F.col("expected_decision").alias("parent_expected"),
+        F.col("decision").alias("parent_decision"), F.col("expected_decision").alias("parent_expected"), F.col("report_class").alias("parent_class"),
     )
     on = (F.col("parent_id") == F.col("p_id")) & (F.col("evaluator_name") == F.col("p_evaluator")) & (F.col("repeat_index") == F.col("p_repeat"))
     return children.join(parents, on, "left").drop("p_evaluator", "p_repeat")
@@ -180,7 +180,8 @@ def metric_bundle(records: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
     One join with the parents and one aggregate serve all of them.
     """
-    rows = with_parents(records, records)
+    # rows without a parent stay out of the join, where they would all have one key
+    rows = with_parents(records.where("parent_id is not null"), records).unionByName(records.where("parent_id is null"), allowMissingColumns=True)
     paired = F.col("p_id").isNotNull()
     kept = is_preserving() & paired
     shown = is_presentation() & paired & ~F.col("parent_expected").eqNullSafe(ACCEPT)
@@ -233,10 +234,8 @@ def by_operator(records: DataFrame) -> DataFrame:
 def by_class(records: DataFrame) -> DataFrame:
     """Metrics per report class; parents of the same class pair with their children."""
     keys = ["evaluator_name", "report_class"]
-    same = with_parents(records.where(is_preserving()), records.where("true"))
-    parents = records.where("case_kind = 'canonical'").select(F.col("case_id").alias("q_id"), F.col("evaluator_name").alias("q_e"), F.col("repeat_index").alias("q_r"), F.col("report_class").alias("q_class"))
-    same = same.join(parents, (F.col("p_id") == F.col("q_id")) & (F.col("evaluator_name") == F.col("q_e")) & (F.col("repeat_index") == F.col("q_r")), "left")
-    ok = F.col("q_class") == F.col("report_class")
+    same = with_parents(records.where(is_preserving()), records)
+    ok = F.col("parent_class") == F.col("report_class")
     drift = same.groupBy(*keys).agg(n(ok).alias("paired"), n(ok & (F.col("decision") != F.col("parent_decision"))).alias("moved"))
     out = decision_accuracy(records, keys).join(drift, keys, "left")
     return out.withColumn("drift", ratio("moved", "paired"))

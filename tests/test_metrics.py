@@ -1,6 +1,8 @@
 import math
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from assay.operators import audits, integrity, metrics, repeats, resample
 from assay.schema import DIMENSIONS
@@ -112,13 +114,35 @@ def test_percentiles_and_bootstrap(table):
     import random
 
     rows = [(*rec(f"c{k}", "accept", "accept" if k % 3 else "reject", who=w)[:11], k, D, D) for k in range(12) for w in ("a", "b")]
-    got = {r["name"]: r for r in resample.cluster_bootstrap(table(rows), resamples=100, seed=7).collect()}
+    got = {r["name"]: r for r in resample.cluster_bootstrap(table(rows), resamples=3000, seed=7).collect()}
     rng, values = random.Random(7), []
-    for _ in range(100):
+    for _ in range(3000):
         drawn = [rng.choice(range(12)) for _ in range(12)]
         values.append(sum(1 for d in drawn if d % 3) / 12)
     values.sort()
-    assert math.isclose(got["a"]["lo"], values[2]) and math.isclose(got["a"]["hi"], values[97])
-    assert got["b minus a"]["mean"] == 0
+    assert abs(got["a"]["lo"] - values[75]) <= 1 / 12 and abs(got["a"]["hi"] - values[2925]) <= 1 / 12 and abs(got["a"]["mean"] - 8 / 12) < 0.01
+    assert got["b minus a"]["mean"] == 0 and got["a"]["observed"] == 8 / 12
+    again = {r["name"]: r for r in resample.cluster_bootstrap(table(rows).repartition(5), resamples=3000, seed=7).collect()}
+    assert got == again
+    # the generator of other tools, draw by draw
+    rng, want = random.Random(7), set()
+    for r in range(20):
+        want |= {(r, k, m) for k, m in Counter(rng.choice(range(12)) for _ in range(12)).items()}
+    assert {tuple(x) for x in resample.draws(table(rows).sparkSession, 12, 20, 7).collect()} == want
     b = {r["evaluator_name"]: r for r in resample.row_bootstrap(table(rows), resamples=200).collect()}
     assert b["a"]["lo"] <= b["a"]["point"] <= b["a"]["hi"]
+
+
+def test_bootstrap_of_many_clusters_and_groups(spark, monkeypatch):
+    """Several blocks: every resample has as many draws as there are clusters; intervals of flips need two groups."""
+    monkeypatch.setattr(resample, "BLOCK", 40)
+    tallies = spark.range(500).select(F.lit("e").alias("evaluator_name"), F.concat(F.lit("c"), "id").alias("cluster"), (F.col("id") % 4 == 0).cast("long").alias("correct"), F.lit(1).cast("long").alias("cases"))
+    sums = resample._sums(tallies, 400, 3).collect()
+    assert len(sums) == 400 and {r["cases"] for r in sums} == {500}
+    share = [r["correct"] / 500 for r in sums]
+    spread = (sum((x - 0.25) ** 2 for x in share) / 400) ** 0.5
+    assert abs(sum(share) / 400 - 0.25) < 0.005 and 0.8 < spread / (0.25 * 0.75 / 500) ** 0.5 < 1.2
+    flips = spark.createDataFrame([(f"g{k % 5}", int(k % 3 == 0)) for k in range(60)], "group string, flip int")
+    r = resample.flip_interval(flips, resamples=500).first()
+    assert r["lo"] <= 20 / 60 <= r["hi"]
+    assert resample.flip_interval(flips.where("group = 'g1'")).first()["lo"] is None
