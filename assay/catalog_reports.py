@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions import safety, text
-from assay.operators import evaluators, responses
+from assay.functions import identity, safety, text
+from assay.operators import evaluators, mutations, responses
 from assay.plans import bindings as b
 from assay.plans import reports as rb
+from assay.plans.sql import REC
 from assay.registry import query
+from assay.sources import runs
 
 
 @query(rb.SQL + """SELECT doc_id, title, n_sections, steps, missing FROM r""")
@@ -76,3 +78,57 @@ def content_violations(spark, sf_dir):
     k = F.col("doc_id")
     told = F.concat(F.lit("CVE-20"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit("-12345 and CVE-2099-1111 at http://h"), (k % 5).cast("string"), F.lit(".test, or http://x.example.org/"))
     return b.read(spark, sf_dir, "documents").select("doc_id", F.transform(safety.violations(told), lambda v: F.concat(v.rule, F.lit(" "), v.found)).alias("found"))
+
+
+@query(rb.changed(mutations.PREAMBLE))
+def mutated_reports(spark, sf_dir):
+    """Four rewrites of every report; drawn sentences are shown as @."""
+    rows = rb.reports(spark, sf_dir)
+    operators = ("remove_affected_version", "add_authorization_preamble", "impossible_precondition", "misattribute_cve")
+    plan = rows.select(
+        F.col("doc_id").cast("string").alias("case_id"), F.lit("f").alias("fixture_id"), F.explode(F.array(*map(F.lit, operators))).alias("operator"), F.col("doc_id").cast("decimal(20,0)").alias("seed"), "raw_text",
+    )
+    out = mutations.applied(plan)
+    told = F.col("text")
+    for sentence in mutations.PRECONDITIONS:
+        told = F.replace(told, F.lit(sentence), F.lit("@"))
+    for template in mutations.ATTRIBUTIONS:
+        before, after = template.split("{cve}")
+        told = F.regexp_replace(told, f"\\Q{before}\\ECVE-2099-[0-9]{{4}}\\Q{after}\\E", "@")
+    return out.select(F.col("case_id").cast("long").alias("doc_id"), "operator", F.md5(told).alias("digest"))
+
+
+_REPORT = """sha256('{"domain":"demo","text":' || to_json(coalesce(text, '')) || ',"type":"report","version":1}')"""
+_TARGET = """sha256('{"domain":"demo","expected_decision":' || CASE WHEN doc_id % 2 = 0 THEN '"accept"' ELSE 'null' END || ',"expected_dimensions":{"a":0.5,"b":0.25},"type":"target","version":1}')"""
+
+
+@query(f"""SELECT doc_id, {_REPORT} AS report_hash, {_TARGET} AS target_hash, sha256('{{"domain":"demo","report_hash":"' || {_REPORT} || '","target_hash":"' || {_TARGET} || '","type":"input","version":1}}') AS input_hash FROM documents""")
+def input_identities(spark, sf_dir):
+    rows = b.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id") % 2 == 0, "accept").alias("d"))
+    dims = F.create_map(F.lit("b"), F.lit(0.25), F.lit("a"), F.lit(0.5)).cast("map<string,double>")
+    rows = rows.select("doc_id", identity.report_hash(F.col("text"), "demo").alias("report_hash"), identity.target_hash(F.col("d"), dims, "demo").alias("target_hash"))
+    return rows.withColumn("input_hash", identity.input_hash(F.col("report_hash"), F.col("target_hash"), "demo"))
+
+
+@query(REC + """SELECT evaluator_name, case_kind, count(*) AS n, count(parent_id) AS parents, count(*) FILTER (ok) AS correct, count(expected_decision) AS scored, CAST(sum(tenths) AS BIGINT) AS tenths, CAST(sum(a0) AS BIGINT) AS first_dimension FROM rec GROUP BY ALL""")
+def run_round_trip(spark, sf_dir):
+    """Records written as a run file and read back."""
+    path = b.scratch(spark, "run")
+    runs.write_run(b.records(spark, sf_dir), {"run_id": "r", "suite_name": "s", "base_seed": 7, "evaluators": ["alpha", "beta"]}, path)
+    _, rows = runs.read_run(spark, path)
+    tenths = lambda c: F.sum(F.round(c * 10).cast("long"))
+    return rows.groupBy("evaluator_name", "case_kind").agg(
+        F.count("*").alias("n"), F.count("parent_id").alias("parents"), F.count_if("correct").alias("correct"), F.count("expected_decision").alias("scored"), tenths(F.col("confidence")).alias("tenths"),
+        tenths(F.element_at("dimensions", "reproducibility")).alias("first_dimension"),
+    )
+
+
+@query(REC + """SELECT evaluator_name, coalesce(operator, '') AS operator, count(*) AS n, count(*) FILTER (ok) AS correct, CAST(sum(tenths) AS BIGINT) AS tenths FROM rec GROUP BY ALL""")
+def csv_round_trip(spark, sf_dir):
+    """Records written as CSV and read back."""
+    path = b.scratch(spark, "csv")
+    runs.write_records_csv(b.records(spark, sf_dir), path)
+    rows = spark.read.option("header", True).csv(path)
+    return rows.groupBy("evaluator_name", F.coalesce("operator", F.lit("")).alias("operator")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("correct") == "1").alias("correct"), F.sum(F.round(F.col("confidence").cast("double") * 10).cast("long")).alias("tenths"),
+    )

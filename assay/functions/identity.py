@@ -36,3 +36,9 @@ def target_hash(expected_decision: Column, expected_dimensions: Column, domain:
         return pd.Series([tagged_digest("target", {"expected_decision": d, "expected_dimensions": dict(m or {})}, domain) for d, m in zip(decisions, dims)])
 
     return F.pandas_udf(digest, StringType())(expected_decision, expected_dimensions)
+
+
+def input_hash(report: Column, target: Column, domain: str) -> Column:
+    """Identity of a case's input from those of its report and target; hex digests need no escaping, so this stays in the JVM."""
+    parts = [F.lit(f'{{"domain":{json.dumps(domain, ensure_ascii=False)},"report_hash":"'), report, F.lit('","target_hash":"'), target, F.lit('","type":"input","version":1}')]
+    return F.sha2(F.concat(*parts), 256)

@@ -64,6 +64,37 @@ sec AS (SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS ordinal, s.h
   FROM part WHERE s.n IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY s.o))
 """
 
+_BODY = r"translate(lower(coalesce(text, '')), '#`~' || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233) || chr(10), ' ')"
+
+
+def _raw(summary: str = "", preconditions: str = "", versions: str = "## Affected versions\n1.0\n", title: str = "") -> str:
+    """SQL of a report's text, with more behind its title, summary and preconditions."""
+    def part(every: int, said: str) -> str:
+        return f"CASE WHEN doc_id % {every} = 0 THEN '{said}' ELSE '' END"
+
+    steps = " || ".join(f"CASE WHEN doc_id % 4 >= {i} THEN '{i}. do it\n' ELSE '' END" for i in (1, 2, 3))
+    parts = [
+        f"'# Report ' || doc_id || '{title}\n## Summary\nA bypass of the login.\n```\n# no heading\n```{summary}\n'", part(2, "## Affected Component\nserver\n"), part(3, versions),
+        f"'## Preconditions\nnone{preconditions}\n## Steps to reproduce ##\n'", steps, "'## Observed result\n'", _BODY, "'\n'", part(5, "## Expected security boundary\nNo security boundary is given.\n"),
+        *(part(every, said + "\n") for every, said in _PLANTED.items()), part(19, "## References\none\n"), part(29, "## Background information\ntwo\n"),
+    ]
+    return " || ".join(parts)
+
+
+def _less(sql: str) -> str:
+    """``sql`` without its last line break."""
+    return f"regexp_replace({sql}, '\\n$', '')"
+
+
+def changed(preamble: str) -> str:
+    """SQL of (doc_id, operator, text) of mutated reports, @ standing for a drawn sentence."""
+    texts = {
+        "remove_affected_version": f"CASE WHEN doc_id % 3 = 0 THEN {_less(_raw(versions=''))} ELSE {_raw()} END", "add_authorization_preamble": _raw(title=f"\n\n{preamble}"),
+        "impossible_precondition": _less(_raw(preconditions="\n@")), "misattribute_cve": _less(_raw(summary="\n\n@")),
+    }
+    return " UNION ALL ".join(f"SELECT doc_id, '{o}' AS operator, md5({t}) AS digest FROM documents" for o, t in texts.items())
+
+
 _CASES = (
     "fine", "fenced", "bare fence", "other fence", "words before", "not a number", "unknown key", "decision", "boolean", "too large", "dimension missing", "findings", "rationale", "blank", "declined", "prose", "list", "two documents",
 )
