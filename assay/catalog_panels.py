@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.operators import ledgers, panels, planning, repeats, resample
+from assay.operators import audits, integrity, ledgers, metrics, panels, planning, repeats, resample
 from assay.plans import bindings as b
-from assay.plans.sql import OUT, REC, VOTES, n
+from assay.plans.sql import OUT, REC, VOTES, n, ratio
 from assay.registry import query
 
 VOTE = """
@@ -263,3 +263,24 @@ def flip_interval(spark, sf_dir):
     """Share of unstable cases, users drawn whole; the tests compare it with a brute-force version."""
     variance = repeats.case_variance(b.outcomes(spark, sf_dir)).where("successes >= 2")
     return resample.flip_interval(variance.select(F.split("case_id", "-")[1].alias("group"), F.col("flip").cast("int").alias("flip")))
+
+
+@query("""WITH s AS (SELECT 'o' || o_orderkey AS pair_id, o_orderkey AS k FROM orders), e AS (SELECT 'o' || o_orderkey AS pair_id FROM orders WHERE o_orderkey % 10 <> 3 UNION ALL SELECT 'x' || c_custkey FROM customer WHERE c_custkey % 50 = 0),
+two AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE k % 20 = 1)
+SELECT pair_id, x AS issue FROM (SELECT pair_id, unnest([CASE WHEN k % 4 = 3 THEN 'quality_changed is no answer' END, CASE WHEN k % 7 = 0 THEN 'action_changed is no answer' END, CASE WHEN k % 11 = 0 THEN 'no rationale' END]) AS x FROM two) WHERE x IS NOT NULL
+UNION ALL SELECT pair_id, 'unexpected' FROM s WHERE k % 10 = 3 UNION ALL SELECT pair_id, 'missing' FROM e WHERE pair_id LIKE 'x%' UNION ALL SELECT pair_id, 'repeated' FROM s WHERE k % 20 = 1""")
+def sheet_issues(spark, sf_dir):
+    k = F.col("o_orderkey")
+    orders = b.read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("pair_id"))
+    sheet = orders.unionByName(orders.where(k % 20 == 1)).select(
+        "pair_id", F.when(k % 4 == 3, "maybe").when(k % 4 == 0, "yes").otherwise("no").alias("quality_changed"), F.when(k % 7 != 0, "uncertain").alias("action_changed"), F.when(k % 11 == 0, " ").otherwise("seen").alias("rationale"),
+    )
+    expected = orders.where(k % 10 != 3).select("pair_id").unionByName(b.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("x"), "c_custkey").alias("pair_id")))
+    return integrity.sheet_issues(sheet, expected)
+
+
+@query(REC + f"""SELECT metric, max(v) FILTER (evaluator_name = 'alpha') AS alpha, max(v) FILTER (evaluator_name = 'beta') AS beta FROM (
+SELECT evaluator_name, 'total_cases' AS metric, CAST({n('expected_decision IS NOT NULL')} AS DOUBLE) AS v FROM rec GROUP BY evaluator_name UNION ALL SELECT evaluator_name, 'correct_cases', CAST({n('ok')} AS DOUBLE) FROM rec GROUP BY evaluator_name
+UNION ALL SELECT evaluator_name, 'unscored_cases', CAST({n('expected_decision IS NULL')} AS DOUBLE) FROM rec GROUP BY evaluator_name UNION ALL SELECT evaluator_name, 'decision_accuracy', {ratio(n('ok'), n('expected_decision IS NOT NULL'))} FROM rec GROUP BY evaluator_name) GROUP BY metric""")
+def comparison(spark, sf_dir):
+    return audits.comparison(metrics.decision_accuracy(b.records(spark, sf_dir)), ["alpha", "beta"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions import identity, safety, text
-from assay.operators import evaluators, mutations, responses
+from assay.operators import evaluators, integrity, mutations, responses
 from assay.plans import bindings as b
 from assay.plans import reports as rb
 from assay.plans.sql import REC
@@ -132,3 +132,23 @@ def csv_round_trip(spark, sf_dir):
     return rows.groupBy("evaluator_name", F.coalesce("operator", F.lit("")).alias("operator")).agg(
         F.count("*").alias("n"), F.count_if(F.col("correct") == "1").alias("correct"), F.sum(F.round(F.col("confidence").cast("double") * 10).cast("long")).alias("tenths"),
     )
+
+
+@query("""WITH i AS (SELECT doc_id, unnest([
+CASE WHEN doc_id % 6 = 0 THEN 'error|unknown evidence: odd' END, CASE WHEN doc_id % 2 <> 0 THEN 'error|no section for affected_component' END, CASE WHEN doc_id % 3 <> 0 THEN 'error|no section for affected_versions' END,
+CASE WHEN doc_id % 5 = 0 AND doc_id % 8 <> 0 THEN 'warning|valid but not reproducible' END]) AS x FROM documents)
+SELECT 'r' || doc_id AS report_id, split_part(x, '|', 1) AS severity, split_part(x, '|', 2) AS issue FROM i WHERE x IS NOT NULL""")
+def canonical_issues(spark, sf_dir):
+    k = F.substring("report_id", 2, 20).cast("long")
+    needed = F.array_compact(F.array(F.lit("summary"), F.lit("affected_component"), F.lit("affected_versions"), F.when(k % 6 == 0, "odd")))
+    cases = rb.named(spark, sf_dir).withColumns({"required_evidence": needed, "report_class": F.when(k % 5 == 0, "valid").otherwise("invalid"), "reproducible": k % 8 == 0})
+    return integrity.canonical_issues(cases)
+
+
+@query("""SELECT 'r' || doc_id AS report_id, x AS issue FROM (SELECT doc_id, unnest([CASE WHEN doc_id % 4 = 0 THEN 'parent is not canonical' END, CASE WHEN doc_id % 9 = 0 THEN 'unsafe_url: http://evil.test/x' END]) AS x FROM documents) WHERE x IS NOT NULL""")
+def derived_issues(spark, sf_dir):
+    k = F.col("doc_id")
+    rows = rb.reports(spark, sf_dir).select(
+        F.concat(F.lit("r"), k).alias("report_id"), F.when(k % 4 == 0, "other-1").otherwise("canonical-1").alias("parent_id"), F.concat("raw_text", F.when(k % 9 == 0, " http://evil.test/x ").otherwise("")).alias("raw_text"),
+    )
+    return integrity.derived_issues(rows)

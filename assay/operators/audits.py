@@ -94,3 +94,19 @@ def results_pivot(records: DataFrame, evaluators: list[str]) -> DataFrame:
     rows = records.where("expected_decision is not null").withColumn("operator", F.coalesce("operator", F.lit("canonical")))
     out = rows.groupBy("operator").pivot("evaluator_name", evaluators).agg(n(is_correct()).alias("correct"), F.count("decision").alias("total"))
     return out.select("operator", *(ratio(f"{e}_correct", f"{e}_total").alias(f"accuracy_{e}") for e in evaluators))
+
+
+def comparison(bundle: DataFrame, sources: list[str], source: str = "evaluator_name") -> DataFrame:
+    """A row per metric of ``bundle`` (one row per source) and a column per source; metrics that are not defined are NULL."""
+    if len(set(sources)) < len(sources):
+        raise ValueError("a source is named twice")
+    names = [c for c in bundle.columns if c != source]
+    long = bundle.select(source, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(source, names, "metric", "value")
+    return long.groupBy("metric").pivot(source, sources).agg(F.first("value"))
+
+
+def comparison_markdown(bundle: DataFrame, sources: list[str], source: str = "evaluator_name") -> str:
+    """The comparison as a Markdown table of a few rows; values are rounded here only."""
+    rows = comparison(bundle, sources, source).orderBy("metric").collect()
+    shown = lambda v: "n/a" if v is None else f"{v:.4f}"
+    return "\n".join([f"| metric | {' | '.join(sources)} |", "|" + "-|" * (len(sources) + 1), *(f"| {r['metric']} | {' | '.join(shown(r[s]) for s in sources)} |" for r in rows)]) + "\n"

@@ -46,3 +46,42 @@ def require_none(found: DataFrame, what: str) -> None:
     row = found.limit(1).collect()
     if row:
         raise ValueError(f"{what}: {row[0].asDict()}")
+
+
+def canonical_issues(cases: DataFrame) -> DataFrame:
+    """(report_id, severity, issue) of structured canonical reports with required_evidence, report_class and reproducible: evidence of an unknown kind or whose
+    section is missing, what is unsafe to publish, and valid reports that are not reproducible (a warning)."""
+    from assay.functions.safety import violations
+    from assay.operators.evaluators import SECTION_PATTERNS, present
+
+    needed = F.coalesce("required_evidence", F.array().cast("array<string>"))
+
+    def issue(when, severity, text):
+        return F.when(when, F.struct(F.lit(severity).alias("severity"), text.alias("issue")))
+
+    unknown = F.transform(F.array_except(needed, F.array(*map(F.lit, SECTION_PATTERNS))), lambda k: F.struct(F.lit("error").alias("severity"), F.concat(F.lit("unknown evidence: "), k).alias("issue")))
+    missing = [issue(F.array_contains(needed, k) & ~present(k), "error", F.lit(f"no section for {k}")) for k in SECTION_PATTERNS]
+    unsafe = F.transform(violations(F.col("raw_text")), lambda v: F.struct(F.lit("error").alias("severity"), F.concat(v.rule, F.lit(": "), v.found).alias("issue")))
+    odd = issue((F.col("report_class") == "valid") & ~F.coalesce("reproducible", F.lit(False)), "warning", F.lit("valid but not reproducible"))
+    return cases.select("report_id", F.explode(F.concat(unknown, F.array_compact(F.array(*missing, odd)), unsafe)).alias("x")).select("report_id", "x.*")
+
+
+def derived_issues(cases: DataFrame, prefix: str = "canonical-") -> DataFrame:
+    """(report_id, issue) of derived reports (report_id, parent_id, raw_text): a parent of another kind, and what is unsafe to publish."""
+    from assay.functions.safety import violations
+
+    parent = F.when(~F.coalesce(F.col("parent_id").startswith(prefix), F.lit(False)), "parent is not canonical")
+    unsafe = F.transform(violations(F.col("raw_text")), lambda v: F.concat(v.rule, F.lit(": "), v.found))
+    return cases.select("report_id", F.explode(F.concat(F.array_compact(F.array(parent)), unsafe)).alias("issue"))
+
+
+def sheet_issues(sheet: DataFrame, expected: DataFrame, answers: tuple[str, ...] = ("yes", "no", "uncertain")) -> DataFrame:
+    """(pair_id, issue) of a reviewer's sheet (pair_id, quality_changed, action_changed, rationale) against the expected pairs."""
+    own = F.array_compact(F.array(
+        *(F.when(~F.coalesce(F.col(c).isin(*answers), F.lit(False)), f"{c} is no answer") for c in ("quality_changed", "action_changed")),
+        F.when(F.coalesce(F.trim("rationale"), F.lit("")) == "", "no rationale"),
+    ))
+    found = sheet.select("pair_id", F.explode(own).alias("issue"))
+    ids = expected.select("pair_id").distinct().withColumn("e", F.lit(1)).join(sheet.groupBy("pair_id").agg(F.count("*").alias("n")), "pair_id", "full_outer")
+    kind = F.when(F.col("e").isNull(), "unexpected").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated")
+    return found.unionByName(ids.select("pair_id", kind.alias("issue")).where("issue is not null"))
