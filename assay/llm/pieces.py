@@ -10,8 +10,8 @@ ids of a text are those of its chunks in order.  A worker remembers the chunks i
 seen; ids of new chunks come from the sentencepiece library.  Models for which this
 does not hold, or that normalise in another way, are encoded text by text.
 
-Defined results: null counts as the empty text, which has no pieces; repeated rows
-repeat; extra columns are ignored.
+Defined results: null counts as the empty text, which has no pieces; null ids and repeated rows
+stay as they are; equal texts have equal pieces; texts of any length are encoded whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ library; a worker remembers the ids of words it has met, as this tokenizer never
 joins characters across white space.
 
 Defined results: a null text counts as empty (just the end id); null ids of documents come
-first; repeated rows repeat, in the order of their texts; an empty table gives no shards.
+first; rows of one id come in the order of the hashes of their texts, and repeated rows repeat; a very long text is a document as any other, and
+makes its shard longer; an empty table gives no shards; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -346,7 +347,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
             yield closed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    # rows that share an id, or have none, are dealt out by their texts
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows.mapInArrow(run, "part int, shard int, start_in_part long, n_tokens long, blob binary").write.parquet(path)
 
 
