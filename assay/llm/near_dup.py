@@ -182,6 +182,11 @@ def led_lists(lists: DataFrame) -> DataFrame:
     return lists.join(heads.select("key", F.col("m").bitwiseXOR(mask).alias("leader")), "key")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (written) marked for a broadcast if it has no more than :data:`FEW` / 8 rows, as one of its keys may hold most rows of the other side."""
+    return F.broadcast(df) if df.count() <= FEW // 8 else df
+
+
 def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``column`` is among ``ids`` (one column, written): a broadcast of up to :data:`FEW` ids, else a shuffle."""
     wanted = ids.toDF(column).distinct()
@@ -249,7 +254,7 @@ def _groups(open_: DataFrame) -> DataFrame:
     by_family = square("cid").groupBy("f").agg((F.count("*").cast("double") * F.count("*")).alias("whole"))
     apart = by_list.join(by_family, "f").where((F.col("whole") > BLOCK * BLOCK) & (F.col("lists") < F.col("whole")))
     apart = written(apart.select("f", F.lit(True).alias("by_list")), "apart")
-    marked = rows.join(F.broadcast(apart) if apart.count() <= FEW else apart, "f", "left").withColumn("by_list", F.coalesce("by_list", F.lit(False)))
+    marked = rows.join(_small(apart), "f", "left").withColumn("by_list", F.coalesce("by_list", F.lit(False)))
     out = marked.select(F.when(F.col("by_list"), F.col("key")).otherwise(F.col("f")).alias("g"), "by_list", "cid", "c", "n_shingles").distinct()
     out = written(sized(out, n), "groups")
     spent(rows, apart)
@@ -264,14 +269,15 @@ def between_components(open_: DataFrame, texts: DataFrame, percent: int, width:
     """
     groups = _groups(open_)
     parts = groups.groupBy("g", "by_list", "c").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("g", "by_list").agg(F.max_by("c", F.struct("size", "c")).alias("largest"))
+    largest = written(parts.groupBy("g", "by_list").agg(F.max_by("c", F.struct("size", "c")).alias("largest")), "largest")
     band = F.floor(F.log("n_shingles") / float(np.log(100 / percent))).cast("int")
-    rows = groups.join(largest, ["g", "by_list"]).select("g", "by_list", "cid", "c", band.alias("band"), (F.col("c") != F.col("largest")).alias("open"))
+    rows = groups.join(_small(largest), ["g", "by_list"]).select("g", "by_list", "cid", "c", band.alias("band"), (F.col("c") != F.col("largest")).alias("open"))
     asked = rows.select("g", "by_list", "cid", "c", "open", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("cell"), "band")
     asked = written(asked, "asked")
     asks = F.col("open") & (F.col("cell") == F.col("band"))
     cells = asked.groupBy("g", "by_list", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(asks) / BLOCK).cast("int").alias("chunks"))
-    placed, hashed = asked.join(cells.where("chunks > 0"), ["g", "by_list", "cell"]), F.xxhash64("cid")
+    cells = written(cells.where("chunks > 0"), "cells")
+    placed, hashed = asked.join(_small(cells), ["g", "by_list", "cell"]), F.xxhash64("cid")
     cell = ["g", "by_list", "cell"]
     asking = placed.where(asks).select(*cell, F.pmod(hashed, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "cid", "c")
     other = placed.select(*cell, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(hashed, "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "cid", "c")
@@ -282,7 +288,7 @@ def between_components(open_: DataFrame, texts: DataFrame, percent: int, width:
         return linked_between(pdf, percent)
 
     links = written(both.groupBy(*cell, "chunk", "block").applyInPandas(compare, "x long, y long"), "links")
-    spent(groups, asked, sets)
+    spent(groups, largest, asked, cells, sets)
     return links
 
 
