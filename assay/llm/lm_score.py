@@ -38,7 +38,7 @@ LEAN = 50.0
 #: What makes up one in so many tokens is broadcast.
 HOT = 100_000
 #: Tokens of a stretch, entries of a bucket, hashes kept to estimate the vocabulary, target ids that are broadcast.
-STRETCH, BUCKET, SMALLEST, FEW = 1_000_000, 1_000_000, 4_096, 4_000_000
+STRETCH, BUCKET, SMALLEST, FEW = 600_000, 600_000, 4_096, 4_000_000
 #: The word before a text.
 START = 1 << 62
 
@@ -104,7 +104,7 @@ def _frequent(rows: DataFrame) -> DataFrame:
     def run(batches):
         for held in _stretches(batches, [0]):
             s = Stretch([r[0] for r in held])
-            least = max(2, len(s.word) // (2 * HOT))
+            least = max(3, len(s.word) // HOT)
             out = [(np.full(1, 3), np.zeros(1, np.uint64), np.full(1, len(s.word)))]
             for kind, keys in ((0, s.before), (1, s.pair)):
                 found, n = np.unique(keys, return_counts=True)
