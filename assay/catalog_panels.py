@@ -98,10 +98,9 @@ FROM orders CROSS JOIN (VALUES (1), (2), (3)) AS t(k) LEFT JOIN v ON l_orderkey
 def panel_matrix(spark, sf_dir):
     orders = b.read(spark, sf_dir, "orders")
     pairs = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("pair_id"))
-    models = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "model string")
     tries = orders.where("o_orderkey % 2 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("pair_id"), F.lit("m3").alias("model"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), "o_custkey")
     last = F.when(F.col("o_custkey") % 2 == 0, "invalid_or_transport_error").otherwise("http_error")
-    return panels.panel_matrix(pairs, models, b.votes(spark, sf_dir), tries.withColumn("status", F.when(F.col("attempt") == 1, "timeout").otherwise(last)))
+    return panels.panel_matrix(pairs, ["m1", "m2", "m3"], b.votes(spark, sf_dir), tries.withColumn("status", F.when(F.col("attempt") == 1, "timeout").otherwise(last)))
 
 
 @query(OUT + f""", ran AS (SELECT DISTINCT case_id, repeat_index, decision FROM out WHERE status = 'success'),

@@ -71,9 +71,9 @@ def materialization_problems(ledger: DataFrame, index: DataFrame) -> DataFrame:
 
 def materialization_totals(ledger: DataFrame, index: DataFrame) -> DataFrame:
     """planned, written, selected, canonical_included in one row."""
-    a = ledger.agg(F.count("*").alias("planned"), F.count_if(F.col("status") == "written").alias("written"))
-    b = index.agg(F.count("*").alias("selected"), F.count_if(F.col("kind") == "canonical").alias("canonical_included"))
-    return a.crossJoin(b)  # one row each
+    rows = ledger.select("status", F.lit(None).cast("string").alias("kind")).union(index.select(F.lit(None).cast("string"), "kind"))
+    status, kind = F.col("status"), F.col("kind")
+    return rows.agg(F.count("status").alias("planned"), F.count_if(status == "written").alias("written"), F.count("kind").alias("selected"), F.count_if(kind == "canonical").alias("canonical_included"))
 
 
 def check_header(header: dict, ledger: DataFrame) -> None:
@@ -122,8 +122,8 @@ def accounting(records: DataFrame, failures: DataFrame, index: DataFrame) -> Dat
         F.count_if(F.col("s") > 0).alias("scored"), F.count_if(F.col("f") > 0).alias("failed"), F.count_if((F.col("s") > 0) & (F.col("f") > 0)).alias("clashing"),
         F.count_if(F.col("planned").isNull()).alias("foreign"), F.count_if((F.col("s") > 1) | (F.col("f") > 1)).alias("repeated"), F.count_if(F.col("planned")).alias("met"),
     )
-    planned = index.agg(F.countDistinct("case_id").alias("planned"))
-    out = out.crossJoin(planned).withColumn("missing", F.col("planned") - F.col("met"))  # one row of totals
+    planned = index.select("case_id").distinct().count()
+    out = out.withColumn("planned", F.lit(planned).cast("long")).withColumn("missing", F.col("planned") - F.col("met"))
     clean = (F.col("clashing") + F.col("foreign") + F.col("repeated") + F.col("missing") == 0) & (F.col("planned") == F.col("scored") + F.col("failed"))
     return out.select("evaluator_name", "planned", "scored", "failed", "clashing", "missing", "foreign", "repeated", clean.alias("complete"))
 

@@ -11,9 +11,9 @@ from assay.schema import is_preserving
 AXES = ("quality_changed", "action_changed")
 
 
-def panel_matrix(pairs: DataFrame, models: DataFrame, votes: DataFrame, attempts: DataFrame) -> DataFrame:
+def panel_matrix(pairs: DataFrame, models: list[str], votes: DataFrame, attempts: DataFrame) -> DataFrame:
     """A row per pair and model (a few models): ``success`` with a vote, else the status of the last attempt (pair_id, model, attempt, status), else ``not_run``."""
-    slots = pairs.select("pair_id").distinct().crossJoin(F.broadcast(models.select("model").distinct()))
+    slots = pairs.select("pair_id").distinct().select("pair_id", F.explode(F.array(*map(F.lit, models))).alias("model"))
     last = attempts.groupBy("pair_id", "model").agg(F.max_by("status", "attempt").alias("last"))
     done = votes.select("pair_id", "model").distinct().withColumn("voted", F.lit(True))
     out = slots.join(done, ["pair_id", "model"], "left").join(last, ["pair_id", "model"], "left")
@@ -89,8 +89,7 @@ def repeat_drift(cases: DataFrame, runs: DataFrame) -> DataFrame:
     own = eligible.join(runs.select("case_id", "repeat_index", "decision"), "case_id")
     parent = runs.select(F.col("case_id").alias("parent_id"), "repeat_index", F.col("decision").alias("parent_decision"))
     paired = own.join(parent, ["parent_id", "repeat_index"]).groupBy("repeat_index").agg(F.count("*").alias("paired"), n(F.col("decision") != F.col("parent_decision")).alias("changed"))
-    total = eligible.agg(F.count("*").alias("eligible"))
-    out = every.crossJoin(total).join(paired, "repeat_index", "left")  # one row of totals
+    out = every.withColumn("eligible", F.lit(eligible.count()).cast("long")).join(paired, "repeat_index", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select("repeat_index", "eligible", zero("paired").alias("paired"), (F.col("eligible") - zero("paired")).alias("missing_pairs"), zero("changed").alias("changed"))
 
