@@ -38,7 +38,7 @@ LEAN = 50.0
 #: What makes up one in so many tokens is broadcast.
 HOT = 100_000
 #: Tokens of a stretch, entries of a bucket, hashes kept to estimate the vocabulary, target ids that are broadcast.
-STRETCH, BUCKET, SMALLEST, FEW = 600_000, 600_000, 4_096, 4_000_000
+STRETCH, BUCKET, SMALLEST, FEW = 600_000, 1_000_000, 4_096, 4_000_000
 #: The word before a text.
 START = 1 << 62
 
