@@ -10,9 +10,9 @@
    shingles) and 3 (from 6 on), see :func:`run_lengths`.
 3. One aggregate per list counts its members and picks a leader; lists of several
    classes are joined with it, and each member is paired with the leader (not all pairs).  The
-   similarity of a pair is estimated from the bottom-k of the union of both
-   sketches; pairs far below the threshold (over 5 standard deviations) go.  The others are
-   verified on full sets, streamed past the set of their leader.
+   bottom-k of the union of both sketches filters: values there that one set lacks are certain, and
+   a pair with more of them than its sizes allow goes.  The similarity estimated from it orders the rest: likely pairs are
+   verified first, on full sets, streamed past the set of their leader, and then those of the unlikely ones that join different components.
 4. Confirmed links give components.  Lists that then still hold several components may
    hide links that no leader saw.  Their members are compared on full sets in blocks that Spark
    spreads over tasks, either list by list or by groups of overlapping lists, whichever takes
@@ -43,7 +43,7 @@ K = 64
 FEW = 4_000_000
 #: Members that meet their leader in one stretch of rows.
 STRETCH = 256
-#: How far the estimate of a pair may lie below the threshold (five standard deviations at k = 64).
+#: How far the estimate of a likely pair may lie below the threshold.
 SLACK = 0.25
 
 
@@ -194,13 +194,19 @@ def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, sketches: DataFrame, k: int, n: int, percent: int = 85) -> DataFrame:
-    """Those of the ``n`` pairs (x, y) whose similarity, estimated on the k smallest values of the union of both sketches, may reach the threshold."""
+    """(x, y, likely): those of the ``n`` pairs (x, y) that can reach the threshold by the k smallest values of the union of both sketches.
+
+    Of sizes a and b, sets that are linked differ in (a + b) * (100 - percent) / (100 + percent) values at most; of a value among the
+    k smallest of the union it is certain whether both have it.  ``likely`` marks pairs whose estimated similarity is near the threshold.
+    """
     sx = sketches.select(F.col("cid").alias("x"), F.col("sketch").alias("kx"), F.col("n_shingles").alias("nx"))
     sy = sketches.select(F.col("cid").alias("y"), F.col("sketch").alias("ky"), F.col("n_shingles").alias("ny"))
     both = sized(pairs.join(sx, "x"), n, 5_000).join(sy, "y").where((100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")))
-    both = both.select("x", "y", "kx", "ky", F.slice(F.sort_array(F.array_union("kx", "ky")), 1, k).alias("low"))
+    both = both.select("x", "y", "kx", "ky", (F.col("nx") + F.col("ny")).alias("sizes"), F.slice(F.sort_array(F.array_union("kx", "ky")), 1, k).alias("low"))
     hits = F.size(F.array_intersect(F.array_intersect("low", "kx"), "ky"))
-    return sized(both.where(hits >= (percent / 100 - SLACK) * F.size("low")).select("x", "y"), n, 5_000)
+    both = both.select("x", "y", "sizes", F.size("low").alias("n"), hits.alias("hits"))
+    possible = both.where((100 + percent) * (F.col("n") - F.col("hits")) <= (100 - percent) * F.col("sizes"))
+    return sized(possible.select("x", "y", (F.col("hits") >= (percent / 100 - SLACK) * F.col("n")).alias("likely")), n, 5_000)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -235,8 +241,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return rows.mapInArrow(run, "x long, y long")
 
 
-#: Classes on each side of one block of comparisons, and shingles multiplied at once.
-BLOCK, COLUMNS = 512, 4096
+#: Classes and shingles on each side of one block of comparisons, and shingles multiplied at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1_000_000, 4096
 
 
 def _groups(open_: DataFrame) -> DataFrame:
@@ -271,11 +277,13 @@ def between_components(open_: DataFrame, texts: DataFrame, percent: int, width:
     parts = groups.groupBy("g", "by_list", "c").agg(F.count("*").alias("size"))
     largest = written(parts.groupBy("g", "by_list").agg(F.max_by("c", F.struct("size", "c")).alias("largest")), "largest")
     band = F.floor(F.log("n_shingles") / float(np.log(100 / percent))).cast("int")
-    rows = groups.join(_small(largest), ["g", "by_list"]).select("g", "by_list", "cid", "c", band.alias("band"), (F.col("c") != F.col("largest")).alias("open"))
-    asked = rows.select("g", "by_list", "cid", "c", "open", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("cell"), "band")
+    rows = groups.join(_small(largest), ["g", "by_list"]).select("g", "by_list", "cid", "c", "n_shingles", band.alias("band"), (F.col("c") != F.col("largest")).alias("open"))
+    asked = rows.select("g", "by_list", "cid", "c", "n_shingles", "open", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("cell"), "band")
     asked = written(asked, "asked")
     asks = F.col("open") & (F.col("cell") == F.col("band"))
-    cells = asked.groupBy("g", "by_list", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(asks) / BLOCK).cast("int").alias("chunks"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    chunks = F.greatest(F.ceil(F.count_if(asks) / BLOCK), F.ceil(F.sum(F.when(asks, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    cells = asked.groupBy("g", "by_list", "cell").agg(blocks.alias("blocks"), chunks.alias("chunks"))
     cells = written(cells.where("chunks > 0"), "cells")
     placed, hashed = asked.join(_small(cells), ["g", "by_list", "cell"]), F.xxhash64("cid")
     cell = ["g", "by_list", "cell"]
@@ -347,11 +355,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return _only(rows, "doc_id", own_ids).join(own, "doc_id").select("cid", "s1", "text")
 
     pairs = written(sized(members.where("cid <> leader").select(F.col("cid").alias("x"), F.col("leader").alias("y")).distinct(), m), "pairs")
-    likely = written(estimated(pairs, few, k, pairs.count(), percent), "likely")
-    sides = written(likely.select("x").union(likely.select("y")).distinct(), "ids")
-    links = written(confirmed(likely, texts(sides), percent, width), "links")
-    edges = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comps = components(edges)
+    possible = written(estimated(pairs, few, k, pairs.count(), percent), "possible")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs (x, y) that full sets confirm."""
+        sides = written(pairs.select("x").union(pairs.select("y")).distinct(), "ids")
+        links = written(confirmed(pairs, texts(sides), percent, width), "links")
+        spent(sides)
+        return links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    comps = components(linked(possible.where("likely").select("x", "y")))
+    # unlikely pairs count as well, but where both sides are in one component by now they say nothing new
+    cx, cy = comps.toDF("x", "cx"), comps.toDF("y", "cy")
+    apart = possible.where("not likely").join(cx, "x", "left").join(cy, "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
+    apart = written(apart.select("x", "y"), "unlikely")
+    if apart.take(1):
+        stars = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comps = components(stars.union(linked(apart)))
 
     # lists that hold several components by now
     label = members.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "leader", F.coalesce("component", "cid").alias("c"))
@@ -359,7 +379,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
     open_ = label.join(split, "key", "left_semi").join(few.select("cid", "n_shingles"), "cid")
     open_ = written(sized(open_, m), "open")
-    spent(members, ids, few, pairs, likely, sides, label)
+    spent(members, ids, few, pairs, possible, apart, label)
     if open_.take(1):
         cids = written(sized(open_.select("cid").distinct(), m), "ids")
         more = between_components(open_, texts(cids), percent, width)
