@@ -2,9 +2,13 @@
 
 Candidate blocks are the paragraphs, lines and sentences of a text with a word that licenses use, the largest first; what a
 confirmed block covers is not looked at again.  Each block is compressed with zstandard alone and with every template as raw
-dictionary.  Every template that saves enough is aligned with the block; the part of the block that follows the template is
-confirmed by the exact differences in wording: few enough, and none in a word that decides between licenses (names, versions,
-elements such as NC or SA, negations).  Of the confirmed templates the one that saves the largest share of that part wins.
+dictionary, and the templates are ranked by the reduction in size.  In this order they are aligned with the block, and the first one wins that is
+confirmed by the exact differences between its wording and the part of the block that follows it:
+
+* the part holds a run of words that is the template's own: it stands in no other template, names a version if the template's name
+  does, is long or says that it is about a license, and disclaims nothing (boilerplate that licenses share confirms none);
+* few words differ, and none that decides between licenses (names, versions, elements such as NC or SA, negations), neither inside the part nor beside it;
+* no negation stands in the same sentence before or right behind the part.
 
 Templates are a parameter, a table of name and wording.  Defined results: null and blank texts have no blocks; equal savings go to
 the first template by name; repeated rows repeat, and a row is known by its id and the hash of its text; offsets count code
@@ -77,14 +81,24 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved. Copyright, all rights reserved. No part of this work may be reproduced without written permission.",
 }
 #: Words that tell licenses apart; a year is none.
-DECISIVE = frozenset("affero lesser library nc nd sa by noncommercial noderivatives noderivs sharealike no not apache mit bsd isc mozilla mpl agpl lgpl gpl cc0 zlib clause".split())
+DECISIVE = frozenset("affero lesser library nc nd sa by noncommercial noderivatives noderivs sharealike no not apache mit bsd isc mozilla mpl agpl lgpl gpl cc0 zlib clause documentation eclipse artistic boost academic".split())
+#: Words of disclaimers, which grant nothing.
+DISCLAIMING = frozenset("warranty warranties liable liability damages".split())
+#: Words that turn a sentence around, and words by which a short run is about a license.
+NEGATIONS = frozenset("no not never nor neither cannot isn't wasn't aren't doesn't don't unlike instead without except formerly previously".split())
+ABOUT = frozenset("license licence licensed licenced cc cc0 commons mpl unencumbered reserved".split())
 _VERSION, _YEAR = re.compile(r"v?\d+(?:\.\d+)*"), re.compile(r"(?:19|20)\d\d")
 _MARK = re.compile(r"licen[cs]|copyright|all\s+rights\s+reserved|creative\s+commons|public\s+domain|permission\s+is\s+(?:hereby\s+)?granted|redistribut|\bcc0?[\s-](?:by|1\.0)|free\s+software|as[\s-]is\b|warrant", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+_NAMED_VERSION, _STOP = re.compile(r"\d+\.\d+"), re.compile(r"[.!?;](?:\s|$)|\n[ \t]*\n")
+#: Holds wherever _MARK does, and uses nothing that Java's expressions read in another way.
+_MAYBE = r"(?isu)licen|copyright|rights|commons|domain|permission|redistribut|cc0?.(?:by|1)|software|as.is|warrant"
 _PARAGRAPH, _LINE, _SENTENCE = re.compile(r"\n[ \t]*\n\s*"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+")
 #: Share of the compressed size that the winner must save, of a block to be aligned and of the part that follows the
 #: template; share of this part's words that must follow, and words at least.
 FIRST_SAVING, LEAST_SAVING, LEAST_SAME, LEAST_WORDS = 0.10, 0.25, 0.75, 3
+#: Words of a run that is a template's own: at most, and at least where no word of ABOUT is among them (or the whole template).
+OWN_MOST, OWN_LEAST = 24, 12
 
 
 class Scanner:
@@ -96,8 +110,27 @@ class Scanner:
         self.words = {n: [m.group() for m in _WORD.finditer(templates[n].lower())] for n in self.names}
         self.plain = zstandard.ZstdCompressor(**options)
         self.primed = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(templates[n].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for n in self.names}
+        self.own = {n: self._own_runs(n) for n in self.names}
         self.found: dict[str, tuple | None] = {}
 
+    def _own_runs(self, name: str) -> list[tuple[int, int]]:
+        """(begin, end) of the shortest runs of words by which a template is known, one from each word at most."""
+        words = self.words[name]
+        others = [_spelled(w) for n, w in self.words.items() if n != name and w != words]
+        version = _NAMED_VERSION.search(name)
+        wanted = {version.group(), version.group().removesuffix(".0")} if version else None
+        out = []
+        for i in range(len(words)):
+            for j in range(i + 1, min(i + OWN_MOST, len(words)) + 1):
+                run = words[i:j]
+                if run[-1] in DISCLAIMING:
+                    break
+                about = len(run) >= min(OWN_LEAST, len(words)) or any(p in ABOUT for w in run for p in w.split("-"))
+                if about and (wanted is None or any(w.lstrip("v") in wanted for w in run)) and not any(_spelled(run) in o for o in others):
+                    out.append((i, j))
+                    break
+        return out
+
     def savings(self, block: str, names: list[str] | None = None) -> list[tuple[float, str]]:
         """(share of the compressed size saved, template), the best first and equals by name."""
         raw = " ".join(block.lower().split()).encode()
@@ -109,21 +142,26 @@ class Scanner:
         if block in self.found:
             return self.found[block]
         places = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(block)]
-        best = None
+        words = [w for *_, w in places]
+        known, out = set(words), None
         for saving, name in self.savings(block):
             if saving < FIRST_SAVING:
                 break
-            part = followed(self.words[name], [w for *_, w in places])
+            template = self.words[name]
+            # without a run of the template's own nothing is confirmed, and nothing needs to be aligned
+            if not any(known.issuperset(template[i:j]) for i, j in self.own[name]):
+                continue
+            part = followed(template, words)
             if part is None:
                 continue
             first, last, same, diff = part
             begin, end = places[first][0], places[last][1]
+            if any(map(decides, diff)) or negated(block, begin, end) or not any(same.issuperset(range(i, j)) for i, j in self.own[name]):
+                continue
             share = self.savings(block[begin:end], [name])[0][0]
-            if share >= LEAST_SAVING and not any(map(decides, diff)):
-                rank = (-same, -share, name)
-                if best is None or rank < best[0]:
-                    best = rank, (begin, end, name, share, last - first + 1, diff)
-        out = best and best[1]
+            if share >= LEAST_SAVING:
+                out = begin, end, name, share, last - first + 1, diff
+                break
         if len(block) <= 1000:  # notices come again and again
             if len(self.found) >= 5_000:
                 self.found.clear()
@@ -131,8 +169,21 @@ class Scanner:
         return out
 
 
-def followed(template: list[str], block: list[str]) -> tuple[int, int, int, list[str]] | None:
-    """(first word, last word, words that follow, differences) of the part of ``block`` around its longest common run with ``template``
+def _spelled(words: list[str]) -> str:
+    """Words between bars, so that a run of words is a part of the string."""
+    return f"|{'|'.join(words)}|"
+
+
+def negated(block: str, begin: int, end: int) -> bool:
+    """Whether a negation stands before the part in its sentence, or among the three words right behind it."""
+    before = _STOP.split(block[:begin])[-1]
+    behind = _STOP.split(block[end:], maxsplit=1)[0]
+    words = [m.group().lower() for m in _WORD.finditer(before)] + [m.group().lower() for m in _WORD.finditer(behind)][:3]
+    return any(w in NEGATIONS for w in words)
+
+
+def followed(template: list[str], block: list[str]) -> tuple[int, int, set[int], list[str]] | None:
+    """(first word, last word, places of the template's words that follow, differences) of the part of ``block`` around its longest common run with ``template``
     that keeps to it.  The part does not grow over differences that decide.
 
     A difference is ``-word`` of the template or ``+word`` of the block.
@@ -167,7 +218,7 @@ def followed(template: list[str], block: list[str]) -> tuple[int, int, int, list
     first, last = runs[low].b, runs[high].b + runs[high].size - 1
     # a word that decides may stand right before or behind the part
     diff += [f"+{w}" for w in (block[first - 1 : first] if first else []) + block[last + 1 : last + 2] if decides(f"+{w}")]
-    return (first, last, same, diff) if same >= LEAST_WORDS else None
+    return (first, last, {i for r in runs[low : high + 1] for i in range(r.a, r.a + r.size)}, diff) if same >= LEAST_WORDS else None
 
 
 def decides(difference: str) -> bool:
@@ -227,7 +278,7 @@ def license_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
     # most texts have no mark at all and never leave the JVM
-    rows = rows.where(F.col("text").rlike("(?i)" + _MARK.pattern))
+    rows = rows.where(F.col("text").rlike(_MAYBE))
     return rows.mapInArrow(run, "doc_id long, content long, begin int, end int, license string, saving double, n_words int, differences array<string>")
 
 

@@ -207,5 +207,59 @@ def test_wordings_that_decide_between_licenses():
         "Licensed under CC BY 4.0. Released under the MIT License.": ["CC-BY-4.0", "MIT"],
     }
     assert {x: [b[2] for b in license_scan.blocks_of(x, scanner)] for x in want} == want
+    silent = (
+        "Licensed under Creative Commons Attribution 2.0 Generic.", "This work is licensed under a Creative Commons Attribution 2.0 Generic License.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation.",
+        "This project is no longer licensed under the Apache License, Version 2.0.", "It was never Released under the MIT License.", "Licensed under the Apache License, Version 2.0 no more.",
+        "Distributed under the Boost Software License, Version 1.0.", "This work is licensed under terms that you may ask for.", "You may not use this file except in compliance with the License.",
+        "under the terms of the GNU General Public License version 1", "Research under the MIT program of free software was fine.", "This software is provided as is, without warranty of any kind.",
+        "Released under CC0 2.0 Universal.", "GNU General Public License",
+    )
+    assert {x: [b[2] for b in license_scan.blocks_of(x, scanner)] for x in silent} == dict.fromkeys(silent, [])
+    # without the version as a template of its own, another one does not take its place
+    fewer = license_scan.Scanner({k: v for k, v in license_scan.TEMPLATES.items() if k != "CC-BY-3.0"})
+    assert license_scan.blocks_of("This work is licensed under CC BY 3.0.", fewer) == []
+    assert [b[2] for b in license_scan.blocks_of("This work is licensed under CC BY 3.0.", scanner)] == ["CC-BY-3.0"]
     same = license_scan.Scanner({"b": "free to use by all people", "a": "free to use by all people"})
     assert license_scan.blocks_of("free to use by all people under warranty", same)[0][2] == "a"
+
+
+def plain_scan(text, templates):
+    """Every template against the whole text, word by word: the names whose own run of words stands there without a negation before it."""
+    words = {n: [w.strip(".,;()\"<>") for w in t.lower().split()] for n, t in templates.items()}
+    own = [w.strip(".,;()\"<>") for w in text.lower().split()]
+    found = set()
+    for n, w in words.items():
+        for size in range(6, 12):
+            for i in range(len(w) - size + 1):
+                run = w[i : i + size]
+                if any(run == o[k : k + size] for m, o in words.items() if m != n for k in range(len(o))):
+                    continue
+                if any(run == own[k : k + size] for k in range(len(own))):
+                    found.add(n)
+    return found
+
+
+def test_scan_equals_a_plain_one_on_whole_notices(prose):
+    """Texts with none, one or two notices between prose: the same licenses as by looking for any run of six words and more that one template alone has."""
+    t, rng = license_scan.TEMPLATES, random.Random(4)
+    # notices that differ in a name or version alone have no run of their own of that kind
+    names = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "ISC", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
+    some = {n: t[n] for n in names}
+    scanner = license_scan.Scanner(some)
+    for k in range(40):
+        picked = rng.sample(names, k % 3)
+        text = "\n\n".join([prose(k, 30), *(x for n in picked for x in (some[n], prose(k + 100, 20)))])
+        assert {b[2] for b in license_scan.blocks_of(text, scanner)} == set(picked) == plain_scan(text, some), (k, picked)
+
+
+def test_java_filter_loses_no_mark(spark, make):
+    rows = [(1, "all\u00a0rights\u00a0reserved, Copyright, all rights reserved."), (2, "LİCENCE"), (3, "cc\u00a0by 4.0"), (4, "as\u00a0is"), (5, "\u017foftware is free\u2003software"), (6, "nothing here")]
+    kept = {r["doc_id"] for r in make(rows).where(F.col("text").rlike(license_scan._MAYBE)).collect()}
+    assert {i for i, t in rows if license_scan._MARK.search(t)} <= kept and 6 not in kept
+    assert [r["license"] for r in license_scan.license_blocks(make(rows[:1])).collect()] == ["All-rights-reserved"]
+    long = "word " * 200_000 + "\n\nReleased under the MIT License.\n\n" + "word " * 1000
+    found = license_scan.license_blocks(make([(1, long)])).collect()
+    assert [(r["license"], long[r["begin"] : r["end"]].lower()) for r in found] == [("MIT", "released under the mit license")]
