@@ -3,14 +3,14 @@
 Two bigram models are matched: one vocabulary (every word of the corpus, in lower case), one smoothing, exact counts.  The target model
 counts the documents marked as target, the background model all others; a document is scored by counts without its own, so neither model
 has seen it, but a copy of it elsewhere counts.  p(word | previous) = (c(previous, word) + LEAN / V) / (c(previous) + LEAN),
-with V the size of the vocabulary, estimated from the smallest hashes.
+with V the size of the vocabulary, the exact number of different word hashes.
 
 1. Words and pairs that may make up one in HOT tokens are found from what is frequent in any stretch of texts; they are counted
    exactly and broadcast (at most 2 * HOT of each), so no bucket of hashes gets all occurrences of one.
 2. Every document's other pairs and previous words go, as 64-bit hashes with their number in the document, to the bucket of the hash; a
    stretch of documents sends one packed block to each bucket.  A bucket adds up exact counts of its hashes, and
    answers each stretch with sums per document.  Counts grow with the corpus and are never cut off.
-3. The answers of a stretch meet its list of documents, and give the scores.
+3. The answers of a stretch meet its list of documents, and give the scores.  Gains are whole multiples of 2 ** -24 nats, so their sums are exact and no layout moves a score.
 
 score = target cross-entropy less background cross-entropy, in nats per token; lower is closer to the target.
 Defined results: texts without words, and null texts, score 0 with n_tokens 0; null ids are scored and belong to the background; rows that
@@ -37,8 +37,10 @@ from assay.llm.common import spent, written
 LEAN = 50.0
 #: What makes up one in so many tokens is broadcast.
 HOT = 100_000
-#: Tokens of a stretch, entries of a bucket, hashes kept to estimate the vocabulary, target ids that are broadcast.
-STRETCH, BUCKET, SMALLEST, FEW = 600_000, 1_000_000, 4_096, 4_000_000
+#: Tokens of a stretch, entries of a bucket, target ids that are broadcast.
+STRETCH, BUCKET, FEW = 600_000, 1_000_000, 4_000_000
+#: Parts of a nat in which gains are added up.
+UNIT = 1 << 24
 #: The word before a text.
 START = 1 << 62
 
@@ -99,7 +101,7 @@ def _stretches(batches, columns: list[int]):
 
 
 def _frequent(rows: DataFrame) -> DataFrame:
-    """(kind, key, n): 0 and 1 for previous words and pairs that are frequent in a stretch, 2 for its smallest word hashes, 3 for its tokens."""
+    """(kind, key, n): 0 and 1 for previous words and pairs that are frequent in a stretch, 2 for its different words, 3 for its tokens."""
 
     def run(batches):
         for held in _stretches(batches, [0]):
@@ -110,20 +112,14 @@ def _frequent(rows: DataFrame) -> DataFrame:
                 found, n = np.unique(keys, return_counts=True)
                 ok = n >= least
                 out.append((np.full(ok.sum(), kind), found[ok], n[ok]))
-            low = np.unique(_mixed(s.word))[:SMALLEST]
-            out.append((np.full(len(low), 2), low, np.ones(len(low), np.int64)))
+            words = np.unique(s.word)
+            out.append((np.full(len(words), 2), words, np.ones(len(words), np.int64)))
             kind, key, n = (np.concatenate(c) for c in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
     return rows.select("text").mapInArrow(run, "kind int, key long, n long")
 
 
-def vocabulary_size(smallest: np.ndarray) -> float:
-    """Distinct words from the smallest distinct hashes: exact below :data:`SMALLEST`."""
-    low = np.sort(smallest)[:SMALLEST]
-    return float(len(low)) if len(low) < SMALLEST else (SMALLEST - 1) / (float(low[-1]) / 2.0**64)
-
-
 def _hot_counts(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exact counts of ``keys`` in (background, target) documents."""
     shared = rows.sparkSession.sparkContext.broadcast(keys)
@@ -174,7 +170,8 @@ class Gains:
         self.unit = LEAN / max(size, 1.0)
 
     def of(self, count: np.ndarray, is_history: np.ndarray) -> np.ndarray:
-        return np.where(is_history, -np.log1p(count / LEAN), np.log1p(count / self.unit))
+        """In units of 1 / UNIT, rounded."""
+        return np.rint(UNIT * np.where(is_history, -np.log1p(count / LEAN), np.log1p(count / self.unit)))
 
 
 def _asked(rows: DataFrame, bits: int, hot: tuple, gains: Gains) -> DataFrame:
@@ -199,7 +196,7 @@ def _asked(rows: DataFrame, bits: int, hot: tuple, gains: Gains) -> DataFrame:
             own, history = times[is_hot], (keys[is_hot] & np.uint64(1)).astype(bool)
             mine = of_target[doc[is_hot]]
             sums = [
-                np.bincount(doc[is_hot], own * gains.of(count[at[is_hot]] - own * (mine == t), history), len(held)) for t, count in ((1, target), (0, background))
+                np.bincount(doc[is_hot], own * gains.of(count[at[is_hot]] - own * (mine == t), history), len(held)).astype(np.int64) for t, count in ((1, target), (0, background))
             ]
             keys, doc, times = keys[~is_hot], doc[~is_hot], times[~is_hot]
             info = _packed(np.array([r[2] or 0 for r in held], np.int64), np.array([r[2] is None for r in held], np.uint8), s.sizes, *sums)
@@ -230,7 +227,7 @@ def _answered(asked: DataFrame, gains: Gains) -> DataFrame:
         some = (sums[0] != 0) | (sums[1] != 0)
         place = which[some] << 32 | (doc[some] >> np.uint32(1)).astype(np.int64)
         found, back = np.unique(place, return_inverse=True)
-        added = [np.bincount(back, x[some], len(found)).astype(np.float32) for x in sums]
+        added = [np.bincount(back, x[some], len(found)).astype(np.int64) for x in sums]
         cuts = np.searchsorted(found >> 32, np.arange(len(blocks) + 1))
         for k, (name, _) in enumerate(blocks):
             a, z = cuts[k], cuts[k + 1]
@@ -258,7 +255,7 @@ def _scored(answered: DataFrame, gains: Gains) -> DataFrame:
 
         def finished():
             ids, missing, n, target, background = held
-            ce = [np.where(n > 0, -(s / np.maximum(n, 1) + unseen), 0.0) for s in (target, background)]
+            ce = [np.where(n > 0, -(s / UNIT / np.maximum(n, 1) + unseen), 0.0) for s in (target, background)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64(), mask=missing.astype(bool)), pa.array(n), pa.array(ce[0]), pa.array(ce[1]), pa.array(ce[0] - ce[1])], ["doc_id", "n_tokens", "target_ce", "background_ce", "score"]
             )
@@ -268,9 +265,9 @@ def _scored(answered: DataFrame, gains: Gains) -> DataFrame:
                 if kind == 0:
                     if held is not None:
                         yield finished()
-                    held = _unpacked(blob, "<i8", "<u1", "<i8", "<f8", "<f8")
+                    held = _unpacked(blob, "<i8", "<u1", "<i8", "<i8", "<i8")
                 else:
-                    doc, target, background = _unpacked(blob, "<u4", "<f4", "<f4")
+                    doc, target, background = _unpacked(blob, "<u4", "<i8", "<i8")
                     held[3][doc] += target
                     held[4][doc] += background
         if held is not None:
@@ -296,11 +293,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
 
     frequent = written(_frequent(rows), "frequent")
     total = frequent.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    low = frequent.where("kind = 2").select("key").distinct().orderBy(F.shiftrightunsigned("key", 1), "key").limit(2 * SMALLEST).toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+    vocabulary = frequent.where("kind = 2").select("key").distinct().count()
     # their occurrences add up to the tokens at most, so there are no more than 2 * HOT of a kind
     often = frequent.where("kind < 2").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * (2 * HOT) >= total).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
     spent(frequent)
-    keys, gains = np.sort(often), Gains(vocabulary_size(low))
+    keys, gains = np.sort(often), Gains(float(vocabulary))
     hot = (keys, *_hot_counts(rows, keys))
     bits = max(0, int(np.ceil(np.log2(max(1.2 * total / BUCKET, 1)))))
     return _scored(_answered(_asked(rows, bits, hot, gains), gains), gains)
