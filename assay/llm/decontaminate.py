@@ -9,7 +9,7 @@ alignment inside it, which gives the span and its edits.
 
 The index of q-grams of a bounded part of the benchmark is broadcast; a larger
 benchmark is read in several parts, each compared with all documents.
-Items too short for a gram are searched as they are: whole (no edits are allowed at that length) and as words of their own.
+Items too short for the bound at q = 12 (20 to 23 bytes with one edit) have shorter grams.  Items too short for a gram are searched as they are: whole (no edits are allowed at that length) and as words of their own.
 A row is known by its id and the hash of its text (``content``), so rows that share an id, or have none, keep their own spans.
 Defined results: null and blank texts and items match nothing; repeated rows and items count once; of overlapping occurrences of an
 item the one with the fewest edits stays, of equal ones the first; spans count code points of the
@@ -42,34 +42,46 @@ def folded(text: bytes) -> np.ndarray:
     return _FOLD[np.frombuffer(text, np.uint8)]
 
 
-def q_grams(text: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all 12-byte grams."""
-    if len(text) < Q:
+def q_grams(text: np.ndarray, q: int = Q) -> np.ndarray:
+    """64-bit hashes of all grams of ``q`` bytes, 8 to 12."""
+    if len(text) < q:
         return np.empty(0, np.uint64)
     two = text[:-1].astype(np.uint32) | text[1:].astype(np.uint32) << np.uint32(8)
     four = two[:-2] | two[2:] << np.uint32(16)
     eight = four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
-    x = (eight[:-4] * np.uint64(0x9E3779B97F4A7C15)) ^ (four[8:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
+    n = len(text) - q + 1
+    x = (eight[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (four[q - 4 : q - 4 + n].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
     return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Index:
-    """q-grams of benchmark items, sorted by hash, with the items and offsets where they stand."""
+    """q-grams of benchmark items, sorted by hash, with the items and offsets where they stand.
 
-    def __init__(self, items: list[tuple[int, str]], edit_share: float = EDIT_SHARE):
-        every = [(i, folded(t.strip().encode())) for i, t in items if t is not None and i is not None and t.strip()]
+    Items whose bound would not be positive have grams of fewer bytes, in an index of their own (``finer``).
+    """
+
+    def __init__(self, items: list[tuple[int, str]], edit_share: float = EDIT_SHARE, q: int = Q):
+        self.q = q
+        every = [(i, folded(t.strip().encode("utf-8", "surrogateescape"))) for i, t in items if t is not None and i is not None and t.strip()]
         kept = [(i, t) for i, t in every if len(t) >= Q]
         #: items without a gram: one expression finds them as whole words
         short = sorted({t.tobytes() for _, t in every if len(t) < Q}, key=lambda t: (-len(t), t))
         self.short_ids = {t: sorted(i for i, u in every if u.tobytes() == t) for t in short}
         self.short = [re.compile(rb"(?<![0-9A-Za-z_\x80-\xff])" + re.escape(t) + rb"(?![0-9A-Za-z_\x80-\xff])") for t in short]
+        allowed = {len(t): int(len(t) * edit_share) for _, t in kept}
+        fine = [m for m, e in allowed.items() if m - q + 1 - q * e < 1]
+        less = min((m // (allowed[m] + 1) for m in fine), default=q)
+        self.finer = None
+        if 8 <= less < q:
+            self.finer = Index([(i, t.tobytes().decode("utf-8", "surrogateescape")) for i, t in kept if len(t) in fine], edit_share, less)
+            kept = [(i, t) for i, t in kept if len(t) not in fine]
         self.ids = [i for i, _ in kept]
         self.texts = [t for _, t in kept]
         sizes = np.array([len(t) for t in self.texts], np.int64)
         # the bound must stay positive
-        self.edits = np.minimum((sizes * edit_share).astype(np.int64), np.maximum((sizes - Q) // Q, 0))
-        self.least = sizes - Q + 1 - Q * self.edits
-        grams = [q_grams(t) for t in self.texts]
+        self.edits = np.minimum((sizes * edit_share).astype(np.int64), np.maximum((sizes - q) // q, 0))
+        self.least = sizes - q + 1 - q * self.edits
+        grams = [q_grams(t, q) for t in self.texts]
         codes = np.concatenate([np.empty(0, np.uint64), *grams])
         order = np.argsort(codes, kind="stable")
         self.codes, starts = np.unique(codes[order], return_index=True)
@@ -79,11 +91,11 @@ class Index:
         self.bits = max(16, min(26, int(len(self.codes) * 64).bit_length()))
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[self.codes >> np.uint64(64 - self.bits)] = True
-        self.longest = int((sizes + 2 * self.edits).max()) + Q if len(kept) else Q
+        self.longest = max(int((sizes + 2 * self.edits).max()) + q if len(kept) else Q, self.finer.longest if self.finer else Q)
 
     def candidates(self, text: np.ndarray) -> list[tuple[int, int]]:
         """(item, first diagonal of a band) of the bands of ``text`` that reach their item's bound."""
-        codes = q_grams(text)
+        codes = q_grams(text, self.q)
         at = np.flatnonzero(self.filter[codes >> np.uint64(64 - self.bits)])
         if not len(at) or not len(self.codes):
             return []
@@ -121,7 +133,7 @@ class Index:
         for pattern in self.short:
             for m in pattern.finditer(raw):
                 out += [(i, m.start(), m.end(), 0) for i in self.short_ids[m.group()]]
-        return out
+        return out + (self.finer.spans(text) if self.finer else [])
 
 
 def aligned(item: np.ndarray, text: np.ndarray, low: int, width: int, most: int) -> tuple[int, int, int] | None:
@@ -157,7 +169,7 @@ def contaminated_spans(
     item_col: str = "item_id", item_text_col: str = "text", edit_share: float = EDIT_SHARE, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """A row for each occurrence of a benchmark item: doc_id, content, item_id, begin, end, edits."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
     parts = -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // part_bytes) or 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
     found = []

@@ -101,3 +101,19 @@ def test_short_items_and_best_spans(spark, make):
     got = sorted((r["doc_id"], r["item_id"], r["begin"], r["end"], r["edits"]) for r in d.contaminated_spans(docs, bench).collect())
     assert got == [(1, 5, 11, 13, 0), (2, 1, 0, 9, 0), (2, 5, 10, 12, 0), (3, 1, 12, 21, 0), (4, 2, 41, 41 + len(item), 0)]
     assert d.contaminated_spans(docs, bench.limit(0)).count() == 0 and d.contaminated_spans(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_with_an_edit(spark, make):
+    """Items of 20 to 23 bytes may have one edit, anywhere."""
+    rng = random.Random(6)
+    items = [(m, "".join(rng.choice("abcdefgh ") for _ in range(m)).replace(" ", "x")) for m in range(12, 30)]
+    index = d.Index(items)
+    for m, item in items:
+        most = int(m * d.EDIT_SHARE)
+        for at in range(m):
+            for text in (item[:at] + "z" + item[at:], item[:at] + "z" + item[at + 1 :], item[:at] + item[at + 1 :]):
+                found = [s for s in index.spans(d.folded(("q" * 40 + text + "q" * 40).encode())) if s[0] == m]
+                least = semi_global(list(item.encode()), list(("q" * 40 + text + "q" * 40).encode()))
+                assert [s[3] for s in found] == ([least] if least <= most else []), (m, at, text)
+    got = d.contaminated_spans(make([(1, "qq " + items[8][1][:10] + "-" + items[8][1][11:])]), spark.createDataFrame([items[8]] * 50, "item_id long, text string")).collect()
+    assert [(r["item_id"], r["edits"]) for r in got] == [(20, 1)]
