@@ -15,18 +15,23 @@ from assay.llm.hashed_text import DIM
 
 #: Parts that fit on their own and are averaged: one for so many labels, at most eight.
 PARTS, PART_ROWS = 8, 2_500
+#: Bytes of the longest text that takes part in a fit, so a part holds half a gigabyte at most; scores are made of texts of any length.
+FIT_BYTES = 200_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, most: int, name: str) -> DataFrame:
-    """(doc_id, text, label, part) of at most ``most`` labelled ids, those of the least hash; ``label`` is an aggregate over the rows of an id in
-    ``labels``, so that ids with several labels have a defined one.
+    """(doc_id, text, label, part) of at most ``most`` rows: the labelled ids of the least hash, and of each the text of the least hash among
+    those of up to :data:`FIT_BYTES`; ``label`` is an aggregate over the rows of an id in ``labels``, so that ids with several labels have a defined one.
 
     The sample of labels is bounded by ``most`` rows, so it is broadcast and the texts are not shuffled.
     """
     labels = labels.where("doc_id is not null").groupBy("doc_id").agg(label.alias("label")).where("label is not null")
     few = written(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), f"{name}-labels")
     parts = max(1, min(PARTS, few.count() // PART_ROWS))
-    out = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).join(F.broadcast(few), "doc_id")
+    # an id may have any number of rows
+    first = F.min_by(F.coalesce("text", F.lit("")), F.struct(F.xxhash64("text"), F.col("text")))
+    out = texts.groupBy("doc_id").agg(first.alias("text"), F.first("label").alias("label"))
     return written(out.withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(parts)).cast("int")), name)
 
 

@@ -265,3 +265,14 @@ def test_java_filter_loses_no_mark(spark, make):
     long = "word " * 200_000 + "\n\nReleased under the MIT License.\n\n" + "word " * 1000
     found = license_scan.license_blocks(make([(1, long)])).collect()
     assert [(r["license"], long[r["begin"] : r["end"]].lower()) for r in found] == [("MIT", "released under the mit license")]
+
+
+def test_sample_has_a_row_for_an_id_at_most(spark, make, prose):
+    """Ids with many rows, texts beyond the bound, and null texts."""
+    rows = [(k % 5, prose(k, 5)) for k in range(60)] + [(5, None), (6, "x " * linear.FIT_BYTES), (7, "one")]
+    labels = spark.createDataFrame([(k, 1) for k in range(9)] + [(None, 1)], "doc_id long, toxic int")
+    out = linear.labelled_sample(make(rows), labels, F.max("toxic"), 100, "sample").collect()
+    assert sorted(r["doc_id"] for r in out) == [0, 1, 2, 3, 4, 5, 7] and {r["text"] for r in out if r["doc_id"] == 5} == {""}
+    again = linear.labelled_sample(make(rows).repartition(5), labels, F.max("toxic"), 100, "sample").collect()
+    assert {(r["doc_id"], r["text"]) for r in again} == {(r["doc_id"], r["text"]) for r in out}
+    assert linear.labelled_sample(make(rows), labels, F.max("toxic"), 3, "sample").count() <= 3
