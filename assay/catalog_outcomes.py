@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.operators import distributions, external, ledgers
+from assay.operators import analysis, distributions, external, ledgers
 from assay.plans import bindings as b
 from assay.plans import heads, outside
+from assay.plans.sql import REC, ratio
 from assay.registry import query
-from assay.schema import DECISIONS
+from assay.schema import DECISIONS, is_correct
 
 
 @query(heads.DECODED + f"""SELECT "order", line, failure, CASE WHEN failure IS NULL THEN {heads.CHOSEN} END AS decision,
@@ -52,3 +53,41 @@ def external_accounting(spark, sf_dir):
     cases = _cases(spark, sf_dir)
     records, failures = external.outcomes(cases, [outside.Stops(), outside.HASTY])
     return ledgers.accounting(records, failures, cases).select("evaluator_name", "planned", "scored", "failed", "clashing", "missing", "complete")
+
+
+@query(REC + f""", told AS (SELECT *, tenths = 10 AS late FROM rec WHERE tenths IS NOT NULL)
+SELECT evaluator_name, count(*) AS planned, count(*) FILTER (NOT late) AS scored, count(*) FILTER (late) AS failed, CAST(0 AS BIGINT) AS not_run, {ratio('count(*) FILTER (NOT late AND ok)', 'count(*) FILTER (NOT late AND expected_decision IS NOT NULL)')} AS decision_accuracy,
+'' AS problems, CASE evaluator_name WHEN 'alpha' THEN 'metrics' ELSE '' END AS problems_if_changed, 'coverage.planned coverage.not_run' AS problems_if_planned FROM told GROUP BY evaluator_name""")
+def analysis_round_trip(spark, sf_dir):
+    """An analysis published and read back: against its tables, against records with other decisions, and against an index with a case more."""
+    stored = b.scratch(spark, "records")
+    b.records(spark, sf_dir).write.parquet(stored)
+    rows = spark.read.parquet(stored)
+    late = F.round(F.col("confidence") * 10) == 10
+    failures = rows.where(late).select("case_id", "evaluator_name", "repeat_index", F.lit("failed").alias("status"), F.lit("deadline").alias("error_kind"))
+    records, index = rows.where(~late), rows.select("case_id").distinct()
+    place = analysis.publish(b.scratch(spark, "analysis"), spark, analysis.document(records, failures, index))
+    made = analysis.verified(place, spark, records, failures, index)
+    turned = F.when((F.col("evaluator_name") == "alpha") & (F.col("case_kind") == "mutated") & (F.col("decision") == "accept"), "reject").otherwise(F.col("decision"))
+    found = [
+        [], analysis.problems(made, records.withColumn("decision", turned).withColumn("correct", is_correct()), failures, index),
+        analysis.problems(made, records, failures, index.union(spark.range(1).select(F.lit("one more")))),
+    ]
+    assert ("records.digest", "") in found[1] and ("records.digest", "") not in found[2]
+    told = [(name, *(made["coverage"][name][k] for k in analysis.COVERAGE), made["metrics"][name]["decision_accuracy"], *(" ".join(w for w, e in f if e == name) for f in found)) for name in made["evaluators"]]
+    return spark.createDataFrame(told, "evaluator_name string, planned long, scored long, failed long, not_run long, decision_accuracy double, problems string, problems_if_changed string, problems_if_planned string")
+
+
+@query("""SELECT l_returnflag, count(*) AS rows, true AS same_in_any_layout, false AS same_if_changed, false AS same_if_repeated FROM lineitem GROUP BY ALL""")
+def table_digests(spark, sf_dir):
+    """Digests of line items by flag: in another layout and order of columns, with one tax changed in each group, and with one row twice."""
+    items = b.read(spark, sf_dir, "lineitem")
+    one = items.groupBy("l_returnflag").agg(F.min(F.struct(*[c for c in items.columns if c != "l_returnflag"])).alias("x")).select("l_returnflag", "x.*").select(items.columns)
+    least = items.groupBy("l_returnflag").agg(F.min("l_orderkey").alias("k"))
+    changed = items.join(F.broadcast(least), "l_returnflag").withColumn("l_tax", F.when(F.col("l_orderkey") == F.col("k"), F.col("l_tax") + 1).otherwise(F.col("l_tax"))).drop("k")
+    digest = lambda df, name: analysis.table_digest(df, "l_returnflag").select("l_returnflag", F.col("rows").alias(f"{name}_rows"), F.col("digest").alias(name))
+    out = digest(items, "own")
+    for name, df in (("laid", items.repartition(7, "l_suppkey").select(*reversed(items.columns))), ("changed", changed), ("twice", items.union(one))):
+        out = out.join(digest(df, name), "l_returnflag")
+    same = lambda name: F.col("own") == F.col(name)
+    return out.select("l_returnflag", F.col("own_rows").alias("rows"), same("laid").alias("same_in_any_layout"), same("changed").alias("same_if_changed"), same("twice").alias("same_if_repeated"))
