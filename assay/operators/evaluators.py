@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions import denials as D
 from assay.functions import text as T
 from assay.functions.hashing import opaque_handle
 from assay.schema import ACCEPT, DECISIONS, DIMENSIONS, REJECT, REVIEW
@@ -137,21 +138,10 @@ def hits(patterns: tuple[str, ...]) -> Column:
     return sum((F.col("raw_text").rlike(f"(?iu){p}").cast("int") for p in patterns), F.lit(0))
 
 
-def boundary_denials() -> tuple[Column, Column]:
-    """(unconditional, conditional): whether a sentence denies a boundary outright, or under a condition of its own.
-
-    A sentence ends at ``. ? ! ;`` before white space, or at a blank line.  A denial is conditional if its sentence
-    begins a clause with if, when, whether or unless, or puts one right behind the denial.
-    """
-    denial = "(?:" + "|".join(NO_BOUNDARY) + ")"
-    sentences = F.filter(F.split("raw_text", r"(?<=[.?!;])\s+|\n[ \t]*\n"), lambda s: s.rlike(f"(?iu){denial}"))
-
-    def conditional(s):
-        return s.rlike(r"(?iu)(?:^|[,:(]|--|—)\W*(?:(?:and|but|or|only|even|especially)\s+)*(?:if|when|whether|unless)\b") | s.rlike(
-            f"(?iu){denial}(?:\\s+(?:applies|is crossed))?\\W*(?:(?:only|even|especially)\\s+)?(?:if|when|whether|unless)\\b"
-        )
-
-    return F.exists(sentences, lambda s: ~conditional(s)), F.exists(sentences, conditional)
+def boundary_denials() -> Column:
+    """(outright, conditional): whether a clause denies a boundary outright, or under a condition that governs it."""
+    inside = f"[^{D.STOP}{D.SOFT}{D.PARAGRAPH}]"
+    return D.denied(F.col("raw_text"), tuple(p.replace("[^.?!]", inside) for p in NO_BOUNDARY))
 
 
 def _result(decision: Column, confidence: Column, dims: list[Column]) -> Column:
@@ -200,12 +190,11 @@ class Evaluator:
 
 
 def _rules_signals() -> dict[str, Column]:
-    unconditional, conditional = boundary_denials()
     heading = r"(?imu)^#{1,3}\s+%s\s*$"
     return {
         "missing": sum(((~present(k)).cast("int") for k in SECTION_PATTERNS), F.lit(0)), "has_versions": present("affected_versions"), "has_steps": present("reproduction_steps"),
         "steps": step_count(), "fab": hits(FABRICATION), "sco": hits(SCOPE_EXPANSION), "inf": hits(INFLATION), "con": hits(CONTRADICTION), "att": hits(ATTRIBUTION), "unc": hits(UNCERTAINTY),
-        "denied": unconditional, "denied_if": conditional, "claims": section_text("summary").rlike(f"(?i){STRONG_CLAIM}"),
+        "denials": boundary_denials(), "claims": section_text("summary").rlike(f"(?i){STRONG_CLAIM}"),
         "refs": F.col("raw_text").rlike(heading % "references"), "noise": F.regexp_count("raw_text", F.lit(heading % "(?:additional context|background information)")),
     }
 
@@ -219,7 +208,7 @@ def _rules_dimensions() -> dict[str, Column]:
         "d_repro": F.least(F.lit(1.0), share * 0.35 + step * 0.65),
         "d_cons": F.when(c("claims") & (c("con") > 0), F.greatest(F.lit(0.0), consistency - 0.15)).otherwise(consistency),
         "d_evid": _clamped(share * 0.7 + F.when(c("fab") == 0, 1.0).otherwise(0.6) * 0.3 - 0.05 * c("fab") - F.when(c("refs"), 0.1).otherwise(0.0)),
-        "d_cal": F.greatest(F.lit(0.0), 1 - F.when(c("inf") > 0, 0.35).otherwise(0.0) - 0.1 * c("inf") - F.when(c("denied") & (c("inf") > 0), 0.2).otherwise(0.0)),
+        "d_cal": F.greatest(F.lit(0.0), 1 - F.when(c("inf") > 0, 0.35).otherwise(0.0) - 0.1 * c("inf") - F.when(c("denials.outright") & (c("inf") > 0), 0.2).otherwise(0.0)),
         "d_scope": _clamped(1 - F.when(c("sco") > 0, 0.4).otherwise(0.0) - F.when(~c("has_versions"), 0.25).otherwise(0.0)),
     }
 
@@ -231,8 +220,8 @@ def _rules_result() -> Column:
     slack = 0.02 * c("noise")
     flagged = (c("fab") + c("sco") + c("inf") + c("att") > 0) | c("refs")
     weak = (c("d_repro") < 0.8 - slack) | (c("d_evid") < 0.8 - slack) | (overall < 0.78 - slack)
-    reject = (c("d_cons") <= 0.45) | c("denied") | (c("con") > 0)
-    decision = F.when(reject, REJECT).when(flagged | weak | c("denied_if") | (c("unc") > 0), REVIEW).otherwise(ACCEPT)
+    reject = (c("d_cons") <= 0.45) | c("denials.outright") | (c("con") > 0)
+    decision = F.when(reject, REJECT).when(flagged | weak | c("denials.conditional") | (c("unc") > 0), REVIEW).otherwise(ACCEPT)
     confidence = (
         F.when(decision == ACCEPT, F.least(F.lit(0.95), 0.5 + (overall - 0.78) * 1.6)).when(decision == REJECT, F.least(F.lit(0.9), 0.6 + F.greatest(F.lit(0.0), 0.45 - c("d_cons")) * 0.5))
         .when(c("unc") > 0, 0.5).otherwise(0.45)
@@ -249,7 +238,7 @@ def _rules_findings() -> Column:
     made += [_finding(c("raw_text").rlike(f"(?iu){p}"), "FABRICATED_IDENTIFIER_CLAIM", "high", first_hit((p,))) for p in FABRICATION]
     made += [
         _finding(c("sco") > 0, "SCOPE_EXPANSION_CLAIM", "medium", first_hit(SCOPE_EXPANSION)), _finding(c("inf") > 0, "IMPACT_INFLATION_LANGUAGE", "medium", first_hit(INFLATION)),
-        _finding(c("denied"), "NO_SECURITY_BOUNDARY_STATED", "high", first_hit(NO_BOUNDARY)), _finding(c("denied_if"), "CONDITIONAL_BOUNDARY_STATEMENT", "medium", first_hit(NO_BOUNDARY)),
+        _finding(c("denials.outright"), "NO_SECURITY_BOUNDARY_STATED", "high", first_hit(NO_BOUNDARY)), _finding(c("denials.conditional"), "CONDITIONAL_BOUNDARY_STATEMENT", "medium", first_hit(NO_BOUNDARY)),
         _finding(c("con") > 0, "CLAIM_EVIDENCE_CONFLICT", "critical", first_hit(CONTRADICTION)), _finding(~c("has_versions"), "MISSING_AFFECTED_VERSIONS", "low"),
         _finding(c("att") > 0, "ATTRIBUTION_CLAIM_UNVERIFIED", "medium", first_hit(ATTRIBUTION)), _finding(c("refs"), "UNVERIFIED_REFERENCE_BLOCK", "low"),
         _finding(c("noise") > 0, "TANGENTIAL_CONTENT_SECTION", "info", noise), _finding(c("unc") > 0, "SELF_DECLARED_UNCERTAINTY", "medium", first_hit(UNCERTAINTY)),
