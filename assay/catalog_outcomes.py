@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.operators import analysis, distributions, external, ledgers
+from assay.operators import analysis, cards, distributions, external, ledgers, metrics, spans, supplements
 from assay.plans import bindings as b
-from assay.plans import heads, outside
-from assay.plans.sql import REC, ratio
+from assay.plans import folders, heads, outside, rounds
+from assay.plans import reports as rb
+from assay.plans.sql import REC, n, ratio
 from assay.registry import query
 from assay.schema import DECISIONS, is_correct
+from assay.sources import corpus
 
 
 @query(heads.DECODED + f"""SELECT "order", line, failure, CASE WHEN failure IS NULL THEN {heads.CHOSEN} END AS decision,
@@ -91,3 +93,83 @@ def table_digests(spark, sf_dir):
         out = out.join(digest(df, name), "l_returnflag")
     same = lambda name: F.col("own") == F.col(name)
     return out.select("l_returnflag", F.col("own_rows").alias("rows"), same("laid").alias("same_in_any_layout"), same("changed").alias("same_if_changed"), same("twice").alias("same_if_repeated"))
+
+
+def _rounds(spark, sf_dir):
+    """Ledger, plan and protocols of supplements, written once."""
+    stored = {}
+    for name, made in (("ledger", lambda: rounds.ledger(spark, sf_dir)), ("plan", lambda: rounds.plan(stored["ledger"])), ("protocols", lambda: rounds.protocols(stored["ledger"], stored["plan"], 2))):
+        path = b.scratch(spark, name)
+        made().write.parquet(path)
+        stored[name] = spark.read.parquet(path)
+    return stored["ledger"].select(*rounds.OWN), stored["plan"], stored["protocols"]
+
+
+@query(rounds.SQL + "SELECT slot, CAST(round AS INTEGER) AS round, problem FROM problems")
+def supplement_problems(spark, sf_dir):
+    """What is wrong with the attempts and plans of supplements."""
+    ledger, plan, _ = _rounds(spark, sf_dir)
+    return supplements.slot_problems(ledger, plan, cap=2)
+
+
+@query(rounds.SQL + """, s AS (SELECT m.round, count(*) FILTER (b.round = m.round) AS requests FROM b, (SELECT unnest([1, 2]) AS round) m GROUP BY ALL),
+x AS (SELECT round, count(DISTINCT k) AS slots FROM p GROUP BY ALL), y AS (SELECT round, requests, 2 * (slots + CASE WHEN round = 1 THEN (SELECT count(*) FROM c WHERE n = 1) ELSE 0 END) AS allowed FROM s JOIN x USING (round))
+SELECT CAST(round AS INTEGER) AS round, 'too_many_requests' AS problem FROM y WHERE requests > allowed UNION ALL SELECT 2, 'prior_rows'""")
+def supplement_round_problems(spark, sf_dir):
+    """Rounds whose protocol does not fit: the second one was made on another history."""
+    return supplements.round_problems(*_rounds(spark, sf_dir), cap=2)
+
+
+@query(folders.SQL)
+def discovered_fixtures(spark, sf_dir):
+    """Manifests that no index hides, with what is wrong with their reports."""
+    found = corpus.fixtures(folders.files(spark, sf_dir), folders.ROOT)
+    return found.select("folder", "kind", "id", "problem", F.length("raw_text").alias("chars"))
+
+
+@query(rb.SQL + rb.SECTIONS + """, n AS (SELECT doc_id, length(coalesce(text, '')) AS size FROM documents)
+SELECT doc_id, ordinal, CASE WHEN size % 11 = 0 THEN 'foreign' WHEN size % 3 = 0 THEN 'stale' WHEN size % 7 = 0 AND ordinal = 0 THEN 'outside' WHEN size % 7 = 0 AND ordinal = 1 THEN 'other_text' WHEN size % 5 = 0 AND ordinal = 1 THEN 'other_heading' END AS fault FROM sec JOIN n USING (doc_id)""")
+def span_faults(spark, sf_dir):
+    """Spans of all sections, some of them of other lines or another heading, against documents some of which have grown or are gone; sizes of the texts decide."""
+    sizes = b.read(spark, sf_dir, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    reports = rb.reports(spark, sf_dir)
+    now = reports.join(sizes.where("size % 11 <> 0"), "doc_id").select("doc_id", F.when(F.col("size") % 3 == 0, F.concat("raw_text", F.lit("more\n"))).otherwise(F.col("raw_text")).alias("raw_text"))
+    taken = spans.captured(reports).join(sizes, "doc_id")
+    far, near = F.col("size") % 7 == 0, F.col("ordinal") == 1
+    taken = taken.withColumns({
+        "end_line": F.when(far & (F.col("ordinal") == 0), 1_000_000).when(far & near, F.col("end_line") - 1).otherwise(F.col("end_line")), "heading": F.when(near & (F.col("size") % 5 == 0), "Other").otherwise(F.col("heading")),
+    }).drop("size")
+    return spans.checked(taken, now).select("doc_id", "ordinal", "fault")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS k, l_linenumber AS l, min(l_returnflag) AS f, min(l_quantity) AS q FROM lineitem GROUP BY ALL)
+SELECT 'o' || k AS card_id, count(*) AS n_claims, string_agg('l' || l || ':' || CAST(CAST(q AS INTEGER) AS VARCHAR), ' ' ORDER BY l) AS claims, 'o' || min(o_custkey) AS context, false AS tells
+FROM i JOIN orders ON k = o_orderkey GROUP BY k""")
+def card_views(spark, sf_dir):
+    """What annotators see of cards made of orders and their items, whose flags are the answers."""
+    items = b.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.min("l_quantity").cast("int").alias("q"))
+    claim = F.struct("l_linenumber", F.concat(F.lit("l"), "l_linenumber").alias("claim_id"), F.struct(F.col("q").alias("quantity"), F.col("f").alias("answer")).alias("shown"), F.col("f").alias("status"))
+    claims = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(claim)).alias("claims"))  # an order has seven lines at most
+    rows = claims.join(b.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("o"), "o_orderkey").alias("card_id"), F.lit("1").alias("schema_version"), F.col("o_orderstatus").alias("expected_action"),
+        F.struct(
+            F.sha2(F.col("o_orderkey").cast("string"), 256).alias("opaque_id"), F.create_map(F.lit("customer"), F.struct(F.concat(F.lit("o"), "o_custkey").alias("name"), F.col("o_orderstatus").alias("ground_truth"))).alias("context"),
+            F.col("o_orderpriority").alias("report"), F.array(F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("rationale"))).alias("artifacts"), "claims",
+        ).alias("input"),
+    )
+    shown = cards.views(rows)
+    assert cards.answer_fields(rows.schema) and not cards.answer_fields(shown.schema)
+    tells = cards.serialized(shown).select("card_id", F.col("view").rlike('"(status|answer|rationale|ground_truth|expected_action)"').alias("tells"))
+    told = F.array_join(F.transform("claims", lambda c: F.concat(c.claim_id, F.lit(":"), c.shown.quantity.cast("string"))), " ")
+    return shown.select("card_id", F.size("claims").cast("long").alias("n_claims"), told.alias("claims"), F.col("context")["customer"]["name"].alias("context")).join(tells, "card_id")
+
+
+_LEVELS = [("total", "NULL", "true"), ("report_class", "report_class", "true"), ("operator", "operator", "operator IS NOT NULL"), ("canonical", "'canonical_overall'", "case_kind = 'canonical'")]
+
+
+@query(REC + " UNION ALL ".join(f"""SELECT evaluator_name, '{level}' AS level, CAST({value} AS VARCHAR) AS value, {n('expected_decision IS NOT NULL')} AS total_cases, {n('ok')} AS correct_cases, {n('expected_decision IS NULL')} AS unscored_cases,
+coalesce({ratio(n('ok'), n('expected_decision IS NOT NULL'))}, 0) AS decision_accuracy, {n("expected_decision <> 'accept' AND decision = 'accept'")} AS reassured, {n('changing AND ok')} AS matched,
+{ratio(n("expected_decision = 'accept' AND decision = 'reject'"), n("expected_decision = 'accept'"))} AS over_rejection_rate FROM rec WHERE {kept} GROUP BY ALL""" for level, value, kept in _LEVELS))
+def metric_breakdown(spark, sf_dir):
+    """Total, classes, operators and canonical rows from one scan."""
+    return metrics.breakdown(b.records(spark, sf_dir)).select("evaluator_name", "level", "value", "total_cases", "correct_cases", "unscored_cases", "decision_accuracy", "reassured", "matched", "over_rejection_rate")

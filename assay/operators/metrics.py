@@ -231,6 +231,21 @@ def by_operator(records: DataFrame) -> DataFrame:
     return out.select("evaluator_name", "operator", *names)
 
 
+def breakdown(records: DataFrame) -> DataFrame:
+    """Accuracy metrics in total, per report class and per operator, with canonical rows apart, from one scan: evaluator_name, level, value, the metrics.
+
+    Each row is grouped once for every level; ``value`` is NULL in total, and rows without an operator have no row of that level.
+    """
+    rows = records.withColumn("canonical", F.when(F.col("case_kind") == "canonical", "canonical_overall"))
+    e, c, o, k = (F.col(x) for x in ("evaluator_name", "report_class", "operator", "canonical"))
+    sets = rows.groupingSets([[e], [e, c], [e, o], [e, k]], e, c, o, k).agg(F.grouping_id().alias("g"), *_tallies()).withColumns(_rates())
+    # a bit of g for each column that a level does not have, the evaluator's first
+    level = F.when(F.col("g") == 0b0111, "total").when(F.col("g") == 0b0011, "report_class").when(F.col("g") == 0b0101, "operator").otherwise("canonical")
+    out = sets.withColumn("level", level).withColumn("value", F.coalesce(c, o, k)).where((F.col("level").isin("total", "report_class")) | F.col("value").isNotNull())
+    names = ("total_cases", "correct_cases", "unscored_cases", "decision_accuracy", "reassured", "false_reassurance_rate", "rejected", "over_rejection_rate", "matched", "target_accuracy", "calibration_error")
+    return out.select("evaluator_name", "level", "value", *names)
+
+
 def by_class(records: DataFrame) -> DataFrame:
     """Metrics per report class; parents of the same class pair with their children."""
     keys = ["evaluator_name", "report_class"]
