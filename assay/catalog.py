@@ -231,7 +231,8 @@ def row_bootstrap(spark, sf_dir):
 
 # integrity
 
-@query(REC + "SELECT case_id, parent_id FROM kin WHERE p_id IS NULL AND evaluator_name = 'alpha'")
+@query("""SELECT 'l' || l_orderkey || '-' || l_linenumber AS case_id, CASE WHEN l_orderkey % 10 = 0 THEN 'x' ELSE 'o' END || l_orderkey AS parent_id
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem SEMI JOIN orders ON l_orderkey = o_orderkey) LEFT JOIN orders ON l_orderkey = o_orderkey AND l_orderkey % 10 <> 0 WHERE o_orderkey IS NULL""")
 def dangling_parent(spark, sf_dir):
     return integrity.dangling_parents(b.records(spark, sf_dir)).select("case_id", "parent_id")
 
@@ -247,12 +248,17 @@ def odd_pairs(spark, sf_dir):
     return integrity.odd_pairs(b.pair_roles(spark, sf_dir))
 
 
-@query(REC + """SELECT rule, count(*) AS n FROM (
-SELECT 'correct_flag' AS rule FROM rec WHERE ok <> coalesce(decision = expected_decision, false)
-UNION ALL SELECT 'missing_link' FROM rec WHERE case_kind = 'mutated' AND (parent_id IS NULL OR operator IS NULL)
-UNION ALL SELECT 'duplicate_key' FROM rec GROUP BY case_id, evaluator_name HAVING count(*) > 1) GROUP BY rule""")
+@query(REC + """, odd AS (SELECT case_id, evaluator_name, case_kind, CASE WHEN tenths <> 0 THEN parent_id END AS parent_id, operator, CASE WHEN tenths = 9 THEN NOT ok ELSE ok END AS told, ok, tenths FROM rec),
+every AS (SELECT * FROM odd UNION ALL SELECT * FROM odd WHERE tenths = 7 AND evaluator_name = 'beta')
+SELECT rule, count(*) AS n FROM (SELECT 'correct_flag' AS rule FROM every WHERE told <> ok
+UNION ALL SELECT 'missing_link' FROM every WHERE case_kind = 'mutated' AND (parent_id IS NULL OR operator IS NULL)
+UNION ALL SELECT 'duplicate_key' FROM every GROUP BY case_id, evaluator_name HAVING count(*) > 1) GROUP BY rule""")
 def record_violations(spark, sf_dir):
-    return integrity.violations(b.records(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))
+    """Records whose confidence breaks a rule: 0.9 turns the flag, 0 loses the parent, 0.7 of one evaluator comes twice."""
+    rows, tenths = b.records(spark, sf_dir), F.round(F.col("confidence") * 10)
+    rows = rows.withColumns({"correct": F.when(tenths == 9, ~F.col("correct")).otherwise(F.col("correct")), "parent_id": F.when(tenths != 0, F.col("parent_id"))})
+    again = rows.where((tenths == 7) & (F.col("evaluator_name") == "beta"))
+    return integrity.violations(rows.union(again)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 # repeats and outcomes
@@ -294,11 +300,12 @@ def failure_histogram(spark, sf_dir):
     return repeats.failure_histogram(b.outcomes(spark, sf_dir))
 
 
-@query(OUT + """, c AS (SELECT DISTINCT condition, case_id FROM out) SELECT condition, case_id, CAST(r AS INTEGER) AS repeat_index FROM c CROSS JOIN range(3) AS t(r)
+@query(OUT + """, c AS (SELECT DISTINCT condition, case_id FROM out) SELECT condition, case_id, CAST(r AS INTEGER) AS repeat_index FROM c CROSS JOIN (SELECT unnest(range(max(repeat_index) + 1)) AS r FROM out) AS t
 WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.condition = c.condition AND o.case_id = c.case_id AND o.repeat_index = r)""")
 def planned_not_seen(spark, sf_dir):
     out = b.outcomes(spark, sf_dir)
-    return repeats.planned_not_seen(out.select("condition", "case_id").distinct(), out, 3)
+    most = out.agg(F.coalesce(F.max("repeat_index"), F.lit(0))).first()[0] + 1
+    return repeats.planned_not_seen(out.select("condition", "case_id").distinct(), out, most)
 
 
 @query(OUT + """, r AS (SELECT case_id, repeat_index FROM out WHERE event_id % 7 <> 0 AND status <> 'not_run')

@@ -105,8 +105,8 @@ def panel_matrix(spark, sf_dir):
 
 @query(OUT + f""", ran AS (SELECT DISTINCT case_id, repeat_index, decision FROM out WHERE status = 'success'),
 c AS (SELECT DISTINCT case_id, split_part(case_id, '-', 1) AS operator, CASE WHEN case_id LIKE 'error%' THEN 'canonical' ELSE 'mutated' END AS case_kind FROM out),
-s AS (SELECT case_id, count(DISTINCT repeat_index) AS r, count(DISTINCT decision) AS d FROM ran WHERE repeat_index < 3 GROUP BY case_id)
-SELECT case_kind, operator, count(*) AS eligible, {n('r = 3')} AS complete, {n('r = 3 AND d > 1')} AS changed FROM c LEFT JOIN s USING (case_id) GROUP BY ALL""")
+s AS (SELECT case_id, count(DISTINCT repeat_index) AS r, count(DISTINCT decision) AS d FROM ran GROUP BY case_id)
+SELECT case_kind, operator, count(*) AS eligible, {n('r >= 3')} AS complete, {n('r >= 3 AND d > 1')} AS changed FROM c LEFT JOIN s USING (case_id) GROUP BY ALL""")
 def repeat_agreement(spark, sf_dir):
     out = b.outcomes(spark, sf_dir)
     cases = out.select("case_id").distinct().select("case_id", F.split("case_id", "-")[0].alias("operator"), F.when(F.col("case_id").startswith("error"), "canonical").otherwise("mutated").alias("case_kind"))
@@ -126,10 +126,10 @@ def repeat_drift(spark, sf_dir):
 
 
 @query(REC + f"""SELECT operator, {n('preserving')} AS preserving, {n("preserving AND operator IN ('remove_reproduction_step', 'scope_expansion')")} AS negative_delta, CAST(0 AS BIGINT) AS removes_required_version
-FROM rec WHERE preserving AND evaluator_name = 'beta' GROUP BY operator""")
+FROM (SELECT DISTINCT case_id, operator, preserving FROM rec) WHERE preserving GROUP BY operator""")
 def preserving_inventory(spark, sf_dir):
     specs = spark.createDataFrame([(o, o in ("remove_reproduction_step", "scope_expansion")) for o in b.OPERATORS], "operator string, negative_delta boolean")
-    rows = b.records(spark, sf_dir).where("evaluator_name = 'beta'").withColumn("required_versions", F.lit(True))
+    rows = b.records(spark, sf_dir).dropDuplicates(["case_id"]).withColumn("required_versions", F.lit(True))
     return panels.preserving_inventory(rows, specs)
 
 
@@ -252,9 +252,9 @@ def dimension_deltas(spark, sf_dir):
     return b.read(spark, sf_dir, "customer").select("c_custkey", *(out[d].alias(d) for d in ("scope", "evidence", "missing", "kept")))
 
 
-@query(REC + "SELECT CASE WHEN count(*) > 0 THEN 'applied' ELSE 'skipped' END AS pair_merge, count(*) AS mapped FROM (SELECT DISTINCT coalesce(parent_id, case_id) AS c FROM rec) WHERE c LIKE 'o%' AND CAST(substr(c, 2) AS BIGINT) % 4 = 0 AND substr(c, 2) IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders)")
+@query(REC + "SELECT CASE WHEN count(*) > 0 THEN 'applied' ELSE 'skipped' END AS pair_merge, count(*) AS mapped FROM (SELECT DISTINCT coalesce(parent_id, case_id) AS c FROM rec) WHERE c LIKE 'o%' AND substr(c, 2) IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders)")
 def pair_merge(spark, sf_dir):
-    return resample.pair_merge(b.records(spark, sf_dir), b.pair_roles(spark, sf_dir).where("cast(substring(case_id, 2) as bigint) % 4 = 0"))
+    return resample.pair_merge(b.records(spark, sf_dir), b.pair_roles(spark, sf_dir))
 
 
 @query(None)

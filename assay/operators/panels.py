@@ -75,10 +75,13 @@ def human_majority_agreement(human: DataFrame, votes: DataFrame, models: int = 3
 
 
 def repeat_agreement(cases: DataFrame, runs: DataFrame, repeats: int = 3) -> DataFrame:
-    """Per kind and operator of ``cases`` (case_id, case_kind, operator): eligible, complete and changed over ``runs`` (case_id, repeat_index, decision)."""
-    seen = runs.where(F.col("repeat_index") < repeats).groupBy("case_id").agg(F.countDistinct("repeat_index").alias("r"), F.countDistinct("decision").alias("d"))
+    """Per kind and operator of ``cases`` (case_id, case_kind, operator): eligible, complete and changed over ``runs`` (case_id, repeat_index, decision).
+
+    A case is complete with ``repeats`` repeats or more, and changed if any of all its repeats differs.
+    """
+    seen = runs.groupBy("case_id").agg(F.countDistinct("repeat_index").alias("r"), F.countDistinct("decision").alias("d"))
     rows = cases.select("case_id", "case_kind", F.coalesce("operator", F.lit("canonical")).alias("operator")).join(seen, "case_id", "left")
-    whole = F.coalesce(F.col("r") == repeats, F.lit(False))
+    whole = F.coalesce(F.col("r") >= repeats, F.lit(False))
     return rows.groupBy("case_kind", "operator").agg(F.count("*").alias("eligible"), n(whole).alias("complete"), n(whole & (F.col("d") > 1)).alias("changed"))
 
 
