@@ -55,50 +55,74 @@ def running_sections(rows: DataFrame, key: str, order: str, starts: Column) -> D
     return rows.withColumn("section", F.sum(starts.cast("int")).over(w))
 
 
-def fenced(lines: Column) -> Column:
-    """For every line, whether it belongs to a fenced block (delimiters included).
+def _block(sign: str, group: int) -> str:
+    """A fenced block: from a line that begins with three or more signs to one of as many or more and nothing else, or to the end of the text."""
+    return rf"({sign}{{3,}}+)[^\n]*[\s\S]*?(?:\n[^\S\n]*\{group}{sign}*[^\S\n]*(?=\n|\z)|\z)"
 
-    A fence opens with three or more backticks or tildes and is closed by a line of the
-    same sign, at least as long, with nothing behind it; an open fence holds to the end.
+
+FENCED = rf"(?m)^[^\S\n]*(?:{_block('`', 1)}|{_block('~', 2)})"
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once: expressions that an optimiser merges would make it again for every element of an array."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+_LINES = "array<struct<line:string,fenced:boolean>>"
+
+
+def flagged_lines(text: Column) -> Column:
+    """The lines of a text as (line, fenced): whether each belongs to a fenced block, delimiters included.
+
+    The text is cut at its blocks, in one pass; what lies between two blocks ends and begins with a line break, and so with an empty line that is none of its own.
     """
-    start = F.struct(F.lit("").alias("sign"), F.lit(0).alias("size"), F.array().cast("array<boolean>").alias("out"))
+    def marked(part: Column, fenced: bool) -> Column:
+        return F.transform(F.split(part, "\n"), lambda x: F.struct(x.alias("line"), F.lit(fenced).alias("fenced")))
 
-    def step(acc, line):
-        mark = F.regexp_extract(line, r"^\s*(`{3,}|~{3,})", 1)
-        bare = line.rlike(r"^\s*(`{3,}|~{3,})\s*$")
-        inside = acc.sign != ""
-        closes = inside & (mark != "") & (F.substring(mark, 1, 1) == acc.sign) & (F.length(mark) >= acc.size) & bare
-        opens = ~inside & (mark != "")
-        sign = F.when(opens, F.substring(mark, 1, 1)).when(closes, F.lit("")).otherwise(acc.sign)
-        size = F.when(opens, F.length(mark)).when(closes, F.lit(0)).otherwise(acc.size)
-        return F.struct(sign.alias("sign"), size.alias("size"), F.array_append(acc.out, inside | opens).alias("out"))
+    def between(part: Column, i: Column, blocks: Column) -> Column:
+        first = F.when(i > 0, 2).otherwise(1)
+        return let(marked(part, False), lambda rows: F.slice(rows, first, F.greatest(F.size(rows) - first + 1 - F.when(i < blocks, 1).otherwise(0), F.lit(0))))
 
-    return F.aggregate(lines, start, step, lambda acc: acc.out)
+    def cut(text: Column) -> Column:
+        inside = F.regexp_extract_all(text, F.lit(FENCED), F.lit(0))
+        whole = let(inside, lambda blocks: F.flatten(F.zip_with(
+            let(F.size(blocks), lambda n: F.transform(F.split(text, FENCED), lambda part, i: between(part, i, n))),
+            F.concat(F.transform(blocks, lambda x: marked(x, True)), F.array(F.array().cast(_LINES))), lambda a, b: F.concat(a, b),
+        )))
+        return F.when(text == "", F.array().cast(_LINES)).otherwise(whole)
+
+    return let(F.regexp_replace(F.regexp_replace(text, r"\r\n|[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n"), r"\n\z", ""), cut)
 
 
 HEADING = r"^(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
 
 
-def sections(reports: DataFrame, key: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
-    """A row per section: key, ordinal, heading, level, start_line, end_line, text.
+def with_sections(reports: DataFrame, text_col: str = "raw_text") -> DataFrame:
+    """``reports`` with ``sections``, an array of (ordinal, heading, level, start_line, end_line, text), made in the row.
 
     Headings inside fences do not count; lines before the first heading are a section of level 0 if one of them is not blank.
     """
-    rows = reports.select(key, lines(F.col(text_col)).alias("l")).select(key, "l", fenced(F.col("l")).alias("f"))
-    rows = rows.select(key, F.posexplode(F.arrays_zip("l", "f")).alias("pos", "x")).select(key, "pos", F.col("x.l").alias("line"), F.col("x.f").alias("fenced"))
-    rows = rows.withColumn("is_heading", ~F.col("fenced") & F.col("line").rlike(HEADING))
-    rows = running_sections(rows, key, "pos", F.col("is_heading"))
-    first = F.min_by("line", "pos")
-    out = rows.groupBy(key, "section").agg(
-        first.alias("head"), F.min("pos").alias("a"), F.max("pos").alias("z"), F.max("is_heading").alias("headed"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("text"),
-    ).where("headed or text rlike '\\\\S'")
-    heading = F.trim(F.regexp_extract("head", HEADING, 2))
-    return out.select(
-        key, (F.row_number().over(Window.partitionBy(key).orderBy("a")) - 1).alias("ordinal"), F.when(F.col("headed"), heading).alias("heading"),
-        F.when(F.col("headed"), F.length(F.regexp_extract("head", HEADING, 1))).otherwise(0).alias("level"),
-        (F.col("a") + 1).alias("start_line"), (F.col("z") + 1).alias("end_line"), F.regexp_replace("text", r"^\n+|\n+$", "").alias("text"),
-    )
+    def section(x: Column, i: Column, rows: Column, heads: Column) -> Column:
+        end = F.coalesce(F.get(heads, i + 1).at, F.size(rows))
+        text = F.array_join(F.transform(F.slice(rows, x.at + 1, end - x.at), lambda y: y.line), "\n")
+        return F.struct(
+            F.trim(F.regexp_extract(x["head"], HEADING, 2)).alias("heading"), F.coalesce(F.length(F.regexp_extract(x["head"], HEADING, 1)), F.lit(0)).alias("level"),
+            (x.at + 1).alias("start_line"), end.alias("end_line"), F.regexp_replace(text, r"^\n+|\n+$", "").alias("text"),
+        )
+
+    def parts(rows: Column) -> Column:
+        at = F.transform(rows, lambda x, i: F.struct(i.alias("at"), F.when(~x.fenced & x.line.rlike(HEADING), x.line).alias("head")))
+        heads = F.filter(at, lambda x: x["head"].isNotNull() | (x.at == 0))
+        return let(heads, lambda h: F.filter(F.transform(h, lambda x, i: section(x, i, rows, h)), lambda x: x.heading.isNotNull() | x.text.rlike(r"\S")))
+
+    found = let(flagged_lines(F.coalesce(text_col, F.lit(""))), parts)
+    numbered = F.transform(found, lambda x, i: F.struct(i.alias("ordinal"), *(x[c].alias(c) for c in ("heading", "level", "start_line", "end_line", "text"))))
+    return reports.withColumn("sections", numbered)
+
+
+def sections(reports: DataFrame, key: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
+    """A row per section: key, ordinal, heading, level, start_line, end_line, text."""
+    return with_sections(reports.select(key, text_col), text_col).select(key, F.explode("sections").alias("x")).select(key, "x.*")
 
 
 def numbered_steps(text: Column) -> Column:

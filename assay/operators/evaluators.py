@@ -108,9 +108,7 @@ GRAPH_UNDERMINES = r"\b(?:however|could not reproduce|contradict\w*|behaved iden
 
 def structured(reports: DataFrame, key: str = "report_id", text_col: str = "raw_text") -> DataFrame:
     """``reports`` with ``sections``, in order, and ``title`` (first level-1 heading, else the key)."""
-    parts = T.sections(reports, key, text_col)
-    parts = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ordinal", "heading", "level", "start_line", "end_line", "text"))).alias("sections"))
-    out = reports.join(parts, key, "left").withColumn("sections", F.coalesce("sections", F.array().cast(parts.schema["sections"].dataType)))
+    out = T.with_sections(reports, text_col)
     top = F.filter("sections", lambda s: (s.level == 1) & (s.heading != ""))
     return out.withColumn("title", F.coalesce(F.get(top, 0).heading, F.col(key).cast("string")))
 

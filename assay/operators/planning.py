@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.hashing import derived_seed
 from assay.operators.integrity import require_none
+from assay.storage import stored
 
 
 def with_policy(fixtures: DataFrame, policies: DataFrame) -> DataFrame:
@@ -24,8 +25,7 @@ def rotation(fixtures: DataFrame, policies: DataFrame) -> DataFrame:
 
     fixtures: fixture_id, short_name, policy; policies (a few rows): policy, variants, operators.
     """
-    order = F.row_number().over(Window.partitionBy("policy").orderBy("fixture_id")) - 1
-    rows = fixtures.withColumn("ordinal", order).join(policies, "policy").where("variants > 0")
+    rows = ranked(fixtures, ["fixture_id"], "policy").withColumnRenamed("place", "ordinal").join(policies, "policy").where("variants > 0")
     rows = rows.withColumn("variant", F.explode(F.sequence(F.lit(0), F.col("variants") - 1)))
     operator = F.element_at("operators", (F.pmod(F.col("ordinal") + F.col("variant"), F.size("operators")) + 1).cast("int"))
     rows = rows.withColumn("operator", operator).drop("operators", "variants", "ordinal")
@@ -58,15 +58,33 @@ def ledger_tallies(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def numbered(rows: DataFrame, key: Column, parts: int = 256) -> DataFrame:
-    """``rows`` with ``place``, their number from 0 on in the order of the SHA-256 of ``key``: numbers within ranges of hashes, and how many rows
-    the ranges before hold (a row for each range)."""
-    rows = rows.withColumn("_hash", F.sha2(key, 256)).withColumn("_range", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int") % 65536 * parts / 65536)
-    rows = rows.withColumn("_range", F.col("_range").cast("int"))
-    sizes = rows.groupBy("_range").agg(F.count("*").alias("n"))
-    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_hash")) - 1
-    return rows.withColumn("_within", within).join(before, "_range").withColumn("place", F.col("_before") + F.col("_within")).drop("_hash", "_range", "_within", "_before")
+#: Rows of a range that is numbered by one task.
+PER_RANGE = 100_000
+
+
+def ranked(rows: DataFrame, order: list[str], by: str | None = None) -> DataFrame:
+    """``rows`` with ``place``, their number from 0 on in the order of the columns ``order``, within each value of ``by``.
+
+    Rows are dealt into ranges of the order, as many as they need, and stored with the number of their range; a place is the rank within a range and how many rows
+    of the group the ranges before hold (a row for each range and group).  So no task holds a whole group.
+    """
+    keys = ([by] if by else []) + list(order)
+    ranges = 1 + rows.count() // PER_RANGE
+    dealt = stored(rows.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    group = [by] if by else []
+    sizes = dealt.groupBy(*group, "_range").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*(F.col(g).alias(f"_{g}") for g in group), F.col("_range").alias("_of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)) - 1
+    same = F.col("_range") == F.col("_of")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return dealt.withColumn("_within", within).join(before, same).withColumn("place", F.col("_before") + F.col("_within")).select(*rows.columns, "place")
+
+
+def numbered(rows: DataFrame, key: Column) -> DataFrame:
+    """``rows`` with ``place``, their number from 0 on in the order of the SHA-256 of ``key``."""
+    return ranked(rows.withColumn("_hash", F.sha2(key, 256)), ["_hash"]).drop("_hash")
 
 
 def hash_batches(rows: DataFrame, key: Column, size: int) -> DataFrame:
@@ -90,10 +108,11 @@ def plan_counts(plan: DataFrame) -> DataFrame:
 
 def case_slice(cases: DataFrame, offset: int, most: int) -> DataFrame:
     """Cases offset .. offset + most - 1 by case_id; an offset beyond the last case is an error."""
-    rows = cases.select("case_id").distinct()
-    if offset < 0 or most < 1 or offset >= rows.count():
+    rows = ranked(cases.select("case_id").distinct(), ["case_id"])
+    if offset < 0 or most < 1 or not rows.where(F.col("place") >= offset).take(1):
         raise ValueError("the slice is outside the cases")
-    return cases.join(rows.orderBy("case_id").offset(offset).limit(most), "case_id", "left_semi")
+    kept = rows.where((F.col("place") >= offset) & (F.col("place") < offset + most)).select("case_id")
+    return cases.join(kept, "case_id", "left_semi")
 
 
 def dimension_deltas(base: Column, deltas: dict[str, float]) -> Column:

@@ -8,13 +8,11 @@ orphans and odd pairs, some rows name a parent or pair that does not exist.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assay.schema import DIMENSIONS, class_default, is_correct
+from assay.storage import scratch  # noqa: F401  queries name their folders through the bindings
 
 OPERATORS = (
     "professionalize_language", "professionalize_style", "confidence_overstatement", "remove_reproduction_step",
@@ -26,16 +24,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only a local master may do without that setting."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _dims(seed: str) -> F.Column:
     """Five values k/10 from a whole number."""
     values = [F.pmod(F.expr(seed) + k, F.lit(11)) / F.lit(10.0) for k in range(len(DIMENSIONS))]

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +160,62 @@ def test_run_files(spark, tmp_path):
     (tmp_path / "bad" / "x.json").write_text('{"record_type": "odd"}\n')
     with pytest.raises(ValueError):
         runs.read_run(spark, str(tmp_path / "bad"))
+
+
+def plain_sections(raw):
+    """Sections by reading line after line: (heading, level, first line, last line, text)."""
+    lines = raw.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    out, fence = [], None
+    for k, line in enumerate(lines, 1):
+        mark = re.match(r"\s*(`{3,}|~{3,})(\s*$)?", line)
+        head = None
+        if fence is None and mark:
+            fence = mark[1]
+        elif fence is not None:
+            if mark and mark[2] is not None and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
+                fence = None
+        else:
+            head = re.match(r"(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", line)
+        if head or not out:
+            out.append([head and (head[2] or "").strip(), len(head[1]) if head else 0, k, k, []])
+        out[-1][3] = k
+        out[-1][4].append(line)
+    return [(h, level, a, z, "\n".join(text).strip("\n")) for h, level, a, z, text in out if h is not None or "".join(text).strip()]
+
+
+def test_sections_equal_a_plain_reading(spark):
+    rng = random.Random(8)
+    parts = ["# One", "## Two ##", "text", "", "```", "````", "~~~", "~~~~ py", "```python", "  ```", "``` x", "#no", "### ", "   ", "\t~~~", "# A\r", "1. x", "``"]
+    texts = [rng.choice(["\n", "\r\n"]).join(rng.choice(parts) for _ in range(rng.randint(0, 14))) + rng.choice(["", "\n", "\n\n"]) for _ in range(800)] + ["", "\n", "```\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(9999, None)], "doc_id long, raw_text string")
+    got = {r["doc_id"]: [(s["heading"], s["level"], s["start_line"], s["end_line"], s["text"]) for s in r["sections"]] for r in text.with_sections(rows).collect()}
+    assert got == {k: plain_sections(t) for k, t in enumerate(texts)} | {9999: []}
+    assert "Exchange" not in text.sections(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_cost_grows_with_length(spark):
+    def seconds(n, unit):
+        rows, began = spark.createDataFrame([(1, (unit * n)[:n])], "doc_id long, raw_text string"), time.perf_counter()
+        text.sections(rows).count()
+        return time.perf_counter() - began
+
+    for unit in ("# h\n", "```\nx\n```\n", "text\n"):
+        seconds(1000, unit)
+        assert seconds(200_000, unit) < 40 * max(seconds(10_000, unit), 0.3)
+
+
+def test_ranks_over_ranges(spark, monkeypatch):
+    """Groups larger than a range, ties of the order's first column, null groups, and rows in many ranges."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(40), k) for k in range(500)]
+    want = {}
+    for g in ("a", "b", None):
+        want |= {k: i for i, (_, _, k) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]))}
+    df = spark.createDataFrame(rows, "g string, x int, k int")
+    for most in (7, 100_000):
+        monkeypatch.setattr(planning, "PER_RANGE", most)
+        assert {r["k"]: r["place"] for r in planning.ranked(df, ["x", "k"], "g").collect()} == want
+        assert [r["k"] for r in planning.ranked(df, ["k"]).orderBy("place").collect()] == list(range(500))
+    assert planning.ranked(df.limit(0), ["k"], "g").count() == 0
+    assert sorted(r[0] for r in planning.case_slice(df.select(F.format_string("c%03d", "k").alias("case_id")), 120, 5).collect()) == [f"c{k}" for k in range(120, 125)]
