@@ -38,19 +38,23 @@ def rules_decisions(spark, sf_dir):
     return rows.select(F.substring("report_id", 2, 20).cast("long").alias("doc_id"), "decision")
 
 
-@query(rb.RESPONSES + "SELECT k, failure, decision, confidence, n_findings FROM r")
+@query(rb.RESPONSES + "SELECT k, failure, decision, confidence, n_findings, rationale_chars, rationale_digest FROM r")
 def read_responses(spark, sf_dir):
     rows = responses.with_results(rb.response_rows(spark, sf_dir), "response")
-    return rows.select("k", "failure", "decision", "confidence", F.when(F.col("failure").isNull(), F.size("findings")).alias("n_findings"))
+    return rows.select("k", "failure", "decision", "confidence", F.when(F.col("failure").isNull(), F.size("findings")).alias("n_findings"), F.length("rationale").cast("long").alias("rationale_chars"), F.md5("rationale").alias("rationale_digest"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN length(text) <= 469 ELSE true END AS refusal FROM conversations""")
+#: How a turn's text is brought in, and whether that declines.
+_OPENINGS = (("I must decline. ", True), ("I\'m sorry, but I cannot help with ", True), ("They say I cannot help with ", False), ("I cannot help {", False), ("Sorry, I am unable to assist: ", True), ("i can\'t do that, ", True), ("Here it is: ", False))
+_OPENED = " ".join("WHEN {} THEN {}".format(i, f"length(text) <= {500 - len(x)}" if declines else "false") for i, (x, declines) in enumerate(_OPENINGS))
+
+
+@query(f"SELECT conv_id, turn, CASE length(coalesce(text, '')) % {len(_OPENINGS)} {_OPENED} END AS refusal FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def refusals(spark, sf_dir):
-    t = F.col("turn") % 6
-    said = (
-        F.when(t == 0, "I must decline.").when(t == 1, "I'm sorry, but I cannot help with this").when(t == 2, "They say I cannot help").when(t == 3, "I cannot help {")
-        .when(t == 4, F.concat(F.lit("Sorry, I am unable to assist: "), F.rpad(F.lit(""), 1, "x"), F.translate("text", "{ \t\n\r", "xxxxx"))).otherwise("i can't do that")
-    )
+    """Every turn's text behind an opening that declines or does not; its length decides which, and whether the whole is short enough."""
+    text = F.coalesce("text", F.lit(""))
+    opening = F.element_at(F.array(*(F.lit(x) for x, _ in _OPENINGS)), (F.length(text) % len(_OPENINGS) + 1).cast("int"))
+    said = F.concat(opening, F.translate(text, "{ \t\n\r", "xxxxx"))
     return b.read(spark, sf_dir, "conversations").select("conv_id", "turn", responses.is_refusal(said).alias("refusal"))
 
 
@@ -73,10 +77,15 @@ def unsafe_urls(spark, sf_dir):
     return b.read(spark, sf_dir, "pages").select("page_id", safety.unsafe_urls(prose).alias("urls"))
 
 
-@query(r"""SELECT doc_id, ['real_year_cve CVE-20' || lpad(CAST(doc_id % 90 AS VARCHAR), 2, '0') || '-12345', 'unsafe_url http://h' || (doc_id % 5) || '.test'] AS found FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') || ' CVE-20' || lpad(CAST(length(coalesce(text, '')) % 100 AS VARCHAR), 2, '0') || '-12345 and CVE-2099-1111 at http://h' || (length(coalesce(text, '')) % 5) || '.test, or http://x.example.org/ ' || reverse(coalesce(text, '')) AS said FROM documents)
+SELECT doc_id, list_concat(list_transform(list_sort(list_distinct(list_filter(regexp_extract_all(said, '(?i)CVE-[0-9]{4}-[0-9]{4,}'), lambda x: substr(x, 5, 4) <> '2099'))), lambda x: 'real_year_cve ' || x),
+  list_transform(list_sort(list_distinct(list_filter(regexp_extract_all(said, '(?i)https?://[^\s,<>()]+'), lambda x: NOT contains(x, '.example.org')))), lambda x: 'unsafe_url ' || x)) AS found FROM t""")
 def content_violations(spark, sf_dir):
-    k = F.col("doc_id")
-    told = F.concat(F.lit("CVE-20"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit("-12345 and CVE-2099-1111 at http://h"), (k % 5).cast("string"), F.lit(".test, or http://x.example.org/"))
+    """Every text, forwards and backwards, with an identifier and two addresses in between."""
+    text = F.coalesce("text", F.lit(""))
+    told = F.concat(
+        text, F.lit(" CVE-20"), F.lpad((F.length(text) % 100).cast("string"), 2, "0"), F.lit("-12345 and CVE-2099-1111 at http://h"), (F.length(text) % 5).cast("string"), F.lit(".test, or http://x.example.org/ "), F.reverse(text),
+    )
     return b.read(spark, sf_dir, "documents").select("doc_id", F.transform(safety.violations(told), lambda v: F.concat(v.rule, F.lit(" "), v.found)).alias("found"))
 
 

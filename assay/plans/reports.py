@@ -101,28 +101,32 @@ _CASES = (
 
 
 def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, response): a model's response for every turn, good or with a fault that depends on its number."""
-    k = F.col("k")
+    """(k, response): a model's response for every turn, whose text is the rationale and whose length the confidence, good or with a fault that depends on its number."""
+    k, text = F.col("k"), F.coalesce("text", F.lit(""))
     dims = ", ".join(f'"{d}": 0.5' for d in DIMENSIONS)
-    good = F.concat(F.lit('{"decision": "reject", "confidence": 0.'), (k % 10).cast("string"), F.lit(f', "dimensions": {{{dims}}}, "findings": [{{"code": "A_1"}}, {{"code": "bad code"}}, 3], "rationale": "r"}}'))
+    confidence = ((F.length(text) % 101).cast("decimal(10,2)") / 100).cast("decimal(10,2)").cast("string")
+    begun = F.concat(F.lit('{"decision": "reject", "confidence": '), confidence, F.lit(f', "dimensions": {{{dims}}}, "findings": [{{"code": "A_1"}}, {{"code": "bad code"}}, 3], '))
+    good = F.concat(begun, F.expr("substring(to_json(struct(coalesce(text, '') as rationale)), 2)"))
     last = DIMENSIONS[-1]
+    told = lambda value: F.regexp_replace(good, '"confidence": [0-9.]+', f'"confidence": {value}')
     made = [
         good, F.concat(F.lit(" ```json\n"), good, F.lit("\n``` ")), F.concat(F.lit("```JSON "), good, F.lit("```")), F.concat(F.lit("```python\n"), good, F.lit("\n```")), F.concat(F.lit("Sure: "), good),
-        F.replace(good, F.lit('"confidence": 0.'), F.lit('"confidence": NaN, "x": 0.')), F.replace(good, F.lit('"findings"'), F.lit('"finding"')), F.replace(good, F.lit('"reject"'), F.lit('"maybe"')),
-        F.regexp_replace(good, '"confidence": 0.[0-9]', '"confidence": true'), F.regexp_replace(good, '"confidence": 0.[0-9]', '"confidence": 1.5'), F.replace(good, F.lit(f'"{last}"'), F.lit('"other"')),
-        F.regexp_replace(good, r"\[.*\]", '"none"'), F.replace(good, F.lit('"r"'), F.lit("7")), F.lit(" \n "), F.lit("I'm sorry, but I can't help with that."), F.lit("No idea."), F.concat(F.lit("["), good, F.lit("]")), F.concat(good, good),
+        told("NaN"), F.replace(good, F.lit('"findings"'), F.lit('"finding"')), F.replace(good, F.lit('"reject"'), F.lit('"maybe"')),
+        told("true"), told("1.5"), F.replace(good, F.lit(f'"{last}"'), F.lit('"other"')),
+        F.regexp_replace(good, r"\[\{.*?, 3\]", '"none"'), F.concat(begun, F.lit('"rationale": 7}')), F.lit(" \n "), F.concat(F.lit("I'm sorry, but I can't help with "), F.translate(F.substring(text, 1, 400), "{", "x")), F.lit("No idea."), F.concat(F.lit("["), good, F.lit("]")), F.concat(good, good),
     ]
     out = made[0]
     for i, value in enumerate(made):
         out = F.when(k % len(made) == i, value).otherwise(out) if i else out
-    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"))
+    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), "text")
     return rows.select("k", out.alias("response"))
 
 
 _FAILURES = (None, None, None, "parse.extra_text", "parse.extra_text", "parse.invalid_json", "parse.unknown_keys", "parse.invalid_decision", "parse.invalid_confidence", "parse.invalid_confidence",
              "parse.invalid_dimensions", "parse.invalid_findings", "parse.invalid_rationale", "parse.empty_response", "refusal.text_pattern", "parse.no_json_object", "parse.non_object", "parse.extra_text")
 RESPONSES = f"""
-WITH c AS (SELECT conv_id * 100 + turn AS k FROM conversations),
-f AS (SELECT k, CASE k % {len(_FAILURES)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_FAILURES) if x)} END AS failure FROM c),
-r AS (SELECT k, failure, CASE WHEN failure IS NULL THEN 'reject' END AS decision, CASE WHEN failure IS NULL THEN CAST((k % 10) / 10 AS DOUBLE) END AS confidence, CASE WHEN failure IS NULL THEN 1 END AS n_findings FROM f)
+WITH c AS (SELECT conv_id * 100 + turn AS k, coalesce(text, '') AS text FROM conversations),
+f AS (SELECT *, CASE k % {len(_FAILURES)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_FAILURES) if x)} END AS failure FROM c),
+r AS (SELECT k, failure, CASE WHEN failure IS NULL THEN 'reject' END AS decision, CASE WHEN failure IS NULL THEN (length(text) % 101) / CAST(100 AS DOUBLE) END AS confidence, CASE WHEN failure IS NULL THEN 1 END AS n_findings,
+  CASE WHEN failure IS NULL THEN least(length(text), 1000) END AS rationale_chars, CASE WHEN failure IS NULL THEN md5(substr(text, 1, 1000)) END AS rationale_digest FROM f)
 """
