@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 # Marks stand in the first places of the private use area; characters of it in a text are blanks.
 STOP, SOFT, PARAGRAPH, ITEM, DASH, DENIAL, MARKER, INTRO, AND, BUT, YET, EMPHASIS, APPLIES, CROSSED, BETWEEN, TO, ARTICLE, WORDS = (chr(0xE000 + k) for k in range(18))
+# What may close a sentence and open the next one, openers and verbs that tell whether letters with full stops end one, and the words of conditions.
 MARKS = f"{chr(0xE000)}-{chr(0xE0FF)}"
-_CLOSED = r"(?:[\"'”’)]|[*_~]{1,2})*"
+_CLOSED = r"[\"'”’)*_~]*+"
 _OPENING = r"(?:>\s*)*(?:(?:[-+*]|\d+[.)])\s+)?(?:\[[ xX]\]\s+)?(?:[*_~]{1,2})?[\"'“‘(]*"
 _OPENERS = r"(?:A|An|If|It|No|The|There|This|That|We|When|Whether|Unless)\b"
 _GOES_ON = r"[A-Z][\w'-]*(?:\s+[\w'-]+){0,5}\s+(?:is|are|was|were|has|have|had|does|do|did|can|could|may|might|must|should|will|would)\b[^.?!\n]*(?:,|\bthen\b|:|--|—)"
@@ -56,8 +57,9 @@ def marks(text: Column, denials: tuple[str, ...]) -> Column:
     # a denial may span words, but no end of a sentence
     text = F.regexp_replace(text, "(?iu)" + "|".join(f"(?:{d})" for d in denials), DENIAL)
     text = reduce(lambda t, s: F.regexp_replace(t, "(?iu)" + s[0], s[1]), WORD_STEPS, text)
-    text = F.regexp_replace(text, rf"[^{MARKS};:,()]*[\p{{L}}\p{{N}}][^{MARKS};:,()]*", WORDS)
-    return F.regexp_replace(text, rf"[^{MARKS};:,()]", "")
+    # of all that is left, only whether there were words
+    text = F.regexp_replace(text, rf"[^{MARKS};:,()\p{{L}}\p{{N}}]+", "")
+    return F.regexp_replace(text, r"[\p{L}\p{N}]+", WORDS)
 
 
 def _case(*branches: tuple[Column, object], otherwise) -> Column:
