@@ -22,20 +22,21 @@ STOP, SOFT, PARAGRAPH, ITEM, DASH, DENIAL, MARKER, INTRO, AND, BUT, YET, EMPHASI
 # What may close a sentence and open the next one, openers and verbs that tell whether letters with full stops end one, and the words of conditions.
 MARKS = f"{chr(0xE000)}-{chr(0xE0FF)}"
 _CLOSED = r"[\"'”’)*_~]*+"
-_OPENING = r"(?:>\s*)*(?:(?:[-+*]|\d+[.)])\s+)?(?:\[[ xX]\]\s+)?(?:[*_~]{1,2})?[\"'“‘(]*"
+_OPENING = r"(?:>[>\s]*)?(?:(?:[-+*]|\d+[.)])\s+)?(?:\[[ xX]\]\s+)?(?:[*_~]{1,2})?[\"'“‘(]*"
 _OPENERS = r"(?:A|An|If|It|No|The|There|This|That|We|When|Whether|Unless)\b"
 _GOES_ON = r"[A-Z][\w'-]*(?:\s+[\w'-]+){0,5}\s+(?:is|are|was|were|has|have|had|does|do|did|can|could|may|might|must|should|will|would)\b[^.?!\n]*(?:,|\bthen\b|:|--|—)"
-#: Expressions in the order in which they are put in place, with the mark that takes the place of what they match.
+#: Expressions in the order in which they are put in place, with the mark that takes the place of what they match.  Only classes of characters repeat without
+#: a bound, never groups, whose every turn would take a frame of the stack.
 STEPS = (
     (f"[{MARKS}]", " "),
     # letters with full stops, which no new sentence follows
-    (rf"\b(?:[A-Za-z]\.){{2,}}(?=\s+(?!{_OPENING}{_OPENERS}){_OPENING}{_GOES_ON})", "w"),
+    (rf"\b(?:[A-Za-z]\.){{2,20}}(?=\s+(?!{_OPENING}{_OPENERS}){_OPENING}{_GOES_ON})", "w"),
     (rf"[!?](?={_CLOSED}(?:\s|$))|\.(?={_CLOSED}\s+(?:{_OPENING}[A-Z]|$))", STOP),
     (r"[.?!](?=[\"'”’)]*(?:\s|$))", SOFT),
     (r"\n\s*\n", PARAGRAPH),
     (r"\n(?=[ \t]*(?:>|(?:[-+*]|\d+[.)])\s))", ITEM),
     # what opens an item or a quotation says nothing
-    (rf"((?:^|[\n{PARAGRAPH}{ITEM}{STOP}])[ \t]*)(?:>[ \t]*)*(?:(?:[-+*]|\d+[.)])[ \t]+)?(?:\[[ xX]\][ \t]+)?", "$1"),
+    (rf"((?:^|[\n{PARAGRAPH}{ITEM}{STOP}])[ \t]*)(?:>[> \t]*)?(?:(?:[-+*]|\d+[.)])[ \t]+)?(?:\[[ xX]\][ \t]+)?", "$1"),
     (r"--+|—", DASH),
 )
 WORD_STEPS = (
