@@ -97,16 +97,29 @@ def text(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def members(value: Column) -> Column:
+def member(value: Column, path: str, kind: str = "variant") -> Column:
+    """What is at ``path`` of a variant, as ``kind``; NULL where nothing is, or something else. Nothing beside the path is visited or copied."""
+    return F.try_variant_get(value, path, kind)
+
+
+def is_object(value: Column, path: str = "$") -> Column:
+    """Whether there is an object at ``path``: nothing else casts to a struct."""
+    return member(value, path, "struct<type:variant>").isNotNull()
+
+
+def members(value: Column, path: str = "$") -> Column:
     """A variant's object as a map; NULL for anything else."""
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$", "map<string,variant>"))
+    return member(value, path, "map<string,variant>")
+
 
+def numbers_of(values: list[Column]) -> Column:
+    return F.transform(F.array(*values), number)
 
-def distribution(raw: Column, keys: tuple[str, ...]) -> tuple[Column, Column]:
-    """(failure, probabilities) of a map of variants over exactly ``keys``, scaled to a sum of 1."""
+
+def distribution(raw: Column, keys: tuple[str, ...], numbers: Column, total: Column) -> tuple[Column, Column]:
+    """(failure, probabilities) of a map of variants over exactly ``keys``, scaled to a sum of 1; ``numbers`` and their sum are columns of their own,
+    as lambdas would work out an expression again for each element."""
     wanted = F.array(*map(F.lit, keys))
-    numbers = F.array(*(number(raw[k]) for k in keys))
-    total = exact_sum(numbers)
     unit = F.forall(numbers, lambda x: F.coalesce(x.between(0.0, 1.0), F.lit(False)))
     near = (total > 0) & (F.abs(total - 1.0) <= HALF_STEP * len(keys) + 1e-9)
     failure = F.when(raw.isNull(), BAD).when(F.size(F.array_except(F.map_keys(raw), wanted)) > 0, UNKNOWN).when(~unit, BAD).when(~near, BAD)
@@ -116,36 +129,43 @@ def distribution(raw: Column, keys: tuple[str, ...]) -> tuple[Column, Column]:
 def decoded(responses: DataFrame, labels: LabelMap, column: str = "response") -> DataFrame:
     """``responses`` with model_version, selected_option, decision, selected_probability, head_confidence, decision_probabilities (by decision),
     dimension_scores, dimension_values (score over the highest level), dimension_probabilities, usage, and ``failure``, NULL where all checks hold."""
-    # steps as columns: each is named once and read by the next
-    rows = responses.withColumn("_body", members(F.try_parse_json(F.col(column).cast("string"))))
-    rows = rows.withColumns({"_version": text(F.col("_body")["model"]), "_answers": members(F.col("_body")["answers"]), "_usage": members(F.col("_body")["usage"])})
-    rows = rows.withColumns({"_q": members(F.col("_answers")[DECISION_QUESTION]), **{f"_q_{d}": members(F.col("_answers")[DIMENSION_PREFIX + d]) for d in DIMENSIONS}})
-    of_type = lambda q, kind: F.coalesce(text(F.col(q)["type"]) == kind, F.lit(False))
+    # steps as columns: each is named once and read by the next; lambdas keep steps out of whole-stage code, whose methods would be too large to be compiled
     levels = tuple(map(str, range(LEVELS)))
+    questions = {"": (DECISION_QUESTION, labels.options), **{f"_{d}": (DIMENSION_PREFIX + d, levels) for d in DIMENSIONS}}
+    rows = responses.withColumn("_body", F.try_parse_json(F.col(column).cast("string")))
+    body, at = F.col("_body"), lambda q, field: f"$.answers.{q}.{field}"
     rows = rows.withColumns({
-        "_choice": text(F.col("_q")["choice"]), "_said": F.coalesce(F.schema_of_variant(F.col("_q")["confidence"]), F.lit("VOID")) != "VOID", "_confidence": number(F.col("_q")["confidence"]),
-        "_given": members(F.col("_q")["probabilities"]), **{f"_given_{d}": members(F.col(f"_q_{d}")["probabilities"]) for d in DIMENSIONS}, **{f"_score_{d}": number(F.col(f"_q_{d}")["score"]) for d in DIMENSIONS},
+        "_texts": F.transform(F.array(member(body, "$.model"), member(body, at(DECISION_QUESTION, "choice")), *(member(body, at(q, "type")) for q, _ in questions.values())), text),
+        "_confident": member(body, at(DECISION_QUESTION, "confidence")), "_scores": numbers_of([member(body, at(DIMENSION_PREFIX + d, "score")) for d in DIMENSIONS]),
+        "_usage": numbers_of([member(body, f"$.usage.{u}") for u in USAGE]), "_object": is_object(body), "_answered": is_object(body, "$.answers"),
+        **{f"_given{k}": members(body, at(q, "probabilities")) for k, (q, _) in questions.items()},
     })
-    odd, options = distribution(F.col("_given"), labels.options)
-    rows = rows.withColumns({"_odd": odd, "_options": options})
-    for d in DIMENSIONS:
-        odd, spread = distribution(F.col(f"_given_{d}"), levels)
-        rows = rows.withColumns({f"_odd_{d}": odd, f"_spread_{d}": spread})
-
-    failure = F.when(F.col("_body").isNull(), MALFORMED).when(~F.coalesce("_version", F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]"), NO_VERSION).when(F.col("_answers").isNull(), NO_ANSWER)
-    failure = failure.when(~of_type("_q", "choice") | F.col("_choice").isNull(), NO_ANSWER).when(labels.decision(F.col("_choice")).isNull(), UNKNOWN)
-    failure = failure.when(F.col("_odd").isNotNull(), F.col("_odd")).when(F.col("_said") & ~F.coalesce(F.col("_confidence").between(0.0, 1.0), F.lit(False)), BAD)
+    rows = rows.withColumns({
+        "_version": F.col("_texts")[0], "_choice": F.col("_texts")[1], "_said": F.coalesce(F.schema_of_variant("_confident"), F.lit("VOID")) != "VOID", "_confidence": number(F.col("_confident")),
+        **{f"_kind{k}": F.col("_texts")[2 + i] for i, k in enumerate(questions)}, **{f"_score_{d}": F.col("_scores")[i] for i, d in enumerate(DIMENSIONS)},
+        **{f"_numbers{k}": numbers_of([F.col(f"_given{k}")[key] for key in keys]) for k, (_, keys) in questions.items()},
+    })
+    rows = rows.withColumns({f"_total{k}": exact_sum(F.col(f"_numbers{k}")) for k in questions})
+    found = {k: distribution(F.col(f"_given{k}"), keys, F.col(f"_numbers{k}"), F.col(f"_total{k}")) for k, (_, keys) in questions.items()}
+    rows = rows.withColumns({f"_odd{k}": odd for k, (odd, _) in found.items()} | {f"_spread{k}": spread for k, (_, spread) in found.items()})
+
+    of_type = lambda k, kind: F.coalesce(F.col(f"_kind{k}") == kind, F.lit(False))
+    checks = [
+        F.when(~F.coalesce("_object", F.lit(False)), MALFORMED), F.when(~F.coalesce("_version", F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]"), NO_VERSION), F.when(~F.coalesce("_answered", F.lit(False)), NO_ANSWER),
+        F.when(~of_type("", "choice") | F.col("_choice").isNull(), NO_ANSWER), F.when(labels.decision(F.col("_choice")).isNull(), UNKNOWN),
+        F.col("_odd"), F.when(F.col("_said") & ~F.coalesce(F.col("_confidence").between(0.0, 1.0), F.lit(False)), BAD),
+    ]
     for d in DIMENSIONS:
-        failure = failure.when(~of_type(f"_q_{d}", "score") | F.col(f"_score_{d}").isNull(), NO_ANSWER).when(~F.col(f"_score_{d}").between(0.0, LEVELS - 1.0), BAD)
-        failure = failure.when(F.col(f"_odd_{d}").isNotNull(), F.col(f"_odd_{d}"))
+        checks += [F.when(~of_type(f"_{d}", "score") | F.col(f"_score_{d}").isNull(), NO_ANSWER), F.when(~F.col(f"_score_{d}").between(0.0, LEVELS - 1.0), BAD), F.col(f"_odd_{d}")]
+    failure = F.get(F.filter(F.array(*checks), lambda c: c.isNotNull()), 0)
     rows = rows.withColumn("failure", failure)
 
     by_dimension = lambda made: F.map_from_arrays(F.array(*map(F.lit, DIMENSIONS)), F.array(*map(made, DIMENSIONS)))
     out = {
-        "model_version": F.col("_version"), "selected_option": F.col("_choice"), "decision": labels.decision(F.col("_choice")), "selected_probability": F.col("_options")[F.col("_choice")], "head_confidence": F.col("_confidence"),
-        "decision_probabilities": F.map_from_arrays(F.array(*map(F.lit, DECISIONS)), F.array(*(F.col("_options")[o] for o in labels.options))),
+        "model_version": F.col("_version"), "selected_option": F.col("_choice"), "decision": labels.decision(F.col("_choice")), "selected_probability": F.col("_spread")[F.col("_choice")], "head_confidence": F.col("_confidence"),
+        "decision_probabilities": F.map_from_arrays(F.array(*map(F.lit, DECISIONS)), F.array(*(F.col("_spread")[o] for o in labels.options))),
         "dimension_scores": by_dimension(lambda d: F.col(f"_score_{d}")), "dimension_values": by_dimension(lambda d: F.col(f"_score_{d}") / (LEVELS - 1)),
-        "dimension_probabilities": by_dimension(lambda d: F.col(f"_spread_{d}")), "usage": F.struct(*(number(F.col("_usage")[u]).alias(u) for u in USAGE)),
+        "dimension_probabilities": by_dimension(lambda d: F.col(f"_spread_{d}")), "usage": F.struct(*(F.col("_usage")[i].alias(u) for i, u in enumerate(USAGE))),
     }
     fine = F.col("failure").isNull()
     return rows.select(*responses.columns, *(F.when(fine, c).alias(k) for k, c in out.items()), "failure")

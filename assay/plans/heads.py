@@ -21,7 +21,8 @@ def _hundredths(c: Column) -> Column:
 
 
 def _spread(names: tuple[str, ...], parts: list[Column]) -> Column:
-    inner = F.concat_ws(",", *(F.concat(F.lit(f'"{n}":'), _hundredths(p)) for n, p in zip(names, parts)))
+    keys = F.array(*(F.lit(f'"{n}":') for n in names))  # a lambda keeps this out of whole-stage code, whose method would be too large to be compiled
+    inner = F.array_join(F.transform(F.array(*parts), lambda p, i: F.concat(F.get(keys, i), _hundredths(p))), ",")
     return F.concat(F.lit("{"), inner, F.lit("}"))
 
 

@@ -74,3 +74,14 @@ def test_label_maps():
     for bad in (("a", "b", "b"), ("a", "b", " c"), ("a", "b", ""), ("a", "b")):
         with pytest.raises(ValueError):
             d.LabelMap("tokens", bad)
+
+
+def test_sums_are_worked_out_once(spark):
+    """A sum for each distribution in the whole plan: lambdas do not repeat it for each probability."""
+    rows = spark.createDataFrame([("{}",)], "response string")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = d.decoded(rows, LABELS)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("aggregate(") == 1 + len(DIMENSIONS)
