@@ -22,13 +22,13 @@ def read_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return meta, cases.select("x.*", F.coalesce("r", F.lit(0)).alias("repeat_index"))
 
 
-def write_run(records: DataFrame, header: dict, path: str) -> None:
-    """Header and records as JSON lines in one directory; the header sorts first."""
+def write_run(records: DataFrame, header: dict, path: str, compression: str = "gzip") -> None:
+    """Header and records as JSON lines in one directory, compressed, as most of a line is names of fields; the header sorts first."""
     spark = records.sparkSession
-    spark.createDataFrame([(__import__("json").dumps({"record_type": "run_metadata", **header}, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path)
+    spark.createDataFrame([(__import__("json").dumps({"record_type": "run_metadata", **header}, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path, compression=compression)
     meta = F.create_map(F.lit("repeat_index"), F.col("repeat_index")).alias("evaluation_metadata")
     columns = [c for c in records.columns if c not in ("repeat_index", "row_id")]
-    records.select(F.to_json(F.struct(F.lit("case").alias("record_type"), *columns, meta)).alias("value")).write.mode("append").text(path)
+    records.select(F.to_json(F.struct(F.lit("case").alias("record_type"), *columns, meta)).alias("value")).write.mode("append").text(path, compression=compression)
 
 
 def write_records_csv(records: DataFrame, path: str) -> None:

@@ -162,6 +162,19 @@ def test_run_files(spark, tmp_path):
         runs.read_run(spark, str(tmp_path / "bad"))
 
 
+def test_run_files_take_little_room(spark, tmp_path):
+    """Lines of 2,000 records take a tenth of their size, and all come back."""
+    from assay.sources import runs
+    from assay.schema import RECORD
+
+    rows = [(f"c{k}", "canonical", None, None, "valid", "accept", {"reproducibility": 0.5}, None, "a", "1", "accept", 0.75, {"reproducibility": 0.5}, True, [], "why", 2, 0) for k in range(2000)]
+    runs.write_run(spark.createDataFrame(rows, RECORD), {"run_id": "r1"}, str(tmp_path / "run"))
+    lines = spark.read.text(str(tmp_path / "run"))
+    assert 10 * sum(p.stat().st_size for p in (tmp_path / "run").glob("part-*")) < lines.selectExpr("sum(length(value) + 1)").first()[0]
+    meta, back = runs.read_run(spark, str(tmp_path / "run"))
+    assert meta.count() == 1 and {r["case_id"] for r in back.collect()} == {r[0] for r in rows}
+
+
 def plain_sections(raw):
     """Sections by reading line after line: (heading, level, first line, last line, text)."""
     lines = raw.replace("\r\n", "\n").replace("\r", "\n").split("\n")
