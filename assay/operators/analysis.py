@@ -32,11 +32,20 @@ class AnalysisError(ValueError):
     """An analysis that cannot be published, or does not agree with its tables."""
 
 
+def _has_map(kind: T.DataType) -> bool:
+    inside = [kind.valueType] if isinstance(kind, T.MapType) else [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, T.MapType) or any(map(_has_map, inside))
+
+
 def _plain(column: Column, kind: T.DataType) -> Column:
-    """A column whose maps are arrays of entries sorted by key."""
+    """A column whose maps are arrays of entries sorted by key; lambdas, which are slow, only where maps are inside of others."""
     if isinstance(kind, T.MapType):
-        entries = F.transform(F.map_entries(column), lambda e: F.struct(e.key.alias("key"), _plain(e.value, kind.valueType).alias("value")))
-        return F.array_sort(entries)
+        entries = F.map_entries(column)
+        if _has_map(kind.valueType):
+            entries = F.transform(entries, lambda e: F.struct(e.key.alias("key"), _plain(e.value, kind.valueType).alias("value")))
+        return F.sort_array(entries)
+    if not _has_map(kind):
+        return column
     if isinstance(kind, T.StructType):
         return F.when(column.isNotNull(), F.struct(*(_plain(column[f.name], f.dataType).alias(f.name) for f in kind.fields)))
     if isinstance(kind, T.ArrayType):
@@ -138,11 +147,21 @@ def read(path: str, spark: SparkSession) -> dict:
     return made
 
 
-def problems(made: dict, records: DataFrame, failures: DataFrame | None, index: DataFrame, measure: Callable[[DataFrame], DataFrame] = metric_bundle) -> list[tuple[str, str]]:
-    """(what does not agree, evaluator or an empty string) of an analysis against tables; none if everything is as it was."""
-    out = []
-    for name, table in (("records", records), ("outcomes", failures)):
-        now, then = _binding(table), made.get(name) or {}
+def measured(records: DataFrame, failures: DataFrame | None, measure: Callable[[DataFrame], DataFrame] = metric_bundle) -> dict:
+    """Bindings and metrics of tables: all of an analysis that does not depend on an index."""
+    return {"records": _binding(records), "outcomes": _binding(failures), "metrics": _metrics(records, measure)}
+
+
+def problems(
+    made: dict, records: DataFrame, failures: DataFrame | None, index: DataFrame, measure: Callable[[DataFrame], DataFrame] = metric_bundle, own: dict | None = None,
+) -> list[tuple[str, str]]:
+    """(what does not agree, evaluator or an empty string) of an analysis against tables; none if everything is as it was.
+
+    ``own`` is what :func:`measured` gives of these records and failures, for several indexes against the same tables.
+    """
+    out, own = [], own if own is not None else measured(records, failures, measure)
+    for name in ("records", "outcomes"):
+        now, then = own[name], made.get(name) or {}
         out += [(f"{name}.{k}", "") for k in ("present", "rows", "digest") if now[k] != then.get(k)]
     failed = _failures(records, failures)
     if failed.where(~F.col("status").eqNullSafe("failed")).take(1):
@@ -156,15 +175,17 @@ def problems(made: dict, records: DataFrame, failures: DataFrame | None, index:
         if now["amiss"]:
             out.append(("outcomes.amiss", name))
         out += [(f"coverage.{k}", name) for k in COVERAGE if now[k] != then.get(k)]
-    metrics = _metrics(records, measure)
+    metrics = own["metrics"]
     out += [("metrics", name) for name in sorted(set(metrics) | set(made["metrics"])) if metrics.get(name) != made["metrics"].get(name)]
     return out
 
 
-def verified(path: str, spark: SparkSession, records: DataFrame, failures: DataFrame | None, index: DataFrame, measure: Callable[[DataFrame], DataFrame] = metric_bundle) -> dict:
+def verified(
+    path: str, spark: SparkSession, records: DataFrame, failures: DataFrame | None, index: DataFrame, measure: Callable[[DataFrame], DataFrame] = metric_bundle, own: dict | None = None,
+) -> dict:
     """The analysis in a folder, if the tables give it again, each case having an outcome; raises otherwise."""
     made = read(path, spark)
-    found = problems(made, records, failures, index, measure) + [("coverage.not_run", name) for name, row in made["coverage"].items() if row["not_run"]]
+    found = problems(made, records, failures, index, measure, own) + [("coverage.not_run", name) for name, row in made["coverage"].items() if row["not_run"]]
     if found:
         raise AnalysisError(f"{path}: " + ", ".join(f"{what} of {name}" if name else what for what, name in found))
     return made

@@ -85,3 +85,21 @@ def test_work_that_does_not_add_up_is_not_published(spark, tables):
             a.document(*found)
     # an open plan can be published, but not verified as complete
     assert a.document(records, None, index)["coverage"]["y"]["not_run"] == 1
+
+
+def test_maps_are_sorted_without_lambdas(spark):
+    rows = spark.createDataFrame([(1, {"b": 2.0, "a": 1.0})], "k int, m map<string,double>")
+    plan = rows.select(a.row_digest(rows).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "array_sort" not in plan
+    nested = spark.createDataFrame([(1, {"b": {"y": 2, "x": 1}, "a": None})], "k int, m map<string,map<string,int>>")
+    turned = nested.withColumn("m", F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.lit(None).cast("map<string,int>"), F.map_from_arrays(F.array(F.lit("x"), F.lit("y")), F.array(F.lit(1), F.lit(2))))))
+    assert digest(nested) == digest(turned)
+
+
+def test_tables_are_measured_once_for_several_indexes(spark, tables, monkeypatch):
+    made, own = json.loads(json.dumps(a.document(*tables))), a.measured(*tables[:2])
+    more = tables[2].union(spark.range(1).select(F.lit("c9")))
+    wanted = a.problems(made, *tables[:2], more)
+    assert ("coverage.planned", "x") in wanted
+    monkeypatch.setattr(a, "table_digest", lambda *_: pytest.fail("a table is read again"))
+    assert a.problems(made, *tables, own=own) == [] and a.problems(made, *tables[:2], more, own=own) == wanted
