@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assay.functions.text import let
+
 # Marks stand in the first places of the private use area; characters of it in a text are blanks.
 STOP, SOFT, PARAGRAPH, ITEM, DASH, DENIAL, MARKER, INTRO, AND, BUT, YET, EMPHASIS, APPLIES, CROSSED, BETWEEN, TO, ARTICLE, WORDS = (chr(0xE000 + k) for k in range(18))
 # What may close a sentence and open the next one, openers and verbs that tell whether letters with full stops end one, and the words of conditions.
@@ -44,6 +46,10 @@ WORD_STEPS = (
     (r"\b(?:if|when|whether|unless)\b", MARKER), (r"\b(?:and|or)\b", AND), (r"\bbut\b", BUT), (r"\b(?:however|yet)\b", YET), (r"\b(?:only|even|especially)\b", EMPHASIS),
     (r"\bapplies\b", APPLIES), (r"\bis\s+crossed\b", CROSSED), (r"\bbetween\b", BETWEEN), (r"\bto\b", TO), (r"\b(?:the|a|an|word|label)\b", ARTICLE),
 )
+#: Words that the steps above look at; the others only have to be there.
+_TOLD_APART = "it|depends?|depending|directly|entirely|based|contingent|on|upon|subject|to|if|when|whether|unless|and|or|but|however|yet|only|even|especially|applies|is|crossed|between|the|an?|word|label"
+#: Any other word becomes one letter, and what stands between two of these goes, so that the steps above pass over short texts.
+SHORT_STEPS = ((rf"(?iu)\b(?!(?:{_TOLD_APART})\b)[\p{{L}}\p{{N}}]+", "w"), (rf"(?<=\bw)[^{MARKS};:,()\p{{L}}\p{{N}}]+(?=w\b)", ""))
 #: Deepest bracket that is told apart.
 DEEPEST = 60
 # What has come since the clause began: nothing, a conjunction, a word of emphasis or an introduction, other words.
@@ -57,6 +63,7 @@ def marks(text: Column, denials: tuple[str, ...]) -> Column:
     text = reduce(lambda t, s: F.regexp_replace(t, *s), STEPS, text)
     # a denial may span words, but no end of a sentence
     text = F.regexp_replace(text, "(?iu)" + "|".join(f"(?:{d})" for d in denials), DENIAL)
+    text = reduce(lambda t, s: F.regexp_replace(t, *s), SHORT_STEPS, text)
     text = reduce(lambda t, s: F.regexp_replace(t, "(?iu)" + s[0], s[1]), WORD_STEPS, text)
     # of all that is left, only whether there were words
     text = F.regexp_replace(text, rf"[^{MARKS};:,()\p{{L}}\p{{N}}]+", "")
@@ -79,7 +86,15 @@ def _step(s: Column, c: Column) -> Column:
     elsewhere = (c == DENIAL) & (s.at != s.depth)
     release = ends | cut_denial | among(BUT, YET) | leaves | elsewhere
     lead = F.when(ends | cut_lead, F.lit(0).cast("long")).otherwise(s.lead)
-    last, held = F.when(release, _NONE).otherwise(s.last), F.when(release, 0).otherwise(s.held)
+    # a step's parts are made once and named, as an expression inside of a fold is worked out again wherever it stands
+    begun = F.struct(lead.alias("lead"), release.alias("release"), F.when(release, _NONE).otherwise(s.last).alias("last"), F.when(release, 0).otherwise(s.held).alias("held"), ends.alias("ends"))
+    return let(begun, lambda x: _continued(s, c, x))
+
+
+def _continued(s: Column, c: Column, x: Column) -> Column:
+    among = lambda *m: c.isin(*m)
+    bit = lambda d: F.call_function("shiftleft", F.lit(1).cast("long"), d)
+    lead, last, held = x["lead"], x["last"], x["held"]
     held_by_lead = (c == DENIAL) & (lead.bitwiseAND(bit(s.depth)) != 0)
     by_bracket = (c == MARKER) & s.gate & (held > 0)
     trails = (c == MARKER) & last.isin(_BARE, _SAID, _COMMA, _INTRODUCED, _TOLD)
@@ -89,6 +104,15 @@ def _step(s: Column, c: Column) -> Column:
         ((c == BETWEEN) & (last == _BARE), _WITHIN), ((last == _WITHIN) & ~among(SOFT, DASH), _WITHIN), ((c == ",") & last.isin(_BARE, _SAID), _COMMA), ((c == DASH) & (last.isin(_BARE, _SAID) | telling), last),
         (direct & among(EMPHASIS, INTRO), _INTRODUCED), (direct & (c == TO), _TOWARDS), (telling & (c == ARTICLE), _NAMED), (telling & (c == AND) & (s.previous == ","), _NONE), (telling & (c != SOFT), _TOLD), otherwise=_NONE,
     )
+    told = F.struct(now.alias("now"), held_by_lead.alias("by_lead"), by_bracket.alias("by_bracket"), trails.alias("trails"))
+    return let(told, lambda t: _ended(s, c, x, t))
+
+
+def _ended(s: Column, c: Column, x: Column, t: Column) -> Column:
+    among = lambda *m: c.isin(*m)
+    bit = lambda d: F.call_function("shiftleft", F.lit(1).cast("long"), d)
+    lead, last, held, release, ends = (x[k] for k in ("lead", "last", "held", "release", "ends"))
+    now, held_by_lead, by_bracket, trails = (t[k] for k in ("now", "by_lead", "by_bracket", "trails"))
     given_up = (last != _NONE) & ((now == _NONE) | (c == DENIAL)) & ~trails
     fresh = _case(
         (ends | among(":", DASH), _FRESH), (among("(", ")"), s.fresh), (among(AND, BUT) & (s.fresh == _FRESH), _JOINED), ((c == EMPHASIS) & s.fresh.isin(_FRESH, _JOINED), _LED),
@@ -104,8 +128,8 @@ def _step(s: Column, c: Column) -> Column:
     )
 
 
-def denied(text: Column, denials: tuple[str, ...]) -> Column:
-    """(outright, conditional): whether ``text`` has a denial of either kind."""
+def denied(text: Column, denials: tuple[str, ...], begun: Column | None = None) -> Column:
+    """(outright, conditional): whether ``text`` has a denial of either kind; ``begun`` is true at least of all texts that have one, if that is known."""
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(0).cast("long").alias("lead"), F.lit(_FRESH).alias("fresh"), F.lit(0).alias("dash"), F.lit(_NONE).alias("last"), F.lit(0).alias("at"), F.lit(0).alias("held"),
         F.lit(False).alias("gate"), F.lit("").alias("previous"), F.lit(False).alias("conditional"), F.lit(False).alias("outright"),
@@ -116,4 +140,5 @@ def denied(text: Column, denials: tuple[str, ...]) -> Column:
     )
     # most texts have no denial, and are neither marked nor read
     nothing = F.struct(F.lit(False).alias("outright"), F.lit(False).alias("conditional"))
-    return F.when(text.rlike("(?iu)" + "|".join(f"(?:{d})" for d in denials)), read).otherwise(nothing)
+    begun = text.rlike("(?iu)" + "|".join(f"(?:{d})" for d in denials)) if begun is None else begun
+    return F.when(begun, read).otherwise(nothing)

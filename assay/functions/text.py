@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +31,12 @@ def folded(text: Column) -> Column:
     return F.when(wide, _folded(F.when(wide, text))).otherwise(F.lower(text))
 
 
+def lowered(text: Column) -> Column:
+    """Lower case in which an ASCII literal is found wherever it would match without regard to case: four other characters match letters of it, too."""
+    wide = "\u212a\u017f\u0130\u0131"
+    return F.lower(F.when(reduce(or_, (F.contains(text, F.lit(c)) for c in wide)), F.translate(text, wide, "ksii")).otherwise(text))
+
+
 def tokens(text: Column, fold: bool = False) -> Column:
     """Words in lower case, or (``fold``) of the :func:`folded` text."""
     return F.regexp_extract_all(folded(text) if fold else F.lower(text), F.lit(f"({TOKEN})"))
@@ -91,7 +100,12 @@ def flagged_lines(text: Column) -> Column:
         )))
         return F.when(text == "", F.array().cast(_LINES)).otherwise(whole)
 
-    return let(F.regexp_replace(F.regexp_replace(text, r"\r\n|[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n"), r"\n\z", ""), cut)
+    def bare(text: Column) -> Column:
+        return F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
+
+    # most texts have no other line breaks, which one pass over a class of characters tells
+    one_kind = F.when(text.rlike(r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), F.regexp_replace(text, r"\r\n|[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n")).otherwise(text)
+    return let(let(one_kind, bare), cut)
 
 
 HEADING = r"^(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"

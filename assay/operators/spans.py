@@ -21,14 +21,14 @@ FOREIGN, STALE, OUTSIDE, OTHER_TEXT, OTHER_HEADING = "foreign", "stale", "outsid
 
 def captured(reports: DataFrame, key: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
     """A span for every section of ``reports``: key, identity, ordinal, heading, level, start_line, end_line, text."""
-    identities = reports.select(key, document_identity(F.col(text_col)).alias("identity"))
-    return T.sections(reports, key, text_col).join(identities, key)
+    rows = T.with_sections(reports.select(key, text_col, document_identity(F.col(text_col)).alias("identity")), text_col)
+    return rows.select(key, "identity", F.explode("sections").alias("x")).select(key, "x.*", "identity")
 
 
 def checked(spans: DataFrame, reports: DataFrame, key: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
-    """``spans`` with ``fault``, NULL where a span is authorised in ``reports``; the text is split once for each span, and leaves no trace."""
-    now = reports.select(F.col(key), F.col(text_col).alias("_raw"), document_identity(F.col(text_col)).alias("_now")).where("_raw is not null")
-    rows = spans.join(now, key, "left").withColumn("_lines", F.when(F.col("identity") == F.col("_now"), T.lines(F.col("_raw"))))
+    """``spans`` with ``fault``, NULL where a span is authorised in ``reports``; a text is split once for all its spans, and leaves no trace."""
+    now = reports.where(F.col(text_col).isNotNull()).select(F.col(key), T.lines(F.col(text_col)).alias("_lines"), document_identity(F.col(text_col)).alias("_now"))
+    rows = spans.join(now, key, "left")
     a, z = F.col("start_line"), F.col("end_line")
     inside = F.coalesce((a >= 1) & (a <= z) & (z <= F.size("_lines")), F.lit(False))
     built = F.regexp_replace(F.array_join(F.slice("_lines", F.greatest(a, F.lit(1)), F.greatest(z - a + 1, F.lit(0))), "\n"), r"^\n+|\n+$", "")

@@ -18,7 +18,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     def part(every: int, *lines: str):
         return F.when(k % every == 0, "".join(f"{x}\n" for x in lines)).otherwise("")
 
-    body = F.translate(F.lower(F.coalesce("text", F.lit(""))), "#`~\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029\n", " ")
+    body = F.regexp_replace(F.replace(F.lower(F.coalesce("text", F.lit(""))), F.lit("#"), F.lit(" ")), "[`~\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029\n]", "")
     steps = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.when(i <= k % 4, F.concat(i.cast("string"), F.lit(". do it\n"))).otherwise("")), "")
     raw = F.concat(
         F.lit("# Report "), k.cast("string"), F.lit("\n## Summary\nA bypass of the login.\n```\n# no heading\n```\n"), part(2, "## Affected Component", "server"), part(3, "## Affected versions", "1.0"),
