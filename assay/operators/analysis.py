@@ -25,7 +25,7 @@ from assay.operators.metrics import metric_bundle
 
 SCHEMA, VERSION = 1, 1
 COVERAGE = ("planned", "scored", "failed", "not_run")
-_PARTS, _WRAP = 4, 1 << 64
+_PARTS, _WRAP, _HALF = 4, 1 << 64, 1 << 32
 
 
 class AnalysisError(ValueError):
@@ -59,12 +59,24 @@ def row_digest(table: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*(_plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields)), {"ignoreNullFields": "false"}), 256)
 
 
+def digest_halves(digest: Column, name: str = "_p") -> dict[str, Column]:
+    """The four parts of a digest as eight whole numbers below 2 ** 32: sums of longs are far cheaper than those of wide decimals, and overflow, an error, beyond 2 ** 31 rows of a group."""
+    return {f"{name}{k}": F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(2 * _PARTS)}
+
+
+def joined_halves(sums: list[Column]) -> list[Column]:
+    """The four parts modulo 2 ** 64, as strings, from the sums of their eight halves; no sum is 0."""
+    wide = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(20,0)")
+    whole = [(wide(high) % F.lit(_HALF).cast("decimal(20,0)")) * F.lit(_HALF).cast("decimal(18,0)") + wide(low) for high, low in zip(sums[::2], sums[1::2])]
+    return [(x % F.lit(str(_WRAP)).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string") for x in whole]
+
+
 def table_digest(table: DataFrame, *by: str) -> DataFrame:
     """(by, rows, digest): the multiset of rows of each group, or of the whole table."""
     rows = table.select(*by, row_digest(table).alias("_h"))
-    parts = [F.coalesce(F.sum(F.conv(F.substring("_h", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")), F.lit(0)) % F.lit(str(_WRAP)).cast("decimal(38,0)") for k in range(_PARTS)]
-    sums = rows.groupBy(*by).agg(F.count("*").alias("rows"), *(p.cast("decimal(38,0)").cast("string").alias(f"_p{k}") for k, p in enumerate(parts)))
-    return sums.select(*by, "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *(f"_p{k}" for k in range(_PARTS))), 256).alias("digest"))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("rows"), *(F.sum(c).alias(k) for k, c in digest_halves(F.col("_h")).items()))
+    parts = joined_halves([F.col(f"_p{k}") for k in range(2 * _PARTS)])
+    return sums.select(*by, "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *parts), 256).alias("digest"))
 
 
 def coverage(records: DataFrame, failures: DataFrame, index: DataFrame) -> DataFrame:
