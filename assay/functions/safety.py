@@ -133,9 +133,11 @@ def _unsafe(text: pd.Series) -> pd.Series:
 
 
 def unsafe_urls(text: Column) -> Column:
-    """Sorted distinct web addresses whose host is not reserved, or which cannot be read; only texts with an address reach Python."""
+    """Sorted distinct web addresses whose host is not reserved, or which cannot be read; only texts with an address reach Python, from their first one on."""
     begun = F.coalesce(text.rlike(f"(?i){URL_START}"), F.lit(False))
-    return F.when(begun, _unsafe(F.when(begun, text).otherwise(""))).otherwise(F.array().cast("array<string>"))
+    # nothing before the first address matters, and it stays in the JVM
+    behind = F.regexp_replace(text, rf"(?is)\A.*?(?={URL_START})", "")
+    return F.when(begun, _unsafe(F.when(begun, behind).otherwise(""))).otherwise(F.array().cast("array<string>"))
 
 
 def violations(text: Column) -> Column:
