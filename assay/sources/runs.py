@@ -31,12 +31,12 @@ def write_run(records: DataFrame, header: dict, path: str, compression: str = "g
     records.select(F.to_json(F.struct(F.lit("case").alias("record_type"), *columns, meta)).alias("value")).write.mode("append").text(path, compression=compression)
 
 
-def write_records_csv(records: DataFrame, path: str) -> None:
-    """Nine fixed columns, a ``dim_`` column for every dimension that occurs, and confidence; correct as 0 or 1."""
+def write_records_csv(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Nine fixed columns, a ``dim_`` column for every dimension that occurs, and confidence; correct as 0 or 1; compressed, as values repeat."""
     names = sorted(r[0] for r in records.select(F.explode(F.map_keys("dimensions"))).distinct().collect())
     fixed = ["case_id", "case_kind", "parent_id", "operator", "report_class", "expected_decision", "evaluator_name", "decision"]
     dims = [F.col("dimensions")[n].alias(f"dim_{n}") for n in names]
-    records.select(*fixed, F.col("correct").cast("int").alias("correct"), *dims, "confidence").write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    records.select(*fixed, F.col("correct").cast("int").alias("correct"), *dims, "confidence").write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path, compression=compression)
 
 
 def markdown_summary(bundle: DataFrame) -> str:
