@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.schema import is_correct
+from assay.storage import stored
 
 
 def percentile_indices(size: int, ci: float) -> tuple[int, int]:
@@ -47,17 +48,25 @@ def draws(spark, clusters: int, resamples: int, seed: int) -> DataFrame:
     return spark.createDataFrame(rows, "resample int, ordinal int, times int")
 
 
-#: Clusters whose draws are made together.
-BLOCK = 2_000
+#: Clusters whose draws are made together, and how many blocks there are at most: of many clusters blocks get larger, not more.
+BLOCK, BLOCKS = 2_000, 4_096
+
+
+def _names(tallies: DataFrame) -> list[str]:
+    return sorted(r[0] for r in tallies.select("evaluator_name").distinct().collect())
 
 
 def _sums(tallies: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """(evaluator_name, resample, correct, cases) over resamples of the clusters of ``tallies``."""
-    per_cluster = tallies.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("evaluator_name", "correct", "cases"))).alias("t"))
-    n = per_cluster.count()
-    if not n:
+    """(evaluator_name, resample, correct, cases) over resamples of the clusters of ``tallies``, which are read twice."""
+    names = _names(tallies)
+    # two numbers for each evaluator, of which there are few; written once, as clusters are counted before they are drawn
+    told = [F.sum(F.when(F.col("evaluator_name") == name, F.col(c)).otherwise(0)).alias(f"{c}_{i}") for i, name in enumerate(names) for c in ("correct", "cases")]
+    if not names:
         raise ValueError("no clusters to draw from")
-    blocks = -(-n // BLOCK)
+    per_cluster = stored(tallies.groupBy("cluster").agg(*told), "clusters")
+    columns = per_cluster.columns[1:]
+    n = per_cluster.count()
+    blocks = min(-(-n // BLOCK), BLOCKS)
     placed = per_cluster.withColumn("block", F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int"))
     sizes = {r["block"]: r["count"] for r in placed.groupBy("block").count().collect()}  # a number for each block
     order = sorted(sizes)
@@ -68,13 +77,8 @@ def _sums(tallies: DataFrame, resamples: int, seed: int) -> DataFrame:
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
         pdf = pdf.sort_values("cluster")
-        names = sorted({x["evaluator_name"] for t in pdf["t"] for x in t})
-        values = np.zeros((len(pdf), 2 * len(names)))
-        for i, t in enumerate(pdf["t"]):
-            for x in t:
-                j = 2 * names.index(x["evaluator_name"])
-                values[i, j : j + 2] += x["correct"], x["cases"]
-        rng, out = np.random.default_rng([seed, 1, block]), np.empty((resamples, values.shape[1]))
+        values = pdf[columns].to_numpy(np.int64)  # whole numbers: exact, and a product in this thread only
+        rng, out = np.random.default_rng([seed, 1, block]), np.empty((resamples, values.shape[1]), np.int64)
         for r, m in enumerate(split.value[block]):
             out[r] = np.bincount(rng.integers(0, len(pdf), m), minlength=len(pdf)) @ values
         parts = [pd.DataFrame({"evaluator_name": name, "resample": np.arange(resamples), "correct": out[:, 2 * j], "cases": out[:, 2 * j + 1]}) for j, name in enumerate(names)]
@@ -87,10 +91,10 @@ def _sums(tallies: DataFrame, resamples: int, seed: int) -> DataFrame:
 def cluster_bootstrap(records: DataFrame, resamples: int = 2000, ci: float = 0.95, seed: int = 0, pair_ids: DataFrame | None = None) -> DataFrame:
     """(name, lo, hi, mean, observed): accuracy of every evaluator, and the difference of the first two by name on the same draws."""
     low, high = percentile_indices(resamples, ci)
-    tallies = cluster_tallies(records, pair_ids)
+    tallies = stored(cluster_tallies(records, pair_ids), "tallies")
     acc = _sums(tallies, resamples, seed).select("evaluator_name", "resample", (F.col("correct") / F.nullif("cases", F.lit(0))).alias("value"))
     # one row for each evaluator and resample, however many records there are
-    names = sorted(r[0] for r in tallies.select("evaluator_name").distinct().collect())
+    names = _names(tallies)
     observed = tallies.groupBy("evaluator_name").agg((F.sum("correct") / F.sum("cases")).alias("observed"))
     out = acc.select(F.col("evaluator_name").alias("name"), "resample", "value")
     seen = observed.select(F.col("evaluator_name").alias("name"), "observed")
