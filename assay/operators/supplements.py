@@ -16,57 +16,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.operators.analysis import row_digest
+from assay.operators.analysis import digest_halves, joined_halves, row_digest
 from assay.operators.integrity import require_none
 
 #: Attempts that a round may add to a slot, and what may come of one.
 CAP, STATUSES = 3, ("success", "http_error", "invalid_or_transport_error")
-_PARTS = 4
+_HALVES = 8
 
 
 def _hashed(ledger: DataFrame) -> DataFrame:
-    """The ledger with the four parts of each row's hash, which covers all its columns but the round."""
+    """The ledger with the halves of the four parts of each row's hash, which covers all its columns but the round."""
     digest = row_digest(ledger.drop("round"))
     rows = ledger.withColumn("_h", digest)
-    return rows.withColumns({f"_p{k}": F.conv(F.substring("_h", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)") for k in range(_PARTS)}).drop("_h")
+    return rows.withColumns(digest_halves(F.col("_h"))).drop("_h")
 
 
 def _digest(n: Column, parts: list[Column]) -> Column:
-    wrap = F.lit(str(1 << 64)).cast("decimal(38,0)")
-    return F.sha2(F.concat_ws(":", n.cast("string"), *((F.coalesce(p, F.lit(0)) % wrap).cast("decimal(38,0)").cast("string") for p in parts)), 256)
+    return F.sha2(F.concat_ws(":", n.cast("string"), *joined_halves(parts)), 256)
 
 
 def slot_digests(ledger: DataFrame) -> DataFrame:
     """(slot, attempts, digest) of what every slot of a ledger has so far: what a plan of the next round states."""
-    parts = [F.sum(f"_p{k}") for k in range(_PARTS)]
+    parts = [F.sum(f"_p{k}") for k in range(_HALVES)]
     return _hashed(ledger).groupBy("slot").agg(F.count("*").alias("attempts"), _digest(F.count("*"), parts).alias("digest"))
 
 
 def round_digests(ledger: DataFrame, rounds: DataFrame | None = None) -> DataFrame:
     """(round, rows, digest) of all rows before each round of the ledger, and of ``rounds`` (round), which may be still empty."""
-    sums = _hashed(ledger).groupBy("round").agg(F.count("*").alias("n"), *(F.sum(f"_p{k}").alias(f"_p{k}") for k in range(_PARTS)))
+    sums = _hashed(ledger).groupBy("round").agg(F.count("*").alias("n"), *(F.sum(f"_p{k}").alias(f"_p{k}") for k in range(_HALVES)))
     every = ledger.select("round").union(rounds.select("round")).distinct().join(sums, "round", "left") if rounds is not None else sums
     # a row for each round
     before = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
     n = F.coalesce(F.sum("n").over(before), F.lit(0))
-    return every.select("round", n.alias("rows"), _digest(n, [F.sum(f"_p{k}").over(before) for k in range(_PARTS)]).alias("digest"))
+    return every.select("round", n.alias("rows"), _digest(n, [F.sum(f"_p{k}").over(before) for k in range(_HALVES)]).alias("digest"))
 
 
 def slot_problems(ledger: DataFrame, plan: DataFrame, cap: int = CAP) -> DataFrame:
     """(slot, round, problem) of attempts and plans: ``after_success``, ``attempt``, ``over_cap``, ``status``, ``unplanned``, ``repeated_plan``, ``unknown_slot``, ``changed_history``."""
     # a planned slot is a row of its round before its attempts, so one scan sees plans and attempts in their order
     rows = _hashed(ledger).withColumns({"_kind": F.lit(1), "_planned": F.lit(None).cast("long"), "_prior": F.lit(None).cast("string")})
-    keys = ["slot", "round", "attempt", "status", "_kind", "_planned", "_prior", *(f"_p{k}" for k in range(_PARTS))]
+    keys = ["slot", "round", "attempt", "status", "_kind", "_planned", "_prior", *(f"_p{k}" for k in range(_HALVES))]
     marks = plan.select(
         "slot", "round", F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("string").alias("status"), F.lit(0).alias("_kind"), F.col("previous_attempts").cast("long").alias("_planned"), F.col("prior_digest").alias("_prior"),
-        *(F.lit(None).cast("decimal(20,0)").alias(f"_p{k}") for k in range(_PARTS)),
+        *(F.lit(None).cast("long").alias(f"_p{k}") for k in range(_HALVES)),
     )
     both = rows.select(*keys).unionByName(marks)
-    order = Window.partitionBy("slot").orderBy("round", "_kind", F.asc_nulls_first("attempt"), "_p0", "_p1")
-    past, of_round = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("slot", "round").orderBy("_kind", F.asc_nulls_first("attempt"), "_p0", "_p1").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("slot").orderBy("round", "_kind", F.asc_nulls_first("attempt"), "_p0", "_p1", "_p2", "_p3")
+    past, of_round = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("slot", "round").orderBy("_kind", F.asc_nulls_first("attempt"), "_p0", "_p1", "_p2", "_p3").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumns({
         "_n": F.coalesce(F.sum("_kind").over(past), F.lit(0)), "_won": F.coalesce(F.max(F.col("status") == "success").over(past), F.lit(False)), "_own": F.sum("_kind").over(of_round), "_plans": F.sum(1 - F.col("_kind")).over(of_round),
-        "_digest": _digest(F.coalesce(F.sum("_kind").over(past), F.lit(0)), [F.sum(f"_p{k}").over(past) for k in range(_PARTS)]),
+        "_digest": F.when(F.col("_kind") == 0, _digest(F.coalesce(F.sum("_kind").over(past), F.lit(0)), [F.sum(f"_p{k}").over(past) for k in range(_HALVES)])),
     })
     row, planned = F.col("_kind") == 1, F.col("_kind") == 0
     found = F.array_compact(F.array(
