@@ -135,12 +135,10 @@ def composite_problems(arms: DataFrame) -> DataFrame:
 
 def intervention_audit(arms: DataFrame, evaluator: evaluators.Evaluator = evaluators.RULES) -> DataFrame:
     """Per arm: total, accepted, texts that differ from the original, and decisions that do; a case's arms meet in one grouping, so there is no join."""
-    case = F.struct("case_id", "arm")
+    case = F.struct("case_id", "arm", F.sha2("raw_text", 256).alias("digest"))  # beside the name, so that an arm's text is made once
     named = evaluators.structured(arms.select(F.to_json(case).alias("report_id"), "raw_text"))
-    told = evaluator.apply(named).select(F.from_json("report_id", "case_id string, arm string").alias("x"), "decision").select("x.*", "decision")
-    texts = arms.select(F.col("case_id").cast("string").alias("case_id"), "arm", F.sha2("raw_text", 256).alias("digest"), F.lit(None).cast("string").alias("decision"))
-    both = texts.unionByName(told.select("case_id", "arm", F.lit(None).cast("string").alias("digest"), "decision"))
-    rows = both.groupBy("case_id", "arm").agg(F.max("digest").alias("digest"), F.max("decision").alias("decision"))
+    told = evaluator.apply(named).select(F.from_json("report_id", "case_id string, arm string, digest string").alias("x"), "decision").select("x.*", "decision")
+    rows = told.groupBy("case_id", "arm").agg(F.max("digest").alias("digest"), F.max("decision").alias("decision"))
     original = Window.partitionBy("case_id")
     first = lambda c: F.max(F.when(F.col("arm") == "original", F.col(c))).over(original)
     rows = rows.withColumns({"own_digest": first("digest"), "own_decision": first("decision")})
