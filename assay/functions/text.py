@@ -14,10 +14,23 @@ from pyspark.sql.types import StringType
 TOKEN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 
 
+#: Line breaks other than the common one.
+ODD_BREAKS = "\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+def one_break(text: Column) -> Column:
+    """The text with one kind of line breaks; most texts have no others, which searches for single characters tell sooner than a class of them."""
+    odd = reduce(or_, (F.contains(text, F.lit(c)) for c in ODD_BREAKS))
+    return F.when(odd, F.regexp_replace(text, r"\r\n|[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n")).otherwise(text)
+
+
+def _bare(text: Column) -> Column:
+    return F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
+
+
 def lines(text: Column) -> Column:
     """Lines of a text, without the empty one after a final line break."""
-    parts = F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(let(text, one_break), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(_bare(t), "\n")))
 
 
 @F.pandas_udf(StringType())
@@ -100,12 +113,7 @@ def flagged_lines(text: Column) -> Column:
         )))
         return F.when(text == "", F.array().cast(_LINES)).otherwise(whole)
 
-    def bare(text: Column) -> Column:
-        return F.when(F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)).otherwise(text)
-
-    # most texts have no other line breaks, which one pass over a class of characters tells
-    one_kind = F.when(text.rlike(r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), F.regexp_replace(text, r"\r\n|[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", "\n")).otherwise(text)
-    return let(let(one_kind, bare), cut)
+    return let(let(let(text, one_break), _bare), cut)
 
 
 HEADING = r"^(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
@@ -121,11 +129,11 @@ def with_sections(reports: DataFrame, text_col: str = "raw_text") -> DataFrame:
         text = F.array_join(F.transform(F.slice(rows, x.at + 1, end - x.at), lambda y: y.line), "\n")
         return F.struct(
             F.trim(F.regexp_extract(x["head"], HEADING, 2)).alias("heading"), F.coalesce(F.length(F.regexp_extract(x["head"], HEADING, 1)), F.lit(0)).alias("level"),
-            (x.at + 1).alias("start_line"), end.alias("end_line"), F.regexp_replace(text, r"^\n+|\n+$", "").alias("text"),
+            (x.at + 1).alias("start_line"), end.alias("end_line"), F.btrim(text, F.lit("\n")).alias("text"),
         )
 
     def parts(rows: Column) -> Column:
-        at = F.transform(rows, lambda x, i: F.struct(i.alias("at"), F.when(~x.fenced & x.line.rlike(HEADING), x.line).alias("head")))
+        at = F.transform(rows, lambda x, i: F.struct(i.alias("at"), F.when(~x.fenced & F.startswith(x.line, F.lit("#")) & x.line.rlike(HEADING), x.line).alias("head")))
         heads = F.filter(at, lambda x: x["head"].isNotNull() | (x.at == 0))
         return let(heads, lambda h: F.filter(F.transform(h, lambda x, i: section(x, i, rows, h)), lambda x: x.heading.isNotNull() | x.text.rlike(r"\S")))
 
@@ -134,9 +142,14 @@ def with_sections(reports: DataFrame, text_col: str = "raw_text") -> DataFrame:
     return reports.withColumn("sections", numbered)
 
 
+def exploded(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with an ``x`` for each element of an array: of an outer explode no filter is inferred, which would make the array again to see whether it is empty."""
+    return rows.withColumn("x", F.explode_outer(column)).drop(column).where("x is not null")
+
+
 def sections(reports: DataFrame, key: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
     """A row per section: key, ordinal, heading, level, start_line, end_line, text."""
-    return with_sections(reports.select(key, text_col), text_col).select(key, F.explode("sections").alias("x")).select(key, "x.*")
+    return exploded(with_sections(reports.select(key, text_col), text_col).select(key, "sections"), "sections").select(key, "x.*")
 
 
 def numbered_steps(text: Column) -> Column:

@@ -22,7 +22,7 @@ FOREIGN, STALE, OUTSIDE, OTHER_TEXT, OTHER_HEADING = "foreign", "stale", "outsid
 def captured(reports: DataFrame, key: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
     """A span for every section of ``reports``: key, identity, ordinal, heading, level, start_line, end_line, text."""
     rows = T.with_sections(reports.select(key, text_col, document_identity(F.col(text_col)).alias("identity")), text_col)
-    return rows.select(key, "identity", F.explode("sections").alias("x")).select(key, "x.*", "identity")
+    return T.exploded(rows.select(key, "identity", "sections"), "sections").select(key, "x.*", "identity")
 
 
 def checked(spans: DataFrame, reports: DataFrame, key: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
@@ -31,7 +31,7 @@ def checked(spans: DataFrame, reports: DataFrame, key: str = "doc_id", text_col:
     rows = spans.join(now, key, "left")
     a, z = F.col("start_line"), F.col("end_line")
     inside = F.coalesce((a >= 1) & (a <= z) & (z <= F.size("_lines")), F.lit(False))
-    built = F.regexp_replace(F.array_join(F.slice("_lines", F.greatest(a, F.lit(1)), F.greatest(z - a + 1, F.lit(0))), "\n"), r"^\n+|\n+$", "")
+    built = F.btrim(F.array_join(F.slice("_lines", F.greatest(a, F.lit(1)), F.greatest(z - a + 1, F.lit(0))), "\n"), F.lit("\n"))
     first = F.get("_lines", a - 1)
     headed = F.coalesce(first.rlike(T.HEADING) & (F.trim(F.regexp_extract(first, T.HEADING, 2)) == F.col("heading")) & (F.length(F.regexp_extract(first, T.HEADING, 1)) == F.col("level")), F.lit(False))
     right = F.when(F.col("heading").isNull(), a == 1).otherwise(headed)
