@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.schema import is_correct
+from assay.storage import dealt
+
+#: Rows that one row becomes in one step.
+PART = 10_000
 
 
 def duplicate_keys(records: DataFrame) -> DataFrame:
     return records.groupBy("case_id", "evaluator_name", "repeat_index").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def drifts() -> Column:
+    return ~F.col("correct").eqNullSafe(is_correct())
+
+
 def correct_flag_drift(records: DataFrame) -> DataFrame:
-    return records.where(~F.col("correct").eqNullSafe(is_correct()))
+    return records.where(drifts())
+
+
+def lacks_link() -> Column:
+    return F.expr("case_kind = 'mutated' and (parent_id is null or operator is null)")
 
 
 def missing_links(records: DataFrame) -> DataFrame:
-    return records.where("case_kind = 'mutated' and (parent_id is null or operator is null)")
+    return records.where(lacks_link())
 
 
 def dangling_parents(records: DataFrame) -> DataFrame:
@@ -31,14 +43,19 @@ def odd_pairs(roles: DataFrame) -> DataFrame:
     return roles.groupBy("pair_id").agg(F.count("*").alias("members")).where("members <> 2")
 
 
-def violations(records: DataFrame) -> DataFrame:
-    """(rule, key) of everything that must not be scored."""
-    key = F.concat_ws("|", "case_id", "evaluator_name", F.col("repeat_index").cast("string")).alias("key")
-    return (
-        duplicate_keys(records).select(F.lit("duplicate_key").alias("rule"), key)
-        .unionByName(correct_flag_drift(records).select(F.lit("correct_flag").alias("rule"), key))
-        .unionByName(missing_links(records).select(F.lit("missing_link").alias("rule"), key))
-    )
+def violations(records: DataFrame, size: int | None = None) -> DataFrame:
+    """(rule, key) of everything that must not be scored, from one scan; a ``size``, which is how many records there are at most, bounds what a task groups."""
+    own = ("case_id", "evaluator_name", "repeat_index")
+    rows = records.select(*own, drifts().alias("_drifts"), lacks_link().alias("_lacks"))
+    sums = (rows if size is None else dealt(rows, size, "case_id")).groupBy(*own).agg(F.count("*").alias("copies"), F.count_if("_drifts").alias("drifting"), F.count_if("_lacks").alias("unlinked"))
+    told = (("duplicate_key", F.when(F.col("copies") > 1, 1)), ("correct_flag", F.col("drifting")), ("missing_link", F.col("unlinked")))
+    found = sums.select(
+        F.concat_ws("|", "case_id", "evaluator_name", F.col("repeat_index").cast("string")).alias("key"),
+        F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), times.cast("long").alias("times")) for rule, times in told))).alias("x"),
+    ).select("x.*", "key").where("times > 0")
+    # as often as there are such rows, by parts, as no array may hold all of a key that is everywhere
+    parts = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / PART))))
+    return parts.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(PART), F.col("times") - F.col("_part") * PART)))).select("rule", "key")
 
 
 def require_none(found: DataFrame, what: str) -> None:
