@@ -119,6 +119,11 @@ def flagged_lines(text: Column) -> Column:
 HEADING = r"^(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
 
 
+def has_heading(text: Column, level: int) -> Column:
+    """Whether a text has a heading of a level outside of fences."""
+    return F.exists(flagged_lines(text), lambda x: ~x.fenced & F.startswith(x.line, F.lit("#" * level)) & x.line.rlike(HEADING) & (F.length(F.regexp_extract(x.line, HEADING, 1)) == level))
+
+
 def with_sections(reports: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """``reports`` with ``sections``, an array of (ordinal, heading, level, start_line, end_line, text), made in the row.
 

@@ -13,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.operators.evaluators import structured
+from assay.functions.text import has_heading
 from assay.operators.integrity import require_none
 from assay.sources.reports import MANIFEST, _parse
+from assay.storage import dealt
 
 # Names of the files of a corpus.
 CANONICAL, DERIVED, INDEX = "manifest.yaml", "mutation-manifest.yaml", "suite-index.jsonl"
+#: Manifests that one task reads.
+PARSED = 5_000
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -41,12 +44,16 @@ def with_above(of_folder: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
-def pruned(files: DataFrame, index: str = INDEX) -> DataFrame:
-    """The files that are not in or below a folder that holds an index."""
+def hidden(files: DataFrame, index: str = INDEX) -> DataFrame:
+    """(folder) of the files that are in or below a folder that holds an index."""
     generated = files.where(name(F.col("path")) == index).select(folder(F.col("path")).alias("above")).distinct()
     places = files.select(folder(F.col("path")).alias("folder")).distinct()
-    hidden = places.withColumn("above", F.explode(with_above(F.col("folder")))).join(generated, "above", "left_semi").select("folder").distinct()
-    return files.withColumn("folder", folder(F.col("path"))).join(hidden, "folder", "left_anti")
+    return places.withColumn("above", F.explode(with_above(F.col("folder")))).join(generated, "above", "left_semi").select("folder").distinct()
+
+
+def pruned(files: DataFrame, index: str = INDEX) -> DataFrame:
+    """The files that are not in or below a folder that holds an index."""
+    return files.withColumn("folder", folder(F.col("path"))).join(hidden(files, index), "folder", "left_anti")
 
 
 def resolved(root: str, relative: Column) -> Column:
@@ -61,16 +68,19 @@ def resolved(root: str, relative: Column) -> Column:
 
 def fixtures(files: DataFrame, root: str) -> DataFrame:
     """Every manifest that is not generated: kind, folder, the fields of a manifest, ``path`` and ``raw_text`` of its report, and ``problem``, NULL if it has none."""
-    files = pruned(files)
-    found = files.where(name(F.col("path")).isin(CANONICAL, DERIVED)).select("folder", F.col("content").cast("string").alias("content"), name(F.col("path")).alias("file"))
+    # folders are looked up for manifests and for what they name, so texts move once, to their manifest
+    generated = hidden(files)
+    found = files.where(name(F.col("path")).isin(CANONICAL, DERIVED)).select(folder(F.col("path")).alias("folder"), F.col("content").cast("string").alias("content"), name(F.col("path")).alias("file"))
+    # a manifest is few bytes and much work, so their number and not their size says how many tasks they need
+    found = dealt(found, found.count(), "folder", per_task=PARSED).join(generated, "folder", "left_anti")
     # of two manifests in one folder the canonical one counts
-    found = found.groupBy("folder").agg(F.min(F.struct((F.col("file") != CANONICAL).alias("other"), "content")).alias("m")).select("folder", F.when(F.col("m.other"), "derived").otherwise("canonical").alias("kind"), "m.content")
-    told = found.select("folder", "content").mapInPandas(_parse, f"folder string, {MANIFEST}").join(found.select("folder", "kind"), "folder")
-    told = told.withColumn("path", resolved(root, F.coalesce("report_path", F.lit(""))))
-    texts = files.where(F.endswith(F.col("path"), F.lit(".md"))).select("path", F.col("content").cast("string").alias("raw_text"))
-    both = told.join(texts, "path", "left")
-    heads = structured(both.select("folder", "raw_text"), "folder").select("folder", F.exists("sections", lambda s: s.level == 1).alias("headed"))
-    both = both.join(heads, "folder", "left").withColumn("headed", F.coalesce("headed", F.lit(False)))
+    found = found.groupBy("folder").agg(F.min(F.struct((F.col("file") != CANONICAL).alias("other"), "content")).alias("m")).select("folder", "m.content", F.when(F.col("m.other"), "derived").otherwise("canonical").alias("kind"))
+    told = found.mapInPandas(_parse, f"folder string, {MANIFEST}, kind string").withColumn("path", resolved(root, F.coalesce("report_path", F.lit(""))))
+    fields = [c for c in told.columns if c not in ("folder", "path")]
+    told = told.withColumn("_of", folder(F.col("path"))).join(generated.select(F.col("folder").alias("_of"), F.lit(True).alias("_hidden")), "_of", "left")
+    texts = files.where(F.endswith(F.col("path"), F.lit(".md"))).select(F.col("path").alias("_path"), F.col("content").cast("string").alias("raw_text"))
+    both = told.join(texts, (F.col("path") == F.col("_path")) & F.col("_hidden").isNull(), "left").select("folder", "path", *fields, "raw_text")
+    both = both.withColumn("headed", F.coalesce(has_heading(F.col("raw_text"), 1), F.lit(False)))
     problem = F.when(F.col("path").isNull(), "the report lies outside the root").when(F.col("raw_text").isNull(), "there is no such report").when(~F.col("headed"), "the report has no first-level heading")
     return both.withColumn("problem", problem).drop("headed")
 

@@ -21,11 +21,12 @@ def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def _parse(batches):
+    """Manifests (folder, content, ...) read; other columns come last, as they are."""
     import yaml
 
     for pdf in batches:
-        rows = []
-        for folder, content in zip(pdf["folder"], pdf["content"]):
+        rows, others = [], [c for c in pdf.columns if c not in ("folder", "content")]
+        for folder, content, *more in zip(pdf["folder"], pdf["content"], *(pdf[c] for c in others)):
             m = yaml.safe_load(content)
             if not isinstance(m, dict):
                 raise ValueError(f"{folder}: a manifest must be a mapping")
@@ -36,8 +37,9 @@ def _parse(batches):
                 "seed": None if m.get("seed") is None else __import__("decimal").Decimal(m["seed"]), "expected_dimensions": {k: float(v) for k, v in dims.items()},
                 "required_evidence": list(truth.get("required_evidence") or []), "reproducible": truth.get("reproducible"), "impact_class": truth.get("impact_class"),
                 "report_path": (m.get("report") or {}).get("path"), "parameters": json.dumps(m.get("parameters") or {}, sort_keys=True),
+                **dict(zip(others, more)),
             })
-        names = ["folder"] + [c.strip().rsplit(" ", 1)[0].split(" ")[0] for c in _columns()]
+        names = ["folder"] + [c.strip().rsplit(" ", 1)[0].split(" ")[0] for c in _columns()] + others
         yield pd.DataFrame(rows, columns=names)
 
 
