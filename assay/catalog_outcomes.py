@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay import storage
 from assay.operators import analysis, audits, cards, distributions, external, ledgers, metrics, spans, supplements
 from assay.plans import bindings as b
 from assay.plans import folders, heads, outside, rounds
@@ -54,7 +55,7 @@ def external_accounting(spark, sf_dir):
     """Outcomes of these evaluators, split into records and failures, against the planned cases."""
     cases = _cases(spark, sf_dir)
     records, failures = external.outcomes(cases, [outside.Stops(), outside.HASTY])
-    return ledgers.accounting(records, failures, cases).select("evaluator_name", "planned", "scored", "failed", "clashing", "missing", "complete")
+    return ledgers.accounting(records, failures, cases, [outside.Stops.name, outside.HASTY.name]).select("evaluator_name", "planned", "scored", "failed", "clashing", "missing", "complete")
 
 
 @query(REC + f""", told AS (SELECT *, tenths = 10 AS late FROM rec WHERE tenths IS NOT NULL)
@@ -67,7 +68,7 @@ def analysis_round_trip(spark, sf_dir):
     rows = spark.read.parquet(stored)
     late = F.round(F.col("confidence") * 10) == 10
     failures = rows.where(late).select("case_id", "evaluator_name", "repeat_index", F.lit("failed").alias("status"), F.lit("deadline").alias("error_kind"))
-    records, index = rows.where(~late), rows.select("case_id").distinct()
+    records, index = rows.where(~late), storage.stored(rows.select("case_id").distinct(), "index")  # read by each of the accounts below
     place = analysis.publish(b.scratch(spark, "analysis"), spark, analysis.document(records, failures, index))
     own = analysis.measured(records, failures)  # of the tables as they are read back, once for both indexes
     made = analysis.verified(place, spark, records, failures, index, own=own)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +61,8 @@ def row_digest(table: DataFrame) -> Column:
 
 def digest_halves(digest: Column, name: str = "_p") -> dict[str, Column]:
     """The four parts of a digest as eight whole numbers below 2 ** 32: sums of longs are far cheaper than those of wide decimals, and overflow, an error, beyond 2 ** 31 rows of a group."""
-    return {f"{name}{k}": F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(2 * _PARTS)}
+    parts = [F.conv(F.substring(digest, 1 + 16 * k, 16), 16, -10).cast("long") for k in range(_PARTS)]  # a part is read once, with a sign, and then cut in two
+    return {f"{name}{2 * k + j}": half for k, x in enumerate(parts) for j, half in enumerate((F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(_HALF - 1))))}
 
 
 def joined_halves(sums: list[Column]) -> list[Column]:
@@ -79,9 +80,9 @@ def table_digest(table: DataFrame, *by: str) -> DataFrame:
     return sums.select(*by, "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *parts), 256).alias("digest"))
 
 
-def coverage(records: DataFrame, failures: DataFrame, index: DataFrame) -> DataFrame:
+def coverage(records: DataFrame, failures: DataFrame, index: DataFrame, evaluators: Iterable[str] | None = None) -> DataFrame:
     """The account of each evaluator with ``not_run``, the planned cases without an outcome, and ``amiss``: rows that are foreign, repeated or clash."""
-    rows = accounting(records, failures, index)
+    rows = accounting(records, failures, index, evaluators)
     return rows.select("evaluator_name", "planned", "scored", "failed", F.col("missing").alias("not_run"), (F.col("foreign") + F.col("repeated") + F.col("clashing")).alias("amiss"))
 
 
@@ -96,6 +97,12 @@ def _metrics(records: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> d
     return {r["evaluator_name"]: {k: v for k, v in r.asDict().items() if k != "evaluator_name"} for r in measure(records).collect()}
 
 
+def _coverage(records: DataFrame, failures: DataFrame, index: DataFrame, metrics: dict[str, dict]) -> dict[str, dict]:
+    """The account by evaluator, of those with metrics, which are all that have records, and of those that only failed."""
+    names = {*metrics, *(r["evaluator_name"] for r in failures.select("evaluator_name").distinct().collect())}
+    return {r["evaluator_name"]: r.asDict() for r in coverage(records, failures, index, names).collect()}
+
+
 def _failures(records: DataFrame, failures: DataFrame | None) -> DataFrame:
     return failures if failures is not None else records.select("evaluator_name", "case_id", F.lit("failed").alias("status")).limit(0)
 
@@ -105,7 +112,8 @@ def document(records: DataFrame, failures: DataFrame | None, index: DataFrame, g
 
     Raises unless planned = scored + failed + not_run for every evaluator, and an evaluator has both coverage and metrics.
     """
-    seen = {r["evaluator_name"]: r.asDict() for r in coverage(records, _failures(records, failures), index).collect()}
+    metrics = _metrics(records, measure)
+    seen = _coverage(records, _failures(records, failures), index, metrics)
     for name, row in seen.items():
         if row["amiss"]:
             raise AnalysisError(f"{name}: {row['amiss']} outcomes are foreign, repeated or both scored and failed")
@@ -115,7 +123,6 @@ def document(records: DataFrame, failures: DataFrame | None, index: DataFrame, g
             raise AnalysisError(f"{name}: coverage is {', '.join(COVERAGE)}")
         if row["planned"] != row["scored"] + row["failed"] + row["not_run"]:
             raise AnalysisError(f"{name}: {row['planned']} planned, but {row['scored']} scored, {row['failed']} failed and {row['not_run']} not run")
-    metrics = _metrics(records, measure)
     # an evaluator whose every case failed has no records, and no metrics
     if set(told) != set(seen) or not set(metrics) <= set(told):
         raise AnalysisError("coverage and metrics are of different evaluators")
@@ -178,7 +185,8 @@ def problems(
     failed = _failures(records, failures)
     if failed.where(~F.col("status").eqNullSafe("failed")).take(1):
         out.append(("outcomes.status", ""))
-    seen = {r["evaluator_name"]: r.asDict() for r in coverage(records, failed, index).collect()}
+    metrics = own["metrics"]
+    seen = _coverage(records, failed, index, metrics)
     for name in sorted(set(seen) | set(made["coverage"])):
         now, then = seen.get(name), made["coverage"].get(name)
         if now is None or then is None:
@@ -187,7 +195,6 @@ def problems(
         if now["amiss"]:
             out.append(("outcomes.amiss", name))
         out += [(f"coverage.{k}", name) for k in COVERAGE if now[k] != then.get(k)]
-    metrics = own["metrics"]
     out += [("metrics", name) for name in sorted(set(metrics) | set(made["metrics"])) if metrics.get(name) != made["metrics"].get(name)]
     return out
 

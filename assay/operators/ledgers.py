@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,18 +116,44 @@ def outcome_problems(outcomes: DataFrame, cases: DataFrame, repeats: int) -> Dat
     return both.select(*key, F.explode(F.array_compact(kinds)).alias("problem"))
 
 
-def accounting(records: DataFrame, failures: DataFrame, index: DataFrame) -> DataFrame:
-    """Per evaluator: planned, scored, failed, clashing (scored and failed), missing, foreign, repeated, and whether planned = scored + failed with nothing amiss."""
+#: Evaluators whose slots are counted in one pass.
+AT_ONCE = 4
+
+
+def _accounts(told: DataFrame, names: list[str | None]) -> DataFrame:
+    """:func:`accounting` of these evaluators: a row for each case with the counts of all of them, so that neither an evaluator's slots nor the index are grouped or joined on their own."""
+    own = [F.col("evaluator_name").eqNullSafe(F.lit(name)) for name in names]
+    counts = [F.count_if(is_own & (F.col("side") == side)).alias(f"{side}{i}") for i, is_own in enumerate(own) for side in ("s", "f")]
+    cases = told.groupBy("case_id").agg(*counts, F.count_if(F.col("side") == "p").alias("p"))
+    # a case without an id is none that an index has
+    known = (F.col("p") > 0) & F.col("case_id").isNotNull()
+    slot = lambda plan, name, s, f: F.struct(F.lit(plan).alias("plan"), F.lit(name).cast("string").alias("evaluator_name"), s.alias("s"), f.alias("f"))
+    sides = [slot(True, None, F.col("p"), F.lit(0).cast("long")), *(slot(False, name, F.col(f"s{i}"), F.col(f"f{i}")) for i, name in enumerate(names))]
+    slots = cases.select(known.alias("known"), F.explode(F.array(*sides)).alias("x")).select("known", "x.*").where("s > 0 or f > 0")
+    s, f = F.col("s") > 0, F.col("f") > 0
+    kinds = {"scored": s, "failed": f, "clashing": s & f, "foreign": ~F.col("known"), "repeated": (F.col("s") > 1) | (F.col("f") > 1), "met": F.col("known")}
+    few = slots.groupBy("plan", "evaluator_name").agg(*(F.count_if(c).alias(k) for k, c in kinds.items()))
+    # the planned cases and a row for each evaluator are side by side
+    told = few.agg(F.coalesce(F.max(F.when(F.col("plan"), F.col("scored"))), F.lit(0).cast("long")).alias("planned"), F.collect_list(F.when(~F.col("plan"), F.struct("evaluator_name", *kinds))).alias("x"))
+    return told.select("planned", F.inline("x"))
+
+
+def accounting(records: DataFrame, failures: DataFrame, index: DataFrame, evaluators: Iterable[str | None] | None = None) -> DataFrame:
+    """Per evaluator: planned, scored, failed, clashing (scored and failed), missing, foreign, repeated, and whether planned = scored + failed with nothing amiss.
+
+    ``evaluators`` are all that records and failures name, if that is known; otherwise they are looked up first.
+    """
     key = ["evaluator_name", "case_id"]
-    rows = records.select(*key, F.lit(1).alias("s"), F.lit(0).alias("f")).unionByName(failures.select(*key, F.lit(0).alias("s"), F.lit(1).alias("f")))
-    slots = rows.groupBy(*key).agg(F.sum("s").alias("s"), F.sum("f").alias("f"))
-    slots = slots.join(index.select("case_id").distinct().withColumn("planned", F.lit(True)), "case_id", "left")
-    out = slots.groupBy("evaluator_name").agg(
-        F.count_if(F.col("s") > 0).alias("scored"), F.count_if(F.col("f") > 0).alias("failed"), F.count_if((F.col("s") > 0) & (F.col("f") > 0)).alias("clashing"),
-        F.count_if(F.col("planned").isNull()).alias("foreign"), F.count_if((F.col("s") > 1) | (F.col("f") > 1)).alias("repeated"), F.count_if(F.col("planned")).alias("met"),
-    )
-    planned = index.select("case_id").distinct().count()
-    out = out.withColumn("planned", F.lit(planned).cast("long")).withColumn("missing", F.col("planned") - F.col("met"))
+    rows = records.select(*key, F.lit("s").alias("side")).unionByName(failures.select(*key, F.lit("f").alias("side")))
+    names = sorted({r["evaluator_name"] for r in rows.select("evaluator_name").distinct().collect()} if evaluators is None else set(evaluators), key=lambda x: (x is not None, x))
+    out = None
+    for k in range(0, max(len(names), 1), AT_ONCE):
+        some = names[k:k + AT_ONCE] or [None]
+        of = reduce(or_, (F.col("evaluator_name").eqNullSafe(F.lit(name)) for name in some))
+        told = (rows if len(names) <= AT_ONCE else rows.where(of)).unionByName(index.select(F.lit(None).cast("string").alias("evaluator_name"), "case_id", F.lit("p").alias("side")))
+        accounts = _accounts(told, some)
+        out = accounts if out is None else out.unionByName(accounts)
+    out = out.withColumn("missing", F.col("planned") - F.col("met"))
     clean = (F.col("clashing") + F.col("foreign") + F.col("repeated") + F.col("missing") == 0) & (F.col("planned") == F.col("scored") + F.col("failed"))
     return out.select("evaluator_name", "planned", "scored", "failed", "clashing", "missing", "foreign", "repeated", clean.alias("complete"))
 
