@@ -17,6 +17,7 @@ import random
 import string
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,56 +117,105 @@ def numbers_of(values: list[Column]) -> Column:
     return F.transform(F.array(*values), number)
 
 
-def distribution(raw: Column, keys: tuple[str, ...], numbers: Column, total: Column) -> tuple[Column, Column]:
-    """(failure, probabilities) of a map of variants over exactly ``keys``, scaled to a sum of 1; ``numbers`` and their sum are columns of their own,
-    as lambdas would work out an expression again for each element."""
-    wanted = F.array(*map(F.lit, keys))
-    unit = F.forall(numbers, lambda x: F.coalesce(x.between(0.0, 1.0), F.lit(False)))
+def exact_sum_of(numbers: list[Column]) -> Column:
+    """:func:`exact_sum` of a few columns, without lambdas; columns that the sums of the first of them are read from again should be cheap."""
+    total, lost = F.lit(0.0) + numbers[0], F.lit(0.0)
+    for x in numbers[1:]:
+        more = total + x
+        total, lost = more, lost + F.when(F.abs(total) >= F.abs(x), (total - more) + x).otherwise((x - more) + total)
+    return total + lost
+
+
+def distribution(odd_keys: Column, keys: tuple[str, ...], numbers: Column, total: Column) -> tuple[Column, Column]:
+    """(failure, probabilities) over ``keys``, scaled to a sum of 1; ``odd_keys`` is the failure of a map's keys, ``numbers`` and their sum are columns of their own."""
+    each = [F.get(numbers, i) for i in range(len(keys))]
+    unit = reduce(and_, (F.coalesce(x.between(0.0, 1.0), F.lit(False)) for x in each))
     near = (total > 0) & (F.abs(total - 1.0) <= HALF_STEP * len(keys) + 1e-9)
-    failure = F.when(raw.isNull(), BAD).when(F.size(F.array_except(F.map_keys(raw), wanted)) > 0, UNKNOWN).when(~unit, BAD).when(~near, BAD)
-    return failure, F.map_from_arrays(wanted, F.transform(numbers, lambda x: F.try_divide(x, total)))
+    failure = F.when(odd_keys.isNotNull(), odd_keys).when(~unit, BAD).when(~near, BAD)
+    return failure, F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.try_divide(x, total) for x in each)))
+
+
+def _odd_keys(raw: Column, keys: tuple[str, ...]) -> Column:
+    """Why a map has not exactly ``keys``, else NULL; one that lacks some has no number there."""
+    return F.when(raw.isNull(), BAD).when(F.size(F.array_except(F.map_keys(raw), F.array(*map(F.lit, keys)))) > 0, UNKNOWN)
+
+
+#: What the text of a value that is no string may begin with or be: where a string is wanted, such a text may have been one, or not.
+_MAYBE_NO_STRING = r"^(?:[-0-9\[{]|true$|false$)"
+_FAR = 1e300
+
+
+def _typed(questions: dict[str, tuple[str, tuple[str, ...]]]) -> str:
+    """The type that a complete answer is read as at once."""
+    inner = {q: f"type:string,probabilities:map<string,double>,{'score:double' if k else 'choice:string,confidence:double'}" for k, (q, _) in questions.items()}
+    return "model string, answers struct<" + ",".join(f"`{q}`:struct<{fields}>" for q, fields in inner.items()) + ">"
+
+
+def _is_plain(text_of: Column, typed: Column, questions: dict[str, tuple[str, tuple[str, ...]]]) -> Column:
+    """Whether an object that is read as :func:`_typed` holds all of it, so that nothing of it can have been of another type.
+
+    Numbers are never made of strings but of a few names of numbers that are not finite; a confidence that is NULL is absent where no text names it.
+    """
+    answers = typed["answers"]
+    string = lambda c: c.isNotNull() & ~c.rlike(_MAYBE_NO_STRING)
+    finite = lambda c: F.coalesce(c.between(-_FAR, _FAR), F.lit(False))
+    decision = answers[DECISION_QUESTION]
+    held = [string(typed["model"]), string(decision["choice"]), F.when(decision["confidence"].isNull(), ~F.contains(text_of, F.lit("confidence")) & ~F.contains(text_of, F.lit("\\"))).otherwise(finite(decision["confidence"]))]
+    for k, (q, keys) in questions.items():
+        given = answers[q]["probabilities"]
+        held += [answers[q]["type"].isNotNull(), F.size(given) == len(keys), *(finite(given[key]) for key in keys)] + ([finite(answers[q]["score"])] if k else [])
+    return F.coalesce(reduce(and_, held), F.lit(False))
 
 
 def decoded(responses: DataFrame, labels: LabelMap, column: str = "response") -> DataFrame:
     """``responses`` with model_version, selected_option, decision, selected_probability, head_confidence, decision_probabilities (by decision),
     dimension_scores, dimension_values (score over the highest level), dimension_probabilities, usage, and ``failure``, NULL where all checks hold."""
-    # steps as columns: each is named once and read by the next; lambdas keep steps out of whole-stage code, whose methods would be too large to be compiled
+    # steps as columns: each is named once and read by the next; lambdas keep steps out of whole-stage code, whose methods would be too large to be compiled.
+    # An answer that has all of its parts is read at once with their types; parts of the others are looked at one by one, as variants.
     levels = tuple(map(str, range(LEVELS)))
     questions = {"": (DECISION_QUESTION, labels.options), **{f"_{d}": (DIMENSION_PREFIX + d, levels) for d in DIMENSIONS}}
-    rows = responses.withColumn("_body", F.try_parse_json(F.col(column).cast("string")))
-    body, at = F.col("_body"), lambda q, field: f"$.answers.{q}.{field}"
+    given = F.col(column).cast("string")
+    rows = responses.withColumn("_body", F.try_parse_json(given))
+    rows = rows.withColumn("_typed", F.when(F.col("_body").isNotNull() & given.rlike(r"^[ \t\n\r]*\{"), F.from_json(given, _typed(questions))))
+    rows = rows.withColumn("_plain", _is_plain(given, F.col("_typed"), questions))
+    plain, typed, body, at = F.col("_plain"), F.col("_typed"), F.col("_body"), lambda q, field: f"$.answers.{q}.{field}"
+    other = lambda c: F.when(~plain, c)
     rows = rows.withColumns({
-        "_texts": F.transform(F.array(member(body, "$.model"), member(body, at(DECISION_QUESTION, "choice")), *(member(body, at(q, "type")) for q, _ in questions.values())), text),
-        "_confident": member(body, at(DECISION_QUESTION, "confidence")), "_scores": numbers_of([member(body, at(DIMENSION_PREFIX + d, "score")) for d in DIMENSIONS]),
-        "_usage": numbers_of([member(body, f"$.usage.{u}") for u in USAGE]), "_object": is_object(body), "_answered": is_object(body, "$.answers"),
-        **{f"_given{k}": members(body, at(q, "probabilities")) for k, (q, _) in questions.items()},
+        "_texts": other(F.transform(F.array(member(body, "$.model"), member(body, at(DECISION_QUESTION, "choice")), *(member(body, at(q, "type")) for q, _ in questions.values())), text)),
+        "_confident": other(member(body, at(DECISION_QUESTION, "confidence"))), "_scores": other(numbers_of([member(body, at(DIMENSION_PREFIX + d, "score")) for d in DIMENSIONS])),
+        **{f"_{u}": number(member(body, f"$.usage.{u}")) for u in USAGE}, "_object": plain | is_object(body), "_answered": plain | is_object(body, "$.answers"),
+        **{f"_given{k}": other(members(body, at(q, "probabilities"))) for k, (q, _) in questions.items()},
     })
+    either = lambda own, slow: F.when(plain, own).otherwise(slow)
+    decision = typed["answers"][DECISION_QUESTION]
     rows = rows.withColumns({
-        "_version": F.col("_texts")[0], "_choice": F.col("_texts")[1], "_said": F.coalesce(F.schema_of_variant("_confident"), F.lit("VOID")) != "VOID", "_confidence": number(F.col("_confident")),
-        **{f"_kind{k}": F.col("_texts")[2 + i] for i, k in enumerate(questions)}, **{f"_score_{d}": F.col("_scores")[i] for i, d in enumerate(DIMENSIONS)},
-        **{f"_numbers{k}": numbers_of([F.col(f"_given{k}")[key] for key in keys]) for k, (_, keys) in questions.items()},
+        "_version": either(typed["model"], F.col("_texts")[0]), "_choice": either(decision["choice"], F.col("_texts")[1]),
+        "_said": either(decision["confidence"].isNotNull(), F.coalesce(F.schema_of_variant("_confident"), F.lit("VOID")) != "VOID"), "_confidence": either(decision["confidence"], number(F.col("_confident"))),
+        **{f"_kind{k}": either(typed["answers"][q]["type"], F.col("_texts")[2 + i]) for i, (k, (q, _)) in enumerate(questions.items())},
+        **{f"_score_{d}": either(typed["answers"][DIMENSION_PREFIX + d]["score"], F.col("_scores")[i]) for i, d in enumerate(DIMENSIONS)},
+        **{f"_numbers{k}": either(F.array(*(typed["answers"][q]["probabilities"][key] for key in keys)), numbers_of([F.col(f"_given{k}")[key] for key in keys])) for k, (q, keys) in questions.items()},
+        **{f"_keys{k}": other(_odd_keys(F.col(f"_given{k}"), keys)) for k, (_, keys) in questions.items()},
     })
-    rows = rows.withColumns({f"_total{k}": exact_sum(F.col(f"_numbers{k}")) for k in questions})
-    found = {k: distribution(F.col(f"_given{k}"), keys, F.col(f"_numbers{k}"), F.col(f"_total{k}")) for k, (_, keys) in questions.items()}
-    rows = rows.withColumns({f"_odd{k}": odd for k, (odd, _) in found.items()} | {f"_spread{k}": spread for k, (_, spread) in found.items()})
-
+    rows = rows.withColumns({f"_total{k}": either(exact_sum_of([F.get(F.col(f"_numbers{k}"), i) for i in range(len(keys))]), exact_sum(F.col(f"_numbers{k}"))) for k, (_, keys) in questions.items()})
+    found = {k: distribution(F.col(f"_keys{k}"), keys, F.col(f"_numbers{k}"), F.col(f"_total{k}")) for k, (_, keys) in questions.items()}
     of_type = lambda k, kind: F.coalesce(F.col(f"_kind{k}") == kind, F.lit(False))
-    checks = [
+    wrong = {"": F.coalesce(
         F.when(~F.coalesce("_object", F.lit(False)), MALFORMED), F.when(~F.coalesce("_version", F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]"), NO_VERSION), F.when(~F.coalesce("_answered", F.lit(False)), NO_ANSWER),
         F.when(~of_type("", "choice") | F.col("_choice").isNull(), NO_ANSWER), F.when(labels.decision(F.col("_choice")).isNull(), UNKNOWN),
-        F.col("_odd"), F.when(F.col("_said") & ~F.coalesce(F.col("_confidence").between(0.0, 1.0), F.lit(False)), BAD),
-    ]
+        found[""][0], F.when(F.col("_said") & ~F.coalesce(F.col("_confidence").between(0.0, 1.0), F.lit(False)), BAD),
+    )}
     for d in DIMENSIONS:
-        checks += [F.when(~of_type(f"_{d}", "score") | F.col(f"_score_{d}").isNull(), NO_ANSWER), F.when(~F.col(f"_score_{d}").between(0.0, LEVELS - 1.0), BAD), F.col(f"_odd_{d}")]
-    failure = F.get(F.filter(F.array(*checks), lambda c: c.isNotNull()), 0)
-    rows = rows.withColumn("failure", failure)
+        wrong[f"_{d}"] = F.coalesce(F.when(~of_type(f"_{d}", "score") | F.col(f"_score_{d}").isNull(), NO_ANSWER), F.when(~F.col(f"_score_{d}").between(0.0, LEVELS - 1.0), BAD), found[f"_{d}"][0])
+    # a column for each question, made where the sums are, as a lambda would work out its checks without compiled code
+    rows = rows.withColumns({f"_wrong{k}": w for k, w in wrong.items()} | {f"_spread{k}": spread for k, (_, spread) in found.items()})
+    rows = rows.withColumn("failure", F.coalesce(*(F.col(f"_wrong{k}") for k in questions)))
 
     by_dimension = lambda made: F.map_from_arrays(F.array(*map(F.lit, DIMENSIONS)), F.array(*map(made, DIMENSIONS)))
     out = {
         "model_version": F.col("_version"), "selected_option": F.col("_choice"), "decision": labels.decision(F.col("_choice")), "selected_probability": F.col("_spread")[F.col("_choice")], "head_confidence": F.col("_confidence"),
         "decision_probabilities": F.map_from_arrays(F.array(*map(F.lit, DECISIONS)), F.array(*(F.col("_spread")[o] for o in labels.options))),
         "dimension_scores": by_dimension(lambda d: F.col(f"_score_{d}")), "dimension_values": by_dimension(lambda d: F.col(f"_score_{d}") / (LEVELS - 1)),
-        "dimension_probabilities": by_dimension(lambda d: F.col(f"_spread_{d}")), "usage": F.struct(*(F.col("_usage")[i].alias(u) for i, u in enumerate(USAGE))),
+        "dimension_probabilities": by_dimension(lambda d: F.col(f"_spread_{d}")), "usage": F.struct(*(F.col(f"_{u}").alias(u) for u in USAGE)),
     }
     fine = F.col("failure").isNull()
     return rows.select(*responses.columns, *(F.when(fine, c).alias(k) for k, c in out.items()), "failure")

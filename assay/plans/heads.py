@@ -6,6 +6,8 @@ score out of range or no version follows from the table's values.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ LABELS = LabelMap.tokens(11)
 
 
 def _hundredths(c: Column) -> Column:
-    return (c.cast("decimal(10,2)") / 100).cast("decimal(10,2)").cast("string")
+    """A whole number of hundredths with two decimals; a product of decimals costs a fraction of a quotient."""
+    return (c.cast("decimal(10,0)") * F.lit(Decimal("0.01"))).cast("string")
 
 
 def _spread(names: tuple[str, ...], parts: list[Column]) -> Column:
